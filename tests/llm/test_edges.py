@@ -193,7 +193,7 @@ def test_packing(spark, docs, empty):
     want = Counter()
     for r in rows():
         ids = whole_ids(r[1], "word_bpe_49k.json", 2)
-        want.update((r[0], a, len(ids[a : a + 4096]), crc(ids[a : a + 4096]), len(ids)) for a in range(0, len(ids), 4096))
+        want.update((r[0], a, n, crc(ids[a : a + n]), len(ids)) for a, n in packing.cut_points(len(ids), 4096))
     assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in found) == want
     assert all(crc(r["ids"]) == r["ids_crc32"] for r in found)
     for own in by_sequence.values():
@@ -205,12 +205,18 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_cut_points():
+    for n in (1, 1023, 1024, 4095, 4096, 4097, 13000):
+        cuts = packing.cut_points(n, 4096)
+        assert [a for a, _ in cuts] == [sum(m for _, m in cuts[:k]) for k in range(len(cuts))] and sum(m for _, m in cuts) == n
+
+
 def test_differencing_is_tight():
     rng = np.random.default_rng(0)
-    lengths = rng.integers(1, 4096, 800)
+    lengths = np.array([n for x in rng.integers(1, 12000, 400).tolist() for _, n in packing.cut_points(x, 4096)])
     windows = packing.pack(lengths, 4096)
-    assert sorted(x for w in windows for x in w) == list(range(800))
-    assert len(windows) <= 1.03 * lengths.sum() / 4096 + 1
+    assert sorted(x for w in windows for x in w) == list(range(len(lengths)))
+    assert len(windows) <= 1.01 * lengths.sum() / 4096 + 1
 
 
 def test_pii(spark, docs, empty):

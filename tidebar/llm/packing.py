@@ -1,7 +1,8 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut at multiples of the capacity; full pieces are sequences of their own. The rest are dealt into
-shards of bounded size; in each, differencing repeatedly merges the two partial partitions with the largest imbalances,
+A document's ids are cut at multiples of the capacity; full pieces are sequences of their own. What is left of each is cut
+at quarters of the capacity, since differencing levels windows of a few pieces only roughly, and dealt into shards of
+bounded size; in each, differencing repeatedly merges the two partial partitions with the largest imbalances,
 largest windows against smallest, into near-equal windows. While a window exceeds the capacity, the shard is packed
 again with more windows.
 """
@@ -55,6 +56,12 @@ def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
         k += max(1, k // 128)
 
 
+def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of n ids: whole sequences, then quarters of one."""
+    full, quarter = n - n % capacity, max(1, capacity // 4)
+    return [(a, capacity) for a in range(0, full, capacity)] + [(a, min(quarter, n - a)) for a in range(full, n, quarter)]
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens[, ids]) per piece; null text has the end id alone."""
 
@@ -65,9 +72,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
             rows = []
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = table.encode(text) + end
-                for a in range(0, len(data), 4 * capacity):
-                    part = data[a : a + 4 * capacity]
-                    rows.append((id_, a // 4, len(part) // 4, zlib.crc32(part), len(data) // 4, np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None))
+                for a, n in cut_points(len(data) // 4, capacity):
+                    part = data[4 * a : 4 * (a + n)]
+                    rows.append((id_, a, n, zlib.crc32(part), len(data) // 4, np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [batch.schema.field("id").type, *[pa.int64()] * 4, pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
