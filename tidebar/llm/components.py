@@ -37,6 +37,42 @@ class Forest:
         return True
 
 
+def spanning_forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the nodes of each component of a symmetric boolean matrix."""
+    out, open_ = [], near.any(axis=1)
+    for root in np.flatnonzero(open_).tolist():
+        if not open_[root]:
+            continue
+        front, open_[root] = np.array([root]), False
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & open_)
+            open_[front] = False
+            out += [(root, x) for x in front.tolist()]
+    return out
+
+
+def groups(batches, keys: list[str]):
+    """(key values, table) of consecutive rows with equal keys, across batches."""
+    held, held_key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in keys]
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = np.append(np.flatnonzero(change), batch.num_rows)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            key = tuple(int(c[a]) for c in columns)
+            if held and key != held_key:
+                yield held_key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held, held_key = [*held, batch.slice(a, b - a)], key
+    if held:
+        yield held_key, pa.Table.from_batches(held).combine_chunks()
+
+
 def _local_forest(batches):
     forest, kept = Forest(), []
     for batch in batches:

@@ -6,9 +6,9 @@ correlated, which lowers the estimate's variance, and drawing stops at the step
 Bands of the signature make candidate buckets; candidates are verified on their full shingle sets; verified links are
 grouped by union-find.
 
-Buckets are not expanded into pairs. All members are compared with the bucket's least member; while the members of a
-bucket still lie in several components, members outside its largest component are compared with all others, some at a
-time, until every pair across components has been compared: no link between components is lost.
+Buckets are not expanded into pairs. First, all members are compared with one member of the bucket, that which shares
+buckets with most others. Buckets whose members then still lie in several components are compared in full inside tasks,
+block against block, and yield a spanning forest of their links: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .components import components
-from .shared import cut
+from .components import components, groups, spanning_forest
+from .shared import cut, partitions
 
 BANDS, ROWS = 40, 5  # at similarity 0.8 all bands miss with (1 - 0.8 ** 5) ** 40 = 1e-7
 CHUNK = 1 << 15
+BLOCK = 2048  # sets compared in one task at a time, against as many
 GOLDEN, M1, M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -119,6 +119,24 @@ def _sets(batches, size: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "set"])
 
 
+def near_sets(sets: pa.Array, percent: int) -> np.ndarray:
+    """Which of the sets are similar, without the diagonal; overlaps are counted 4096 distinct items at a time."""
+    flat, edges = sets.values.to_numpy(), sets.offsets.to_numpy().astype(np.int64)
+    flat, size = flat[edges[0] : edges[-1]], np.diff(edges)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(flat, kind="stable")
+    item = np.cumsum(np.diff(flat[order], prepend=flat[order[:1]]) != 0)
+    common = np.zeros((len(size), len(size)), np.float32)
+    for lo in range(0, int(item[-1]) + 1, 4096):
+        a, b = np.searchsorted(item, (lo, lo + 4096))
+        has = np.zeros((len(size), 4096), np.float32)
+        has[owner[order[a:b]], item[a:b] - lo] = 1
+        common += has @ has.T
+    near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(near, False)
+    return near
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """All rows as (id, text_key, n_shingles, component_id, kept); text_key: the first 16 bytes of the text's SHA-256; links: Jaccard similarity of shingle sets of percent / 100 or more.
 
@@ -132,8 +150,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("n > 0").groupBy("print").agg(F.min(F.struct("id", "sha")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes.select("print", "least.id", "least.sha", "n", "bands").withColumn("cid", F.monotonically_increasing_id()), "set-classes")
     met = classes.select("cid", "n", F.explode("bands").alias("bucket"))
-    full = met.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    members = cut(met.join(cut(full, "full-buckets"), "bucket"), "members")
+    full = cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "full-buckets")
+    members = cut(met.join(full, "bucket"), "members")
+    ranked = members.join(cut(members.groupBy("cid").agg(F.sum("c").alias("reach")), "reach"), "cid")
+    first = cut(ranked.groupBy("bucket").agg(F.max(F.struct("reach", "cid"))["cid"].alias("pivot")), "bucket-pivots")
+    members = cut(members.join(first, "bucket"), "starred")
     wanted = members.select("cid").distinct().join(classes.select("cid", "id", "sha"), "cid")
     whole = text.join(wanted.withColumnRenamed("id", "wid"), text["id"].eqNullSafe(F.col("wid")) & (text["sha"] == wanted["sha"])).select("cid", "text")
     sets = cut(whole.mapInArrow(lambda b: _sets(b, size), "cid long, set array<long>").dropDuplicates(["cid"]), "sets")
@@ -149,24 +170,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where("cid <> pivot").select("pivot", "cid", "n").distinct().join(size_of, "pivot")
     links = verified(star.select(F.col("pivot").alias("a"), F.col("cid").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")))
     labels = cut(components(links), "labels")
-    open_ = cut(members.where("cid <> pivot").select("bucket", "cid", "n"), "open-members")
-    pivots = 8
-    while True:
-        now = open_.join(labels, open_["cid"] == labels["node"], "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("label"))
-        split = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        now = cut(now.join(cut(split, "split-buckets"), "bucket"), "split-members")
-        if now.isEmpty():
-            break
-        common = now.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("cid"))
-        chosen = now.join(cut(common, "largest"), "bucket").where("label <> most").withColumn("rank", rank).where(F.col("rank") <= pivots)
-        chosen = cut(chosen.select("bucket", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), "pivots")
-        pairs = now.join(chosen, "bucket").where("label <> la and cid <> a")
-        found = verified(pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"), F.when(F.col("a") < F.col("cid"), F.col("na")).otherwise(F.col("n")).alias("na"), F.when(F.col("a") < F.col("cid"), F.col("n")).otherwise(F.col("na")).alias("nb")))
-        links = links.unionByName(found)
-        labels = cut(components(links), "labels")
-        open_ = cut(now.join(chosen.select("bucket", F.col("a").alias("cid")), ["bucket", "cid"], "left_anti").select("bucket", "cid", "n"), "open-members")
-        pivots *= 4
+    now = cut(members.join(labels, members["cid"] == labels["node"], "left").select("bucket", "cid", "c", F.coalesce("component", "cid").alias("label")), "labelled")
+    split = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    placed = now.where("c > 2").join(cut(split, "split-buckets"), "bucket").select("bucket", "cid", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = cut(placed.select("bucket", "cid", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")), "split-members")
+    group = ["bucket", "bi", "bj"]
+
+    def compare(batches):
+        for (_, bi, bj), rows in groups(batches, group):
+            near = near_sets(rows["set"].combine_chunks(), percent)
+            own, cid = rows["own"].to_numpy(), rows["cid"].to_numpy()
+            if bi != bj:
+                near &= own[:, None] != own[None, :]
+            pairs = np.array(spanning_forest(near), np.int64).reshape(-1, 2)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(cid[pairs[:, 0]]), pa.array(cid[pairs[:, 1]])], names=["a", "b"])
+
+    more = placed.join(sets, "cid").repartition(partitions(docs.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long")
+    labels = cut(components(links.unionByName(cut(more, "more-links"))), "labels")
     state = cut(classes.join(labels, classes["cid"] == labels["node"], "left").select("print", "id", F.coalesce("component", "cid").alias("component")), "set-components")
     least = state.groupBy("component").agg(F.min("id").alias("component_id"))
     state = cut(state.join(least, "component").select("print", "component_id"), "near-components")

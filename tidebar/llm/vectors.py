@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, groups, spanning_forest
 from .shared import cut, partitions
 
 K, TABLES, WIDTH, BLOCK = 10, 48, 2.0, 2048
@@ -52,16 +52,7 @@ def compare(table: int, near: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -
         new = ~(keys[a, :table] == keys[b, :table]).any(axis=1)
         np.add.at(weight, a[new], sizes[b[new]])
         np.add.at(weight, b[new], sizes[a[new]])
-    forest, open_ = [], near.any(axis=1)
-    for root in np.flatnonzero(open_).tolist():
-        if not open_[root]:
-            continue
-        front, open_[root] = np.array([root]), False
-        while len(front):
-            front = np.flatnonzero(near[front].any(axis=0) & open_)
-            open_[front] = False
-            forest += [(root, x) for x in front.tolist()]
-    return weight, forest
+    return weight, spanning_forest(near)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, k: int = K, tables: int = TABLES, width: float = WIDTH) -> DataFrame:
@@ -101,7 +92,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     group = ["t", "bucket", "dim", "bi", "bj"]
 
     def links(batches):
-        for g in _groups(batches, group):
+        for g in groups(batches, group):
             t, _, _, bi, bj = g[0]
             cid, own = g[1]["cid"].to_numpy(), g[1]["own"].to_numpy()
             v = normalise(g[1]["raw"].to_pylist())
@@ -127,24 +118,3 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     out = rows.join(state, "v", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
-
-def _groups(batches, keys: list[str]):
-    """(key values, table) of consecutive rows with equal keys, across batches."""
-    held, held_key = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(c).to_numpy() for c in keys]
-        change = np.zeros(batch.num_rows, bool)
-        change[0] = True
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        edges = np.append(np.flatnonzero(change), batch.num_rows)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            key = tuple(int(c[a]) for c in columns)
-            if held and key != held_key:
-                yield held_key, pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held, held_key = [*held, batch.slice(a, b - a)], key
-    if held:
-        yield held_key, pa.Table.from_batches(held).combine_chunks()
