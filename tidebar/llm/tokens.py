@@ -15,6 +15,13 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class ChunkIds(dict):
     """chunk -> its ids as little-endian unsigned 32-bit bytes; emptied when it holds `limit` chunks."""
 
@@ -25,7 +32,7 @@ class ChunkIds(dict):
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.model = self.tokenizer.model
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.drops_white = bool(spec["normalizer"])
@@ -35,9 +42,10 @@ class ChunkIds(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        letters = chunk if self.drops_white else chunk[1:]
-        if letters.isascii() and letters.isalpha() and (self.drops_white or chunk[0] == " "):
-            ids = [t.id for t in self.model.tokenize(letters.lower() if self.drops_white else f"Ġ{letters}")]
+        word = chunk.lower() if self.drops_white else chunk[1:]
+        if word.isalpha() and (self.drops_white or chunk[0] == " ") and max(word) < "ɐ":  # one pre-token of Latin letters, composed
+            text = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            ids = [t.id for t in self.model.tokenize(text if self.drops_white else f"Ġ{text}")]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         out = self[chunk] = np.array(ids, dtype="<u4").tobytes()
