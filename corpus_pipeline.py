@@ -39,7 +39,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("parts.times"))))
     taken = taken.withColumn("own", F.filter("parts", lambda p: p["times"] >= F.col("copy")))
     words = F.filter(F.split("text", mixing.WHITE), lambda w: w != "")
-    some = F.array_join(F.flatten(F.transform("own", lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
+    part = lambda w, p: F.slice(w, (p["start"] + 1).cast("int"), p["length"].cast("int"))
+    # the words are bound by an outer lambda: named inside the inner one, they would be split again for each part
+    some = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("own", lambda p: part(w, p))), " "))[0]
     whole = F.aggregate("own", F.lit(0).cast("long"), lambda a, p: a + p["length"]) == F.col("mix_size")
     rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mix_id"]) & (F.xxhash64(docs["text"]) == taken["mix_print"]))
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
