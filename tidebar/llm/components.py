@@ -1,7 +1,8 @@
 """Connected components of a table of links, distributed.
 
-Each partition first reduces its links to a spanning forest by union-find; rounds of large-star and small-star then join
-every node to the least node of its component.
+Each partition first reduces its links to stars by union-find; rounds of large-star and small-star then join every node to
+the least node of its component, until all links form stars. A round's tables are written in as many files as their size
+asks for, not in one for each shuffle partition.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, partitions
+
+LINKS_PER_TASK = 100_000
 
 
 class Forest:
@@ -73,27 +76,35 @@ def groups(batches, keys: list[str]):
         yield held_key, pa.Table.from_batches(held).combine_chunks()
 
 
-def _local_forest(batches):
-    forest, kept = Forest(), []
+def _local_stars(batches):
+    """Links of one partition -> a link from each node to the least node that it reaches in the partition."""
+    forest = Forest()
     for batch in batches:
-        kept += [(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True) if forest.union(a, b)]
-    pairs = np.array(kept, np.int64).reshape(-1, 2)
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            forest.union(a, b)
+    nodes = list(forest.parent)
+    pairs = np.array([(x, forest.find(x)) for x in nodes], np.int64).reshape(-1, 2)
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one link and no smaller end is also a larger one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not seen.agg(F.max((F.col("up") + F.when(F.col("up") > 0, F.col("down")).otherwise(0)) > 1)).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) long, a <> b -> (node, component): every linked node, with the least node it reaches."""
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_local_forest, "a long, b long").distinct(), "links")
-    state = None
-    while True:
+    spark = links.sparkSession
+    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_local_stars, "a long, b long").distinct(), "links")
+    width = min(partitions(spark), max(spark.sparkContext.defaultParallelism, edges.count() // LINKS_PER_TASK))
+    while not _stars(edges):
         both = edges.union(edges.select("b", "a"))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-        large = cut(both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a")
-        new = cut(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
-        mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == state:
-            break
-        edges, state = new, mark
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(large.coalesce(width), "large-star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct().coalesce(width), "small-star")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct().toDF("node", "component"))

@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(cid[pairs[:, 0]]), pa.array(cid[pairs[:, 1]])], names=["a", "b"])
 
     more = placed.join(sets, "cid").repartition(partitions(docs.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long")
-    labels = cut(components(links.unionByName(cut(more, "more-links"))), "labels")
+    known = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = cut(components(known.unionByName(cut(more, "more-links"))), "labels")
     state = cut(classes.join(labels, classes["cid"] == labels["node"], "left").select("print", "id", F.coalesce("component", "cid").alias("component")), "set-components")
     least = state.groupBy("component").agg(F.min("id").alias("component_id"))
     state = cut(state.join(least, "component").select("print", "component_id"), "near-components")
