@@ -1,18 +1,20 @@
 """Token ids of whole texts with a public tokenizer, through a per-worker cache of chunks.
 
 A text is cut only where the tokenizer itself always ends a pre-token (white space, and between an ASCII letter and
-a full stop or comma), so the joined ids of the chunks are those of the whole text.
+ASCII punctuation), so the joined ids of the chunks are those of the whole text.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
 #: The code points of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
+PUNCTUATION = r"!-/:-@\[-`{-~"
 
 
 def byte_letters() -> list[str]:
@@ -36,7 +38,7 @@ class ChunkIds(dict):
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.drops_white = bool(spec["normalizer"])
-        word = f"[^{WHITE}]*[A-Za-z](?=[.,])|[^{WHITE}]+"
+        word = f"[^{WHITE}]*[A-Za-z](?=[{PUNCTUATION}])|[^{WHITE}]+"
         self.chunks = re.compile(word if self.drops_white else f" ?(?:{word})|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
 
     def __missing__(self, chunk: str) -> bytes:
@@ -48,7 +50,7 @@ class ChunkIds(dict):
             ids = [t.id for t in self.model.tokenize(text if self.drops_white else f"Ġ{text}")]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = self[chunk] = np.array(ids, dtype="<u4").tobytes()
+        out = self[chunk] = pack(f"<{len(ids)}I", *ids)
         return out
 
     def encode(self, text: str | None) -> bytes:
