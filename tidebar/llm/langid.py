@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, slices
 
 DIM = 512
 SYMBOLS = 64  # 0: a stretch without letters; 1-26: a-z; 27-63: all other letters, by code point
@@ -92,7 +92,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
 
     def partial(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             v = _normal(profiles(dim).bundle(texts)[0].astype(np.float64))
             for lang in set(langs):
@@ -122,7 +122,7 @@ def language_id(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     fields = docs.schema.simpleString()[7:-1]
 
     def predict(batches):
-        for batch in batches:
+        for batch in slices(batches, text_col):
             v, has = profiles(dim).bundle(batch.column(text_col).to_pylist())
             if not names:
                 has[:] = False

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, groups, spanning_forest
-from .shared import cut, partitions
+from .shared import cut, partitions, slices
 
 BANDS, ROWS = 40, 5  # at similarity 0.8 all bands miss with (1 - 0.8 ** 5) ** 40 = 1e-7
 CHUNK = 1 << 15
@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word -> 64-bit hash; emptied when it holds `limit` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches):
         words_of = WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             n, prints, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, words_of, size)
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 def _sets(batches, size: int) -> Iterator[pa.RecordBatch]:
     words_of = WordHash()
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t, words_of, size).view(np.int64) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "set"])
 

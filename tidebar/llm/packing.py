@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, slices
 from .tokens import chunk_ids
 
 SHARD_WINDOWS = 256
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
 
     def cut_ids(batches):
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             table = chunk_ids(tokenizer)
             rows = []
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):

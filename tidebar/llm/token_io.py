@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import partitions, slices
 from .tokens import chunk_ids
 
 #: Fixed values, by selector: ids per word, bits per id.
@@ -107,7 +107,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             arrays = [[part], [number], [ids], [len(data)], [to_payload(counts, data)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, [pa.int32(), pa.int32(), pa.list_(id_kind), pa.int64(), pa.binary()], strict=True)], names=["part", "block", "ids", "n_ids", "payload"])
 
-        for batch in batches:
+        for batch in slices(batches):
             id_kind, table = batch.schema.field("id").type, chunk_ids(tokenizer)
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = table.encode(text) + end

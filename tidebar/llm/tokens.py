@@ -28,16 +28,13 @@ class ChunkIds(dict):
     """chunk -> its ids as little-endian unsigned 32-bit bytes; emptied when it holds `limit` chunks."""
 
     def __init__(self, path: str, limit: int = 600_000):
-        import json
-
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        spec = json.load(open(path, encoding="utf-8"))
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.drops_white = bool(spec["normalizer"])
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.drops_white = self.tokenizer.normalizer is not None
         word = f"[^{WHITE}]*[A-Za-z](?=[{PUNCTUATION}])|[^{WHITE}]+"
         self.chunks = re.compile(word if self.drops_white else f" ?(?:{word})|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
 
