@@ -290,6 +290,17 @@ def test_mix_reaches_targets(spark):
         assert abs(taken[s] - target[s]) < 0.03 * target[s] + 200, (s, taken[s], target[s])
 
 
+def test_mix_draws_sources_of_under_a_block_per_shard(spark):
+    """40 shards, and fractional blocks of 0.2, 0.6 and 1.4 per shard in all, none or one of them in a tiny source."""
+    for wanted in ([(40960, 40960), (400, 8)], [(40960 + 16, 40960 + 16), (400, 8)], [(20496, 20496), (20496, 20496), (400, 24)]):
+        rows = [(k, blocks, 32 * blocks, 32.0 * want) for k, (blocks, want) in enumerate(wanted, 1)]
+        sources = spark.createDataFrame(rows, "s int, blocks long, source_size long, target double")
+        taken = {r["s"]: r["n"] for r in mixing._times(sources, 1).groupBy("s").agg({"times": "sum"}).toDF("s", "n").collect()}
+        assert sum(taken.values()) == sum(want for _, want in wanted)
+        for k, (_, want) in enumerate(wanted, 1):
+            assert abs(taken.get(k, 0) - want) <= 3 * want**0.5 and taken.get(k, 0) > 0, (wanted, taken)
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(9)
     for ids in ([], [0], [0] * 1000, [2**60 - 1, 2**60, 2**64 - 1, 0, 1], rng.integers(0, 50000, 5000), rng.integers(0, 2**20, 1000) >> rng.integers(0, 20, 1000), [1] * 59, [0] * 239 + [5]):

@@ -90,12 +90,12 @@ def _times(sources: DataFrame, seed: int) -> DataFrame:
     for s, _, w in wanted:
         rest += w / shards - w // shards
         cumulated.append((rest, s))
-    draws = round(rest)
+    draws = round(rest * shards)  # over all shards: rest is no whole number, and a shard has its floor or its ceiling
     shard = spark.range(shards).select(F.col("id").alias("shard"))
     whole = shard.select("shard", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(int(w // shards)).cast("long").alias("n")) for s, _, w in wanted])).alias("x")).select("shard", "x.*") if wanted else spark.createDataFrame([], "shard long, s int, n long")
     if draws:
         ladder = F.array(*[F.struct(F.lit(c).alias("upto"), F.lit(s).alias("s")) for c, s in cumulated])
-        drawn = shard.select("shard", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("u", uniform("shard", "draw", F.lit(seed + 2)) * F.lit(rest))
+        drawn = spark.range(draws).select(F.expr(f"id * {shards} div {draws}").alias("shard"), F.col("id").alias("draw")).withColumn("u", uniform("shard", "draw", F.lit(seed + 2)) * F.lit(rest))
         drawn = drawn.select("shard", F.coalesce(F.filter(ladder, lambda x: F.col("u") < x["upto"])[0]["s"], F.lit(cumulated[-1][1])).alias("s"), F.lit(1).cast("long").alias("n"))
         whole = whole.unionByName(drawn)
     counts = whole.groupBy("s", "shard").agg(F.sum("n").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
