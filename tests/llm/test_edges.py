@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against plain Python."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -396,5 +397,31 @@ def test_suffix_planted(spark):
     assert found == dict(enumerate(brute_repeats(texts, 200)))
 
 
+def test_suffix_splits_a_heavy_bucket(spark, monkeypatch):
+    """A passage in most texts: all windows that hold its least block fall to one bucket, and no group of all of them may be made."""
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz éß") for _ in range(n))
+    hot, rare = noise(260), noise(230)
+    texts = [noise(rng.randrange(150, 300)) + (hot if k % 8 else rare)[rng.randrange(0, 4) :] + noise(rng.randrange(150, 300)) for k in range(240)]
+    texts += [*texts[:3], "q" + texts[5] + "r", hot * 3, "ab" * 300]
+    for slice_ in (1 << 21, 4000):
+        monkeypatch.setattr(suffix, "HEAVY", 2000, raising=False)
+        monkeypatch.setattr(suffix, "SLICE", slice_, raising=False)
+        path, groups = fresh_path(spark, "groups"), suffix.match_stretches
+        os.makedirs(path)
+
+        def match_stretches(rows, width, path=path, groups=groups):
+            n = sum(int((np.frombuffer(s, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() - width + 1).sum()) for s, k in zip(rows["sizes"], rows["known"], strict=True) if not k)
+            with open(f"{path}/{n}", "w"):
+                return groups(rows, width)
+
+        monkeypatch.setattr(suffix, "match_stretches", match_stretches)
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix.repeated_spans(frame).collect()}
+        assert found == dict(enumerate(brute_repeats(texts, 200)))
+        assert max(map(int, os.listdir(path))) <= 2000
+        monkeypatch.undo()
+
+
 def test_cover():
     assert {(a - b) % suffix.MODULUS for a in suffix.COVER for b in suffix.COVER} == set(range(suffix.MODULUS))

@@ -32,7 +32,12 @@ SEGMENT = 1 << 20
 BLOCK = 20
 KEY = 16
 SAMPLES = "bucket int, keys binary, counts binary, places binary, names binary"
-STRETCHES = "bucket int, known boolean, keys binary, starts binary, sizes binary, again binary, data binary"
+STRETCHES = "bucket int, known boolean, keys binary, starts binary, sizes binary, again binary, data binary, n long"
+WINDOWS = "bucket int, known boolean, keys binary, counts binary, starts binary, again binary, names binary"
+#: A bucket of more starts than this is dealt anew by the names of its windows, into parts of about so many.
+HEAVY = 1 << 20
+#: Text of stretches that a worker turns into windows at a time.
+SLICE = 1 << 21
 
 
 @lru_cache(maxsize=1)
@@ -172,7 +177,7 @@ def deal_stretches(docs: list[tuple[bytes, bytes, np.ndarray]], buckets: int, wi
             for key, first in own:
                 dealt.setdefault((key[0] % buckets, True), []).append((key, first, len(part), True, b""))
     for (bucket, known), items in dealt.items():
-        yield bucket, known, b"".join(i[0] for i in items), _planes(np.array([i[1] for i in items])), _planes(np.array([i[2] for i in items])), bytes(i[3] for i in items), b"".join(i[4] for i in items)
+        yield bucket, known, b"".join(i[0] for i in items), _planes(np.array([i[1] for i in items])), _planes(np.array([i[2] for i in items])), bytes(i[3] for i in items), b"".join(i[4] for i in items), 0 if known else sum(i[2] - width + 1 for i in items)
 
 
 def match_stretches(rows: pd.DataFrame, width: int) -> pd.DataFrame:
@@ -188,24 +193,90 @@ def match_stretches(rows: pd.DataFrame, width: int) -> pd.DataFrame:
         sizes.append(n)
         again.append(np.frombuffer(g, np.uint8) > 0)
     if keys:
-        start, size, text = np.concatenate(starts), np.concatenate(sizes), np.frombuffer(b"".join(data), np.uint8)
-        base, count = np.concatenate(([0], np.cumsum(size)[:-1])), size - width + 1
-        owner = np.repeat(np.arange(len(keys)), count)
-        shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        at = base[owner] + shift
-        hit = _repeated(block_names(text, at, width), block_names(text, at, width, 1)) & ~np.concatenate(again)[owner]
-        hits = np.flatnonzero(hit)
-        if len(hits):
-            first = np.flatnonzero((np.diff(hits, prepend=-9) != 1) | (np.diff(owner[hits], prepend=-1) != 0))
-            for x, y in zip(hits[first].tolist(), hits[np.append(first[1:], len(hits)) - 1].tolist(), strict=True):
-                s = int(start[owner[x]] + shift[x])
-                out.append((keys[owner[x]], s, s + y - x + 1))
+        owner, begin, once, name = _windows(keys, starts, sizes, again, data, width)
+        hit = _repeated(*name) & once
+        out += [(keys[k], s, e) for k, s, e in _runs(owner, begin, np.flatnonzero(hit))]
+    return _by_key(out)
+
+
+def _windows(keys: list[bytes], starts: list, sizes: list, again: list, data: list[bytes], width: int) -> tuple:
+    """Of all starts in stretches: the stretch, the start in its text, whether its owners are not told yet, and two 64-bit names."""
+    start, size, text = np.concatenate(starts), np.concatenate(sizes), np.frombuffer(b"".join(data), np.uint8)
+    base, count = np.concatenate(([0], np.cumsum(size)[:-1])), size - width + 1
+    owner = np.repeat(np.arange(len(keys)), count)
+    shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = base[owner] + shift
+    return owner, start[owner] + shift, ~np.concatenate(again)[owner], (block_names(text, at, width), block_names(text, at, width, 1))
+
+
+def _runs(owner: np.ndarray, begin: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(owner, first start, after the last) of neighbouring starts of one owner; the hits are in order of owner and start."""
+    if len(hits):
+        first = np.flatnonzero((np.diff(begin[hits], prepend=-9) != 1) | (np.diff(owner[hits], prepend=-1) != 0))
+        last = hits[np.append(first[1:], len(hits)) - 1]
+        yield from zip(owner[hits[first]].tolist(), begin[hits[first]].tolist(), (begin[last] + 1).tolist(), strict=True)
+
+
+def _by_key(found: list[tuple[bytes, int, int]]) -> pd.DataFrame:
     by: dict[bytes, list[int]] = {}
-    for key, a, b in out:
+    for key, a, b in found:
         by.setdefault(key, []).extend((a, b))
     return pd.DataFrame({"key": list(by), "runs": [np.array(v, "<u4").tobytes() for v in by.values()]})
 
 
+def deal_windows(rows: list[tuple], parts: int, width: int) -> Iterator[tuple]:
+    """Stretches of heavy buckets (keys, starts, sizes, again, data) -> packed rows per part of the names of their windows.
+
+    Of equal windows one travels, marked when it stands for several; the owners of those are told directly.
+    """
+    keys = [r[0][i : i + KEY] for r in rows for i in range(0, len(r[0]), KEY)]
+    again = [np.frombuffer(r[3], np.uint8) > 0 for r in rows]
+    owner, begin, once, name = _windows(keys, [_unplanes(r[1]) for r in rows], [_unplanes(r[2]) for r in rows], again, [r[4] for r in rows], width)
+    order = np.lexsort(name[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = (name[0][order][1:] != name[0][order][:-1]) | (name[1][order][1:] != name[1][order][:-1])
+    group = np.cumsum(new) - 1
+    several = np.bincount(group) > 1
+    told = np.zeros(len(order), bool)
+    told[order] = several[group]
+    dealt: dict[int, list] = {}
+    for k, a, b in _runs(owner, begin, np.flatnonzero(told & once)):
+        dealt.setdefault(keys[k][0] % parts, []).append((keys[k], a, b - a))
+    for part, items in dealt.items():
+        yield part, True, b"".join(i[0] for i in items), _planes(np.array([i[2] for i in items])), _planes(np.array([i[1] for i in items])), b"", b""
+    lead = order[new]
+    marked = several | ~once[lead]
+    part = (name[0][lead] >> np.uint64(20)) % np.uint64(parts)
+    by_part = np.lexsort((lead, part))
+    lead, marked, part = lead[by_part], marked[by_part], part[by_part]
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for a, b in zip(edges, np.append(edges[1:], len(part)), strict=True):
+        own = lead[a:b]
+        first = np.flatnonzero(np.diff(owner[own], prepend=-1))
+        names = np.stack([name[0][own], name[1][own]]).astype("<u8").tobytes()
+        yield int(part[a]), False, b"".join(keys[k] for k in owner[own][first]), _planes(np.diff(first, append=b - a)), _planes(begin[own]), marked[a:b].astype(np.uint8).tobytes(), names
+
+
+def match_windows(rows: pd.DataFrame) -> pd.DataFrame:
+    """One part of the windows of heavy buckets: as match_stretches, by names that came along."""
+    keys, owners, starts, marked, names, out = [], [], [], [], [], []
+    for known, k, c, a, g, n in zip(rows["known"], rows["keys"], rows["counts"], rows["starts"], rows["again"], rows["names"], strict=True):
+        ks, c, a = [k[i : i + KEY] for i in range(0, len(k), KEY)], _unplanes(c), _unplanes(a)
+        if known:
+            out += [(x, s, s + z) for x, s, z in zip(ks, a.tolist(), c.tolist(), strict=True)]
+            continue
+        owners.append(np.repeat(np.arange(len(keys), len(keys) + len(ks)), c))
+        keys += ks
+        starts.append(a)
+        marked.append(np.frombuffer(g, np.uint8) > 0)
+        names.append(np.frombuffer(n, "<u8").reshape(2, -1))
+    if keys:
+        owner, begin = np.concatenate(owners), np.concatenate(starts)
+        hit = _repeated(*np.concatenate(names, axis=1)) & ~np.concatenate(marked)
+        out += [(keys[k], a, b) for k, a, b in _runs(owner, begin, np.flatnonzero(hit))]
+    return _by_key(out)
+
+
 def covered(n: int, runs: list[bytes], whole: bool, width: int) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes of a text of n bytes."""
     if whole and n >= width:
@@ -259,7 +330,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     seen.add(key)
                     flagged = np.frombuffer(b"".join(places), "<u4").astype(np.int64)
                     held.append((key, data, starts_near(flagged[flagged <= len(data) - length], len(data), width)))
-            yield _batch(deal_stretches(held, buckets, width), [pa.int32(), pa.bool_(), *[pa.binary()] * 5], STRETCHES)
+            yield _batch(deal_stretches(held, buckets, width), [pa.int32(), pa.bool_(), *[pa.binary()] * 5, pa.int64()], STRETCHES)
 
     def remove(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -271,7 +342,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flags = long.mapInArrow(sample, SAMPLES).groupBy("bucket").applyInPandas(match_samples, "key binary, places binary")
     flags = cut(flags.groupBy("key").agg(F.collect_list("places").alias("places")).withColumnRenamed("key", "key8"), "cover-repeats")
     wanted = long.join(flags, F.substring("key", 1, 8) == F.col("key8")).select("key", "text", "places")
-    runs = wanted.mapInArrow(stretch, STRETCHES).groupBy("bucket").applyInPandas(lambda x: match_stretches(x, width), "key binary, runs binary")
+    dealt = cut(wanted.mapInArrow(stretch, STRETCHES), "stretches")
+    loads = {r["bucket"]: r["n"] for r in dealt.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY).collect()}  # at most a number per bucket
+    match = lambda x: match_stretches(x, width)
+    heavy = F.col("bucket").isin(list(loads)) & ~F.col("known")
+    runs = dealt.where(~heavy).groupBy("bucket").applyInPandas(match, "key binary, runs binary")
+    if loads:
+        parts = sum(loads.values()) // HEAVY + 1
+
+        def window(batches):
+            kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+            for batch in batches:
+                held, size = [], 0
+                for row in zip(*[batch.column(c) for c in ("keys", "starts", "sizes", "again", "data")], strict=True):
+                    held.append(tuple(x.as_py() for x in row))
+                    size += len(held[-1][4])
+                    if size >= SLICE:
+                        yield _batch(deal_windows(held, parts, width), kinds, WINDOWS)
+                        held, size = [], 0
+                if held:
+                    yield _batch(deal_windows(held, parts, width), kinds, WINDOWS)
+
+        runs = runs.unionByName(dealt.where(heavy).mapInArrow(window, WINDOWS).groupBy("bucket").applyInPandas(match_windows, "key binary, runs binary"))
     runs = runs.groupBy("key").agg(F.collect_list("runs").alias("runs"))
     copies = rows.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("whole"))
     state = cut(runs.join(copies, "key", "full_outer"), "repeated-runs")
