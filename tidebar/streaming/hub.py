@@ -15,29 +15,42 @@ BARS = "sym string, date string, open double, high double, low double, close dou
 
 
 class Hub:
-    """Versions of the bar store under `path`, verdict events under `path`/verdicts. A replayed batch changes nothing."""
+    """Versions of the bar store under `path`, verdict events under `path`/verdicts. A replayed batch changes nothing.
+
+    Batch n makes version n + 1 from the newest complete version below it, whichever hub wrote that; a path goes with one
+    checkpoint, whose restart goes on from the stored bars.
+    """
 
     def __init__(self, spark: SparkSession, path: str, tree: dsl.Tree, book: str = "book", publish: Callable[[DataFrame], None] | None = None):
         self.spark, self.path, self.tree, self.book, self.publish = spark, path, tree, book, publish
-        self.version = 0
         pairs = [(s, book, p) for p in tree.products for s in tree.symbols(p)]
         self.subscriptions = spark.createDataFrame(pairs, "symbol string, book string, product string")
 
-    def bars(self) -> DataFrame:
-        if not self.version:
+    def version(self, most: int | None = None) -> int:
+        """The newest complete version in the store, of those up to `most`; 0: none."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath().getParent().getName() for s in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "bars-*/_SUCCESS")) or []]
+        numbers = [int(name[5:]) for name in found if name[5:].isdigit()]
+        return max((n for n in numbers if most is None or n <= most), default=0)
+
+    def bars(self, most: int | None = None) -> DataFrame:
+        version = self.version(most)
+        if not version:
             return self.spark.createDataFrame([], BARS)
-        return self.spark.read.schema(BARS).parquet(f"{self.path}/bars-{self.version}")
+        return self.spark.read.schema(BARS).parquet(f"{self.path}/bars-{version}")
 
     def on_batch(self, batch: DataFrame, number: int) -> None:
-        old = self.bars()
+        old = self.bars(number)
         last = batch.groupBy("sym", "date").agg(F.max_by(F.struct(*S.FIELDS), "arrived").alias("b")).select("sym", "date", "b.*")
         S.upsert(old, last).select(*old.columns).write.mode("overwrite").parquet(f"{self.path}/bars-{number + 1}")
-        self.version = number + 1
-        changed = S.changed_symbols(old, self.bars())
+        new = self.bars(number + 1)
+        changed = S.changed_symbols(old, new)
         products = [r["product"] for r in S.woken(changed, self.subscriptions).collect()]  # products of the tree: a bounded list
         if not products:
             return
-        newest = decisions(self.bars(), self.tree).where(F.col("product").isin(products)).groupBy("product").agg(F.max_by(F.struct("date", "close", "key"), "i").alias("v"))
+        newest = decisions(new, self.tree).where(F.col("product").isin(products)).groupBy("product").agg(F.max_by(F.struct("date", "close", "key"), "i").alias("v"))
         events = newest.select(F.lit(self.book).alias("book"), "product", "v.*", F.lit(number).alias("batch"))
         events.write.mode("overwrite").parquet(f"{self.path}/verdicts/batch={number}")
         if self.publish:
