@@ -302,6 +302,16 @@ def test_mix_draws_sources_of_under_a_block_per_shard(spark):
             assert abs(taken.get(k, 0) - want) <= 3 * want**0.5 and taken.get(k, 0) > 0, (wanted, taken)
 
 
+def test_mix_takes_sources_at_their_limit_whole(spark):
+    """Over 40 shards, a tiny source at its limit is taken three times in each block, and one near its limit misses little."""
+    rows = [(1, 50000, 32 * 50000, 32.0 * 40900.5), (2, 10, 320, 3 * 320.0), (3, 20, 640, 32 * 58.5)]
+    sources = spark.createDataFrame(rows, "s int, blocks long, source_size long, target double")
+    for seed in (1, 2, 3):
+        times = mixing._times(sources, seed).where("s > 1").collect()
+        assert {(r["block"], r["times"]) for r in times if r["s"] == 2} == {(b, 3) for b in range(10)}
+        assert abs(sum(r["times"] for r in times if r["s"] == 3) - 58.5) <= 2
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(9)
     for ids in ([], [0], [0] * 1000, [2**60 - 1, 2**60, 2**64 - 1, 0, 1], rng.integers(0, 50000, 5000), rng.integers(0, 2**20, 1000) >> rng.integers(0, 20, 1000), [1] * 59, [0] * 239 + [5]):

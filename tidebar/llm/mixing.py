@@ -1,7 +1,8 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Each source's words lie on one line, in a pseudorandom order of its documents, cut into blocks of BLOCK words. Output
-shards draw source counts (the whole part of the expectation, and a multinomial draw of the rest); a source's slots are
+shards draw source counts (the whole part of the expectation, and a stratified multinomial draw of the rest; at its
+limit, exactly CAP passes); a source's slots are
 numbered through all shards, mapped to block numbers by a pseudorandom permutation per pass over the source, and joined
 with the blocks by number. A block is taken at most CAP times.
 """
@@ -83,19 +84,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _times(sources: DataFrame, seed: int) -> DataFrame:
     """(s, block, times): how often the output shards take each block."""
     spark = sources.sparkSession
-    wanted = [(r["s"], r["blocks"], r["target"] * r["blocks"] / r["source_size"]) for r in sources.where("source_size > 0").orderBy("s").collect()]
+    rows = sources.where("source_size > 0").orderBy("s").collect()
+    wanted = [(r["s"], r["blocks"], r["target"] * r["blocks"] / r["source_size"]) for r in rows]
     total = sum(w for *_, w in wanted)
     shards = min(MOST_SHARDS, max(1, round(total / SHARD_SLOTS)))
+    # a source at its limit has all its slots, over the shards without chance; the others' fractional blocks are drawn
+    full = {r["s"] for r in rows if r["target"] >= CAP * r["source_size"]}
     rest, cumulated = 0.0, []
     for s, _, w in wanted:
-        rest += w / shards - w // shards
-        cumulated.append((rest, s))
+        if s not in full:
+            rest += w / shards - w // shards
+            cumulated.append((rest, s))
     draws = round(rest * shards)  # over all shards: rest is no whole number, and a shard has its floor or its ceiling
     shard = spark.range(shards).select(F.col("id").alias("shard"))
-    whole = shard.select("shard", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(int(w // shards)).cast("long").alias("n")) for s, _, w in wanted])).alias("x")).select("shard", "x.*") if wanted else spark.createDataFrame([], "shard long, s int, n long")
+    fixed = [F.expr(f"(shard + 1) * {CAP * blocks} div {shards} - shard * {CAP * blocks} div {shards}") if s in full else F.lit(int(w // shards)).cast("long") for s, blocks, w in wanted]
+    whole = shard.select("shard", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), n.alias("n")) for (s, *_), n in zip(wanted, fixed, strict=True)])).alias("x")).select("shard", "x.*") if wanted else spark.createDataFrame([], "shard long, s int, n long")
     if draws:
         ladder = F.array(*[F.struct(F.lit(c).alias("upto"), F.lit(s).alias("s")) for c, s in cumulated])
-        drawn = spark.range(draws).select(F.expr(f"id * {shards} div {draws}").alias("shard"), F.col("id").alias("draw")).withColumn("u", uniform("shard", "draw", F.lit(seed + 2)) * F.lit(rest))
+        drawn = spark.range(draws).select(F.expr(f"id * {shards} div {draws}").alias("shard"), F.col("id").alias("draw"))
+        # one draw in each of `draws` equal strata, in a pseudorandom order: a source is off by a block or so, and hardly passes its limit
+        step = next(p for p in PRIMES if draws % p)
+        drawn = drawn.withColumn("u", (F.expr(f"draw * {step} % {draws}") + uniform("shard", "draw", F.lit(seed + 2))) * F.lit(rest / draws))
         drawn = drawn.select("shard", F.coalesce(F.filter(ladder, lambda x: F.col("u") < x["upto"])[0]["s"], F.lit(cumulated[-1][1])).alias("s"), F.lit(1).cast("long").alias("n"))
         whole = whole.unionByName(drawn)
     counts = whole.groupBy("s", "shard").agg(F.sum("n").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
