@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm import exact, langid, minhash, mixing, packing
@@ -34,16 +34,22 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, as documents: a row per time that a document's words are taken.
 
     A copy that the mix takes whole keeps its text; one that it takes in part has the taken words, joined by blanks.
+    Rows equal in id, source and text are numbered by their other columns, and the n-th has what the mix takes of the n-th.
     """
-    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("print").alias("mix_print"), F.col("size").alias("mix_size"), "parts")
-    taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("parts.times"))))
-    taken = taken.withColumn("own", F.filter("parts", lambda p: p["times"] >= F.col("copy")))
+    # a struct of nulls equals its like, so one key serves the numbers and the join, and texts are dealt once
+    taken = mixing.mix_sources(docs).where("taken > 0").select(F.struct("doc_id", "source", "print").alias("mix_key"), F.col("size").alias("mix_size"), "parts")
+    turns = taken.groupBy("mix_key").agg(F.max("mix_size").alias("mix_size"), F.sort_array(F.collect_list("parts"), asc=False).alias("turns"))
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    keyed = docs.withColumn("mix_key", F.struct("doc_id", "source", F.xxhash64("text").alias("print")))
+    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("mix_key").orderBy(*others or ["doc_id"])))
+    met = keyed.join(turns, "mix_key").where(F.col("nth") <= F.size("turns")).withColumn("parts", F.col("turns")[F.col("nth") - 1]).drop("turns")
+    rows = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("parts.times"))))
+    rows = rows.withColumn("own", F.filter("parts", lambda p: p["times"] >= F.col("copy")))
     words = F.filter(F.split("text", mixing.WHITE), lambda w: w != "")
     part = lambda w, p: F.slice(w, (p["start"] + 1).cast("int"), p["length"].cast("int"))
     # the words are bound by an outer lambda: named inside the inner one, they would be split again for each part
     some = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("own", lambda p: part(w, p))), " "))[0]
     whole = F.aggregate("own", F.lit(0).cast("long"), lambda a, p: a + p["length"]) == F.col("mix_size")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mix_id"]) & (F.xxhash64(docs["text"]) == taken["mix_print"]))
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -29,6 +29,30 @@ def test_mixed_writes_the_words_taken(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found)
 
 
+def test_mixed_writes_repeated_rows_as_often_as_the_mix_takes_them(spark):
+    """Rows equal in id and text, with null ids and sources too: together they have what the mix takes of them, and no more."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(90)}" for _ in range(n))
+    rows = [(i, text(rng.randrange(1, 200)), "en", "a", 0) for i in range(20)]
+    shared = text(60)
+    rows += [(100, text(50), "de", "a", 0)] * 4 + [(None, text(70), "en", None, 0)] * 3 + [(101, shared, "en", s, 0) for s in ("a", None, None)]
+    texts = {(r[0], r[3]): r[1] for r in rows}
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want, words_taken, most = Counter(), 0, Counter()
+    for r in mixing.mix_sources(docs).collect():
+        own_text = texts[r["doc_id"], r["source"]]
+        words_taken += r["taken"]
+        for turn in range(1, max([p["times"] for p in r["parts"]], default=0) + 1):
+            own = [w for p in r["parts"] if p["times"] >= turn for w in own_text.split()[p["start"] : p["start"] + p["length"]]]
+            want[r["doc_id"], r["source"], " ".join(own)] += 1
+    found = corpus_pipeline.mixed(spark, docs, "").collect()
+    assert Counter((r["doc_id"], r["source"], r["text"]) for r in found) == want
+    assert sum(len(r["text"].split()) for r in found) == words_taken
+    for r in rows:
+        most[r[0], r[3]] += 3 * len(r[1].split())
+    assert all(sum(len(f["text"].split()) for f in found if (f["doc_id"], f["source"]) == k) <= n for k, n in most.items())
+
+
 def test_run(spark, tmp_path):
     """Of each group (a text, its copy in capitals, a near copy) one document is left; texts without letters go; sequences are gapless."""
     rng = random.Random(6)
