@@ -13,7 +13,10 @@ LEAST_SCORE = 0.02  # cosine with the best language's prototype; word lists and
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or unlike every language learnt, go."""
+    """Documents without letters, or unlike every language learnt, go; where none can be learnt, those without letters alone."""
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    if docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & lettered).isEmpty():
+        return docs.where(lettered)
     found = langid.language_id(docs, docs.where(~held_out(F.col("doc_id"))))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 

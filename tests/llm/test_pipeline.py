@@ -11,6 +11,14 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = {"en": "the house river people with under morning garden while never every paper window little stone", "de": "der und nicht haus fluss leute garten während papier fenster kleine stein unter morgen immer"}
 
 
+def test_language_without_labels_keeps_texts_with_letters(spark):
+    """No language to learn, since all labels are null, or all labelled texts lack letters: only texts without letters go."""
+    texts = [None, "", "12 34", "the house by the river", "été", "\u4e2d\u6587"]
+    for labelled in ([], [(i, "123", "en", "a", 3) for i in range(50, 60)]):
+        docs = spark.createDataFrame([(i, t, None, "a", 0) for i, t in enumerate(texts)] + labelled, SCHEMA)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()) == [3, 4, 5]
+
+
 def test_mixed_writes_the_words_taken(spark):
     """Each row has a document's words that the mix takes for at least the row's turn; null and empty texts have none."""
     rng = random.Random(4)
