@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes covered by a string of `width` bytes that also starts elsewhere.
 
-Difference-cover blockwise construction. (1) The suffixes at the positions of a difference cover (12 residues modulo
+Difference-cover blockwise, by hashed names: no suffix order and no ranks are built, since only equality counts. (1) The suffixes at the positions of a difference cover (12 residues modulo
 133) are named by their first width - 132 bytes and sorted, one bucket of names at a time. For two equal strings of
 `width` bytes there is always an offset below 133 at which both sides are in the cover, so a start that has no repeated
 cover suffix in its next 133 positions can't repeat and is dropped. (2) The remaining suffixes, cut at `width` bytes,
