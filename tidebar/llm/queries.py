@@ -79,8 +79,11 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.repeated_spans(documents(spark, sf_dir), width=200)
     data = F.col("text").cast("binary")
     n = F.octet_length("text").cast("long")
-    left = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out")), lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(data, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("out")))
-    kept = F.when(F.size("spans") == 0, data).otherwise(F.concat(left["out"], F.substring(data, (left["at"] + 1).cast("int"), n.cast("int"))))
+    # what lies between the spans, byte by byte as Latin-1, so that all parts are joined once
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.end"))
+    gaps = F.arrays_zip(starts.alias("start"), F.concat(F.col("spans.start"), F.array(n)).alias("end"))
+    part = lambda g: F.decode(F.substring(data, (g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int")), "ISO-8859-1")
+    kept = F.when(F.size("spans") == 0, data).otherwise(F.encode(F.array_join(F.transform(gaps, part), ""), "ISO-8859-1"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", n.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
 

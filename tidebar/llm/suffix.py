@@ -1,15 +1,19 @@
 """Suffix-array dedup: bytes covered by a string of `width` bytes that also starts elsewhere.
 
-Difference-cover blockwise, by hashed names: no suffix order and no ranks are built, since only equality counts. (1) The suffixes at the positions of a difference cover (12 residues modulo
-133) are named by their first width - 132 bytes and sorted, one bucket of names at a time. For two equal strings of
-`width` bytes there is always an offset below 133 at which both sides are in the cover, so a start that has no repeated
-cover suffix in its next 133 positions can't repeat and is dropped. (2) The remaining suffixes, cut at `width` bytes,
-are dealt into buckets by the least name of their 20-byte blocks; neighbouring suffixes share most of their bytes and
-mostly a bucket, so a run of them travels as one stretch of text. Each bucket is sorted on its own: equal neighbours
-are repeats. One bucket at a time is in a task's memory.
-
-A stretch that occurs several times in one batch travels once; its owners are told directly. Suffixes are compared by
-names: 32 bits beside the bucket in (1), where a collision merely keeps a candidate, and 128 bits in (2).
+Blockwise, with difference covers. (1) Pruning: the suffixes at the positions of a difference cover (12 residues modulo
+133) are named by their first width - 132 bytes, one bucket of names at a time. For two equal strings of `width` bytes
+there is always an offset below 133 at which both sides are in the cover, so a start that has no repeated cover suffix in
+its next 133 positions can't repeat and is dropped. Names are 32 bits beside the bucket: a collision merely keeps a start.
+(2) The remaining suffixes are dealt into buckets by the least name of the 20-byte blocks in their first `width` bytes,
+so equal strings share a bucket; neighbouring suffixes mostly do too, and a run of them travels as one stretch of text.
+(3) One bucket at a time is sorted in a task's memory: by the suffixes' first 32 bytes, and longer ties by the ranks of
+the suffixes in a second cover (6 residues modulo 31) of the bucket's text, computed before. Neighbours that agree in
+`width` bytes are repeats. Ranks are made from bytes, so no equality rests on a hash.
+
+Prefix splitters would ship `width` bytes for each suffix, so buckets are dealt by a block's name instead. A bucket of
+more than HEAVY bytes of text is dealt anew by 128-bit names of its windows, and matched by these alone.
+
+A sample, stretch or window that occurs several times in one slice of a task travels once; its owners are told directly.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions
+from .shared import cut, partitions, slices
 
 #: A perfect difference set; every residue modulo 133 is a difference of two of them.
 MODULUS = 133
@@ -31,13 +35,17 @@ COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 SEGMENT = 1 << 20
 BLOCK = 20
 KEY = 16
-SAMPLES = "bucket int, keys binary, counts binary, places binary, names binary"
+#: Another perfect difference set, for the suffixes of one bucket; every residue modulo 31 is a difference.
+INNER_MODULUS = 31
+INNER_COVER = (1, 5, 11, 24, 25, 27)
+SAMPLES = "bucket int, known boolean, keys binary, counts binary, places binary, names binary, again binary"
+FLAGS = "shard int, keys binary, counts binary, places binary"
 STRETCHES = "bucket int, known boolean, keys binary, starts binary, sizes binary, again binary, data binary, n long"
 WINDOWS = "bucket int, known boolean, keys binary, counts binary, starts binary, again binary, names binary"
-#: A bucket of more starts than this is dealt anew by the names of its windows, into parts of about so many.
-HEAVY = 1 << 20
-#: Text of stretches that a worker turns into windows at a time.
-SLICE = 1 << 21
+#: A bucket of more bytes of stretches than this is dealt anew by the names of its windows, into parts of about so many.
+HEAVY = 1 << 22
+#: Text that a worker turns into samples, stretches or windows at a time.
+SLICE = 1 << 24
 
 
 @lru_cache(maxsize=1)
@@ -97,36 +105,81 @@ def _unplanes(b: bytes) -> np.ndarray:
 
 
 def deal_samples(docs: list[tuple[bytes, np.ndarray, np.ndarray]], buckets: int) -> Iterator[tuple]:
-    """(8-byte key, cover places, names) of several texts -> one packed row per bucket."""
+    """(8-byte key, cover places, names) of several texts -> packed rows per bucket.
+
+    Of equal names one travels, marked as met again; all places that have them are told in rows of the key's bucket.
+    """
     docs = [d for d in docs if len(d[1])]
     if not docs:
         return
+    key = np.frombuffer(b"".join(d[0] for d in docs), "<u8")
     doc = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
     place, name = np.concatenate([d[1] for d in docs]), np.concatenate([d[2] for d in docs])
+    order = np.argsort(name, kind="stable")
+    new = np.diff(name[order], prepend=~name[order[:1]]) != 0
+    lead = np.zeros(len(name), bool)
+    lead[order[new]] = True
+    again = np.zeros(len(name), bool)
+    again[order] = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
     bucket = ((name >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    doc, place, name, bucket = doc[order], place[order], name[order], bucket[order]
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    for known, own, at in ((False, np.flatnonzero(lead), bucket), (True, np.flatnonzero(again), (key % np.uint64(buckets)).astype(np.int32)[doc])):
+        own = own[np.argsort(at[own], kind="stable")]
+        edges = np.flatnonzero(np.diff(at[own], prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            x = own[a:b]
+            yield int(at[x[0]]), known, *_pack_places(key[doc[x]], doc[x], place[x]), b"" if known else name[x].astype("<u4").tobytes(), b"" if known else np.packbits(again[x]).tobytes()
+
+
+def _pack_places(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Places of consecutive owners: the owners' keys, how many each has, and the gaps between them."""
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    gap = np.diff(place, prepend=0)
+    gap[first] = place[first]
+    return key[first].astype("<u8").tobytes(), _planes(np.diff(first, append=len(owner))), _planes(gap)
+
+
+def _unpack_places(keys: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of every place."""
+    count, total = _unplanes(counts), np.cumsum(_unplanes(places))
+    return np.repeat(np.frombuffer(keys, "<u8"), count), total - np.repeat(np.concatenate(([0], total[np.cumsum(count)[:-1] - 1])), count)
+
+
+def match_samples(rows: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """One bucket: sort its names; the places of those met more than once, packed in a row per shard of keys."""
+    told, key, place, name, again = [], [], [], [], []
+    for known, k, c, p, n, g in zip(rows["known"], rows["keys"], rows["counts"], rows["places"], rows["names"], rows["again"], strict=True):
+        own = _unpack_places(k, c, p)
+        if known:
+            told.append(own)
+            continue
+        key.append(own[0])
+        place.append(own[1])
+        name.append(np.frombuffer(n, "<u4"))
+        again.append(np.unpackbits(np.frombuffer(g, np.uint8), count=len(own[0])) > 0)
+    if key:
+        hit = _repeated(np.concatenate(name)) & ~np.concatenate(again)
+        told.append((np.concatenate(key)[hit], np.concatenate(place)[hit]))
+    key, place = np.concatenate([t[0] for t in told]), np.concatenate([t[1] for t in told])
+    shard = (key >> np.uint64(20)) % np.uint64(shards)
+    order = np.lexsort((place, key, shard))
+    key, place, shard = key[order], place[order], shard[order].astype(np.int64)
+    edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+    out = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        first = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
-        gap = np.diff(place[a:b], prepend=0)
-        gap[first] = place[a:b][first]
-        yield int(bucket[a]), b"".join(docs[k][0] for k in doc[a:b][first]), _planes(np.diff(first, append=b - a)), _planes(gap), name[a:b].astype("<u4").tobytes()
-
-
-def match_samples(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: sort its names; (key, places) of those met at more than one place."""
-    keys, counts, places, names = [], [], [], []
-    for k, c, p, n in zip(rows["keys"], rows["counts"], rows["places"], rows["names"], strict=True):
-        c, total = _unplanes(c), np.cumsum(_unplanes(p))
-        places.append(total - np.repeat(np.concatenate(([0], total[np.cumsum(c)[:-1] - 1])), c))
-        keys += [k[i : i + 8] for i in range(0, len(k), 8)]
-        counts.append(c)
-        names.append(np.frombuffer(n, "<u4"))
-    place, owner = np.concatenate(places), np.repeat(np.arange(len(keys)), np.concatenate(counts))
-    hits = np.flatnonzero(_repeated(np.concatenate(names)))
-    parts = [p for p in np.split(hits, np.flatnonzero(np.diff(owner[hits])) + 1) if len(p)]
-    return pd.DataFrame({"key": [keys[owner[p[0]]] for p in parts], "places": [place[p].astype("<u4").tobytes() for p in parts]})
+        owner = np.cumsum(np.diff(key[a:b], prepend=key[a]) != 0)
+        out.append((int(shard[a]), *_pack_places(key[a:b], owner, place[a:b])))
+    return pd.DataFrame(out, columns=["shard", "keys", "counts", "places"])
+
+
+def gather_places(rows: pd.DataFrame) -> pd.DataFrame:
+    """One shard of keys: a row per key with all its places."""
+    found = [_unpack_places(k, c, p) for k, c, p in zip(rows["keys"], rows["counts"], rows["places"], strict=True)]
+    key, place = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order].astype("<u4")
+    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    names = key[edges[:-1]].astype("<u8").tobytes()
+    return pd.DataFrame({"key8": [names[i : i + 8] for i in range(0, len(names), 8)], "places": [place[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]})
 
 
 def _repeated(*names: np.ndarray) -> np.ndarray:
@@ -139,6 +192,93 @@ def _repeated(*names: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Dense ranks of numbers from 0, equal ones alike."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.int32)
+    out[order] = np.cumsum(np.diff(x[order], prepend=x[order[:1]]) != 0)
+    return out
+
+
+def _joined_ranks(rank: np.ndarray, shift: int) -> np.ndarray:
+    """Ranks of the pairs of each item and that `shift` items on; past the end lies the least."""
+    n = len(rank)
+    key = rank.astype(np.int64) * (n + 1)
+    key[: max(0, n - shift)] += rank[shift:] + 1
+    return _ranks(key)
+
+
+@lru_cache(maxsize=1)
+def _common_offsets() -> np.ndarray:
+    """[p, q]: the least offset that takes both residues into the inner cover."""
+    inside = np.isin(np.arange(INNER_MODULUS), INNER_COVER)
+    d = np.arange(INNER_MODULUS)
+    both = inside[(d[:, None, None] + d[None, :, None]) % INNER_MODULUS] & inside[(d[:, None, None] + d[None, None, :]) % INNER_MODULUS]
+    return both.argmax(axis=0)
+
+
+def repeats_in_bucket(text: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Which suffixes at the starts share their first `width` bytes with another of them, by sorting the suffixes.
+
+    `width` bytes lie behind every start. Suffixes are ordered by ranks of their first 32 bytes; ties are split, all
+    groups at a time, by comparing each member with one of its group at their common offset into the inner cover.
+    """
+    n = -(-len(text) // INNER_MODULUS) * INNER_MODULUS
+    data = np.zeros(n + 40, np.uint8)
+    data[: len(text)] = text
+    word = np.zeros(n, np.uint64)
+    for j in range(8):
+        word = word << np.uint64(8) | data[j : j + n]
+    by8 = _ranks(word)
+    del word
+    by32 = _joined_ranks(_joined_ranks(by8, 8), 16)
+    # ranks of the cover's suffixes: 32 bytes, and with the next 31, 62, 124 positions 63, 125, 249 bytes and more
+    cover = (np.arange(0, n, INNER_MODULUS)[:, None] + np.array(INNER_COVER)).ravel()
+    rank, reach, step = _ranks(by32[cover]), 32, 1
+    while reach < width + INNER_MODULUS:
+        rank = _joined_ranks(rank, step * len(INNER_COVER))
+        reach, step = reach + step * INNER_MODULUS, 2 * step
+    place = np.zeros(INNER_MODULUS, np.int64)
+    place[list(INNER_COVER)] = np.arange(len(INNER_COVER))
+    offset = _common_offsets()
+
+    def rank_at(p: np.ndarray) -> np.ndarray:
+        at = p // INNER_MODULUS * len(INNER_COVER) + place[p % INNER_MODULUS]
+        return np.where(at < len(rank), rank[np.minimum(at, len(rank) - 1)], -1)
+
+    order = starts[np.argsort(by32[starts])]
+    head = by32[order]
+    same = np.zeros(len(order), bool)  # whether a suffix agrees with the one before it
+    slots = np.arange(len(order))
+    group = np.cumsum(np.diff(head, prepend=head[:1]) != 0)
+    while True:
+        size = np.bincount(group)
+        slots, group = slots[size[group] > 1], group[size[group] > 1]
+        if not len(slots):
+            break
+        group = np.cumsum(np.diff(group, prepend=group[:1]) != 0)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        size = np.bincount(group)
+        p, q = order[slots], order[slots[first + size // 2]][group]
+        d = offset[p % INNER_MODULUS, q % INNER_MODULUS]
+        side = np.sign(rank_at(p + d) - rank_at(q + d))
+        by = np.argsort(group * 3 + side + 1, kind="stable")
+        order[slots] = p[by]
+        group, side = group[by], side[by]
+        same[slots[1:]] |= (side[1:] == 0) & (side[:-1] == 0) & (group[1:] == group[:-1])
+        group = np.cumsum((np.diff(group, prepend=-1) != 0) | (np.diff(side, prepend=-9) != 0))
+        slots, group = slots[side != 0], group[side != 0]
+    # neighbours of different ranks can still agree in `width` bytes: 8 at a time, the last ones overlapping
+    left = np.flatnonzero(~same[1:] & (head[1:] == head[:-1])) + 1
+    for at in [*range(32, width - 8, 8), width - 8]:
+        left = left[by8[order[left] + at] == by8[order[left - 1] + at]]
+    same[left] = True
+    same = np.append(same, False)
+    out = np.zeros(len(text), bool)
+    out[order] = same[:-1] | same[1:]
+    return out[starts]
+
+
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     """min(x[i:i+w]) for each i."""
     n = len(x) - w + 1
@@ -177,11 +317,11 @@ def deal_stretches(docs: list[tuple[bytes, bytes, np.ndarray]], buckets: int, wi
             for key, first in own:
                 dealt.setdefault((key[0] % buckets, True), []).append((key, first, len(part), True, b""))
     for (bucket, known), items in dealt.items():
-        yield bucket, known, b"".join(i[0] for i in items), _planes(np.array([i[1] for i in items])), _planes(np.array([i[2] for i in items])), bytes(i[3] for i in items), b"".join(i[4] for i in items), 0 if known else sum(i[2] - width + 1 for i in items)
+        yield bucket, known, b"".join(i[0] for i in items), _planes(np.array([i[1] for i in items])), _planes(np.array([i[2] for i in items])), bytes(i[3] for i in items), b"".join(i[4] for i in items), 0 if known else sum(i[2] for i in items)
 
 
 def match_stretches(rows: pd.DataFrame, width: int) -> pd.DataFrame:
-    """One bucket: sort its suffixes of `width` bytes; (key, runs) with runs of repeated starts, as pairs first, after."""
+    """One bucket: sort its suffixes; (key, runs) with runs of repeated starts, as pairs first, after."""
     keys, starts, sizes, again, data, out = [], [], [], [], [], []
     for known, k, a, n, g, d in zip(rows["known"], rows["keys"], rows["starts"], rows["sizes"], rows["again"], rows["data"], strict=True):
         ks, a, n = [k[i : i + KEY] for i in range(0, len(k), KEY)], _unplanes(a), _unplanes(n)
@@ -193,20 +333,19 @@ def match_stretches(rows: pd.DataFrame, width: int) -> pd.DataFrame:
         sizes.append(n)
         again.append(np.frombuffer(g, np.uint8) > 0)
     if keys:
-        owner, begin, once, name = _windows(keys, starts, sizes, again, data, width)
-        hit = _repeated(*name) & once
+        owner, begin, once, text, at = _starts(starts, sizes, again, data, width)
+        hit = repeats_in_bucket(text, at, width) & once
         out += [(keys[k], s, e) for k, s, e in _runs(owner, begin, np.flatnonzero(hit))]
     return _by_key(out)
 
 
-def _windows(keys: list[bytes], starts: list, sizes: list, again: list, data: list[bytes], width: int) -> tuple:
-    """Of all starts in stretches: the stretch, the start in its text, whether its owners are not told yet, and two 64-bit names."""
+def _starts(starts: list, sizes: list, again: list, data: list[bytes], width: int) -> tuple:
+    """Of all starts in stretches: the stretch, the start in its text, and whether its owners are not told yet; the stretches' joined text, and each start in it."""
     start, size, text = np.concatenate(starts), np.concatenate(sizes), np.frombuffer(b"".join(data), np.uint8)
     base, count = np.concatenate(([0], np.cumsum(size)[:-1])), size - width + 1
-    owner = np.repeat(np.arange(len(keys)), count)
+    owner = np.repeat(np.arange(len(size)), count)
     shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    at = base[owner] + shift
-    return owner, start[owner] + shift, ~np.concatenate(again)[owner], (block_names(text, at, width), block_names(text, at, width, 1))
+    return owner, start[owner] + shift, ~np.concatenate(again)[owner], text, base[owner] + shift
 
 
 def _runs(owner: np.ndarray, begin: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -231,7 +370,8 @@ def deal_windows(rows: list[tuple], parts: int, width: int) -> Iterator[tuple]:
     """
     keys = [r[0][i : i + KEY] for r in rows for i in range(0, len(r[0]), KEY)]
     again = [np.frombuffer(r[3], np.uint8) > 0 for r in rows]
-    owner, begin, once, name = _windows(keys, [_unplanes(r[1]) for r in rows], [_unplanes(r[2]) for r in rows], again, [r[4] for r in rows], width)
+    owner, begin, once, text, at = _starts([_unplanes(r[1]) for r in rows], [_unplanes(r[2]) for r in rows], again, [r[4] for r in rows], width)
+    name = block_names(text, at, width), block_names(text, at, width, 1)
     order = np.lexsort(name[::-1])
     new = np.ones(len(order), bool)
     new[1:] = (name[0][order][1:] != name[0][order][:-1]) | (name[1][order][1:] != name[1][order][:-1])
@@ -312,35 +452,37 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sample(batches):
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE):
             held = []
             for key, data in zip(batch.column("key").to_pylist(), _raw(batch.column("text")), strict=True):
                 if key not in seen and len(data) >= width:
                     seen.add(key)
                     places = cover_places(len(data), width)
                     held.append((key[:8], places, block_names(np.frombuffer(data, np.uint8), places, length)))
-            yield _batch(deal_samples(held, buckets), [pa.int32(), *[pa.binary()] * 4], SAMPLES)
+            yield _batch(deal_samples(held, buckets), [pa.int32(), pa.bool_(), *[pa.binary()] * 5], SAMPLES)
 
     def stretch(batches):
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE):
             held = []
             for key, data, places in zip(batch.column("key").to_pylist(), _raw(batch.column("text")), batch.column("places").to_pylist(), strict=True):
                 if key not in seen:
                     seen.add(key)
-                    flagged = np.frombuffer(b"".join(places), "<u4").astype(np.int64)
+                    flagged = np.frombuffer(places, "<u4").astype(np.int64)
                     held.append((key, data, starts_near(flagged[flagged <= len(data) - length], len(data), width)))
             yield _batch(deal_stretches(held, buckets, width), [pa.int32(), pa.bool_(), *[pa.binary()] * 5, pa.int64()], STRETCHES)
 
     def remove(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             spans = [covered(len(t), r or [], bool(w), width) for t, r, w in zip(_raw(batch.column("text")), batch.column("runs").to_pylist(), batch.column("whole").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)], names=["id", "text", "spans"])
 
     long = rows.where(F.octet_length("text") >= width)
-    flags = long.mapInArrow(sample, SAMPLES).groupBy("bucket").applyInPandas(match_samples, "key binary, places binary")
-    flags = cut(flags.groupBy("key").agg(F.collect_list("places").alias("places")).withColumnRenamed("key", "key8"), "cover-repeats")
+    # a row per bucket and shard of keys, and then one per key: rows grow with the texts, not with texts times buckets
+    shards = partitions(spark)
+    flags = long.mapInArrow(sample, SAMPLES).groupBy("bucket").applyInPandas(lambda x: match_samples(x, shards), FLAGS)
+    flags = cut(flags.groupBy("shard").applyInPandas(gather_places, "key8 binary, places binary"), "cover-repeats")
     wanted = long.join(flags, F.substring("key", 1, 8) == F.col("key8")).select("key", "text", "places")
     dealt = cut(wanted.mapInArrow(stretch, STRETCHES), "stretches")
     loads = {r["bucket"]: r["n"] for r in dealt.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY).collect()}  # at most a number per bucket
