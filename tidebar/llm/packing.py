@@ -9,8 +9,10 @@ again with more windows.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -22,28 +24,52 @@ from .shared import cut, slices
 from .tokens import chunk_ids
 
 SHARD_WINDOWS = 256
+SHARD_PIECES = 1 << 16  # many short pieces make further shards, so that a task's memory is bounded in pieces too
 FULL = 1 << 60  # sequence ids of full pieces start here
 
 
 def difference(lengths: np.ndarray, k: int) -> list[list[int]]:
-    """Indices of the lengths in k windows of near-equal sums."""
-    heap: list = []
-    for n, i in enumerate(np.argsort(-lengths, kind="stable").tolist()):
-        sums = np.zeros(k, np.int64)
-        sums[0] = lengths[i]
-        heap.append((-int(lengths[i]), n, sums, [[i], *([] for _ in range(k - 1))]))
-    heapq.heapify(heap)
-    n = len(heap)
+    """Indices of the lengths in k windows of near-equal sums.
+
+    A partial partition keeps its non-empty windows alone: their negated sums in ascending order, and beside each a node,
+    an index of the lengths or a pair of nodes. So merging one length costs no more than finding its place.
+    """
+    order, size = np.argsort(-lengths, kind="stable").tolist(), lengths.tolist()
+    heap = [(-size[i], n, [-size[i]], [i]) for n, i in enumerate(order)]  # ascending, and so a heap
+    turn = len(heap)
     while len(heap) > 1:
-        _, _, s1, g1 = heapq.heappop(heap)
-        _, _, s2, g2 = heapq.heappop(heap)
-        sums = s1 + s2[::-1]
-        order = np.argsort(-sums, kind="stable")
-        both = [a + b if b else a for a, b in zip(g1, reversed(g2), strict=True)]
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), n, sums, [both[j] for j in order.tolist()]))
-        n += 1
-    return heap[0][3] if heap else [[] for _ in range(k)]
+        _, _, s1, n1 = heapq.heappop(heap)
+        _, _, s2, n2 = heap[0]
+        if len(s1) < len(s2):
+            s1, n1, s2, n2 = s2, n2, s1, n1
+        over = len(s1) + len(s2) - k
+        if len(s2) == 1 and over <= 1:
+            x, node = s2[0], n2[0]
+            if over == 1:  # all windows are taken: the least one gets it
+                x, node = x + s1.pop(), (n1.pop(), node)
+            at = bisect.bisect(s1, x)
+            s1.insert(at, x)
+            n1.insert(at, node)
+        else:
+            free = min(len(s1), k - len(s2))  # the largest windows of one side meet empty ones of the other
+            rest = len(s2) - max(0, over)
+            joined = [(s1[j] + s2[k - 1 - j], (n1[j], n2[k - 1 - j])) for j in range(free, len(s1))]
+            both = sorted([*joined, *zip(s1[:free], n1[:free], strict=True), *zip(s2[:rest], n2[:rest], strict=True)], key=itemgetter(0))
+            s1, n1 = [s for s, _ in both], [n for _, n in both]
+        heapq.heapreplace(heap, (s1[0] - (s1[-1] if len(s1) == k else 0), turn, s1, n1))
+        turn += 1
+    return [_leaves(node) for node in heap[0][3]] if heap else []
+
+
+def _leaves(node) -> list[int]:
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            todo += x
+        else:
+            out.append(x)
+    return out
 
 
 def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -52,8 +78,8 @@ def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     while True:
         windows = difference(lengths, k)
         if max(int(lengths[w].sum()) for w in windows) <= capacity:
-            return [w for w in windows if w]
-        k += max(1, k // 128)
+            return windows
+        k += 1
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -94,8 +120,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
     found = cut(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids).withColumnRenamed(id_col, "id"), "pieces").withColumn("row", F.monotonically_increasing_id())
     full = found.where(F.col("length") == capacity).withColumn("sequence_id", F.lit(FULL) + F.col("row")).withColumn("offset", F.lit(0).cast("long"))
     rest = found.where(F.col("length") < capacity)
-    total = rest.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, round(total / (SHARD_WINDOWS * capacity)))
+    total, count = rest.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    shards = max(1, round(total / (SHARD_WINDOWS * capacity)), count // SHARD_PIECES)
     slots = rest.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
 
     def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
