@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -220,6 +221,32 @@ def test_differencing_is_tight():
     assert len(windows) <= 1.01 * lengths.sum() / 4096 + 1
 
 
+def test_packing_many_empty_texts(spark):
+    """Each is its end id alone; a shard is bounded in pieces, and differencing one takes little memory."""
+    found = packing.pack_documents(spark.range(200_000).selectExpr("id as doc_id", "cast(null as string) as text"), tokenizer("word_bpe_49k.json"), with_ids=False)
+    per = found.groupBy("sequence_id").agg({"length": "sum", "offset": "max", "*": "count"}).toDF("sequence_id", "length", "last", "n").collect()
+    assert sum(r["n"] for r in per) == 200_000 and all(r["length"] == r["n"] == r["last"] + 1 <= 4096 for r in per) and len(per) <= 52
+    tracemalloc.start()
+    assert len(packing.pack(np.ones(packing.SHARD_PIECES, int), 4096)) == 16
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_differencing_equals_dense_vectors():
+    """The windows' sums are those of merging whole vectors of k sums, largest against smallest."""
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        lengths, k = rng.integers(1, 100, rng.integers(1, 60)), int(rng.integers(1, 20))
+        vectors = [np.array([x] + [0] * (k - 1)) for x in sorted(lengths.tolist(), reverse=True)]
+        while len(vectors) > 1:
+            vectors.sort(key=lambda v: v[-1] - v[0])  # stable: ties in order of making
+            a, b, *vectors = vectors
+            vectors.append(np.sort(a + b[::-1])[::-1])
+        windows = packing.difference(lengths, k)
+        assert sorted(x for w in windows for x in w) == list(range(len(lengths)))
+        assert sorted(int(lengths[w].sum()) for w in windows) == sorted(x for x in vectors[0].tolist() if x)
+
+
 def test_pii(spark, docs, empty):
     def luhn(d):
         return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
@@ -433,5 +460,29 @@ def test_suffix_splits_a_heavy_bucket(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_suffix_with_a_common_block(spark):
+    """One 20-byte block in all texts, and nothing else in common: no text is touched but the true copy of a passage."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    texts = [noise(rng.randrange(200, 400)) + "!" * 20 + noise(rng.randrange(200, 400)) for _ in range(200)]
+    texts += [texts[0][100:350] + noise(10), noise(7) + texts[0][100:301]]
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert found == dict(enumerate(brute_repeats(texts, 200))) and sum(map(bool, found.values())) == 3
+
+
+def test_repeats_in_bucket():
+    """Sorted suffixes against counting, on texts with long ties, runs of one byte and zero bytes."""
+    rng = random.Random(1)
+    for turn in range(30):
+        letters = rng.choice(["ab", "abcdefgh", "\0a"])
+        base = ["".join(rng.choice(letters) for _ in range(rng.randrange(200, 500))) for _ in range(4)]
+        text = "".join(rng.choice(base)[rng.randrange(60) :] + "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(12))
+        text = (text + rng.choice(["", "a" * 700, "ab" * 400, "\0" * 300])).encode()
+        starts = sorted(rng.sample(range(len(text) - 199), (len(text) - 199) // (1 + turn % 2)))
+        seen = Counter(text[i : i + 200] for i in starts)
+        assert suffix.repeats_in_bucket(np.frombuffer(text, np.uint8), np.array(starts), 200).tolist() == [seen[text[i : i + 200]] > 1 for i in starts]
+
+
 def test_cover():
-    assert {(a - b) % suffix.MODULUS for a in suffix.COVER for b in suffix.COVER} == set(range(suffix.MODULUS))
+    for modulus, cover in ((suffix.MODULUS, suffix.COVER), (suffix.INNER_MODULUS, suffix.INNER_COVER)):
+        assert {(a - b) % modulus for a in cover for b in cover} == set(range(modulus))
