@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidebar.llm import exact, langid, minhash, mixing, packing, pii, secrets, suffix, token_io, vectors
 from tidebar.llm.components import components
@@ -224,7 +225,7 @@ def test_differencing_is_tight():
 def test_packing_many_empty_texts(spark):
     """Each is its end id alone; a shard is bounded in pieces, and differencing one takes little memory."""
     found = packing.pack_documents(spark.range(200_000).selectExpr("id as doc_id", "cast(null as string) as text"), tokenizer("word_bpe_49k.json"), with_ids=False)
-    per = found.groupBy("sequence_id").agg({"length": "sum", "offset": "max", "*": "count"}).toDF("sequence_id", "length", "last", "n").collect()
+    per = found.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.max("offset").alias("last"), F.count(F.lit(1)).alias("n")).collect()
     assert sum(r["n"] for r in per) == 200_000 and all(r["length"] == r["n"] == r["last"] + 1 <= 4096 for r in per) and len(per) <= 52
     tracemalloc.start()
     assert len(packing.pack(np.ones(packing.SHARD_PIECES, int), 4096)) == 16
