@@ -1,10 +1,11 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Each source's words lie on one line, in a pseudorandom order of its documents, cut into blocks of BLOCK words. Output
-shards draw source counts (the whole part of the expectation, and a stratified multinomial draw of the rest; at its
-limit, exactly CAP passes); a source's slots are
-numbered through all shards, mapped to block numbers by a pseudorandom permutation per pass over the source, and joined
-with the blocks by number. A block is taken at most CAP times.
+Each source's words lie on one line, in a pseudorandom order of its documents, cut into blocks of BLOCK words. The mix has
+one slot for each block it takes, in output shards of SHARD_SLOTS slots. A slot draws its source by inverse distribution:
+there are as many equal strata as slots, each stratum draws once, and permutations deal the strata over the shards. So a
+shard's source counts are multinomial draws, and over all shards a source is off by two slots at most. A source's slots
+are numbered through all shards, mapped to block numbers by a keyed permutation per pass over the source, and joined with
+the blocks by number. A block is taken at most CAP times.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, partitions
 
-BLOCK, SHARD_SLOTS, MOST_SHARDS, CAP = 32, 1024, 4096, 3
-#: Primes for the permutations; the first that doesn't divide the number of blocks is the multiplier.
-PRIMES = (1_000_003, 1_000_033, 1_000_037)
+BLOCK, SHARD_SLOTS, CAP = 32, 8192, 3
+CHUNK = 4096  # slots that one row makes
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -29,6 +29,27 @@ def uniform(*columns) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def permuted(x: Column, n: Column, *key: Column) -> Column:
+    """The place of x in a keyed pseudorandom permutation of 0 to n - 1.
+
+    Rounds of adding a hash of one half to the other permute a rectangle of n cells or a few more; from one of those more
+    the walk goes on to the next.
+    """
+    rows = F.ceil(F.sqrt(n)).cast("long")
+    columns = F.ceil(n / rows).cast("long")
+
+    def once(y: Column) -> Column:
+        high, low = F.floor(y / columns).cast("long"), y % columns
+        for turn in range(3):
+            high = (high + F.pmod(F.xxhash64(low, F.lit(2 * turn), *key), rows)) % rows
+            low = (low + F.pmod(F.xxhash64(high, F.lit(2 * turn + 1), *key), columns)) % columns
+        return high * columns + low
+
+    # fewer than `rows` cells lie outside, so 64 steps end every walk, for large n but for a chance of 1e-100
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(x), lambda y, _: F.when(y < n, y).otherwise(once(y)))
+    return F.when(once(x) < n, once(x)).otherwise(walk)
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) -> with s (rank by code point, null last) and target.
 
@@ -54,7 +75,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size: words of the text (null: 0); parts: the stretches of words that the mix takes, and how often (at most CAP);
     taken: their words. A null source is a source of its own. Rows of size 0 take nothing. Rows that agree in id, size
     and text are interchangeable. Further columns are ignored; an empty table gives no rows. Equal input, equal output,
-    however it is partitioned. The table of sources (a row each) goes to the driver, as target weights do.
+    however it is partitioned. The table of sources (a row each) is sorted in one task.
     """
     spark = docs.sparkSession
     sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("print"), word_count(F.col(text_col)).alias("size")), "sizes")
@@ -81,38 +102,34 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return lined.join(parts, ["s", "chunk", "k"], "left").select(F.col("id").alias(id_col), F.col("source").alias(source_col), "print", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("parts", none).alias("parts"))
 
 
+def _drawn(sources: DataFrame, seed: int) -> DataFrame:
+    """(s, blocks, shard, n): how many slots of each output shard draw the source."""
+    # weights in blocks; sources at their limit come first, so that whole numbers bound them and they get all their slots
+    full = F.col("target") >= CAP * F.col("source_size")
+    weight = F.when(full, CAP * F.col("blocks").cast("double")).otherwise(F.col("target") * F.col("blocks") / F.col("source_size"))
+    by = Window.orderBy(full.desc(), "s")
+    ladder = sources.where("source_size > 0").select("s", "blocks", F.sum(weight).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), full.alias("full"))
+    ladder = cut(ladder.select("s", "blocks", F.coalesce(F.lag("upto").over(Window.orderBy(F.col("full").desc(), "s")), F.lit(0.0)).alias("from"), "upto"), "mix-ladder")
+    slots = -int(-(ladder.agg(F.max("upto")).first()[0] or 0.0) // 1)
+    shards = max(1, -(-slots // SHARD_SLOTS))
+    draw = lambda g: uniform(g, F.lit(seed + 2))  # noqa: E731  where in its stratum a slot draws
+    first = lambda c: F.floor(c) + F.when(draw(F.floor(c)) < F.col(c) - F.floor(c), 1).otherwise(0)  # noqa: E731  the first stratum that draws beyond c
+    runs = ladder.select("s", "blocks", first("from").alias("lo"), first("upto").alias("hi")).where("lo < hi")
+    for step in (CHUNK * CHUNK, CHUNK):  # long runs in parts, so that no task makes all slots of a source
+        runs = runs.select("s", "blocks", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(step).cast("long"))).alias("lo"), "hi")
+        runs = runs.withColumn("hi", F.least("hi", F.col("lo") + step)).repartition(partitions(sources.sparkSession), "s", "lo")
+    drawn = runs.select("s", "blocks", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("g"))
+    turn = F.floor(F.col("g") / shards)
+    return drawn.groupBy("s", "blocks", permuted(F.col("g") % shards, F.lit(shards), turn, F.lit(seed + 4)).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _times(sources: DataFrame, seed: int) -> DataFrame:
     """(s, block, times): how often the output shards take each block."""
-    spark = sources.sparkSession
-    rows = sources.where("source_size > 0").orderBy("s").collect()
-    wanted = [(r["s"], r["blocks"], r["target"] * r["blocks"] / r["source_size"]) for r in rows]
-    total = sum(w for *_, w in wanted)
-    shards = min(MOST_SHARDS, max(1, round(total / SHARD_SLOTS)))
-    # a source at its limit has all its slots, over the shards without chance; the others' fractional blocks are drawn
-    full = {r["s"] for r in rows if r["target"] >= CAP * r["source_size"]}
-    rest, cumulated = 0.0, []
-    for s, _, w in wanted:
-        if s not in full:
-            rest += w / shards - w // shards
-            cumulated.append((rest, s))
-    draws = round(rest * shards)  # over all shards: rest is no whole number, and a shard has its floor or its ceiling
-    shard = spark.range(shards).select(F.col("id").alias("shard"))
-    fixed = [F.expr(f"(shard + 1) * {CAP * blocks} div {shards} - shard * {CAP * blocks} div {shards}") if s in full else F.lit(int(w // shards)).cast("long") for s, blocks, w in wanted]
-    whole = shard.select("shard", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), n.alias("n")) for (s, *_), n in zip(wanted, fixed, strict=True)])).alias("x")).select("shard", "x.*") if wanted else spark.createDataFrame([], "shard long, s int, n long")
-    if draws:
-        ladder = F.array(*[F.struct(F.lit(c).alias("upto"), F.lit(s).alias("s")) for c, s in cumulated])
-        drawn = spark.range(draws).select(F.expr(f"id * {shards} div {draws}").alias("shard"), F.col("id").alias("draw"))
-        # one draw in each of `draws` equal strata, in a pseudorandom order: a source is off by a block or so, and hardly passes its limit
-        step = next(p for p in PRIMES if draws % p)
-        drawn = drawn.withColumn("u", (F.expr(f"draw * {step} % {draws}") + uniform("shard", "draw", F.lit(seed + 2))) * F.lit(rest / draws))
-        drawn = drawn.select("shard", F.coalesce(F.filter(ladder, lambda x: F.col("u") < x["upto"])[0]["s"], F.lit(cumulated[-1][1])).alias("s"), F.lit(1).cast("long").alias("n"))
-        whole = whole.unionByName(drawn)
-    counts = whole.groupBy("s", "shard").agg(F.sum("n").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    step = 4096
-    runs = counts.where("n > 0").select("s", "shard", F.col("first"), F.col("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("lo"))
-    slots = runs.select("s", "shard", F.explode(F.sequence(F.col("first") + F.col("lo"), F.col("first") + F.least(F.col("lo") + step, F.col("n")) - 1)).alias("slot"))
-    slots = slots.join(sources.select("s", "blocks"), "s").where(F.col("slot") < CAP * F.col("blocks"))
-    turn = F.expr("slot div blocks")
-    prime = F.coalesce(*[F.when(F.col("blocks") % p != 0, F.lit(p)) for p in PRIMES])
-    block = F.pmod(F.pmod(F.col("slot"), F.col("blocks")) * prime + F.pmod(F.xxhash64("s", turn, F.lit(seed + 3)), F.col("blocks")), F.col("blocks"))
-    return slots.select("s", block.cast("long").alias("block")).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
+    counts = cut(_drawn(sources, seed).withColumn("part", F.floor(F.col("shard") / CHUNK)), "mix-counts")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.groupBy("s", "part").agg(F.sum("n").alias("n")).select("s", "part", before(Window.partitionBy("s").orderBy("part")).alias("base"))
+    runs = counts.withColumn("ahead", before(Window.partitionBy("s", "part").orderBy("shard"))).join(parts, ["s", "part"])
+    runs = runs.select("s", "blocks", "shard", "n", (F.col("base") + F.col("ahead")).alias("first")).repartition(partitions(sources.sparkSession), "s", "shard")
+    slots = runs.select("s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")).where(F.col("slot") < CAP * F.col("blocks"))
+    block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("s"), F.floor(F.col("slot") / F.col("blocks")), F.lit(seed + 3))
+    return slots.select("s", block.alias("block")).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
