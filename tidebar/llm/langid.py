@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .shared import cut, slices
 
@@ -109,7 +110,8 @@ def language_id(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
 
     `und` and 0 where the text is null or has no letter, or where no language could be learnt. The prototypes (one row
     of `dim` numbers per language) go to the driver and to each task; texts don't move. Columns of docs named
-    lang_pred or score are replaced; rows come back in their multiplicity.
+    lang_pred or score are replaced, others may have any name; rows come back in their multiplicity. Letters outside a-z
+    share 37 vectors, by code point: scripts stay apart by their mixture, single letters may not.
     """
     learnt = sorted((r["lang"], r["vector"]) for r in train(training, text_col, lang_col, dim).collect())
     names = [r[0] for r in learnt]
@@ -119,7 +121,7 @@ def language_id(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     protos = _normal(_normal(protos) - (_normal(protos) @ shared)[:, None] * shared) if len(names) > 1 else _normal(protos)
 
     docs = docs.drop("lang_pred", "score")
-    fields = docs.schema.simpleString()[7:-1]
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def predict(batches):
         for batch in slices(batches, text_col):
@@ -133,4 +135,4 @@ def language_id(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
             score = np.where(has, np.clip(cos[np.arange(len(v)), best], 0, 1), 0.0).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(predict, schema)
