@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh_path
+from .shared import cut, fresh_path, slices
 
 SPAN = "array<struct<rule:string,start:int,end:int>>"
 
@@ -42,9 +42,6 @@ MORE = [
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
 ]
 RULES = BASE + MORE
-#: A text without any of these letters-only or digit runs can't hold an "assign" match.
-HINT = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
-
 
 def scan(text: str, rules: list[Rule]) -> list[dict]:
     found = [(a, k, b, r.version) for k, r in enumerate(rules) for a, b in r.spans(text)]
@@ -54,7 +51,7 @@ def scan(text: str, rules: list[Rule]) -> list[dict]:
 def _scanner(rules: list[Rule]) -> Callable:
     def scan_blobs(batches):
         by_version = {r.version: r for r in rules}
-        for batch in batches:
+        for batch in slices(batches):
             blobs, texts, todo = (batch.column(c).to_pylist() for c in ("blob", "text", "todo"))
             found = [scan(t, [by_version[v] for v in vs]) for t, vs in zip(texts, todo, strict=True)]
             span = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
