@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "full-buckets")
     members = cut(met.join(full, "bucket"), "members")
     ranked = members.join(cut(members.groupBy("cid").agg(F.sum("c").alias("reach")), "reach"), "cid")
-    first = cut(ranked.groupBy("bucket").agg(F.max(F.struct("reach", "cid"))["cid"].alias("pivot")), "bucket-pivots")
+    first = cut(ranked.groupBy("bucket").agg(F.max(F.struct("reach", "cid", "n")).alias("p")).select("bucket", F.col("p.cid").alias("pivot"), F.col("p.n").alias("np")), "bucket-pivots")
     members = cut(members.join(first, "bucket"), "starred")
     wanted = members.select("cid").distinct().join(classes.select("cid", "id", "sha"), "cid")
     whole = text.join(wanted.withColumnRenamed("id", "wid"), text["id"].eqNullSafe(F.col("wid")) & (text["sha"] == wanted["sha"])).select("cid", "text")
@@ -166,8 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = one.join(sets.toDF("b", "set_b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
         return cut(both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "near-links")
 
-    size_of = classes.select(F.col("cid").alias("pivot"), F.col("n").alias("np"))
-    star = members.where("cid <> pivot").select("pivot", "cid", "n").distinct().join(size_of, "pivot")
+    star = members.where("cid <> pivot").select("pivot", "cid", "n", "np").distinct()
     links = verified(star.select(F.col("pivot").alias("a"), F.col("cid").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")))
     labels = cut(components(links), "labels")
     now = cut(members.join(labels, members["cid"] == labels["node"], "left").select("bucket", "cid", "c", F.coalesce("component", "cid").alias("label")), "labelled")
