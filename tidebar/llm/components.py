@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions
+from .shared import cut, drop, partitions
 
 LINKS_PER_TASK = 100_000
 
@@ -103,8 +103,9 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large.coalesce(width), "large-star")
+        large, last = cut(large.coalesce(width), "large-star"), edges
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct().coalesce(width), "small-star")
+        drop(spark, [f.rsplit("/", 1)[0] for f in [*large.inputFiles()[:1], *last.inputFiles()[:1]]])  # a round needs the one before alone
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct().toDF("node", "component"))

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_MADE: list[list[str]] = []  # tables cut in each settled() that is under way
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or where unset (tests, one machine) an own one."""
+    """Folder that driver and executors share: spark.checkpoint.dir; where unset, on a single machine, an own one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="tidebar-"))
         base = _OWN[0]
@@ -30,9 +34,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: a lost executor costs no recomputation before this point."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    for made in _MADE:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """cut(make(), name), after which the tables that make() has cut are deleted: none but the result may be in use."""
+    _MADE.append([])
+    try:
+        df = make()
+        made = list(_MADE[-1])
+        out = cut(df, name)
+    finally:
+        _MADE.pop()
+    drop(spark, made)
+    return out
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
