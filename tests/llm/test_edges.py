@@ -278,6 +278,47 @@ def test_pii_adds_spans_in_context(spark):
     assert [s["kind"] for s in found[100]] == ["local_phone"] and not found[101]
 
 
+def test_pii_long_texts(spark):
+    """Very many matches, runs that a looser pattern could retry from everywhere, and added spans beside base ones."""
+    rows = [(0, "a@b.co " * 20000), (1, "_" * 1_000_000 + "[at]"), (2, "._" * 10000 + "[at]"), (3, "write to x@y.com or call 415-555-2671, 10.0.0.1 " * 50), (4, "1.2.3.4" * 3000)]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s["start"], s["end"]) for s in found[0]] == [(7 * k, 7 * k + 6) for k in range(20000)]
+    assert not found[1] and not found[2]
+    unit = len(rows[3][1]) // 50
+    assert [(s["start"], s["end"], s["kind"]) for s in found[3]] == [(unit * k + a, unit * k + b, kind) for k in range(50) for a, b, kind in ((9, 16, "email"), (25, 37, "local_phone"), (39, 47, "ip"))]
+    assert [(s["start"], s["end"]) for s in found[4] if s["base"]] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", rows[4][1]) if all(int(x) <= 255 for x in m[0].split("."))]
+
+
+def test_apart_equals_all_pairs(spark):
+    rng = random.Random(3)
+    span = lambda k: (a := rng.randrange(200), k, a + rng.randrange(1, 12), "x", "m", "", "")
+    rows = [(i, sorted(span(0) for _ in range(rng.randrange(9))), sorted(span(5) for _ in range(rng.randrange(9)))) for i in range(200)]
+    frame = spark.createDataFrame(rows, f"id long, base {pii.SPANS}, more {pii.SPANS}")
+    for r in frame.select("base", "more", pii.apart(F.col("more"), F.col("base")).alias("kept")).collect():
+        assert sorted(map(tuple, r["kept"])) == sorted(tuple(x) for x in r["more"] if not any(b["start"] < x["end"] and x["start"] < b["end"] for b in r["base"]))
+
+
+def test_permutations(spark):
+    """Of any size a permutation; for sizes of a few and of a million no rotation, and another one for another key."""
+    for n in (1, 2, 3, 6, 7, 1000, 1_000_002):
+        of = lambda *key, n=n: [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), *map(F.lit, key))).collect()]
+        a, b = of(1), of(2)
+        assert sorted(a) == sorted(b) == list(range(n)) and (n < 1000 or a != b)
+        if n >= 1000:
+            steps = Counter((y - x) % n for x, y in zip(a, a[1:], strict=False))
+            assert max(steps.values()) < n / 50 + 20
+    assert len({tuple(of(k, n=6)) for k in range(60)}) > 25
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(40_000).selectExpr("id as doc_id", "repeat('w ', int(20 + id % 50)) as text", "concat('s', id div 2) as source")
+    found = mixing.mix_sources(docs.unionByName(spark.range(4000).selectExpr("100000 + id as doc_id", "repeat('w ', 400) as text", "'hot' as source")))
+    per = found.groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.sum("size").alias("size")).collect()
+    assert len(per) == 20_001 and all(r["taken"] <= 3 * r["size"] and abs(r["taken"] - r["target"]) <= 64 for r in per if r["source"] != "hot")
+    hot = next(r for r in per if r["source"] == "hot")
+    assert abs(hot["taken"] - hot["target"]) <= 64 and abs(sum(r["taken"] for r in per) / sum(r["size"] for r in per) - 1) < 0.02
+
+
 def test_mixing(spark, docs, empty):
     found = mixing.mix_sources(docs).collect()
     assert len(found) == len(rows())
@@ -392,6 +433,30 @@ def test_language(spark, docs, empty):
     assert langid.language_id(empty, docs).count() == 0
 
 
+def test_language_profiles_by_hand(spark):
+    """Prediction and score recomputed: bound, permuted letter vectors of trigrams, bundled, less the mean of the prototypes."""
+    learn = [("the cat sat on the mat", "en"), ("a dog and the house", "en"), ("der hund und die katze", "de"), ("das haus ist schon alt", "de")]
+    letters = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.SYMBOLS, langid.DIM)).astype(float)
+
+    def bundle(text):
+        s = re.sub("[^a-z]+", " ", f" {text.lower()} ")
+        codes = [0 if c == " " else ord(c) - 96 for c in s]
+        return sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+
+    unit = lambda v: v / np.linalg.norm(v)
+    protos = {x: unit(sum(unit(bundle(t)) for t, y in learn if y == x)) for x in ("de", "en")}
+    mean = unit(sum(sum(unit(bundle(t)) for t, y in learn if y == x) for x in ("de", "en")))
+    less = {x: unit(v - (v @ mean) * mean) for x, v in protos.items()}
+    texts = ["the dog sat", "die alte katze und das haus", "house of the cat", "ein hund"]
+    schema = "`doc id` long, text string, lang string, `odd, name` string"
+    docs = spark.createDataFrame([(i, t, None, "x") for i, t in enumerate(texts)], schema)
+    for r in langid.language_id(docs, spark.createDataFrame(learn, "text string, lang string"), id_col="doc id").collect():
+        v = bundle(texts[r["doc id"]])
+        cos = {x: float(unit(v - (v @ mean) * mean) @ p) for x, p in less.items()}
+        best = max(cos, key=cos.get)
+        assert r["lang_pred"] == best and abs(r["score"] - max(0, cos[best])) < 1e-3 and r["odd, name"] == "x"
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.language_id(docs.where("crc32(cast(doc_id as string)) % 3 = 1"), docs.where("crc32(cast(doc_id as string)) % 3 <> 1")).collect()
