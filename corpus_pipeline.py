@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from tidebar.llm import exact, langid, minhash, mixing, packing
 from tidebar.llm.queries import held_out, tokenizer
-from tidebar.llm.shared import cut
+from tidebar.llm.shared import cut, settled
 
 LEAST_SCORE = 0.02  # cosine with the best language's prototype; word lists and prose score far more
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or unlike every language learnt, go; where none can be learnt, those without letters alone."""
+    """Documents without letters, or unlike every language learnt, go; where none can be learnt, those without letters alone.
+
+    Null and empty texts have no letters. Repeated rows stay or go alike; an empty table gives none; columns keep their names.
+    """
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & lettered).isEmpty():
         return docs.where(lettered)
@@ -22,12 +25,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays.
+
+    Null counts as an empty text. Null ids are the least; of repeated rows, or ties of ids, one stays. An empty table gives none.
+    """
     return exact.exact_dedup(docs).where("kept").select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays.
+
+    Texts without words, null ones too, are near to nothing and stay. Rows that repeat the kept one in id and text stay
+    with it. An empty table gives none.
+    """
     kept = cut(minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_key").distinct(), "kept")
     key = F.substring(F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)), 1, 16)
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (key == kept["text_key"]), "left_semi")
@@ -60,7 +70,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 ids."""
+    """Pieces of documents in sequences of at most 4096 ids.
+
+    A null or empty text is its end id; repeated rows are packed each; an empty table gives none.
+    """
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
@@ -73,5 +86,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
