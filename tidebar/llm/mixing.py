@@ -96,7 +96,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in_blocks = lined.select("s", "chunk", "k", "at", "size", F.explode(F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {BLOCK}"), F.expr(f"(at + size - 1) div {BLOCK}"))).otherwise(F.array().cast("array<bigint>"))).alias("block"))
     start = F.greatest(b * BLOCK, F.col("at")) - F.col("at")
     end = F.least((b + 1) * BLOCK, F.col("at") + F.col("size")) - F.col("at")
-    parts = in_blocks.join(times, ["s", "block"]).groupBy("s", "chunk", "k").agg(F.sort_array(F.collect_list(F.struct(start.alias("start"), (end - start).alias("length"), "times"))).alias("parts"))
+    # a shuffle, as expanded rows are estimated by the few they come from and would be broadcast whole
+    parts = in_blocks.join(times.hint("merge"), ["s", "block"]).groupBy("s", "chunk", "k").agg(F.sort_array(F.collect_list(F.struct(start.alias("start"), (end - start).alias("length"), "times"))).alias("parts"))
     parts = parts.withColumn("taken", F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"] * p["times"]))
     none = F.array().cast("array<struct<start:bigint,length:bigint,times:bigint>>")
     return lined.join(parts, ["s", "chunk", "k"], "left").select(F.col("id").alias(id_col), F.col("source").alias(source_col), "print", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("parts", none).alias("parts"))
