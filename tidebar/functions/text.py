@@ -25,24 +25,69 @@ def lines(texts: DataFrame, slug: str, text: str) -> DataFrame:
     return texts.select(F.col(slug).alias("slug"), F.posexplode(F.split(text, "\n")).alias("n", "text")).select("slug", (F.col("n") + 1).alias("line"), "text")
 
 
-def marks(rows: DataFrame) -> DataFrame:
-    """The marked lines: (slug, line, kind, key, title)."""
-    t = F.col("text")
+def _mark(t: Column) -> list[Column]:
+    """kind, key and title of a marked line; nulls for others."""
     chapter = F.concat(F.regexp_extract(t, CHAPTER, 1), F.regexp_extract(t, CHAPTER, 2))
     kind = F.when(t.rlike(CHAPTER), "chapter").when(t.rlike(SECTION), "section").when(t.rlike(SPECIAL), "special")
-    key = F.when(kind == "chapter", chapter).when(kind == "section", F.regexp_extract(t, SECTION, 1)).otherwise(F.regexp_extract(t, SPECIAL, 1))
-    title = F.when(kind == "chapter", F.regexp_replace(t, CHAPTER, "")).when(kind == "section", F.regexp_replace(t, SECTION, "")).otherwise(F.regexp_replace(t, SPECIAL, ""))
-    return rows.select("slug", "line", kind.alias("kind"), key.alias("key"), F.trim(title).alias("title")).where("kind is not null")
+    key = F.when(kind == "chapter", chapter).when(kind == "section", F.regexp_extract(t, SECTION, 1)).when(kind == "special", F.regexp_extract(t, SPECIAL, 1))
+    title = F.when(kind == "chapter", F.regexp_replace(t, CHAPTER, "")).when(kind == "section", F.regexp_replace(t, SECTION, "")).when(kind == "special", F.regexp_replace(t, SPECIAL, ""))
+    return [kind.alias("kind"), key.alias("key"), F.trim(title).alias("title")]
+
+
+def marks(rows: DataFrame) -> DataFrame:
+    """The marked lines: (slug, line, kind, key, title)."""
+    return rows.select("slug", "line", *_mark(F.col("text"))).where("kind is not null")
 
 
 def sections(rows: DataFrame) -> DataFrame:
     """(slug, kind, key, title, start_line, end_line, chars, sha256, canonical): a section runs to the next mark; of one
     key's sections the longest (then first) is canonical, the others are its duplicates."""
     w = Window.partitionBy("slug").orderBy("line")
-    found = marks(rows)
+    own = rows.select("slug", "line", "text", *_mark(F.col("text")))
     start = F.last(F.when(F.col("kind").isNotNull(), F.col("line")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    owned = rows.join(found.select("slug", "line", "kind"), ["slug", "line"], "left").select("slug", "line", "text", start.alias("start_line")).where("start_line is not null")
-    body = owned.groupBy("slug", "start_line").agg(F.max("line").alias("end_line"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("body"))
-    out = found.withColumnRenamed("line", "start_line").join(body, ["slug", "start_line"]).select("slug", "kind", "key", "title", "start_line", "end_line", F.length("body").cast("long").alias("chars"), F.sha2(squeeze(F.col("body")), 256).alias("sha256"))
+    owned = own.withColumn("start_line", start).where("start_line is not null")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    out = owned.groupBy("slug", "start_line").agg(F.max("kind").alias("kind"), F.max("key").alias("key"), F.max("title").alias("title"), F.max("line").alias("end_line"), body.alias("body"))
+    out = out.select("slug", "kind", "key", "title", "start_line", "end_line", F.length("body").cast("long").alias("chars"), F.sha2(squeeze(F.col("body")), 256).alias("sha256"))
     best = F.row_number().over(Window.partitionBy("slug", "kind", "key").orderBy(F.col("chars").desc(), "start_line"))
     return out.withColumn("canonical", best == 1)
+
+
+#: A text is hard-wrapped below this median line length, and a title goes on over so many lines at most.
+WRAP_MEDIAN, TITLE_LINES = 45, 3
+
+
+def layout(rows: DataFrame) -> DataFrame:
+    """(slug, median, p90, wrapped) of the lengths of lines that aren't blank: the values at places n div 2 and int(0.9 n)."""
+    n = F.length(F.trim(F.regexp_replace("text", r"\s", " ")))
+    lens = rows.select("slug", n.alias("len")).where("len > 0").groupBy("slug").agg(F.sort_array(F.collect_list("len")).alias("l"))
+    at = lambda share: F.get("l", F.floor(F.size("l") * share).cast("int"))
+    return lens.select("slug", at(F.lit(0.5)).alias("median"), at(F.lit(0.9)).alias("p90")).withColumn("wrapped", F.col("median") < WRAP_MEDIAN)
+
+
+def per_chapter(found: DataFrame) -> DataFrame:
+    """(slug, chapter, sections): canonical sections by the number before the dash."""
+    return found.where("kind = 'section' and canonical").groupBy("slug", F.split_part("key", F.lit("-"), F.lit(1)).alias("chapter")).agg(F.count(F.lit(1)).alias("sections"))
+
+
+def key_checks(source: DataFrame, book: DataFrame) -> DataFrame:
+    """(slug, key, what): keys of the source that the book lacks (missing), and of the book that the source lacks (invented)."""
+    a, b = source.select("slug", "key").distinct(), book.select("slug", "key").distinct()
+    return a.join(b, ["slug", "key"], "left_anti").withColumn("what", F.lit("missing")).unionByName(b.join(a, ["slug", "key"], "left_anti").withColumn("what", F.lit("invented")))
+
+
+def unwrap_titles(rows: DataFrame, found: DataFrame, contents: DataFrame) -> DataFrame:
+    """marks and a table of contents (slug, key, toc) -> marks with title and body_line: a title that goes on over the next
+    lines takes the contents' wording, as soon as its letters are the same; others stay."""
+    w = Window.partitionBy("slug").orderBy("line")
+    ahead = rows.select("slug", "line", *[F.trim(F.lead("text", k).over(w)).alias(f"l{k}") for k in range(1, TITLE_LINES + 1)])
+    own = found.join(contents, ["slug", "key"], "left").join(ahead, ["slug", "line"], "left")
+    target, text = letters(F.coalesce("toc", F.lit(""))), F.col("title")
+    title, body = F.when((target != "") & (letters(text) == target), F.col("toc")), F.when((target != "") & (letters(text) == target), F.col("line") + 1)
+    open_ = (target != "") & target.startswith(letters(text))
+    for k in range(1, TITLE_LINES + 1):
+        text = F.concat_ws(" ", text, F.col(f"l{k}"))
+        open_ = open_ & (F.coalesce(F.col(f"l{k}"), F.lit("")) != "") & target.startswith(letters(text))
+        hit = open_ & (letters(text) == target)
+        title, body = F.coalesce(title, F.when(hit, F.col("toc"))), F.coalesce(body, F.when(hit, F.col("line") + 1 + k))
+    return own.select("slug", "line", "kind", "key", F.coalesce(title, F.col("title")).alias("title"), F.coalesce(body, F.col("line") + 1).alias("body_line"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions import logic as L
 from tidebar.plans import dsl
-from tidebar.plans.compile import Compiler, calendar, decisions
+from tidebar.plans.compile import decisions
 
 HORIZONS = (5, 10, 20)
 #: Per market commission, tax on sells, slippage and initial cash; US where unknown.
@@ -64,23 +64,23 @@ def truth(node: object, value) -> bool | float | None:
     return {"add": lambda: a + b, "sub": lambda: a - b, "mul": lambda: a * b, "div": lambda: a / b if b else None, "max": lambda: max(a, b), "min": lambda: min(a, b), "gt": lambda: a > b, "ge": lambda: a >= b, "lt": lambda: a < b, "le": lambda: a <= b}[op]()
 
 
-def split_residual(node: object, compiler: Compiler) -> object:
-    """The node with its largest parts that read no position turned into columns of the compiler's plan."""
+def split_residual(node: object, more: dict[str, object]) -> object:
+    """The node with its largest parts that read no position put into `more` as named expressions."""
     if not isinstance(node, dict) or "pos" in node:
         return node
     if not dsl.uses_pos(node):
-        return {"col": compiler.node(node, False).name}
+        return {"col": next((k for k, e in more.items() if e == node), None) or more.setdefault(f"walk_{len(more)}", node) and f"walk_{len(more) - 1}"}
     op = dsl.op_of(node)
     if op in (*dsl.WINDOW, "lag", *dsl.SINCE, "barssince"):
         raise dsl.RuleError(f"{op} over a position value is not supported in a trade walk")
     out = {k: v for k, v in node.items() if k not in dsl.META}
     if op in ("abs", "not"):
-        return {op: split_residual(out[op], compiler)}
+        return {op: split_residual(out[op], more)}
     if op == "case":
-        return {"case": [[split_residual(x, compiler) for x in pair] for pair in out["case"]], "else": split_residual(out["else"], compiler)}
+        return {"case": [[split_residual(x, more) for x in pair] for pair in out["case"]], "else": split_residual(out["else"], more)}
     if op == "atleast":
-        return {"atleast": out["atleast"], "of": [split_residual(x, compiler) for x in out["of"]]}
-    return {op: [split_residual(x, compiler) for x in out[op]]}
+        return {"atleast": out["atleast"], "of": [split_residual(x, more) for x in out["of"]]}
+    return {op: [split_residual(x, more) for x in out[op]]}
 
 
 TRADE = "product string, entry string, entry_px double, exit string, closed boolean, days int, ret double, fixed20 double, buys array<struct<date:string,i:int,px:double,qty:double,tranche:string>>, sells array<struct<date:string,i:int,px:double,qty:double,rule:string>>"
@@ -155,13 +155,9 @@ def walk_trades(days: pd.DataFrame, product: str, sells: list[dict], tranches: l
 def trades(bars: DataFrame, tree: dsl.Tree) -> DataFrame:
     """The walk's trades of every product. Conditions without a position are columns; only the rest runs in the walk, one
     product's days at a time. A later tranche without a condition or with an unknown ratio is never bought."""
-    exprs = [e for p in tree.products for _, _, e in tree.expressions(p)]
-    frame, base = calendar(bars, tree.products, exprs)
-    compiler = Compiler(base, list(tree.products), False, prefix="walk_")
-    rules = {p: ([{**r, "when": split_residual(r["when"], compiler)} for r in tree.sells(p)], [{**t, "when": split_residual(t["when"], compiler)} for t in tree.tranches(p)]) for p in tree.products}
-    rows = compiler.plan.build(frame).drop(*[f"self_{f}" for f in dsl.FIELDS])
-    graded = signal_starts(decisions(bars, tree)).select("product", "i", "open", "close", "weight", (F.col("start") & (F.col("key") == "buy")).alias("start"))
-    rows = rows.join(graded, ["product", "i"])
+    more: dict[str, object] = {}
+    rules = {p: ([{**r, "when": split_residual(r["when"], more)} for r in tree.sells(p)], [{**t, "when": split_residual(t["when"], more)} for t in tree.tranches(p)]) for p in tree.products}
+    rows = signal_starts(decisions(bars, tree, more=more)).withColumn("start", F.col("start") & (F.col("key") == "buy")).select("product", "i", "date", "open", "close", "weight", "start", *more)
 
     def run(days: pd.DataFrame) -> pd.DataFrame:
         product = days["product"].iloc[0]
@@ -172,11 +168,31 @@ def trades(bars: DataFrame, tree: dsl.Tree) -> DataFrame:
 
 
 def trade_stats(found: DataFrame) -> DataFrame:
+    """Per product: trades, closed and open ones; win, avg, median, days over the closed; the same of holding 20 days; how
+    often each sell rule and each later tranche was filled, sorted by name."""
     done = F.when(F.col("closed"), F.col("ret"))
-    return found.groupBy("product").agg(
-        F.count(F.lit(1)).alias("trades"), F.sum(F.col("closed").cast("long")).alias("closed"), F.avg(done).alias("avg"), F.median(done).alias("median"), (F.avg((done > 0).cast("double")) * 100).alias("win"),
-        F.avg(F.when(F.col("closed"), F.col("days"))).alias("days"), F.avg("fixed20").alias("fixed20"),
+    out = found.groupBy("product").agg(
+        F.count(F.lit(1)).alias("trades"), F.sum(F.col("closed").cast("long")).alias("closed"), F.sum((~F.col("closed")).cast("long")).alias("open"), F.avg(done).alias("avg"), F.median(done).alias("median"),
+        (F.avg((done > 0).cast("double")) * 100).alias("win"), F.avg(F.when(F.col("closed"), F.col("days"))).alias("days"), F.avg("fixed20").alias("fixed20"), (F.avg((F.col("fixed20") > 0).cast("double")) * 100).alias("fixed20_win"),
+        F.sum(F.size("buys")).alias("buys"),
     )
+    for name, hits in (("rule_hits", F.transform("sells", lambda x: x["rule"])), ("tranche_hits", F.transform(F.slice("buys", 2, 1 << 30), lambda x: x["tranche"]))):
+        counts = found.select("product", F.explode(hits).alias("k")).groupBy("product", "k").agg(F.count(F.lit(1)).alias("n"))
+        text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "k", F.col("n").cast("string")))), ",")
+        out = out.join(counts.groupBy("product").agg(text.alias(name)), "product", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out
+
+
+def position_facts(found: DataFrame, bars: DataFrame) -> DataFrame:
+    """Of each product's open trade: entry price, average price of what is held, return in percent at the last close,
+    highest and lowest close since the entry, and days held."""
+    total = lambda c, value: F.aggregate(c, F.lit(0.0), lambda a, x: a + value(x))
+    units = total("buys", lambda x: x["qty"]) - total("sells", lambda x: x["qty"])
+    spent = total("buys", lambda x: x["qty"] * x["px"]) - total("sells", lambda x: x["qty"] * x["px"])
+    rows = found.where("not closed").select("product", "entry", "entry_px", "days", F.when(units > TINY, spent / units).otherwise(F.col("entry_px")).alias("avg_px"))
+    held = rows.join(bars.select(F.col("sym").alias("product"), "date", L.number(F.col("close")).alias("close")), "product").where("date >= entry")
+    out = held.groupBy("product", "entry", "entry_px", "avg_px", "days").agg(F.max_by("close", "date").alias("last"), F.max("close").alias("high"), F.min("close").alias("low"))
+    return out.select("product", "entry", "entry_px", "avg_px", ((F.nullif(F.col("last"), F.lit(0.0)) / F.col("avg_px") - 1) * 100).alias("ret"), "high", "low", "days")
 
 
 def portfolio_orders(found: DataFrame) -> DataFrame:
@@ -186,23 +202,59 @@ def portfolio_orders(found: DataFrame) -> DataFrame:
     return legs.groupBy("product", "i").agg(F.sum("units").alias("units"), F.max("px").alias("px"), (F.min("units") < 0).alias("sells"))
 
 
-def equity(bars: DataFrame, orders: DataFrame, market: str = "US") -> DataFrame:
-    """(product, i, date, value): initial cash and orders in shares; units are shares of the initial cash at the price."""
-    fee, tax, slip, cash = MARKETS.get(market, MARKETS["US"])
-    frame, _ = calendar(bars, {r["product"]: {} for r in orders.select("product").distinct().collect()}, [])
-    rows = frame.join(orders, ["product", "i"], "left")
-    price = F.col("px") * (1 + F.signum("units") * slip)
-    shares = F.coalesce(F.col("units") * cash / price, F.lit(0.0))
-    paid = shares * F.coalesce(price, F.lit(0.0))
-    cost = F.abs(paid) * (fee + F.when(F.coalesce("sells", F.lit(False)), F.lit(tax)).otherwise(0.0))
+def market_params(markets: DataFrame) -> DataFrame:
+    """markets (product, market) -> with commission, tax, slippage and cash; those of US where the market is unknown."""
+    table = F.create_map(*[x for k, v in MARKETS.items() for x in (F.lit(k), F.struct(*[F.lit(n).alias(c) for c, n in zip(("commission", "tax", "slippage", "cash"), v, strict=True)]))])
+    return markets.select("product", F.coalesce(F.get(F.map_values(F.map_filter(table, lambda k, _: k == F.col("market"))), F.lit(0)), table["US"]).alias("p")).select("product", "p.*")
+
+
+def ledger(orders: DataFrame, markets: DataFrame) -> DataFrame:
+    """(product, i, shares, cash) after each order bar.
+
+    A purchase is units of the initial cash at the order's price, or as much as the cash pays for with its commission; a
+    sale is that part of the shares held which its units are of the units held. Orders are folded product by product.
+    """
+    own = orders.groupBy("product").agg(F.sort_array(F.collect_list(F.struct("i", "units", "px"))).alias("orders")).join(market_params(markets), "product")
+    zero = F.lit(0.0)
+
+    def step(a: Column, x: Column) -> Column:
+        now = a["now"]
+        price = x["px"] * (1 + F.signum(x["units"]) * F.col("slippage"))
+        bought = F.greatest(zero, F.least(x["units"] * F.col("cash") / price, now["cash"] / (price * (1 + F.col("commission")))))
+        part = F.when(now["units"] > TINY, F.least(F.lit(1.0), -x["units"] / now["units"])).otherwise(zero)
+        buys = x["units"] > 0
+        state = F.struct(
+            x["i"].alias("i"),
+            F.when(buys, now["shares"] + bought).otherwise(now["shares"] * (1 - part)).alias("shares"),
+            F.when(buys, now["cash"] - bought * price * (1 + F.col("commission"))).otherwise(now["cash"] + now["shares"] * part * price * (1 - F.col("commission") - F.col("tax"))).alias("cash"),
+            F.greatest(zero, now["units"] + x["units"]).alias("units"),
+        )
+        return F.transform(F.array(state), lambda n: F.struct(n.alias("now"), F.concat(a["all"], F.array(n)).alias("all")))[0]
+
+    kind = "struct<i:int,shares:double,cash:double,units:double>"
+    start = F.struct(F.struct(F.lit(-1).alias("i"), zero.alias("shares"), F.col("cash").alias("cash"), zero.alias("units")).cast(kind).alias("now"), F.array().cast(f"array<{kind}>").alias("all"))
+    return own.select("product", F.explode(F.aggregate("orders", start, step)["all"]).alias("x")).select("product", "x.i", "x.shares", "x.cash")
+
+
+def equity(bars: DataFrame, orders: DataFrame, markets: DataFrame | None = None) -> DataFrame:
+    """(product, i, date, value): cash and shares at the close on every bar of the products with orders.
+
+    markets (product, market); US where None. A missing close is the one before, at the start the one after.
+    """
+    markets = orders.select("product").distinct().withColumn("market", F.lit("US")) if markets is None else markets
+    rows = bars.join(orders.select("product").distinct(), F.col("sym") == F.col("product")).select("product", "date", L.number(F.col("close")).alias("close"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("product").orderBy("date")) - 1)
+    rows = rows.join(ledger(orders, markets), ["product", "i"], "left").join(market_params(markets).select("product", F.col("cash").alias("first")), "product")
     after = L.by_day().rowsBetween(0, Window.unboundedFollowing)
-    close = F.coalesce(F.last("self_close", ignorenulls=True).over(L.up_to()), F.first("self_close", ignorenulls=True).over(after))
-    rows = rows.select("product", "i", "date", F.sum(shares).over(L.up_to()).alias("held"), (cash - F.sum(paid + cost).over(L.up_to())).alias("cash"), close.alias("px"))
-    return rows.select("product", "i", "date", (F.col("cash") + F.col("held") * F.col("px")).alias("value"))
+    close = F.coalesce(F.last("close", ignorenulls=True).over(L.up_to()), F.first("close", ignorenulls=True).over(after))
+    held = F.coalesce(F.last("shares", ignorenulls=True).over(L.up_to()), F.lit(0.0))
+    cash = F.coalesce(F.last("cash", ignorenulls=True).over(L.up_to()), F.col("first"))
+    return rows.select("product", "i", "date", (cash + held * close).alias("value"), "first")
 
 
 def portfolio_stats(curve: DataFrame) -> DataFrame:
-    """(product, total_return, max_drawdown, sharpe), of daily returns over 252 days."""
-    rows = curve.select("product", "i", "value", F.try_divide("value", F.lag("value").over(L.by_day())).alias("step"), (F.col("value") / F.max("value").over(L.up_to()) - 1).alias("down"))
-    r = F.col("step") - 1
-    return rows.groupBy("product").agg((F.max_by("value", "i") / F.min_by("value", "i") - 1).alias("total_return"), F.min("down").alias("max_drawdown"), (F.try_divide(F.avg(r), F.stddev_samp(r)) * 252**0.5).alias("sharpe"))
+    """(product, total_return, max_drawdown, sharpe): percent of the initial cash; percent of the highest value so far, not
+    negative; daily returns, the first against the initial cash, over a year of 365 days."""
+    before = F.coalesce(F.lag("value").over(L.by_day()), F.col("first"))
+    rows = curve.select("product", "i", "value", "first", (F.try_divide(F.col("value"), before) - 1).alias("r"), (1 - F.col("value") / F.max("value").over(L.up_to())).alias("down"))
+    return rows.groupBy("product").agg(((F.max_by("value", "i") / F.first("first") - 1) * 100).alias("total_return"), (F.max("down") * 100).alias("max_drawdown"), (F.try_divide(F.avg("r"), F.nullif(F.stddev_samp("r"), F.lit(0.0))) * 365**0.5).alias("sharpe"))

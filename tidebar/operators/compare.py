@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,25 @@ def agreement(days: DataFrame) -> DataFrame:
     return days.groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("same")).cast("long")).alias("differ"), F.avg(F.col("same").cast("double")).alias("agreement"))
 
 
+SECTIONS = {"block": ("opt_block", "pes_block"), "buy": ("opt_buy", "pes_buy"), "weight": ("weight",), "grade": ("key",)}
+
+
+def sections(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(product, section, i, date, same) of two trees' decisions: block and buy in both views, the weight, and the grade."""
+    columns = sorted({c for v in SECTIONS.values() for c in v})
+    both = a.select("product", "i", "date", *columns).join(b.select("product", "i", *[F.col(c).alias(f"b_{c}") for c in columns]), ["product", "i"])
+    same = lambda names: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in names])
+    found = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), same(v).alias("same")) for k, v in SECTIONS.items()])).alias("x")
+    return both.select("product", "i", "date", found).select("product", "x.section", "i", "date", "x.same")
+
+
+def behaviour_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """values (product, i, label, value) of two trees -> (product, a, b): labels that agree on all days, and are known on one."""
+    x, y = a.select("product", "i", F.col("label").alias("a"), F.col("value").alias("va")), b.select("product", "i", F.col("label").alias("b"), F.col("value").alias("vb"))
+    pairs = x.join(y, ["product", "i"]).groupBy("product", "a", "b").agg(F.bool_and(F.col("va").eqNullSafe(F.col("vb"))).alias("same"), F.bool_or(F.col("va").isNotNull()).alias("known"))
+    return pairs.where("same and known").select("product", "a", "b")
+
+
 def sample(days: DataFrame, per: int) -> DataFrame:
     """Of each product's disagreeing days, `per` at even distance."""
     w = Window.partitionBy("product")
@@ -61,3 +83,74 @@ def duplicates(tree: dsl.Tree, product: str) -> list[list[str]]:
     for do, label, e in tree.expressions(product):
         by.setdefault((do, dsl.logic_key(e)), []).append(label)
     return [v for v in by.values() if len(v) > 1]
+
+
+def shape(node: object) -> object:
+    """The expression without metadata and symbols."""
+    if isinstance(node, dict):
+        return {k: "*" if k == "sym" else shape(v) for k, v in node.items() if k not in dsl.META}
+    return [shape(x) for x in node] if isinstance(node, list) else node
+
+
+def likeness(x: object, y: object) -> float:
+    """How well two differing conditions would be compared: 2 for one label, 3 for one shape, and for groups of one kind
+    twice the Jaccard similarity of the shapes below."""
+    if not isinstance(x, dict) or not isinstance(y, dict):
+        return 0.0
+    key = lambda n: json.dumps(dsl.canonical(n) if isinstance(n, dict) else n, sort_keys=True, ensure_ascii=False)
+    out = 2.0 * bool(x.get("label") and x.get("label") == y.get("label")) + 3.0 * (key(shape(x)) == key(shape(y)))
+    kind = lambda n: (dsl.op_of(n), n.get("atleast")) if dsl.op_of(n) in ("all", "any", "atleast", "not") else None
+    if kind(x) and kind(x) == kind(y):
+        below = lambda n: {key(shape(c)) for d in dsl.children(n) for c in dsl.walk(d)}
+        both = below(x) | below(y)
+        out += 2.0 * len(below(x) & below(y)) / len(both) if both else 0.0
+    return out
+
+
+def align(xs: list, ys: list) -> list[tuple]:
+    """Pairs of two lists of conditions: equal meanings first, then the best likeness above 0; (x, None) and (None, y) for the rest."""
+    mate: dict[int, int] = {}
+    for i, x in enumerate(xs):
+        j = next((j for j, y in enumerate(ys) if j not in mate.values() and dsl.logic_key(x) == dsl.logic_key(y)), None)
+        if j is not None:
+            mate[i] = j
+    ranked = sorted(((likeness(x, y), i, j) for i, x in enumerate(xs) for j, y in enumerate(ys) if i not in mate and j not in mate.values()), reverse=True)
+    for score, i, j in ranked:
+        if score > 0 and i not in mate and j not in mate.values():
+            mate[i] = j
+    return [(x, ys[mate[i]] if i in mate else None) for i, x in enumerate(xs)] + [(None, y) for j, y in enumerate(ys) if j not in mate.values()]
+
+
+def manual_heads(tree: dsl.Tree, heads: tuple[str, ...]) -> dict[str, int]:
+    """How many distinct manual reasons begin with each head and a colon; "" counts those of none."""
+    found = {dsl.manual_key(n): n for p in tree.products for _, _, e in tree.expressions(p) for n in dsl.walk(e) if dsl.is_manual(n)}
+    out: dict[str, int] = {}
+    for n in found.values():
+        head = next((h for h in heads if str(n.get("manual", "")).startswith(f"{h}:")), "")
+        out[head] = out.get(head, 0) + 1
+    return out
+
+
+def unjudged(tree: dsl.Tree, a: dsl.Tree, b: dsl.Tree) -> list[tuple[str, str]]:
+    """(label, side) of the tree's rules that the two candidates don't both have and that give no `why`; side: a, b or new."""
+    keys = lambda t: {r["label"]: json.dumps([[x.get("do"), dsl.logic_key(t.expand(x.get("when"), value=r.get("value"))), x.get("qty")] for x in r.get("then") or []], sort_keys=True, ensure_ascii=False) for r in t.rules if "then" in r}
+    in_a, in_b = set(keys(a).values()), set(keys(b).values())
+    side = {label: "both" if k in in_a and k in in_b else "a" if k in in_a else "b" if k in in_b else "new" for label, k in keys(tree).items()}
+    return [(r["label"], side[r["label"]]) for r in tree.rules if side.get(r["label"], "both") != "both" and not r.get("why")]
+
+
+def outcome(decided: DataFrame) -> DataFrame:
+    """decided with opt and pes: block, buy or wait as each view has it; null where a view leaves it open."""
+    of = lambda v: F.when(F.col(f"{v}_block"), "block").when(~F.col(f"{v}_block") & F.col(f"{v}_buy"), "buy").when(~F.col(f"{v}_block") & ~F.col(f"{v}_buy"), "wait")
+    return decided.select("*", of("opt").alias("opt"), of("pes").alias("pes"))
+
+
+def scenario_results(decided: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (product, date, expect[, pct]) against the decisions of their days: match, match if confirmed, mismatch or
+    not reproducible; a weight asked for must be the known one, or one of those that manual leaves allow."""
+    rows = wanted.join(outcome(decided), ["product", "date"], "left")
+    seen = F.array_distinct(F.array_compact(F.array("opt", "pes")))
+    weight = F.when(F.col("weight").isNotNull(), F.abs(F.col("weight") - F.col("pct")) <= 1e-6).otherwise(F.coalesce(F.array_contains(F.array_compact(F.array("weight_yes", "weight_no")), F.col("pct")), F.lit(False)))
+    wrong = F.col("pct").isNotNull() & (F.col("expect") == "buy") & ~F.coalesce(weight, F.lit(False))
+    result = F.when(wrong, "mismatch").when(F.size(seen) == 0, "not reproducible").when(seen == F.array("expect"), "match").when(F.array_contains(seen, F.col("expect")), "match if confirmed").otherwise("mismatch")
+    return rows.select("product", "date", "expect", "pct", result.alias("result"))

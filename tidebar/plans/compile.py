@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import logic as L
 from tidebar.plans import dsl
+from tidebar.sources.bars import resample
 
 NUM, BOUND, BOOL = "num", "bound", "bool"
 
@@ -39,10 +40,11 @@ class Plan:
 
 class Compiler:
     """manual: value of manual leaves (True, False or None for unknown), turned round below each not; answers:
-    {(product, key): value} beat it and are not turned. base: {(sym, field): column of the frame}."""
+    {(product, key): value} beat it and are not turned. base: {(sym, field): column of the frame}; settled: {sym: column
+    that says whether a day's bar is settled}."""
 
-    def __init__(self, base: dict[tuple[str, str], str], products: list[str], manual: bool | None = None, answers: dict | None = None, settled: str | None = None, prefix: str = "n"):
-        self.base, self.products, self.answers, self.settled, self.prefix = base, products, answers or {}, settled, prefix
+    def __init__(self, base: dict[tuple[str, str], str], products: list[str], manual: bool | None = None, answers: dict | None = None, settled: dict[str, str] | None = None, prefix: str = "n"):
+        self.base, self.products, self.answers, self.settled, self.prefix = base, products, answers or {}, settled or {}, prefix
         self.manual = manual
         self.plan = Plan()
         self.nodes: dict[str, Node] = {}
@@ -64,10 +66,15 @@ class Compiler:
         return self.nodes[key]
 
     def _settle(self, expr: object, n: Node) -> Node:
-        """With an as-of time, the value at the last settled bar; not for manual, position or bound nodes."""
-        if not self.settled or n.kind == BOUND or not isinstance(expr, dict) or any(dsl.is_manual(x) or "pos" in x for x in dsl.walk(expr)) or not dsl.symbols(expr):
+        """With an as-of time, the value at the last settled bar of the expression's symbols, where these settle alike on
+        all of a product's days; not for manual, position, intraday or bound nodes."""
+        if not self.settled or n.kind == BOUND or not isinstance(expr, dict) or any(dsl.is_manual(x) or "pos" in x or "col" in x for x in dsl.walk(expr)) or not dsl.symbols(expr):
             return n
-        pulled = F.last(F.when(F.col(self.settled), F.struct(F.col(n.name).alias("v"))), ignorenulls=True).over(L.up_to())["v"]
+        flags = sorted({self.settled[x] for x in dsl.symbols(expr)})
+        pulled = F.last(F.when(F.col(flags[0]), F.struct(F.col(n.name).alias("v"))), ignorenulls=True).over(L.up_to())["v"]
+        if len(flags) > 1:
+            alike = F.min(F.when(F.least(*flags) == F.greatest(*flags), 1).otherwise(0)).over(L.Window.partitionBy("product")) == 1
+            pulled = F.when(alike, pulled).otherwise(F.col(n.name))
         return self.add(pulled, n.kind, n.depth + 1)
 
     def num(self, expr: object, manual) -> tuple[Column, Node, Column | None]:
@@ -103,6 +110,10 @@ class Compiler:
         v = expr[op]
         if dsl.is_manual(expr):
             n = self.add(self._answer(dsl.manual_key(expr), manual), BOOL, 0)
+        elif op == "col":
+            n = self.add(F.col(v), expr["kind"], 0)
+        elif op == "px" and expr.get("tf", "1d") != "1d":
+            raise dsl.RuleError(f"an intraday leaf needs atoms: {expr!r}")
         elif op == "px":
             n = self.add(F.col(self.base[expr["sym"], v]), NUM, 0)
         elif op == "pos":
@@ -175,67 +186,164 @@ class Compiler:
 def calendar(bars: DataFrame, products: dict[str, dict], exprs: list[object], closes: DataFrame | None = None, asof=None) -> tuple[DataFrame, dict]:
     """(frame, base): a row per product and own bar date, with i and the price columns that the expressions read.
 
-    closes (date, close_utc) and asof: adds `settled`; a date without a known close is settled.
+    closes ([sym,] date, close_utc) and asof: adds base[sym, "settled"], whether that symbol's session had closed by asof;
+    a symbol without any known session is always settled.
     """
-    wanted = {(n["sym"], n["px"]) for e in exprs for n in dsl.walk(e) if "px" in n} | {("$self", "close")}
+    wanted = {(n["sym"], n["px"]) for e in exprs for n in dsl.walk(e) if "px" in n and n.get("tf", "1d") == "1d"} | {("$self", "close")}
     names = list(products)
+    others = {s for s, _ in wanted} - {"$self"}
+    read = sorted({*names, *(others - {"$index"}), *((products[p].get("index") for p in names if products[p].get("index")) if "$index" in others else ())})
+    bars = bars.where(F.col("sym").isin(read))
     frame = bars.where(F.col("sym").isin(names)).select(F.col("sym").alias("product"), "date", *[L.number(F.col(f)).alias(f"self_{f}") for f in dsl.FIELDS])
     frame = frame.withColumn("i", F.row_number().over(L.Window.partitionBy("product").orderBy("date")) - 1)
+    if "$index" in others:
+        index = F.create_map(*[F.lit(x) for p in names for x in (p, products[p].get("index") or "")])
+        frame = frame.withColumn("index_sym", index[F.col("product")])
     base = {("$self", f): f"self_{f}" for f in dsl.FIELDS}
-    for sym in sorted({s for s, _ in wanted} - {"$self"}):
+    tags = {"$self": "self"}
+    for sym in sorted(others):
         fields = sorted({f for s, f in wanted if s == sym})
-        tag = "index" if sym == "$index" else f"t{len(base)}"
+        tag = tags[sym] = "index" if sym == "$index" else f"t{len(base)}"
         other = bars.select(F.col("sym").alias(f"{tag}_sym"), "date", *[L.number(F.col(f)).alias(f"{tag}_{f}") for f in fields])
         if sym == "$index":
-            index = F.create_map(*[F.lit(x) for p in names for x in (p, products[p].get("index") or "")])
-            frame = frame.withColumn("index_sym", index[F.col("product")]).join(other, ["index_sym", "date"], "left").drop("index_sym")
+            frame = frame.join(other, ["index_sym", "date"], "left")
         else:
             frame = frame.join(other.where(F.col(f"{tag}_sym") == sym).drop(f"{tag}_sym"), "date", "left")
         base |= {(sym, f): f"{tag}_{f}" for f in fields}
-    if asof is not None:
-        frame = frame.join(closes.select("date", "close_utc"), "date", "left").withColumn("settled", F.coalesce(F.col("close_utc") <= F.lit(asof).cast("timestamp"), F.lit(True))).drop("close_utc")
-    return frame, base
+    if asof is not None and closes is not None:
+        for sym, tag in tags.items():
+            name = f"settled_{tag}"
+            own = closes.select(F.col("date").alias(f"{name}_date"), *([F.col("sym").alias(f"{name}_sym")] if "sym" in closes.columns else []), F.col("close_utc").alias(f"{name}_close"))
+            on = F.col("date") == F.col(f"{name}_date")
+            if "sym" in closes.columns:
+                on = on & (F.col(f"{name}_sym") == (F.lit(sym) if sym not in dsl.ROLES else F.col("product" if sym == "$self" else "index_sym")))
+            frame = frame.join(own, on, "left").drop(f"{name}_date", f"{name}_sym")
+            known = F.max(f"{name}_close").over(L.Window.partitionBy("product")).isNotNull()
+            frame = frame.withColumn(name, F.when(known, F.coalesce(F.col(f"{name}_close") <= F.lit(asof).cast("timestamp"), F.lit(False))).otherwise(True)).drop(f"{name}_close")
+            base[sym, "settled"] = name
+    return frame.drop("index_sym"), base
 
 
-def evaluate(bars: DataFrame, products: dict[str, dict], exprs: dict[str, object], manual: bool | None = None, answers: dict | None = None, closes: DataFrame | None = None, asof=None) -> DataFrame:
+def settled_columns(base: dict) -> dict[str, str]:
+    return {s: c for (s, f), c in base.items() if f == "settled"}
+
+
+def intraday(frame: DataFrame, atoms: DataFrame | None, products: dict[str, dict], exprs: dict[str, object], manual: bool | None = None, answers: dict | None = None, asof=None, tag: str = "atom") -> tuple[DataFrame, dict[str, object]]:
+    """(frame, exprs) with the largest parts that read one intraday tf turned into columns.
+
+    Such a part is evaluated on the bars that the atoms up to asof make, over the times of all symbols; its value at the last of
+    them stands in the row of that time's day (or the product's last row), and nothing in the others.
+    """
+    parts: dict[str, tuple[str, object]] = {}
+
+    def tfs(node: object) -> set[str]:
+        return {n.get("tf", "1d") for n in dsl.walk(node) if "px" in n}
+
+    def split(node: object) -> object:
+        if isinstance(node, list):
+            return [split(x) for x in node]
+        if not isinstance(node, dict):
+            return node
+        own = tfs(node) if set(node) - set(dsl.META) else set()
+        if len(own) == 1 and own != {"1d"}:
+            name = f"{tag}{len(parts)}"
+            parts[name] = (own.pop(), node)
+            return {"col": name, "kind": BOOL if dsl.op_of(node) in (*dsl.CMP, "all", "any", "atleast", "not") else NUM}
+        return node if own <= {"1d"} else {k: v if k in dsl.META else split(v) for k, v in node.items()}
+
+    out = {k: split(e) for k, e in exprs.items()}
+    if not parts:
+        return frame, out
+    if atoms is None:
+        raise dsl.RuleError("intraday leaves need atoms")
+    for tf in sorted({t for t, _ in parts.values()}):
+        own = {k: _daily_leaves(e) for k, (t, e) in parts.items() if t == tf}
+        names = {n["sym"] for e in own.values() for n in dsl.walk(e) if "px" in n}
+        wanted = {*products, *(names - set(dsl.ROLES)), *(v.get("index") for v in products.values() if v.get("index"))}
+        known = atoms.where(F.col("sym").isin(sorted(wanted)))
+        bars = resample(known if asof is None else known.where(F.col("ts") <= F.lit(asof).cast("timestamp")), tf)
+        bars = bars.select("sym", F.date_format("ts", "yyyyMMddHHmmss").alias("date"), *dsl.FIELDS)
+        # every product has a row at every time of any symbol
+        axis = bars.select("date").distinct().withColumn("sym", F.explode(F.array(*map(F.lit, products))))
+        found = evaluate(axis.join(bars, ["sym", "date"], "left"), products, own, manual, answers)
+        last = found.groupBy("product").agg(F.max("date").alias("at"), *[F.max_by(k, "date").alias(k) for k in own])
+        day = F.substring("at", 1, 8)
+        frame = frame.join(last, "product", "left")
+        here = F.max(F.when(F.col("date") == day, F.col("i"))).over(L.Window.partitionBy("product"))
+        row = F.coalesce(here, F.max("i").over(L.Window.partitionBy("product")))
+        frame = frame.withColumn("atom_row", row).select(*[c for c in frame.columns if c not in own and c != "at"], *[F.when(F.col("i") == F.col("atom_row"), F.col(k)).alias(k) for k in own])
+    return frame, out
+
+
+def _daily_leaves(node: object) -> object:
+    if isinstance(node, dict):
+        return {k: _daily_leaves(v) for k, v in node.items() if k != "tf"}
+    return [_daily_leaves(x) for x in node] if isinstance(node, list) else node
+
+
+def evaluate(bars: DataFrame, products: dict[str, dict], exprs: dict[str, object], manual: bool | None = None, answers: dict | None = None, closes: DataFrame | None = None, asof=None, atoms: DataFrame | None = None) -> DataFrame:
     """(product, i, date, self_* prices, one column per named expression)."""
     for e in exprs.values():
         dsl.validate(e)
     frame, base = calendar(bars, products, list(exprs.values()), closes, asof)
-    compiler = Compiler(base, list(products), manual, answers, "settled" if asof is not None else None)
+    frame, exprs = intraday(frame, atoms, products, exprs, manual, answers, asof)
+    compiler = Compiler(base, list(products), manual, answers, settled_columns(base))
     nodes = {k: compiler.node(e) for k, e in exprs.items()}
     out = compiler.plan.build(frame)
     value = lambda n: F.when(~F.col(n.name + "_lb"), F.col(n.name)) if n.kind == BOUND else F.col(n.name)
-    return out.select("product", "i", "date", *[f"self_{f}" for f in dsl.FIELDS], *(["settled"] if asof is not None else []), *[value(n).alias(k) for k, n in nodes.items()])
+    return out.select("product", "i", "date", *[f"self_{f}" for f in dsl.FIELDS], *[c for _, c in sorted(settled_columns(base).items())], *[value(n).alias(k) for k, n in nodes.items()])
 
 
-def decisions(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None, closes: DataFrame | None = None, asof=None) -> DataFrame:
-    """A grade per product and day: (product, i, date, close, key, opt/pes block and buy, weight, confirmed, warmup).
+def decisions(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None, closes: DataFrame | None = None, asof=None, atoms: DataFrame | None = None, more: dict[str, object] | None = None) -> DataFrame:
+    """A grade per product and day: (product, i, date, open, close, key, opt/pes block and buy, weight and the weights with
+    manual leaves true and false, confirmed, warmup), and the columns of `more`, {name: expression}.
 
-    Manual leaves are taken as favourable in the opt columns and as unfavourable in the pes columns.
+    Manual leaves are taken as favourable in the opt columns and as unfavourable in the pes columns. confirmed: the last
+    index that all symbols of the product have settled, -1 without one.
     """
-    frame, base = calendar(bars, tree.products, [e for p in tree.products for _, _, e in tree.expressions(p)], closes, asof)
-    settled = "settled" if asof is not None else None
-    plans, columns = [], {}
-    for view, buy in (("opt", True), ("pes", False)):
-        for do, name in ((dsl.BLOCK, "block"), (dsl.BUY, "buy")):
-            compiler = Compiler(base, list(tree.products), buy if do == dsl.BUY else not buy, answers, settled, f"{view}_{name}_")
-            per = {p: compiler.node(tree.gate(p, do)) for p in tree.products}
-            columns[f"{view}_{name}"] = per
-            plans.append(compiler.plan)
-    compiler = Compiler(base, list(tree.products), None, answers, settled, "weight_")
-    weights = {p: compiler.node(tree.weight(p)) for p in tree.products if tree.weight(p) is not None}
-    for plan in [*plans, compiler.plan]:
-        frame = plan.build(frame)
+    more = more or {}
+    gates = {(p, do): tree.gate(p, do) for p in tree.products for do in (dsl.BLOCK, dsl.BUY)}
+    weight = {p: tree.weight(p) for p in tree.products if tree.weight(p) is not None}
+    frame, base = calendar(bars, tree.products, [*(e for p in tree.products for _, _, e in tree.expressions(p)), *more.values()], closes, asof)
+    frame, out = intraday(frame, atoms, tree.products, {**{f"g{k}": e for k, e in enumerate(gates.values())}, **{f"w{p}": e for p, e in weight.items()}}, None, answers, asof) if any(dsl.atom_symbols(e) for e in [*gates.values(), *weight.values()]) else (frame, None)
+    if out is not None:
+        gates, weight = {k: out[f"g{n}"] for n, k in enumerate(gates)}, {p: out[f"w{p}"] for p in weight}
+    # one compiler: without manual leaves below, the views of a condition are one node
+    compiler = Compiler(base, list(tree.products), None, answers, settled_columns(base))
+    columns = {f"{view}_{name}": {p: compiler.node(gates[p, do], good if do == dsl.BUY else not good) for p in tree.products} for view, good in (("opt", True), ("pes", False)) for do, name in ((dsl.BLOCK, "block"), (dsl.BUY, "buy"))}
+    weights = {name: {p: compiler.node(e, m) for p, e in weight.items()} for name, m in (("weight", None), ("weight_yes", True), ("weight_no", False))}
+    extra = {k: compiler.node(e, False) for k, e in more.items()}
+    frame = compiler.plan.build(frame)
 
     def by_product(per: dict, kind: str) -> Column:
         out = F.lit(None).cast(kind)
         for p, n in per.items():
-            out = F.when(F.col("product") == p, F.col(n.name) if isinstance(n, Node) else F.lit(n)).otherwise(out)
+            out = F.when(F.col("product") == p, F.col(n.name) if isinstance(n, Node) else F.lit(n) if not isinstance(n, Column) else n).otherwise(out)
         return out
 
-    confirmed = F.max(F.when(F.col(settled), F.col("i"))).over(L.up_to()) if settled else F.col("i")
-    frame = frame.select("*", *[by_product(per, "boolean").alias(k) for k, per in columns.items()], by_product(weights, "double").alias("weight"), F.coalesce(confirmed, F.lit(-1)).alias("confirmed"), by_product({p: tree.warmup(p) for p in tree.products}, "int").alias("warmup"))
+    confirmed, flags = F.col("i"), settled_columns(base)
+    if flags:
+        frame = frame.select("*", *[F.max(F.when(F.col(c), F.col("i"))).over(L.up_to()).alias(f"last_{c}") for c in flags.values()])
+
+        def least(p: str) -> Column:
+            used = {n["sym"] for do in (dsl.BLOCK, dsl.BUY) for n in dsl.walk(tree.gate(p, do)) if "px" in n and n.get("tf", "1d") == "1d"} or {"$self"}
+            lasts = [F.col(f"last_{flags[x]}") for x in sorted(used)]
+            return F.array_min(F.array(*[F.coalesce(c, F.lit(-1)) for c in lasts]))
+
+        confirmed = by_product({p: least(p) for p in tree.products}, "int")
+    frame = frame.select("*", *[by_product(per, "boolean").alias(k) for k, per in columns.items()], *[by_product(per, "double").alias(k) for k, per in weights.items()], F.coalesce(confirmed, F.lit(-1)).alias("confirmed"), by_product({p: tree.warmup(p) for p in tree.products}, "int").alias("warmup"))
     buy = F.col("opt_block").eqNullSafe(F.lit(False)) & F.col("opt_buy").eqNullSafe(F.lit(True))
     key = F.when(F.col("confirmed") < F.col("warmup"), "unknown").when(buy, "buy").otherwise("avoid")
-    return frame.select("product", "i", "date", F.col("self_open").alias("open"), F.col("self_close").alias("close"), key.alias("key"), *columns, "weight", "confirmed", "warmup")
+    return frame.select("product", "i", "date", F.col("self_open").alias("open"), F.col("self_close").alias("close"), key.alias("key"), *columns, *weights, "confirmed", "warmup", *[F.col(n.name).alias(k) for k, n in extra.items()])
+
+
+def weight_alternatives(graded: DataFrame) -> DataFrame:
+    """graded with `alternatives`: where manual leaves leave the weight unknown, the sorted distinct weights they allow."""
+    alt = F.array_sort(F.array_distinct(F.array_compact(F.array("weight_yes", "weight_no"))))
+    return graded.withColumn("alternatives", F.when(F.col("weight").isNull() & (F.size(alt) > 0), alt))
+
+
+def cash_remainder(graded: DataFrame, weighted: list[str]) -> DataFrame:
+    """(date, cash): what the weights of the weighted products leave of 100, at least 0; null if one is unknown."""
+    rows = graded.where(F.col("product").isin(weighted)).groupBy("date").agg(F.bool_and(F.col("weight").isNotNull()).alias("known"), F.sum("weight").alias("total"))
+    return rows.select("date", F.when(F.col("known"), F.greatest(F.lit(0.0), 100 - F.col("total"))).alias("cash"))

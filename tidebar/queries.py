@@ -170,29 +170,120 @@ def buy_hold(spark, sf_dir):
     return _rounded(rows, "ret")
 
 
-@query()
+def _walk_sql(sells: list[tuple[str, str, float, bool]], second: str, first: float) -> str:
+    """The trade walk as recursive SQL: (hit, of, x, repeat) of up to three sell rules, the second tranche's condition, and
+    the first's ratio. A row per product and day: the state after the day, and what it orders for the next open."""
+    rules = [*sells, *[("false", "held", 0.0, False)] * (3 - len(sells))]
+    fires = lambda k: f"act AND coalesce(h{k}, false) AND (NOT f{k}" + (f" OR (NOT w{k} AND i > e))" if rules[k][3] else ")")
+    part = lambda k, left: f"CASE WHEN g{k} AND can THEN least({left}, {rules[k][2]} * {'bought' if rules[k][1] == 'bought' else left}) ELSE 0 END"
+    return f"""days AS (SELECT product, i::INT AS i, date, open, close, p, start AND key = 'buy' AS go, weight, lead(open) OVER ({SQL_W}) AS o1 FROM runs),
+walk(product, i, act, e, size, q1, p1, q2, p2, sold, val, legs, f0, f1, f2, w0, w1, w2, best, fin, s0, s1, s2, add2, add1, ended) AS (
+SELECT DISTINCT product, -1, false, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0, false, false, false, false, false, false, NULL::DOUBLE, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, false FROM days
+UNION ALL
+SELECT product, i, (act AND NOT ends) OR enters, CASE WHEN enters THEN i + 1 ELSE e END, CASE WHEN enters THEN want ELSE size END,
+ CASE WHEN enters THEN want * {first} ELSE q1 END, CASE WHEN enters THEN o1 ELSE p1 END, CASE WHEN enters THEN 0 WHEN adds THEN size * {first} ELSE q2 END, CASE WHEN enters THEN 0 WHEN adds THEN o1 ELSE p2 END,
+ CASE WHEN enters THEN 0 ELSE sold + s0 + s1 + s2 END, CASE WHEN enters THEN 0 WHEN s0 + s1 + s2 > 0 THEN val + (s0 + s1 + s2) * o1 ELSE val END, CASE WHEN enters THEN 0 ELSE legs + (s0 > 0)::INT + (s1 > 0)::INT + (s2 > 0)::INT END,
+ NOT enters AND (f0 OR g0), NOT enters AND (f1 OR g1), NOT enters AND (f2 OR g2), NOT enters AND act AND coalesce(h0, false), NOT enters AND act AND coalesce(h1, false), NOT enters AND act AND coalesce(h2, false),
+ CASE WHEN enters THEN NULL ELSE best END, CASE WHEN ends THEN i + 1 ELSE fin END, s0, s1, s2, CASE WHEN adds THEN size * {first} ELSE 0 END, CASE WHEN enters THEN want * {first} ELSE 0 END, ends
+FROM (SELECT *, act AND NOT ends AND s0 + s1 + s2 = 0 AND bought - sold > 1e-12 AND q2 = 0 AND can AND coalesce({second}, false) AS adds, NOT act AND go AND i >= fin AND can AND want * {first} > 1e-12 AS enters
+FROM (SELECT *, s0 + s1 + s2 > 0 AND bought - sold - s0 - s1 - s2 <= 1e-9 AS ends
+FROM (SELECT *, {part(2, '(bought - sold - s0 - s1)')} AS s2 FROM (SELECT *, {part(1, '(bought - sold - s0)')} AS s1 FROM (SELECT *, {part(0, '(bought - sold)')} AS s0
+FROM (SELECT *, {fires(0)} AS g0, {fires(1)} AS g1, {fires(2)} AS g2 FROM (SELECT *, {', '.join(f'{r[0]} AS h{k}' for k, r in enumerate(rules))}
+FROM (SELECT * REPLACE (CASE WHEN act THEN greatest(best, ret) END AS best), q1 + q2 AS bought
+FROM (SELECT w.* EXCLUDE (i, s0, s1, s2, add2, add1, ended), d.* EXCLUDE (product), coalesce(d.weight / 100, 1.0) AS want, coalesce(d.o1, 0) > 0 AS can, CASE WHEN act THEN (close / ((q1 * p1 + q2 * p2) / (q1 + q2)) - 1) * 100 END AS ret
+ FROM walk w JOIN days d ON d.product = w.product AND d.i = w.i + 1)))))))))),
+ends AS (SELECT w.*, w.ended AS closed, d.date, d.o1, CASE WHEN w.ended THEN w.i + 1 ELSE w.i END AS last, lead(d.date) OVER (PARTITION BY w.product ORDER BY w.i) AS exit, max(d.i) OVER (PARTITION BY w.product) AS n, d.close FROM walk w JOIN days d USING (product, i)),
+trades AS (SELECT t.product, b.date AS entry, t.p1 AS entry_px, CASE WHEN t.closed THEN t.exit END AS exit, t.closed, (t.last - t.e)::INT AS days,
+ ((t.val + CASE WHEN t.closed THEN 0 ELSE (t.q1 + t.q2 - t.sold) * t.close END) / (t.q1 * t.p1 + t.q2 * t.p2) - 1) * 100 AS ret, (f.close / b.open - 1) * 100 AS fixed20, 1 + (t.q2 > 0)::INT AS buys, t.legs AS sells,
+ (t.q1 * t.p1 + t.q2 * t.p2 - t.val) AS spent_left, t.q1 + t.q2 - t.sold AS units, t.e, t.close
+ FROM ends t JOIN days b ON b.product = t.product AND b.i = t.e LEFT JOIN days f ON f.product = t.product AND f.i = t.e + 19 WHERE t.closed OR (t.i = t.n AND t.act AND t.e <= t.i)),
+orders AS (SELECT product, i + 1 AS i, add1 + add2 - s0 - s1 - s2 AS units, o1 AS px, s0 + s1 + s2 > 0 AS sells FROM ends WHERE add1 + add2 + s0 + s1 + s2 > 0)"""
+
+
+_SECOND = "act AND ret >= 3"
+_TRANCHES = _walk_sql([("ret >= 20", "bought", 0.5, False), ("best >= 10 AND close < p", "held", 0.5, True), ("ret <= -30 OR i - e >= 15", "held", 1.0, False)], _SECOND, 0.5)
+_RULES = [r for r in TREE["rules"] if r["label"] in ("above mean", "trend", "break", "index falls", "weight")]
+FULL = dsl.synthetic(PRODUCTS, *_RULES, dsl.rule("out", dsl.SELL, {"any": [{"ge": [{"pos": "ret"}, 10]}, {"le": [{"pos": "minret"}, -40]}, {"ge": [{"pos": "days"}, 20]}]}, ("held", 1)))
+REPEAT = dsl.synthetic(PRODUCTS, *_RULES, dsl.rule("part", dsl.SELL, {"all": [{"ge": [{"pos": "ret"}, 5]}, {"lt": [C, {"lag": [C, 1]}]}]}, ("held", 0.5), repeat=True), dsl.rule("out", dsl.SELL, {"ge": [{"pos": "days"}, 30]}, ("held", 1)))
+_TRADES = "SELECT product, entry, round(entry_px, 4) AS entry_px, exit, closed, days, round(ret, 4) AS ret, round(fixed20, 4) AS fixed20, buys, sells FROM trades"
+_DUCK = f"WITH RECURSIVE {_GRADED}, "
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return _rounded(found.withColumn("buys", F.size("buys")).withColumn("sells", F.size("sells")), "entry_px", "ret", "fixed20")
+
+
+def _tree_trades(spark, sf_dir, tree=TREE):
+    return B.trades(S.order_bars(spark, sf_dir), dsl.Tree(tree))
+
+
+@query(f"{_DUCK}{_TRANCHES} {_TRADES}")
 def trades_tranches(spark, sf_dir):
-    return B.trades(S.order_bars(spark, sf_dir), dsl.Tree(TREE))
+    return _flat(_tree_trades(spark, sf_dir))
 
 
-@query()
+@query(f"{_DUCK}{_walk_sql([('ret >= 10 OR i - e >= 20', 'held', 1.0, False)], 'false', 1.0).replace('greatest(best, ret)', 'least(best, ret)').replace('ret >= 10 OR', 'ret >= 10 OR best <= -40 OR')} {_TRADES}")
+def trades_full_exit(spark, sf_dir):
+    return _flat(_tree_trades(spark, sf_dir, FULL))
+
+
+@query(f"{_DUCK}{_walk_sql([('ret >= 5 AND close < p', 'held', 0.5, True), ('i - e >= 30', 'held', 1.0, False)], 'false', 1.0)} {_TRADES}")
+def trades_repeat_sell(spark, sf_dir):
+    return _flat(_tree_trades(spark, sf_dir, REPEAT))
+
+
+def _hits(name: str, rows: str) -> str:
+    return f"{name} AS (SELECT product, string_agg(k || ':' || n, ',' ORDER BY k || ':' || n) AS {name} FROM (SELECT product, k, count(*) AS n FROM ({rows}) GROUP BY 1, 2) GROUP BY 1)"
+
+
+_RULE_HITS = _hits("rule_hits", " UNION ALL ".join(f"SELECT product, '{k}' AS k FROM walk WHERE s{n} > 0" for n, k in enumerate(("take", "trim", "stop"))))
+_TRANCHE_HITS = _hits("tranche_hits", "SELECT product, 'second' AS k FROM walk WHERE add2 > 0")
+
+
+@query(f"""{_DUCK}{_TRANCHES}, {_RULE_HITS}, {_TRANCHE_HITS} SELECT product, count(*) AS trades, sum(closed::INT)::BIGINT AS closed, sum((NOT closed)::INT)::BIGINT AS open, round(avg(ret) FILTER (closed), 4) AS avg, round(median(ret) FILTER (closed), 4) AS median,
+ round(avg((ret > 0)::INT) FILTER (closed) * 100, 4) AS win, round(avg(days) FILTER (closed), 4) AS days, round(avg(fixed20), 4) AS fixed20, round(avg((fixed20 > 0)::INT) * 100, 4) AS fixed20_win, sum(buys)::BIGINT AS buys, coalesce(any_value(rule_hits), '') AS rule_hits, coalesce(any_value(tranche_hits), '') AS tranche_hits
+ FROM trades LEFT JOIN rule_hits USING (product) LEFT JOIN tranche_hits USING (product) GROUP BY 1""")
 def trade_stats(spark, sf_dir):
-    return B.trade_stats(trades_tranches(spark, sf_dir))
+    return _rounded(B.trade_stats(_tree_trades(spark, sf_dir)), "avg", "median", "win", "days", "fixed20", "fixed20_win")
+
 
+@query(f"""{_DUCK}{_walk_sql([('ret >= 60', 'held', 1.0, False)], _SECOND, 0.5)} SELECT t.product, t.entry, round(t.entry_px, 4) AS entry_px, round(spent_left / units, 4) AS avg_px, round((t.close / (spent_left / units) - 1) * 100, 4) AS ret,
+ round(max(d.close), 4) AS high, round(min(d.close), 4) AS low, t.days FROM trades t JOIN days d ON d.product = t.product AND d.i >= t.e WHERE NOT t.closed GROUP BY t.product, t.entry, t.entry_px, spent_left, units, t.close, t.days""")
+def position_facts(spark, sf_dir):
+    tree = dsl.synthetic(PRODUCTS, *[r for r in TREE["rules"] if r["label"] not in ("take", "trim", "stop")], dsl.rule("far", dsl.SELL, {"ge": [{"pos": "ret"}, 60]}, ("held", 1)))
+    return _rounded(B.position_facts(_tree_trades(spark, sf_dir, tree), S.order_bars(spark, sf_dir)), "entry_px", "avg_px", "ret", "high", "low")
 
-@query()
+
+@query(f"{_DUCK}{_TRANCHES} SELECT product, i::INT AS i, round(units, 12) AS units, round(px, 4) AS px, sells FROM orders")
 def portfolio_orders(spark, sf_dir):
-    return B.portfolio_orders(trades_tranches(spark, sf_dir))
+    return B.portfolio_orders(_tree_trades(spark, sf_dir)).select("product", "i", F.round("units", 12).alias("units"), F.round("px", 4).alias("px"), "sells")
+
+
+_MARKET = {"1-URGENT": "US", "2-HIGH": "KR", "3-MEDIUM": None, "4-NOT SPECIFIED": "US", "5-LOW": "KR"}
+_LEDGER = f"""params(product, commission, tax, slip, first) AS (VALUES {', '.join(f"('{p}', {', '.join(map(str, B.MARKETS[m or 'US']))})" for p, m in _MARKET.items())}),
+ranked AS (SELECT o.*, row_number() OVER (PARTITION BY product ORDER BY i) AS r, o.px * (1 + sign(units) * slip) AS price, p.* EXCLUDE (product) FROM orders o JOIN params p USING (product)),
+book(product, r, i, shares, cash, units) AS (SELECT product, 0::BIGINT, -1, 0.0::DOUBLE, first::DOUBLE, 0.0::DOUBLE FROM params
+UNION ALL SELECT product, r, i, CASE WHEN x > 0 THEN shares + b ELSE shares * (1 - c) END, CASE WHEN x > 0 THEN cash - b * price * (1 + commission) ELSE cash + shares * c * price * (1 - commission - tax) END, greatest(0, units + x)
+FROM (SELECT k.product, o.r, o.i, k.shares, k.cash, k.units, o.units AS x, o.price, o.commission, o.tax, greatest(0, least(o.units * o.first / o.price, k.cash / (o.price * (1 + o.commission)))) AS b, CASE WHEN k.units > 1e-12 THEN least(1, -o.units / k.units) ELSE 0 END AS c
+ FROM book k JOIN ranked o ON o.product = k.product AND o.r = k.r + 1)),
+curve AS (SELECT d.product, d.i, d.date, p.first, coalesce(last_value(k.cash IGNORE NULLS) OVER w, p.first) + coalesce(last_value(k.shares IGNORE NULLS) OVER w, 0) * d.close AS value
+ FROM days d JOIN params p USING (product) LEFT JOIN book k ON k.product = d.product AND k.i = d.i WHERE d.product IN (SELECT product FROM orders) WINDOW w AS (PARTITION BY d.product ORDER BY d.i))"""
+
 
+def _curve(spark, sf_dir):
+    markets = spark.createDataFrame(list(_MARKET.items()), "product string, market string")
+    return B.equity(S.order_bars(spark, sf_dir), B.portfolio_orders(_tree_trades(spark, sf_dir)), markets)
 
-@query()
+
+@query(f"{_DUCK}{_TRANCHES}, {_LEDGER} SELECT product, i, date, round(value, 2) AS value FROM curve")
 def equity_curve(spark, sf_dir):
-    return B.equity(S.order_bars(spark, sf_dir), portfolio_orders(spark, sf_dir))
+    return _curve(spark, sf_dir).select("product", "i", "date", F.round("value", 2).alias("value"))
 
 
-@query()
+@query(f"""{_DUCK}{_TRANCHES}, {_LEDGER}, steps AS (SELECT *, value / coalesce(lag(value) OVER ({SQL_W}), first) - 1 AS r, 1 - value / max(value) OVER ({SQL_W}) AS down FROM curve)
+ SELECT product, round((arg_max(value, i) / any_value(first) - 1) * 100, 4) AS total_return, round(max(down) * 100, 4) AS max_drawdown, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(365), 4) AS sharpe FROM steps GROUP BY 1""")
 def portfolio_stats(spark, sf_dir):
-    return B.portfolio_stats(equity_curve(spark, sf_dir))
+    return _rounded(B.portfolio_stats(_curve(spark, sf_dir)), "total_return", "max_drawdown", "sharpe")
 
 
 for _tf, _s in (("5m", 300), ("1h", 3600), ("1d", 86400)):
@@ -218,6 +309,117 @@ def settled_pull_asof(spark, sf_dir):
     return evaluate(bars, PRODUCTS, {"up": UP}, closes=closes, asof="1997-01-01 00:00:00").select("product", "date", "up")
 
 
+_HOURS = {"US": 21, "KR": 6}  # UTC hours of the sessions' close
+_MARKET_SQL = f"(VALUES {', '.join(f'({chr(39)}{p}{chr(39)}, {chr(39) + m + chr(39) if m else chr(78) + chr(85) + chr(76) + chr(76)})' for p, m in _MARKET.items())}) m(product, market)"
+_TWO_MARKETS = f"""{SQL_BARS}, two AS (SELECT c.*, CASE market WHEN 'US' THEN date <= '19961231' WHEN 'KR' THEN date <= '19970101' ELSE true END AS own, date <= '19961231' AS idx FROM cal c JOIN {_MARKET_SQL} USING (product)),
+mapped AS (SELECT *, max(CASE WHEN own THEN i END) OVER ({SQL_W}) AS mo, max(CASE WHEN idx THEN i END) OVER ({SQL_W}) AS mi, close > {_lag('close')} AS up FROM two)"""
+
+
+def _closes(spark, sf_dir):
+    days = S.order_bars(spark, sf_dir).select("date").distinct()
+    hour = F.explode(F.array(*[F.struct(F.lit(m).alias("market"), F.lit(h).alias("hour")) for m, h in _HOURS.items()])).alias("x")
+    sessions = days.select("date", hour).select("x.market", "date", (F.to_timestamp("date", "yyyyMMdd") + F.make_dt_interval(hours=F.col("x.hour"))).alias("close_utc"))
+    return S.session_closes(spark.createDataFrame(list(_MARKET.items()), "sym string, market string"), sessions)
+
+
+@query(f"WITH {SQL_BARS}, m AS (SELECT * FROM {_MARKET_SQL}) SELECT m.product AS sym, d.date, epoch(strptime(d.date, '%Y%m%d'))::BIGINT + CASE m.market WHEN 'US' THEN 21 ELSE 6 END * 3600 AS close_utc FROM m, (SELECT DISTINCT date FROM bars) d WHERE m.market IS NOT NULL")
+def session_closes(spark, sf_dir):
+    return _closes(spark, sf_dir).select("sym", "date", F.unix_seconds("close_utc").alias("close_utc"))
+
+
+@query(f"WITH {_TWO_MARKETS} SELECT a.product, a.date, o.up, o.close > x.ix AS over FROM mapped a LEFT JOIN mapped o ON o.product = a.product AND o.i = a.mo LEFT JOIN mapped x ON x.product = a.product AND x.i = a.mi")
+def settled_two_markets(spark, sf_dir):
+    return evaluate(S.order_bars(spark, sf_dir), PRODUCTS, {"up": UP, "over": {"gt": [C, IX]}}, closes=_closes(spark, sf_dir), asof="1997-01-01 12:00:00").select("product", "date", "up", "over")
+
+
+@query(f"WITH {_TWO_MARKETS} SELECT product, date, least(coalesce(mo, -1), coalesce(mi, -1))::INT AS confirmed FROM mapped")
+def confirmed_index(spark, sf_dir):
+    return decisions(S.order_bars(spark, sf_dir), dsl.Tree(TREE), closes=_closes(spark, sf_dir), asof="1997-01-01 12:00:00").select("product", "date", "confirmed")
+
+
+@query(f"WITH {_TWO_MARKETS} SELECT product AS sym, date, own AS confirmed FROM two")
+def bars_confirmed(spark, sf_dir):
+    return S.confirmed(S.order_bars(spark, sf_dir), _closes(spark, sf_dir), "1997-01-01 12:00:00").select("sym", "date", "confirmed")
+
+
+_H = px("close") | {"tf": "1h"}
+
+
+@query(f"""WITH atoms AS (SELECT event_type AS sym, ts, event_id, value FROM events WHERE ts IS NOT NULL), daily AS (SELECT sym AS product, strftime(ts, '%Y%m%d') AS date FROM atoms GROUP BY 1, 2),
+h AS (SELECT sym, floor(epoch(ts) / 3600) AS t, arg_max(value, (ts, event_id)) AS close FROM atoms WHERE ts <= TIMESTAMP '{_ASOF}' GROUP BY 1, 2),
+axis AS (SELECT p.product, k.t, h.close, row_number() OVER (PARTITION BY p.product ORDER BY k.t) AS i FROM (SELECT DISTINCT product FROM daily) p, (SELECT DISTINCT t FROM h) k LEFT JOIN h ON h.sym = p.product AND h.t = k.t),
+v AS (SELECT *, close > {_lag('close')} AS up, {_strict('sum', 'close', 3)} AS sum3 FROM axis), tip AS (SELECT * FROM v QUALIFY t = max(t) OVER ()),
+c AS (SELECT d.*, row_number() OVER (PARTITION BY d.product ORDER BY d.date) AS i, strftime(to_timestamp(tip.t) AT TIME ZONE 'UTC', '%Y%m%d') AS day, up, sum3 FROM daily d JOIN tip USING (product)),
+r AS (SELECT *, coalesce(max(CASE WHEN date = day THEN i END) OVER (PARTITION BY product), max(i) OVER (PARTITION BY product)) AS here FROM c)
+SELECT product, date, CASE WHEN i = here THEN up END AS up, round(CASE WHEN i = here THEN sum3 END, 4) AS sum3 FROM r""")
+def intraday_collapse(spark, sf_dir):
+    atoms = S.event_atoms(spark, sf_dir)
+    kinds = ("click", "error", "purchase", "signup", "view")
+    names = [r[0] for r in atoms.select("sym").distinct().collect()]  # event types, a handful
+    out = evaluate(S.daily(atoms), {n: {} for n in sorted({*names} | {k for k in kinds if k in names})}, {"up": {"gt": [_H, {"lag": [_H, 1]}]}, "sum3": {"sum": [_H, 3]}}, atoms=atoms, asof=_ASOF)
+    return _rounded(out.select("product", "date", "up", "sum3"), "sum3")
+
+
+_SURE = dsl.synthetic(PRODUCTS, dsl.rule("trend", dsl.BUY, UP), dsl.rule("weight", dsl.BUY, None, ("cash", {"case": [[{"all": [UP, {"manual": "sure"}]}, 40]], "else": 25})))
+
+
+@query(f"WITH {SQL_BARS}, u AS (SELECT *, close > {_lag('close')} AS up FROM cal) SELECT product, date, CASE WHEN up IS NOT DISTINCT FROM false THEN 25.0 END AS weight, CASE WHEN up IS NULL THEN '25.0' WHEN up THEN '25.0,40.0' END AS alternatives FROM u")
+def weight_range(spark, sf_dir):
+    from tidebar.plans.compile import weight_alternatives
+
+    rows = weight_alternatives(decisions(S.order_bars(spark, sf_dir), dsl.Tree(_SURE)))
+    return rows.select("product", "date", "weight", F.when(F.col("alternatives").isNotNull(), F.array_join(F.transform("alternatives", lambda x: x.cast("string")), ",")).alias("alternatives"))
+
+
+@query(f"WITH {_GRADED} SELECT date, CASE WHEN bool_and(weight IS NOT NULL) THEN greatest(0, 100 - sum(weight)) END AS cash FROM graded GROUP BY 1")
+def cash_remainder(spark, sf_dir):
+    from tidebar.plans.compile import cash_remainder as rest
+
+    return rest(_graded(spark, sf_dir), list(PRODUCTS))
+
+
+@query(f"WITH {SQL_BARS} SELECT sym, date, round(close, 4) AS close FROM bars WHERE (sym = '2-HIGH' AND date >= '19970101') OR (sym = '5-LOW' AND date >= '19980101')")
+def history_scan(spark, sf_dir):
+    starts = spark.createDataFrame([("2-HIGH", "19970101"), ("5-LOW", "19980101"), ("9-NONE", "19990101")], "sym string, start string")
+    return S.history(S.order_bars(spark, sf_dir), starts).select("sym", "date", F.round("close", 4).alias("close"))
+
+
+@query(f"WITH {SQL_BARS} SELECT sym, date FROM bars WHERE date >= strftime(DATE '1998-06-30' - INTERVAL 547 DAY, '%Y%m%d')")
+def years_window(spark, sf_dir):
+    return S.years_window(S.order_bars(spark, sf_dir), "19980630", 1.5).select("sym", "date")
+
+
+@query("SELECT * FROM (VALUES ('a', '20200101', false), ('b', '20190101', true), ('c', '20210101', true)) t(sym, start, fetched)")
+def history_needs(spark, sf_dir):
+    schema = "sym string, start string"
+    both, fetch = S.needs(spark.createDataFrame([("a", "20200101"), ("b", "20200101")], schema), spark.createDataFrame([("a", "20210101"), ("b", "20190101"), ("c", "20210101"), ("c", "20220101")], schema))
+    return both.join(fetch.withColumn("fetched", F.lit(True)), ["sym", "start"], "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
+
+
+@query("SELECT event_id, (epoch(ts)::BIGINT // 60) * 60 AS minute, (epoch(ts)::BIGINT // 86400) * 86400 AS day FROM events WHERE ts IS NOT NULL AND epoch(ts) = floor(epoch(ts))")
+def epoch_keys(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events").where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).where(F.unix_micros("ts") % 1_000_000 == 0)
+    return e.select("event_id", S.epoch(F.date_format("ts", "yyyyMMddHHmm")).alias("minute"), S.epoch(F.date_format("ts", "yyyyMMdd")).alias("day"))
+
+
+_HELD = [("1-URGENT", "19970102", 150000.0, 1), ("2-HIGH", "19980101", 90000.0, 2), ("3-MEDIUM", "29990101", 1.0, 1)]
+_HELD_SQL = ", ".join(f"('{p}', '{d}', {c}::DOUBLE, {n})" for p, d, c, n in _HELD)
+
+
+@query(f"""WITH {SQL_BARS}, held(product, entry_date, cost, filled) AS (VALUES {_HELD_SQL}), c AS (SELECT *, {_lag('close')} AS p, max(i) OVER (PARTITION BY product) AS last FROM cal),
+e AS (SELECT h.*, (SELECT min(i) FROM c WHERE c.product = h.product AND c.date >= h.entry_date) AS entry_i FROM held h),
+r AS (SELECT e.*, (c.close / cost - 1) * 100 AS ret, c.last - entry_i AS days, (SELECT max((x.close / cost - 1) * 100) FROM c x WHERE x.product = e.product AND x.i >= e.entry_i) AS best, c.close < c.p AS down FROM e JOIN c ON c.product = e.product AND c.i = c.last)
+SELECT product, entry_i::INT AS entry_i, CASE WHEN entry_i IS NOT NULL THEN round(ret, 4) END AS ret, days::DOUBLE AS days, CASE WHEN entry_i IS NOT NULL THEN concat_ws(',', 'take:' || (ret >= 20), 'trim:' || (best >= 10 AND down), 'stop:' || (ret <= -30 OR days >= 15)) END AS sells,
+ CASE WHEN entry_i IS NOT NULL AND filled = 1 THEN 'second:' || (ret >= 3) END AS next_tranche FROM r""")
+def holding_status(spark, sf_dir):
+    from tidebar.operators.holdings import status
+
+    rows = status(S.order_bars(spark, sf_dir), dsl.Tree(TREE), spark.createDataFrame(_HELD, "product string, entry_date string, cost double, filled int"))
+    text = lambda x: F.concat_ws(":", x["label"], x["hit"].cast("string"))
+    sells = F.when(F.col("sells").isNotNull(), F.array_join(F.transform("sells", text), ","))
+    return rows.select("product", "entry_i", F.round("ret", 4).alias("ret"), "days", sells.alias("sells"), F.when(F.col("next_tranche").isNotNull(), text(F.col("next_tranche"))).alias("next_tranche"))
+
+
 def _halves(spark, sf_dir):
     bars = S.order_bars(spark, sf_dir)
     return bars.where("date < '19960101'"), bars.where("date >= '19951201' and sym <> '5-LOW'").withColumn("close", F.when(F.col("date") < "19960101", F.col("close") + 1).otherwise(F.col("close")))
@@ -285,6 +487,32 @@ def compare_agreement(spark, sf_dir):
     return _rounded(X.agreement(_paired(spark, sf_dir)), "agreement")
 
 
+_BOTH = f"""{_PAIRED}, s AS (SELECT g.product, g.i, g.block IS NOT DISTINCT FROM false AS block, g.buy IS NOT DISTINCT FROM (g.close > g.m) AS buy, g.weight IS NULL AS weight, d.same AS grade FROM graded g JOIN d USING (product, i)),
+u AS (SELECT product, 'block' AS section, block AS same FROM s UNION ALL SELECT product, 'buy', buy FROM s UNION ALL SELECT product, 'weight', weight FROM s UNION ALL SELECT product, 'grade', grade FROM s)"""
+
+
+@query(f"WITH {_BOTH} SELECT product, section, count(*) AS n, sum((NOT same)::INT)::BIGINT AS differ, round(avg(same::INT), 4) AS agreement FROM u GROUP BY 1, 2")
+def compare_sections(spark, sf_dir):
+    days = X.sections(_graded(spark, sf_dir), decisions(S.order_bars(spark, sf_dir), dsl.Tree(_OTHER)))
+    return _rounded(days.groupBy("product", "section").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("same")).cast("long")).alias("differ"), F.avg(F.col("same").cast("double")).alias("agreement")), "agreement")
+
+
+@query(f"WITH {SQL_BARS} SELECT product, a, b FROM (SELECT DISTINCT product FROM cal), (VALUES ('above', 'over the mean'), ('up', 'rise')) t(a, b)")
+def behaviour_pairs(spark, sf_dir):
+    other = {"over the mean": {"lt": [{"div": [{"sum": [C, 5]}, 5]}, C]}, "rise": {"not": {"le": [C, {"lag": [C, 1]}]}}, "fall": {"lt": [C, {"lag": [C, 1]}]}}
+    return X.behaviour_pairs(X.long(evaluate(S.order_bars(spark, sf_dir), PRODUCTS, {k: _LABELS[k] for k in ("above", "up", "broke")}), ["above", "up", "broke"]), X.long(evaluate(S.order_bars(spark, sf_dir), PRODUCTS, other), list(other)))
+
+
+_WANTED = [("2-HIGH", "19970102", "buy", None), ("2-HIGH", "19970103", "wait", None), ("2-HIGH", "19970106", "buy", 40.0), ("5-LOW", "19970107", "block", None), ("5-LOW", "19970108", "buy", 25.0), ("5-LOW", "29990101", "buy", None)]
+_WANTED_SQL = ", ".join(f"('{p}', '{d}', '{x}', {'NULL' if n is None else n}::DOUBLE)" for p, d, x, n in _WANTED)
+
+
+@query(f"""WITH {_GRADED}, wanted(product, date, expect, pct) AS (VALUES {_WANTED_SQL}), o AS (SELECT w.*, g.weight, CASE WHEN block THEN 'block' WHEN NOT block AND buy THEN 'buy' WHEN NOT block AND NOT buy THEN 'wait' END AS got FROM wanted w LEFT JOIN graded g USING (product, date))
+SELECT product, date, expect, pct, CASE WHEN pct IS NOT NULL AND expect = 'buy' AND NOT coalesce(abs(weight - pct) <= 1e-6, false) THEN 'mismatch' WHEN got IS NULL THEN 'not reproducible' WHEN got = expect THEN 'match' ELSE 'mismatch' END AS result FROM o""")
+def scenario_results(spark, sf_dir):
+    return X.scenario_results(_graded(spark, sf_dir), spark.createDataFrame(_WANTED, "product string, date string, expect string, pct double"))
+
+
 @query(f"WITH {_PAIRED}, r AS (SELECT *, row_number() OVER ({SQL_W}) AS rn, count(*) OVER (PARTITION BY product) AS n FROM d WHERE NOT same) SELECT product, date, a, b FROM r WHERE (rn - 1) % greatest(1, n // 5) = 0 AND (rn - 1) / greatest(1, n // 5) < 5")
 def disagree_sample(spark, sf_dir):
     return X.sample(_paired(spark, sf_dir), 5).select("product", "date", "a", "b")
@@ -325,6 +553,22 @@ def ref_missing(spark, sf_dir):
     return refs.join(T.marks(_marked(spark, sf_dir)).select("key").distinct(), "key", "left_anti").select("label", "key")
 
 
+@query(f"WITH {_LINES}, l AS (SELECT slug, length(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]', ' ', 'g'))) AS n FROM lines), s AS (SELECT slug, list_sort(list(n)) AS x FROM l WHERE n > 0 GROUP BY 1) SELECT slug, x[len(x) // 2 + 1] AS median, x[floor(len(x) * 0.9)::INT + 1] AS p90, x[len(x) // 2 + 1] < 45 AS wrapped FROM s")
+def line_layout(spark, sf_dir):
+    return T.layout(_marked(spark, sf_dir))
+
+
+@query(f"WITH {_SECTIONS}, c AS (SELECT *, row_number() OVER (PARTITION BY slug, key ORDER BY chars DESC, start_line) = 1 AS canonical FROM s) SELECT slug, split_part(key, '-', 1) AS chapter, count(*) AS sections FROM c WHERE canonical GROUP BY 1, 2")
+def chapter_sections(spark, sf_dir):
+    return T.per_chapter(T.sections(_marked(spark, sf_dir)))
+
+
+@query(f"WITH {_SECTIONS}, src AS (SELECT DISTINCT slug, key FROM s WHERE slug % 10 < 2), bk AS (SELECT DISTINCT slug, CASE WHEN slug % 10 = 0 AND key = '1-1' THEN '9-9' ELSE key END AS key FROM s WHERE slug % 10 < 2) SELECT slug, key, 'missing' AS what FROM src WHERE (slug, key) NOT IN (SELECT (slug, key) FROM bk) UNION ALL SELECT slug, key, 'invented' FROM bk WHERE (slug, key) NOT IN (SELECT (slug, key) FROM src)")
+def key_checks(spark, sf_dir):
+    source = T.marks(_marked(spark, sf_dir)).where("slug % 10 < 2")
+    return T.key_checks(source, source.withColumn("key", F.when((F.col("slug") % 10 == 0) & (F.col("key") == "1-1"), "9-9").otherwise(F.col("key"))))
+
+
 @query(r"SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, length(regexp_extract(html, '(?s)<body[^>]*>(.*?)</body>', 1)) AS body_chars FROM pages")
 def html_block_extract(spark, sf_dir):
     html = F.col("html")

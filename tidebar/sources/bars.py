@@ -85,3 +85,46 @@ def spot(atoms: DataFrame, asof) -> DataFrame:
 def overlay_spot(bars: DataFrame, atoms: DataFrame, asof) -> DataFrame:
     """Bars with the spot price as the close of its day."""
     return bars.join(spot(atoms, asof), ["sym", "date"], "left").withColumn("close", F.coalesce("spot", "close")).drop("spot")
+
+
+def history(bars: DataFrame, starts: DataFrame) -> DataFrame:
+    """starts (sym, start): each symbol's bars from its start on; the least start prunes the scan."""
+    least = starts.agg(F.min("start")).first()[0]
+    own = bars if least is None else bars.where(F.col("date") >= least)
+    return own.join(starts.groupBy("sym").agg(F.min("start").alias("start")), "sym").where("date >= start").drop("start")
+
+
+def years_window(bars: DataFrame, today: str, years: float) -> DataFrame:
+    """Bars of the last `years` times 365 days."""
+    return bars.where(F.col("date") >= F.date_format(F.date_sub(F.to_date(F.lit(today), "yyyyMMdd"), int(365 * years)), "yyyyMMdd"))
+
+
+def session_closes(markets: DataFrame, sessions: DataFrame) -> DataFrame:
+    """markets (sym, market), sessions (market, date, close_utc) -> (sym, date, close_utc); symbols of no market have none."""
+    return markets.where("market is not null").join(sessions.where("close_utc is not null"), "market").select("sym", "date", "close_utc")
+
+
+def confirmed(bars: DataFrame, closes: DataFrame, now) -> DataFrame:
+    """bars with `confirmed`: whether the session had closed by now; true where the symbol has no known session at all."""
+    known = closes.groupBy("sym").agg(F.count(F.lit(1)).alias("known"))
+    rows = bars.join(closes, ["sym", "date"], "left").join(known, "sym", "left")
+    return rows.withColumn("confirmed", F.col("known").isNull() | F.coalesce(F.col("close_utc") <= F.lit(now).cast("timestamp"), F.lit(False))).drop("close_utc", "known")
+
+
+def epoch(key: Column) -> Column:
+    """Seconds of a UTC time written in 8, 12 or 14 digits."""
+    return F.unix_timestamp(F.rpad(key, 14, "0"), "yyyyMMddHHmmss")
+
+
+def needs(old: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Wanted history: old and asked (sym, start) -> (all wants, each symbol's earliest start; those to fetch: new or earlier)."""
+    both = old.unionByName(asked).groupBy("sym").agg(F.min("start").alias("start"))
+    return both, both.join(old.groupBy("sym").agg(F.min("start").alias("had")), "sym", "left").where("had is null or start < had").select("sym", "start")
+
+
+def positions(spark: SparkSession, path: str) -> DataFrame:
+    """A positions file ({"positions": [{prod, entry_date, entry_px, filled}]}) as (product, n, entry_date, cost, filled); n numbers a product's."""
+    row = "array<struct<prod:string,entry_date:string,entry_px:double,filled:int>>"
+    rows = spark.read.schema(f"positions {row}").json(path, multiLine=True).select(F.posexplode("positions").alias("at", "x"))
+    n = F.row_number().over(Window.partitionBy("x.prod").orderBy("at")) - 1
+    return rows.select(F.col("x.prod").alias("product"), n.alias("n"), "x.entry_date", F.col("x.entry_px").alias("cost"), F.coalesce("x.filled", F.lit(1)).alias("filled"))

@@ -15,10 +15,12 @@ BARS = "sym string, date string, open double, high double, low double, close dou
 
 
 class Hub:
-    """Versions of the bar store under `path`, verdict events under `path`/verdicts. A replayed batch changes nothing.
+    """A bar store under `path`/bars, verdict events under `path`/verdicts.
 
-    Batch n makes version n + 1 from the newest complete version below it, whichever hub wrote that; a path goes with one
-    checkpoint, whose restart goes on from the stored bars.
+    Batch n writes the whole days that it touches to bars/batch=n/date=...; a day's bars are those of the newest complete
+    batch that holds it. A replay of batch n reads only batches below n and writes the same again; a folder without its
+    completion marker counts for nothing. Of each day the newest two versions are kept, one for a replay. A path goes with
+    one checkpoint, whose restart goes on from the stored bars.
     """
 
     def __init__(self, spark: SparkSession, path: str, tree: dsl.Tree, book: str = "book", publish: Callable[[DataFrame], None] | None = None):
@@ -26,39 +28,59 @@ class Hub:
         pairs = [(s, book, p) for p in tree.products for s in tree.symbols(p)]
         self.subscriptions = spark.createDataFrame(pairs, "symbol string, book string, product string")
 
-    def version(self, most: int | None = None) -> int:
-        """The newest complete version in the store, of those up to `most`; 0: none."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = [s.getPath().getParent().getName() for s in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "bars-*/_SUCCESS")) or []]
-        numbers = [int(name[5:]) for name in found if name[5:].isdigit()]
-        return max((n for n in numbers if most is None or n <= most), default=0)
-
-    def bars(self, most: int | None = None) -> DataFrame:
-        version = self.version(most)
-        if not version:
+    def _folders(self, pattern: str) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p)
+        return [s.getPath().toString() for s in found or []]
+
+    def versions(self, below: int | None = None) -> dict[str, list[int]]:
+        """day -> the complete batches that hold it, newest first; of the batches below a number."""
+        numbers = [int(f.split("/batch=")[1].split("/")[0]) for f in self._folders("bars/batch=*/_SUCCESS")]
+        done = {n for n in numbers if below is None or n < below}
+        out: dict[str, list[int]] = {}
+        for f in self._folders("bars/batch=*/date=*"):
+            n, day = f.split("/batch=")[1].split("/date=")
+            if int(n) in done:
+                out.setdefault(day, []).append(int(n))
+        return {day: sorted(ns, reverse=True) for day, ns in out.items()}
+
+    def bars(self, below: int | None = None, days: list[str] | None = None) -> DataFrame:
+        """The store's bars as of the batches below a number; of some days alone."""
+        newest = {d: ns[0] for d, ns in self.versions(below).items() if days is None or d in days}
+        if not newest:
             return self.spark.createDataFrame([], BARS)
-        return self.spark.read.schema(BARS).parquet(f"{self.path}/bars-{version}")
+        paths = [f"{self.path}/bars/batch={n}/date={d}" for d, n in sorted(newest.items())]
+        names = [f.split(" ")[0] for f in BARS.split(", ")]
+        return self.spark.read.schema(BARS).option("basePath", f"{self.path}/bars").parquet(*paths).select(*names)
 
     def on_batch(self, batch: DataFrame, number: int) -> None:
-        old = self.bars(number)
         last = batch.groupBy("sym", "date").agg(F.max_by(F.struct(*S.FIELDS), "arrived").alias("b")).select("sym", "date", "b.*")
-        S.upsert(old, last).select(*old.columns).write.mode("overwrite").parquet(f"{self.path}/bars-{number + 1}")
-        new = self.bars(number + 1)
-        changed = S.changed_symbols(old, new)
+        days = [r["date"] for r in batch.select("date").distinct().collect()]  # the days of one tick or backfill
+        old = self.bars(number, days)
+        target = f"{self.path}/bars/batch={number}"
+        S.upsert(old, last).select(*old.columns).repartition("date").write.partitionBy("date").mode("overwrite").parquet(target)
+        changed = S.changed_symbols(old, self.bars(number + 1, days))
         products = [r["product"] for r in S.woken(changed, self.subscriptions).collect()]  # products of the tree: a bounded list
+        self._forget(days, number)
         if not products:
             return
-        newest = decisions(new, self.tree).where(F.col("product").isin(products)).groupBy("product").agg(F.max_by(F.struct("date", "close", "key"), "i").alias("v"))
+        symbols = sorted({x for p in products for x in self.tree.symbols(p)} | {p for p in self.tree.products})
+        newest = decisions(self.bars(number + 1).where(F.col("sym").isin(symbols)), self.tree).where(F.col("product").isin(products)).groupBy("product").agg(F.max_by(F.struct("date", "close", "key"), "i").alias("v"))
         events = newest.select(F.lit(self.book).alias("book"), "product", "v.*", F.lit(number).alias("batch"))
-        events.write.mode("overwrite").parquet(f"{self.path}/verdicts/batch={number}")
+        events.drop("batch").write.mode("overwrite").parquet(f"{self.path}/verdicts/batch={number}")
         if self.publish:
             try:
                 self.publish(events)
             except Exception as e:  # one reader's failure doesn't stop the others
                 print(f"publish failed: {e}")
 
+    def _forget(self, days: list[str], number: int) -> None:
+        """Drop the versions of the days that neither a reader nor a replay of this batch needs."""
+        for day, versions in self.versions(number).items():
+            for n in versions[1:] if day in days else []:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bars/batch={n}/date={day}")
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def start(self, source: DataFrame, checkpoint: str, interval: str | None = "15 seconds"):
         writer = source.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
