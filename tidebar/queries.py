@@ -349,7 +349,7 @@ _H = px("close") | {"tf": "1h"}
 h AS (SELECT sym, floor(epoch(ts) / 3600) AS t, arg_max(value, (ts, event_id)) AS close FROM atoms WHERE ts <= TIMESTAMP '{_ASOF}' GROUP BY 1, 2),
 axis AS (SELECT p.product, k.t, h.close, row_number() OVER (PARTITION BY p.product ORDER BY k.t) AS i FROM (SELECT DISTINCT product FROM daily) p, (SELECT DISTINCT t FROM h) k LEFT JOIN h ON h.sym = p.product AND h.t = k.t),
 v AS (SELECT *, close > {_lag('close')} AS up, {_strict('sum', 'close', 3)} AS sum3 FROM axis), tip AS (SELECT * FROM v QUALIFY t = max(t) OVER ()),
-c AS (SELECT d.*, row_number() OVER (PARTITION BY d.product ORDER BY d.date) AS i, strftime(to_timestamp(tip.t) AT TIME ZONE 'UTC', '%Y%m%d') AS day, up, sum3 FROM daily d JOIN tip USING (product)),
+c AS (SELECT d.*, row_number() OVER (PARTITION BY d.product ORDER BY d.date) AS i, strftime(to_timestamp(tip.t * 3600) AT TIME ZONE 'UTC', '%Y%m%d') AS day, up, sum3 FROM daily d JOIN tip USING (product)),
 r AS (SELECT *, coalesce(max(CASE WHEN date = day THEN i END) OVER (PARTITION BY product), max(i) OVER (PARTITION BY product)) AS here FROM c)
 SELECT product, date, CASE WHEN i = here THEN up END AS up, round(CASE WHEN i = here THEN sum3 END, 4) AS sum3 FROM r""")
 def intraday_collapse(spark, sf_dir):
