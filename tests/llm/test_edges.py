@@ -97,6 +97,42 @@ def test_vectors(spark):
     assert vectors.near_vectors(frame.where("false")).count() == 0
 
 
+def test_tables_and_sketches_keep_links(spark, monkeypatch):
+    """Pairs at cosine 0.901, by buckets of several cells, in one block and in many; none below 0.9 is linked."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((400, 32))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = np.where(np.arange(400) % 2, 0.901, 0.897)[:, None]
+    v = np.concatenate((x, cosine * x + np.sqrt(1 - cosine**2) * y)).astype(np.float32)
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "vec_id long, embedding array<float>").repartition(3)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    for block in (2048, 64):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(frame, k=3, miss=1e-6).collect()}
+        assert [got[i] for i in range(800)] == near.tolist()
+    assert sum(near) == 400
+
+
+def test_shape_of_tables():
+    """The share of pairs at the threshold that meet in some table, drawn, is as calculated; cells grow with the input."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((20_000, 16))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    k, tables = vectors.shape(50_000, 0.9, miss=0.05)
+    met = (vectors.bucket_keys(x, k, tables) == vectors.bucket_keys(y, k, tables)).any(axis=1)
+    assert 0.94 < met.mean() < 0.99
+    assert (np.bitwise_count(vectors.sketches(x) ^ vectors.sketches(y)).sum(axis=1) <= vectors.sketch_limit(0.9)).mean() > 0.999
+    assert [vectors.shape(n, 0.9)[0] for n in (0, 1000, 10**6, 10**9)] == [1, 1, 10, 20]
+    assert vectors.shape(10, 1.0)[1] == 1
+
+
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
     rng = np.random.default_rng(4)
