@@ -5,8 +5,8 @@ bucket, `tables` buckets hash a vector. k grows with the logarithm of the number
 unrelated (orthogonal) vectors share a bucket at every size; the tables follow from k, so that a pair exactly at the
 threshold misses all of them with MISS at most, closer pairs less.
 
-Buckets are met twice. First with a sketch of each vector, the signs of 128 random projections: a vector without another
-whose sketch is near its own (sketch_limit; a pair exactly at cosine 0.9 is missed so with 2.5e-6, closer pairs less, at
+Buckets are met twice. First with a sketch of each vector, the signs of 192 random projections: a vector without another
+whose sketch is near its own (sketch_limit; a pair exactly at cosine 0.9 is missed so with 3.2e-6, closer pairs less, at
 a threshold of 0.999 with 1e-4) goes no further. The others travel whole and are compared by cosine in double precision.
 A pair is counted in the first table where it meets. Equal vectors are one class with a size; buckets beyond BLOCK vectors are
 compared block against block, so neither pairs are emitted nor a group is unbounded.
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .components import components, groups, spanning_forest
 from .shared import cut, partitions
 
-WIDTH, BUCKET, BLOCK, MISS, BITS, TILE = 2.0, 1024, 2048, 7e-4, 128, 256
+WIDTH, BUCKET, BLOCK, MISS, BITS, TILE = 2.0, 1024, 2048, 7e-4, 192, 256
+WORDS = [f"s{i}" for i in range(BITS // 64)]
 
 
 def cell_probability(distance: float, width: float) -> float:
@@ -69,7 +70,7 @@ def bucket_keys(vectors: np.ndarray, k: int, tables: int, width: float = WIDTH)
 
 
 def sketches(vectors: np.ndarray) -> np.ndarray:
-    """(n x 2) 64-bit words of signs."""
+    """(n x WORDS) 64-bit words of signs."""
     return np.packbits(vectors @ _signs(vectors.shape[1]) > 0, axis=1).view(np.uint64)
 
 
@@ -136,24 +137,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def hashed(batches):
         for batch in batches:
-            keys, sketch = np.zeros((batch.num_rows, tables), np.int32), np.zeros((batch.num_rows, 2), np.uint64)
+            keys, sketch = np.zeros((batch.num_rows, tables), np.int32), np.zeros((batch.num_rows, len(WORDS)), np.uint64)
             for own, v in matrices(batch.column("v")):
                 keys[own], sketch[own] = bucket_keys(v, k, tables, width), sketches(v)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("dim"), pa.array(np.ascontiguousarray(sketch[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(sketch[:, 1]).view(np.int64)), lists], names=["cid", "dim", "s0", "s1", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("dim"), lists, *map(pa.array, sketch.T.copy().view(np.int64))], names=["cid", "dim", "keys", *WORDS])
 
-    met = classes.select("cid", F.size("v").alias("dim"), "v").mapInArrow(hashed, "cid long, dim int, s0 long, s1 long, keys array<int>").select("cid", "dim", "s0", "s1", F.posexplode("keys").alias("t", "bucket"))
+    met = classes.select("cid", F.size("v").alias("dim"), "v").mapInArrow(hashed, "cid long, dim int, keys array<int>, " + ", ".join(f"{w} long" for w in WORDS)).select("cid", "dim", *WORDS, F.posexplode("keys").alias("t", "bucket"))
     large = cut(met.groupBy("t", "bucket", "dim").count().where(F.col("count") > BLOCK), "large-buckets")
     blocks = F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1))
-    placed = met.join(large, ["t", "bucket", "dim"], "left").select("t", "bucket", "dim", "cid", "s0", "s1", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    placed = placed.select("t", "bucket", "dim", "cid", "s0", "s1", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    placed = met.join(large, ["t", "bucket", "dim"], "left").select("t", "bucket", "dim", "cid", *WORDS, F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.select("t", "bucket", "dim", "cid", *WORDS, "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
     group = ["t", "bucket", "dim", "bi", "bj"]
 
     def sift(batches):
         for (_, _, _, bi, bj), g in groups(batches, group):
             if g.num_rows > 1:
                 own = g["own"].to_numpy()
-                some = plausible(np.stack((g["s0"].to_numpy(), g["s1"].to_numpy()), axis=1).view(np.uint64), own, bi != bj, limit)
+                some = plausible(np.stack([g[w].to_numpy() for w in WORDS], axis=1).view(np.uint64), own, bi != bj, limit)
                 if some.any():
                     yield from g.select([*group, "cid", "own"]).filter(pa.array(some)).to_batches()
 
