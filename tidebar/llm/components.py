@@ -1,6 +1,6 @@
 """Connected components of a table of links, distributed.
 
-Each partition first reduces its links to stars by union-find; rounds of large-star and small-star then join every node to
+Each partition first reduces its links to stars by union-find, a bounded number of nodes at a time; rounds of large-star and small-star then join every node to
 the least node of its component, until all links form stars. A round's tables are written in as many files as their size
 asks for, not in one for each shuffle partition.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .shared import cut, drop, partitions
 
 LINKS_PER_TASK = 100_000
+NODES_AT_ONCE = 1_000_000  # of one union-find; its stars are then written and a new one begins
 
 
 class Forest:
@@ -76,15 +77,24 @@ def groups(batches, keys: list[str]):
         yield held_key, pa.Table.from_batches(held).combine_chunks()
 
 
-def _local_stars(batches):
-    """Links of one partition -> a link from each node to the least node that it reaches in the partition."""
+def _stars_of(forest: Forest) -> pa.RecordBatch:
+    pairs = np.array([(x, forest.find(x)) for x in list(forest.parent)], np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _local_stars(batches, most: int = NODES_AT_ONCE):
+    """Links of one partition -> a link from each node to the least node that it reaches in a stretch of the partition.
+
+    A stretch ends after the batch in which its nodes exceed `most`; later rounds join what stretches have in common.
+    """
     forest = Forest()
     for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             forest.union(a, b)
-    nodes = list(forest.parent)
-    pairs = np.array([(x, forest.find(x)) for x in nodes], np.int64).reshape(-1, 2)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if len(forest.parent) > most:
+            yield _stars_of(forest)
+            forest = Forest()
+    yield _stars_of(forest)
 
 
 def _stars(edges: DataFrame) -> bool:
