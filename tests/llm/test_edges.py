@@ -9,11 +9,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidebar.llm import exact, langid, minhash, mixing, packing, pii, secrets, suffix, token_io, vectors
-from tidebar.llm.components import components
+from tidebar.llm.components import _local_stars, components
 from tidebar.llm.queries import tokenizer
 from tidebar.llm.shared import fresh_path
 
@@ -175,10 +176,12 @@ def test_minhash(spark, docs, empty, size):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_minhash_loses_no_link_in_a_large_group(spark):
+@pytest.mark.parametrize("items", [minhash.ITEMS, 600])
+def test_minhash_loses_no_link_in_a_large_group(spark, monkeypatch, items):
     """A chain of texts, each near its neighbours only, and many near copies: components need links beside the star."""
     rng = random.Random(5)
     words = [f"w{k}" for k in range(2000)]
+    monkeypatch.setattr(minhash, "ITEMS", items)  # blocks of five texts, where it is 600
     texts, base = {}, words[:120]
     for i in range(40):
         texts[i] = " ".join(base)
@@ -213,6 +216,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stretches_of_links_keep_components():
+    rng = random.Random(3)
+    links = [(rng.randrange(400), rng.randrange(400, 800)) for _ in range(500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in links[i : i + 20]]) for k in (0, 1)], names=["a", "b"]) for i in range(0, 500, 20)]
+    stars = list(_local_stars(batches, most=50))
+    assert len(stars) > 5 and max(b.num_rows for b in stars) <= 50 + 40
+    nodes = sorted({x for p in links for x in p})
+    assert closure(nodes, [(a, b) for x in stars for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]) == closure(nodes, links)
+
+
 def whole_ids(text, name, end):
     from tokenizers import Tokenizer
 

@@ -8,7 +8,8 @@ grouped by union-find.
 
 Buckets are not expanded into pairs. First, all members are compared with one member of the bucket, that which shares
 buckets with most others. Buckets whose members then still lie in several components are compared in full inside tasks,
-block against block, and yield a spanning forest of their links: no link between components is lost.
+block against block, and yield a spanning forest of their links: no link between components is lost. A block is bounded in
+sets and in shingles, so a bucket of long texts is cut into more of them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .shared import cut, partitions, slices
 
 BANDS, ROWS = 40, 5  # at similarity 0.8 all bands miss with (1 - 0.8 ** 5) ** 40 = 1e-7
 CHUNK = 1 << 15
-BLOCK = 1024  # sets compared in one task at a time, against as many
+BLOCK, ITEMS = 1024, 1 << 20  # sets, and about as many shingles, compared in one task at a time against another such block
 GOLDEN, M1, M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -150,7 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("n > 0").groupBy("print").agg(F.min(F.struct("id", "sha")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes.select("print", "least.id", "least.sha", "n", "bands").withColumn("cid", F.monotonically_increasing_id()), "set-classes")
     met = classes.select("cid", "n", F.explode("bands").alias("bucket"))
-    full = cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "full-buckets")
+    blocks = F.least(F.count(F.lit(1)), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / ITEMS))).cast("int")
+    full = cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), blocks.alias("blocks")).where("c > 1"), "full-buckets")
     members = cut(met.join(full, "bucket"), "members")
     ranked = members.join(cut(members.groupBy("cid").agg(F.sum("c").alias("reach")), "reach"), "cid")
     first = cut(ranked.groupBy("bucket").agg(F.max(F.struct("reach", "cid", "n")).alias("p")).select("bucket", F.col("p.cid").alias("pivot"), F.col("p.n").alias("np")), "bucket-pivots")
@@ -169,10 +171,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where("cid <> pivot").select("pivot", "cid", "n", "np").distinct()
     links = verified(star.select(F.col("pivot").alias("a"), F.col("cid").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")))
     labels = cut(components(links), "labels")
-    now = cut(members.join(labels, members["cid"] == labels["node"], "left").select("bucket", "cid", "c", F.coalesce("component", "cid").alias("label")), "labelled")
+    now = cut(members.join(labels, members["cid"] == labels["node"], "left").select("bucket", "cid", "c", "blocks", F.coalesce("component", "cid").alias("label")), "labelled")
     split = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    placed = now.where("c > 2").join(cut(split, "split-buckets"), "bucket").select("bucket", "cid", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = now.where("c > 2").join(cut(split, "split-buckets"), "bucket").select("bucket", "cid", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = cut(placed.select("bucket", "cid", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")), "split-members")
     group = ["bucket", "bi", "bj"]
 
