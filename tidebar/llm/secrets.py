@@ -43,6 +43,7 @@ MORE = [
 ]
 RULES = BASE + MORE
 
+
 def scan(text: str, rules: list[Rule]) -> list[dict]:
     found = [(a, k, b, r.version) for k, r in enumerate(rules) for a, b in r.spans(text)]
     return [{"rule": v, "start": a, "end": b} for a, _, b, v in sorted(found)]
