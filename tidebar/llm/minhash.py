@@ -27,7 +27,7 @@ from .shared import cut, partitions, slices
 
 BANDS, ROWS = 40, 5  # at similarity 0.8 all bands miss with (1 - 0.8 ** 5) ** 40 = 1e-7
 CHUNK = 1 << 15
-BLOCK, ITEMS = 1024, 1 << 20  # sets, and about as many shingles, compared in one task at a time against another such block
+BLOCK, ITEMS = 1024, 1 << 21  # sets, and about as many shingles, compared in one task at a time against another such block
 GOLDEN, M1, M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
