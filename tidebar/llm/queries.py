@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, minhash, mixing, packing, pii, secrets, suffix, token_io, vectors
+from . import alignment, codes, exact, langid, minhash, mixing, packing, pii, reputation, secrets, suffix, token_io, vectors
 from .shared import fresh_path
 
 
@@ -88,7 +88,21 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_vectors, op3_minhash, op4_packing, op5_pii, op6_mixing, op7_token_io, op8_exact, op9_langid, op10_suffix)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), with_groups=False).drop("groups")
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_vectors, op3_minhash, op4_packing, op5_pii, op6_mixing, op7_token_io, op8_exact, op9_langid, op10_suffix, op11_alignment, op12_codes, op13_url_filter)}
 
 _FOLDED = f"translate(coalesce(text, ''), '{exact.UPPER}', '{exact.LOWER}')"
 _COMPONENTS = """
@@ -115,4 +129,6 @@ SELECT n.id AS doc_id, len(n.s)::BIGINT AS n_shingles, l.component_id, n.id = l.
     "op8_exact": f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, {_FOLDED} AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+    "op12_codes": codes.ORACLE,
+    "op13_url_filter": reputation.ORACLE,
 }

@@ -9,6 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 _MADE: list[list[str]] = []  # tables cut in each settled() that is under way
@@ -58,6 +59,17 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def joined_by(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+    """rows joined from the left with a table that has one row for each key, and in `weight` the number of rows with it.
+
+    Keys that more than one in `share` of all `total` rows have, at most `share` of them, are broadcast; the rest is shuffled
+    by key without their rows, so that no task gets a hot key. Keys aren't null.
+    """
+    hot = F.broadcast(table.where(F.col(weight) * share > total))
+    rest = rows.join(F.broadcast(table.where(F.col(weight) * share > total).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.where(F.col(weight) * share <= total), key, "left"))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
