@@ -264,9 +264,9 @@ def test_stream_replay_equals_batch(spark, tmp_path):
         spark.createDataFrame(r, schema).coalesce(1).write.parquet(path)
         source = spark.readStream.schema(schema).parquet(path)
         hub.on_batch(spark.read.schema(schema).parquet(path), n) if n else hub.start(source, str(tmp_path / "check"), None).awaitTermination()
-    events = {(r["batch"], r["product"]) for r in hub.verdicts().collect()}
+    events = {(r["batch"], r["product"]) for r in hub.events().collect()}
     assert events == {(0, "A"), (0, "Z"), (1, "A"), (2, "A"), (4, "A"), (4, "Z")}
-    last = {r["product"]: r["key"] for r in sorted(hub.verdicts().collect(), key=lambda r: r["batch"])}
+    last = {r["product"]: r["key"] for r in hub.verdicts().collect()}
     batch = {r["product"]: r["key"] for r in sorted(decisions(hub.bars(), tree).collect(), key=lambda r: r["i"])}
     assert last == batch
 
@@ -281,19 +281,21 @@ def test_hub_goes_on_after_a_restart(spark, tmp_path):
         spark.createDataFrame([bar(date, x)], schema).coalesce(1).write.mode("append").parquet(folder)
         Hub(spark, path, tree).start(spark.readStream.schema(schema).parquet(folder), str(tmp_path / "check"), None).awaitTermination()
     hub = Hub(spark, path, tree)
-    state = lambda: (sorted((r["date"], r["close"]) for r in hub.bars().collect()), sorted((r["batch"], r["date"], r["key"]) for r in hub.verdicts().collect()))
+    state = lambda: (sorted((r["date"], r["close"]) for r in hub.bars().collect()), sorted((r["batch"], r["date"], r["key"]) for r in hub.events().collect()))
     before = state()
     assert before[0] == [("20210101", 1.0), ("20210102", 2.0), ("20210103", 3.0)] and [b for b, *_ in before[1]] == [0, 1, 2]
     assert before[1][2][2] == before[1][1][2] != before[1][0][2]  # known from the second bar on
     Hub(spark, path, tree).on_batch(spark.createDataFrame([bar("20210103", 3.0)], schema), 2)
     assert state() == before
-    os.makedirs(f"{path}/bars/batch=9/date=20210103")  # a batch that was never completed
+    os.makedirs(f"{path}/bars/batch=9/month=202101")  # a batch that was never completed
     assert state() == before
-    assert sorted(os.listdir(f"{path}/bars/batch=2")) == ["_SUCCESS", "date=20210103"] or "date=20210101" not in os.listdir(f"{path}/bars/batch=2")
     for k in range(3, 7):
         hub.on_batch(spark.createDataFrame([bar("20210103", float(k))], schema), k)
         assert {r["date"]: r["close"] for r in hub.bars().collect()}["20210103"] == k
-    assert hub.versions()["20210103"] == [6, 5] and hub.versions()["20210101"] == [0]  # one more for a replay, older ones gone
+    assert hub.commits() == [5, 6] and [x for x in sorted(os.listdir(f"{path}/bars")) if x.startswith("batch")] == ["batch=5", "batch=6", "batch=9"]  # one more for a replay, older ones gone
+    assert [x for x in sorted(os.listdir(f"{path}/verdicts"))] == ["batch=5", "batch=6"]
+    hub.on_batch(spark.createDataFrame([bar("20210103", 6.0)], schema), 7)  # nothing new: nothing written
+    assert hub.commits() == [5, 6] and not os.path.exists(f"{path}/bars/batch=7")
 
 
 def test_hub_killed_before_the_verdicts(spark, tmp_path, monkeypatch):
@@ -301,7 +303,7 @@ def test_hub_killed_before_the_verdicts(spark, tmp_path, monkeypatch):
     tree = dsl.Tree(dsl.synthetic({"A": {}}, dsl.rule("b", dsl.BUY, {"gt": [C, {"lag": [C, 1]}]})))
     batch = spark.createDataFrame([("A", f"2021010{d}", *[float(d)] * 4, 1.0, d) for d in (1, 2)], f"{BARS}, arrived long")
     hub = Hub(spark, str(tmp_path / "hub"), tree)
-    monkeypatch.setattr("tidebar.streaming.hub.decisions", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    monkeypatch.setattr("tidebar.streaming.hub.decisions", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
     with pytest.raises(RuntimeError):
         hub.on_batch(batch, 0)
     monkeypatch.undo()

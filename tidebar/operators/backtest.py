@@ -156,12 +156,13 @@ def trades(bars: DataFrame, tree: dsl.Tree) -> DataFrame:
     """The walk's trades of every product. Conditions without a position are columns; only the rest runs in the walk, one
     product's days at a time. A later tranche without a condition or with an unknown ratio is never bought."""
     more: dict[str, object] = {}
-    rules = {p: ([{**r, "when": split_residual(r["when"], more)} for r in tree.sells(p)], [{**t, "when": split_residual(t["when"], more)} for t in tree.tranches(p)]) for p in tree.products}
+    rules = [([{**r, "when": split_residual(r["when"], more)} for r in tree.sells(ps[0])], [{**t, "when": split_residual(t["when"], more)} for t in tree.tranches(ps[0])]) for ps in tree.kinds]
+    kind_of = tree.kind_of
     rows = signal_starts(decisions(bars, tree, more=more)).withColumn("start", F.col("start") & (F.col("key") == "buy")).select("product", "i", "date", "open", "close", "weight", "start", *more)
 
     def run(days: pd.DataFrame) -> pd.DataFrame:
         product = days["product"].iloc[0]
-        found = walk_trades(days.sort_values("i", ignore_index=True), product, *rules[product])
+        found = walk_trades(days.sort_values("i", ignore_index=True), product, *rules[kind_of[product]])
         return pd.DataFrame(found, columns=[x.split(" ")[0] for x in TRADE.split(", ")])
 
     return rows.groupBy("product").applyInPandas(run, TRADE)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +42,12 @@ class Plan:
 class Compiler:
     """manual: value of manual leaves (True, False or None for unknown), turned round below each not; answers:
     {(product, key): value} beat it and are not turned. base: {(sym, field): column of the frame}; settled: {sym: column
-    that says whether a day's bar is settled}."""
+    that says whether a day's bar is settled}; named: the column that has the product's name, where `product`, by which
+    windows part, is more than that."""
 
-    def __init__(self, base: dict[tuple[str, str], str], products: list[str], manual: bool | None = None, answers: dict | None = None, settled: dict[str, str] | None = None, prefix: str = "n"):
+    def __init__(self, base: dict[tuple[str, str], str], products: list[str], manual: bool | None = None, answers: dict | None = None, settled: dict[str, str] | None = None, prefix: str = "n", named: str = "product"):
         self.base, self.products, self.answers, self.settled, self.prefix = base, products, answers or {}, settled or {}, prefix
-        self.manual = manual
+        self.manual, self.named = manual, named
         self.plan = Plan()
         self.nodes: dict[str, Node] = {}
 
@@ -60,7 +62,7 @@ class Compiler:
     def node(self, expr: object, manual: bool | None = ...) -> Node:
         manual = self.manual if manual is ... else manual
         polar = manual if any(dsl.is_manual(n) for n in dsl.walk(expr)) else None
-        key = json.dumps([dsl.strip_meta(expr), [n.get("on") for n in dsl.walk(expr)], polar], sort_keys=True, ensure_ascii=False)
+        key = json.dumps([dsl.bare(expr), [n.get("on") for n in dsl.walk(expr)], polar], ensure_ascii=False)
         if key not in self.nodes:
             self.nodes[key] = self._settle(expr, self._make(expr, manual))
         return self.nodes[key]
@@ -96,9 +98,9 @@ class Compiler:
 
     def _answer(self, key: str, manual: bool | None) -> Column:
         out = F.lit(manual).cast("boolean")
-        for (product, k), value in self.answers.items():
-            if k == key:
-                out = F.when(F.col("product") == product, F.lit(value)).otherwise(out)
+        for value in (True, False):
+            if own := [p for (p, k), v in self.answers.items() if k == key and v is value]:
+                out = F.when(F.col(self.named).isin(own), value).otherwise(out)
         return out
 
     def _make(self, expr: object, manual: bool | None) -> Node:
@@ -165,7 +167,7 @@ class Compiler:
             n = self._since(op, v, manual)
         if expr.get("on"):
             off = F.lit(True) if n.kind == BOOL else F.lit(None).cast("double")
-            n = self.add(F.when(F.col("product").isin(expr["on"]), F.col(n.name)).otherwise(off), BOOL if n.kind == BOOL else NUM, n.depth + 1)
+            n = self.add(F.when(F.col(self.named).isin(expr["on"]), F.col(n.name)).otherwise(off), BOOL if n.kind == BOOL else NUM, n.depth + 1)
         return n
 
     def _since(self, op: str, v: object, manual) -> Node:
@@ -197,8 +199,8 @@ def calendar(bars: DataFrame, products: dict[str, dict], exprs: list[object], cl
     frame = bars.where(F.col("sym").isin(names)).select(F.col("sym").alias("product"), "date", *[L.number(F.col(f)).alias(f"self_{f}") for f in dsl.FIELDS])
     frame = frame.withColumn("i", F.row_number().over(L.Window.partitionBy("product").orderBy("date")) - 1)
     if "$index" in others:
-        index = F.create_map(*[F.lit(x) for p in names for x in (p, products[p].get("index") or "")])
-        frame = frame.withColumn("index_sym", index[F.col("product")])
+        roles = bars.sparkSession.createDataFrame([(p, products[p].get("index") or "") for p in names], "product string, index_sym string")
+        frame = frame.join(F.broadcast(roles), "product")  # a row for each of the tree's products
     base = {("$self", f): f"self_{f}" for f in dsl.FIELDS}
     tags = {"$self": "self"}
     for sym in sorted(others):
@@ -256,6 +258,7 @@ def intraday(frame: DataFrame, atoms: DataFrame | None, products: dict[str, dict
         return frame, out
     if atoms is None:
         raise dsl.RuleError("intraday leaves need atoms")
+    spark = frame.sparkSession
     for tf in sorted({t for t, _ in parts.values()}):
         own = {k: _daily_leaves(e) for k, (t, e) in parts.items() if t == tf}
         names = {n["sym"] for e in own.values() for n in dsl.walk(e) if "px" in n}
@@ -263,9 +266,13 @@ def intraday(frame: DataFrame, atoms: DataFrame | None, products: dict[str, dict
         known = atoms.where(F.col("sym").isin(sorted(wanted)))
         bars = resample(known if asof is None else known.where(F.col("ts") <= F.lit(asof).cast("timestamp")), tf)
         bars = bars.select("sym", F.date_format("ts", "yyyyMMddHHmmss").alias("date"), *dsl.FIELDS)
-        # every product has a row at every time of any symbol
-        axis = bars.select("date").distinct().withColumn("sym", F.explode(F.array(*map(F.lit, products))))
-        found = evaluate(axis.join(bars, ["sym", "date"], "left"), products, own, manual, answers)
+        # the axis are the times of all symbols; of these the value at the last one depends on the last few alone
+        times = bars.select("date").distinct().orderBy(F.col("date").desc()).limit(1 + max(map(reach, own.values())))
+        times = times.agg(F.collect_list("date").alias("dates")).select(F.lit(0).alias("one"), "dates", F.array_min("dates").alias("least"))
+        axis = spark.createDataFrame([(p, 0) for p in products], "sym string, one int").join(F.broadcast(times), "one").select("sym", F.explode("dates").alias("date"))
+        late = bars.withColumn("one", F.lit(0)).join(F.broadcast(times.select("one", "least")), "one").where("date >= least").select(*bars.columns)
+        others = late.where(~F.col("sym").isin(list(products)))
+        found = evaluate(axis.join(late, ["sym", "date"], "left").unionByName(others), products, own, manual, answers)
         last = found.groupBy("product").agg(F.max("date").alias("at"), *[F.max_by(k, "date").alias(k) for k in own])
         day = F.substring("at", 1, 8)
         frame = frame.join(last, "product", "left")
@@ -275,6 +282,17 @@ def intraday(frame: DataFrame, atoms: DataFrame | None, products: dict[str, dict
     return frame, out
 
 
+def reach(node: object) -> int:
+    """How many bars before a bar its value can depend on."""
+    if not isinstance(node, dict):
+        return 0
+    op = dsl.op_of(node)
+    inner = max(map(reach, dsl.children(node)), default=0)
+    if op in (*dsl.SINCE, "barssince"):
+        return inner + L.STREAK_CAP
+    return inner + node[op][1] if op in (*dsl.WINDOW, "lag") and node[op][1] != dsl.UNKNOWN else inner
+
+
 def _daily_leaves(node: object) -> object:
     if isinstance(node, dict):
         return {k: _daily_leaves(v) for k, v in node.items() if k != "tf"}
@@ -294,49 +312,74 @@ def evaluate(bars: DataFrame, products: dict[str, dict], exprs: dict[str, object
     return out.select("product", "i", "date", *[f"self_{f}" for f in dsl.FIELDS], *[c for _, c in sorted(settled_columns(base).items())], *[value(n).alias(k) for k, n in nodes.items()])
 
 
+#: Kinds of products, each with rules of its own, that one plan judges; more are judged by several plans.
+KINDS = 24
+
+
 def decisions(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None, closes: DataFrame | None = None, asof=None, atoms: DataFrame | None = None, more: dict[str, object] | None = None) -> DataFrame:
     """A grade per product and day: (product, i, date, open, close, key, opt/pes block and buy, weight and the weights with
     manual leaves true and false, confirmed, warmup), and the columns of `more`, {name: expression}.
 
     Manual leaves are taken as favourable in the opt columns and as unfavourable in the pes columns. confirmed: the last
-    index that all symbols of the product have settled, -1 without one.
+    index that all symbols of the product have settled, -1 without one. The plan's size follows the kinds of products (sets
+    of rules that concern them), not their number.
     """
     more = more or {}
-    gates = {(p, do): tree.gate(p, do) for p in tree.products for do in (dsl.BLOCK, dsl.BUY)}
-    weight = {p: tree.weight(p) for p in tree.products if tree.weight(p) is not None}
-    frame, base = calendar(bars, tree.products, [*(e for p in tree.products for _, _, e in tree.expressions(p)), *more.values()], closes, asof)
-    frame, out = intraday(frame, atoms, tree.products, {**{f"g{k}": e for k, e in enumerate(gates.values())}, **{f"w{p}": e for p, e in weight.items()}}, None, answers, asof) if any(dsl.atom_symbols(e) for e in [*gates.values(), *weight.values()]) else (frame, None)
-    if out is not None:
-        gates, weight = {k: out[f"g{n}"] for n, k in enumerate(gates)}, {p: out[f"w{p}"] for p in weight}
+    if len(tree.kinds) > KINDS:
+        few = [[p for k in tree.kinds[n : n + KINDS] for p in k] for n in range(0, len(tree.kinds), KINDS)]
+        return reduce(DataFrame.unionByName, [decisions(bars, tree.only(ps), answers, closes, asof, atoms, more) for ps in few])
+    first = [ps[0] for ps in tree.kinds]
+    gates = {(k, do): tree.gate(p, do) for k, p in enumerate(first) for do in (dsl.BLOCK, dsl.BUY)}
+    weight = {k: w for k, p in enumerate(first) if (w := tree.weight(p)) is not None}
+    daily = {k: {n["sym"] for do in (dsl.BLOCK, dsl.BUY) for n in dsl.walk(gates[k, do]) if "px" in n and n.get("tf", "1d") == "1d"} or {"$self"} for k in range(len(first))}
+    frame, base = calendar(bars, tree.products, [*(e for p in first for _, _, e in tree.expressions(p)), *more.values()], closes, asof)
+    if any(dsl.atom_symbols(e) for e in [*gates.values(), *weight.values()]):
+        names = {**{f"g{n}": k for n, k in enumerate(gates)}, **{f"w{k}": k for k in weight}}
+        frame, out = intraday(frame, atoms, tree.products, {n: gates[k] if n[0] == "g" else weight[k] for n, k in names.items()}, None, answers, asof)
+        gates, weight = {k: out[n] for n, k in names.items() if n[0] == "g"}, {k: out[n] for n, k in names.items() if n[0] == "w"}
     # one compiler: without manual leaves below, the views of a condition are one node
     compiler = Compiler(base, list(tree.products), None, answers, settled_columns(base))
-    columns = {f"{view}_{name}": {p: compiler.node(gates[p, do], good if do == dsl.BUY else not good) for p in tree.products} for view, good in (("opt", True), ("pes", False)) for do, name in ((dsl.BLOCK, "block"), (dsl.BUY, "buy"))}
-    weights = {name: {p: compiler.node(e, m) for p, e in weight.items()} for name, m in (("weight", None), ("weight_yes", True), ("weight_no", False))}
+    columns = {f"{view}_{name}": [compiler.node(gates[k, do], good if do == dsl.BUY else not good).name for k in range(len(first))] for view, good in (("opt", True), ("pes", False)) for do, name in ((dsl.BLOCK, "block"), (dsl.BUY, "buy"))}
+    weights = {name: [compiler.node(weight[k], m).name if k in weight else None for k in range(len(first))] for name, m in (("weight", None), ("weight_yes", True), ("weight_no", False))}
     extra = {k: compiler.node(e, False) for k, e in more.items()}
+    frame = with_kinds(frame, tree)
     frame = compiler.plan.build(frame)
-
-    def by_product(per: dict, kind: str) -> Column:
-        out = F.lit(None).cast(kind)
-        for p, n in per.items():
-            out = F.when(F.col("product") == p, F.col(n.name) if isinstance(n, Node) else F.lit(n) if not isinstance(n, Column) else n).otherwise(out)
-        return out
-
     confirmed, flags = F.col("i"), settled_columns(base)
     if flags:
         frame = frame.select("*", *[F.max(F.when(F.col(c), F.col("i"))).over(L.up_to()).alias(f"last_{c}") for c in flags.values()])
-
-        def least(p: str) -> Column:
-            used = {n["sym"] for do in (dsl.BLOCK, dsl.BUY) for n in dsl.walk(tree.gate(p, do)) if "px" in n and n.get("tf", "1d") == "1d"} or {"$self"}
-            lasts = [F.col(f"last_{flags[x]}") for x in sorted(used)]
-            return F.array_min(F.array(*[F.coalesce(c, F.lit(-1)) for c in lasts]))
-
-        confirmed = by_product({p: least(p) for p in tree.products}, "int")
-    frame = frame.select("*", *[by_product(per, "boolean").alias(k) for k, per in columns.items()], *[by_product(per, "double").alias(k) for k, per in weights.items()], F.coalesce(confirmed, F.lit(-1)).alias("confirmed"), by_product({p: tree.warmup(p) for p in tree.products}, "int").alias("warmup"))
+        frame = frame.select("*", *[F.array_min(F.array(*[F.coalesce(f"last_{flags[x]}", F.lit(-1)) for x in sorted(own)])).alias(f"confirmed_{k}") for k, own in daily.items()])
+        confirmed = by_kind([f"confirmed_{k}" for k in daily], "int")
+    warmups = [tree.warmup(p) for p in first]
+    warmup = reduce(lambda c, n: c.when(F.col("kind").isin([k for k, w in enumerate(warmups) if w == n]), n), sorted({*warmups}), F.when(F.lit(False), 0))
+    frame = frame.select("*", *[by_kind(names, "boolean").alias(k) for k, names in columns.items()], *[by_kind(names, "double").alias(k) for k, names in weights.items()], F.coalesce(confirmed, F.lit(-1)).alias("confirmed"), warmup.alias("warmup"))
     buy = F.col("opt_block").eqNullSafe(F.lit(False)) & F.col("opt_buy").eqNullSafe(F.lit(True))
     key = F.when(F.col("confirmed") < F.col("warmup"), "unknown").when(buy, "buy").otherwise("avoid")
     return frame.select("product", "i", "date", F.col("self_open").alias("open"), F.col("self_close").alias("close"), key.alias("key"), *columns, *weights, "confirmed", "warmup", *[F.col(n.name).alias(k) for k, n in extra.items()])
 
 
+def with_kinds(frame: DataFrame, tree: dsl.Tree) -> DataFrame:
+    """frame with `kind`: which of the tree's kinds of products a row's product is."""
+    if len(tree.kinds) == 1:
+        return frame.withColumn("kind", F.lit(0))
+    table = frame.sparkSession.createDataFrame(list(tree.kind_of.items()), "product string, kind int")
+    return frame.join(F.broadcast(table), "product")  # a row for each of the tree's products
+
+
+def by_kind(names: list[str | None], kind: str) -> Column:
+    """For each row, the column that is named for its kind of product; null without one."""
+    kinds: dict[str, list[int]] = {}
+    for k, name in enumerate(names):
+        if name is not None:
+            kinds.setdefault(name, []).append(k)
+    if len(kinds) == 1 and None not in names:
+        return F.col(next(iter(kinds)))
+    out = None
+    for name, own in kinds.items():
+        test = F.col("kind").isin(own)
+        out = F.when(test, F.col(name)) if out is None else out.when(test, F.col(name))
+    return F.lit(None).cast(kind) if out is None else out.cast(kind)
+
+
 def weight_alternatives(graded: DataFrame) -> DataFrame:
     """graded with `alternatives`: where manual leaves leave the weight unknown, the sorted distinct weights they allow."""
     alt = F.array_sort(F.array_distinct(F.array_compact(F.array("weight_yes", "weight_no"))))

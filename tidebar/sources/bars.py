@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,10 @@ def daily(atoms: DataFrame) -> DataFrame:
     return resample(atoms, "1d").select("sym", F.date_format("ts", "yyyyMMdd").alias("date"), *FIELDS)
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old and new bars; for a (sym, date) in both, the new one. Nothing is ever deleted."""
+def upsert(old: DataFrame, new: DataFrame, key: str = "date") -> DataFrame:
+    """Old and new bars; for a symbol and date (or other key) in both, the new one. Nothing is ever deleted."""
     both = old.withColumn("version", F.lit(0)).unionByName(new.withColumn("version", F.lit(1)))
-    newest = F.row_number().over(Window.partitionBy("sym", "date").orderBy(F.col("version").desc()))
+    newest = F.row_number().over(Window.partitionBy("sym", key).orderBy(F.col("version").desc()))
     return both.withColumn("rn", newest).where("rn = 1").drop("rn", "version")
 
 
@@ -75,10 +77,11 @@ def recent(bars: DataFrame, day: str, n: int) -> DataFrame:
     return bars.where(F.col("date") <= day).withColumn("rn", rank).where(F.col("rn") <= n)
 
 
-def spot(atoms: DataFrame, asof) -> DataFrame:
-    """(sym, date, spot): the last known close up to asof."""
+def spot(atoms: DataFrame, asof=None) -> DataFrame:
+    """(sym, date, spot): the last known close up to asof, or at all."""
     at = F.struct("ts", "seq") if "seq" in atoms.columns else F.col("ts")
-    known = atoms.where((F.col("ts") <= F.lit(asof).cast("timestamp")) & F.col("close").isNotNull())
+    known = atoms.where("close is not null")
+    known = known if asof is None else known.where(F.col("ts") <= F.lit(asof).cast("timestamp"))
     return known.groupBy("sym").agg(F.max_by("close", at).alias("spot"), F.date_format(F.max("ts"), "yyyyMMdd").alias("date"))
 
 
@@ -116,6 +119,11 @@ def epoch(key: Column) -> Column:
     return F.unix_timestamp(F.rpad(key, 14, "0"), "yyyyMMddHHmmss")
 
 
+def since(now: datetime | None, days: int) -> str:
+    """The day so many days before now (by default, the present time) in UTC."""
+    return f"{(now or datetime.now(timezone.utc)) - timedelta(days=days):%Y%m%d}"
+
+
 def needs(old: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Wanted history: old and asked (sym, start) -> (all wants, each symbol's earliest start; those to fetch: new or earlier)."""
     both = old.unionByName(asked).groupBy("sym").agg(F.min("start").alias("start"))
