@@ -1,12 +1,15 @@
 """Grammar, three-valued logic, since-operators, positions and streaming against plain Python."""
 
 import copy
+import datetime as dt
 import itertools
+import json
 import os
 import random
 import shutil
 import subprocess
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -318,3 +321,151 @@ def test_rest_stands_without_llm(tmp_path):
     shutil.rmtree(tmp_path / "tidebar/llm", ignore_errors=True)  # gone already where the folder was deleted
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'op1_secrets' in e.queries())"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) > 40
+
+
+def ticks(spark, *rows):
+    """Rows (sym, time or day, price, arrived) of a batch: atoms where the time has hours, else daily bars."""
+    schema = f"{BARS}, ts timestamp, arrived long"
+    made = [(s, at[:10].replace("-", ""), *[float(x)] * 4, 1.0, dt.datetime.fromisoformat(at) if len(at) > 10 else None, n) for s, at, x, n in rows]
+    return spark.createDataFrame(made, schema)
+
+
+def current(hub):
+    return {(r["book"], r["product"]): r for r in hub.verdicts().collect()}
+
+
+RISES = dsl.rule("rise", dsl.BUY, {"gt": [C, {"lag": [C, 1]}]})
+
+
+def test_one_event_per_book_with_kept_verdicts(spark, tmp_path):
+    """Only woken products are judged; an event has all of the book's products; observers that fail stop no other; a restart keeps all."""
+    books = {"one": dsl.Tree(dsl.synthetic(["A", "B"], RISES)), "two": dsl.Tree(dsl.synthetic(["B", "D"], RISES))}
+    seen = []
+
+    def broken(event):
+        raise ValueError("reader")
+
+    hub = Hub(spark, str(tmp_path / "hub"), books, publish=broken)
+    end = hub.subscribe(lambda event: seen.append(sorted((r["book"], r["product"], r["key"], r["judged"]) for r in event.collect())))
+    hub.on_batch(ticks(spark, *[(s, f"2021-01-0{d}", d, d) for s in "ABD" for d in (1, 2)]), 0)
+    assert seen == [[("one", "A", "buy", 0), ("one", "B", "buy", 0)], [("two", "B", "buy", 0), ("two", "D", "buy", 0)]]
+    hub.on_batch(ticks(spark, ("A", "2021-01-03", 1, 1)), 1)
+    assert seen[2:] == [[("one", "A", "avoid", 1), ("one", "B", "buy", 0)]]
+    end()
+    again = Hub(spark, str(tmp_path / "hub"), books)
+    again.on_batch(ticks(spark, ("D", "2021-01-03", 1, 1)), 2)
+    assert {k: (r["key"], r["judged"]) for k, r in current(again).items()} == {("one", "A"): ("avoid", 1), ("one", "B"): ("buy", 0), ("two", "B"): ("buy", 0), ("two", "D"): ("avoid", 2)} and len(seen) == 3
+    for (book, product), r in current(again).items():
+        batch = decisions(again.bars(), books[book]).where(F.col("product") == product).orderBy(F.col("i").desc()).first()
+        assert (r["key"], r["date"], r["close"]) == (batch["key"], batch["date"], batch["close"])
+    again.on_batch(ticks(spark, ("A", "2021-01-03", 1, 1)), 1)  # an old batch again, after a restart from an older checkpoint
+    assert current(again)["one", "A"]["key"] == "avoid"
+
+
+def test_atoms_late_and_corrected_give_the_batch_result(spark, tmp_path):
+    """Atoms in any order, repeated and corrected: store and verdicts are those of all atoms at once; those over seven days old go."""
+    leaf = {"px": "close", "sym": "$self", "tf": "15m"}
+    tree = dsl.Tree(dsl.synthetic(["A", "Z"], dsl.rule("m", dsl.BUY, {"gt": [leaf, {"lag": [leaf, 1]}]})))
+    daily = [(s, f"2021-01-{d:02d}", 5, 0) for s in "AZ" for d in (8, 9)]
+    atoms = [("A", "2021-01-01 10:00:00", 1, 1), ("A", "2021-01-09 10:00:00", 5, 2), ("A", "2021-01-09 10:20:00", 7, 3), ("A", "2021-01-09 10:40:00", 6, 5), ("A", "2021-01-09 10:40:00", 9, 4), ("Z", "2021-01-09 10:41:00", 3, 6)]
+    hub = Hub(spark, str(tmp_path / "hub"), tree, now=lambda: dt.datetime(2021, 1, 9, 10, 50))
+    order = [atoms[4], atoms[5], atoms[2], atoms[3], atoms[1], atoms[0]]
+    for n, rows_ in enumerate([daily, *[[x] for x in order]]):
+        hub.on_batch(ticks(spark, *rows_), n)
+    stored = sorted((r["sym"], str(r["ts"]), r["close"]) for r in hub.atoms().collect())
+    assert stored == [("A", "2021-01-09 10:00:00", 5.0), ("A", "2021-01-09 10:20:00", 7.0), ("A", "2021-01-09 10:40:00", 6.0), ("Z", "2021-01-09 10:41:00", 3.0)]
+    found = current(hub)
+    one = Hub(spark, str(tmp_path / "one"), tree, now=lambda: dt.datetime(2021, 1, 9, 10, 50))
+    one.on_batch(ticks(spark, *daily, *atoms), 0)
+    assert {k: r[1:7] for k, r in found.items()} == {k: r[1:7] for k, r in current(one).items()}
+    assert found["book", "A"]["close"] == 6.0 and found["book", "A"]["key"] == "avoid" and found["book", "Z"]["close"] == 3.0  # spot prices
+    hub.on_batch(ticks(spark, ("A", "2021-01-09 10:40:00", 8, 9)), 9)  # a correction
+    assert current(hub)["book", "A"]["key"] == "buy" and current(hub)["book", "A"]["judged"] == 9 and current(hub)["book", "Z"]["judged"] != 9
+    hub.on_batch(ticks(spark, ("Z", "2021-01-17 09:00:00", 4, 10)), 10)
+    assert [r["sym"] for r in hub.atoms().collect()] == ["Z"] and list(hub.state()["atoms"]) == ["20210117"]
+
+
+def test_changed_positions_wake_their_book(spark, tmp_path):
+    """The file's content alone, not its time, wakes all products of its book; holdings stand beside the grade."""
+    tree = dsl.Tree(dsl.synthetic(["A", "B"], RISES, dsl.rule("out", dsl.SELL, {"ge": [{"pos": "ret"}, 50]}, ("held", 1))))
+    file = tmp_path / "positions.json"
+    hub = Hub(spark, str(tmp_path / "hub"), {"mine": tree, "other": tree}, positions={"mine": str(file)})
+    hub.on_batch(ticks(spark, *[(s, f"2021-01-0{d}", 10 * d, d) for s in "AB" for d in (1, 2, 3)]), 0)
+    assert current(hub)["mine", "A"]["holdings"] is None
+    text = '{"positions": [{"prod": "A", "entry_date": "20210102", "entry_px": 20}, {"prod": "A", "entry_date": "20210103", "entry_px": 25}]}'
+    file.write_text(text)
+    hub.on_batch(ticks(spark).where("false"), 1)
+    found = current(hub)
+    assert {k: r["judged"] for k, r in found.items()} == {("mine", "A"): 1, ("mine", "B"): 1, ("other", "A"): 0, ("other", "B"): 0}
+    assert [(h["n"], round(h["ret"], 6), h["days"], h["sells"][0]["hit"]) for h in found["mine", "A"]["holdings"]] == [(0, 50.0, 1.0, True), (1, 20.0, 0.0, False)] and found["mine", "B"]["holdings"] is None
+    file.write_text(text)
+    hub.on_batch(ticks(spark).where("false"), 2)
+    assert hub.commits()[-1] == 1
+    hub.on_batch(ticks(spark, ("A", "2021-01-03 12:00:00", 40, 9)), 3)  # returns at the spot price
+    assert [round(h["ret"], 6) for h in current(hub)["mine", "A"]["holdings"]] == [100.0, 60.0]
+    file.unlink()
+    hub.on_batch(ticks(spark).where("false"), 4)
+    assert current(hub)["mine", "A"]["holdings"] is None and current(hub)["mine", "A"]["judged"] == 4
+
+
+def test_backfill_fetches_once_for_each_start(spark, tmp_path):
+    """Symbols are fetched when they are first wanted, and again for an earlier start; those without bars are asked for once."""
+    asked = []
+
+    def fetch(symbols, start):
+        names = sorted(r[0] for r in symbols.collect())
+        asked.append((names, start))
+        return bars(spark, **{s: [1, 2] for s in names if s != "N"})
+
+    clock = lambda: dt.datetime(2022, 6, 1)
+    path = str(tmp_path / "hub")
+    hub = Hub(spark, path, dsl.Tree(dsl.synthetic(["A", "N"], RISES)), fetch=fetch, now=clock)
+    hub.on_batch(ticks(spark).where("false"), 0)
+    assert asked == [(["A", "N"], "20210117")] and {k: r["key"] for k, r in current(hub).items()} == {("book", "A"): "buy"}
+    hub.on_batch(ticks(spark, ("A", "2022-05-31", 1, 1)), 1)
+    assert len(asked) == 1 and current(hub)["book", "A"]["key"] == "avoid" and hub.bars().count() == 3
+    more = Hub(spark, path, dsl.Tree(dsl.synthetic({"A": {"index": "I"}, "B": {}}, RISES, dsl.rule("i", dsl.BLOCK, {"lt": [{"px": "close", "sym": "$index"}, 0]}, on=["A"]))), fetch=fetch, now=lambda: dt.datetime(2022, 7, 1))
+    more.on_batch(ticks(spark).where("false"), 2)
+    assert asked[1:] == [(["B", "I"], "20210216")]
+    early = Hub(spark, path, more.sources, fetch=fetch, now=clock, extra_days=365)
+    early.on_batch(ticks(spark).where("false"), 3)
+    assert asked[2:] == [(["A", "B", "I"], "20200118")]
+    assert {(r["sym"], r["start"]) for r in early.loaded().collect()} == {("A", "20200118"), ("B", "20200118"), ("I", "20200118"), ("N", "20210117")}
+    assert early.requests().count() == 7
+
+
+def test_books_from_files(spark, tmp_path):
+    """A tree file that changes wakes its book; one that can't be read gives an error and no verdicts, and stops no other book."""
+    file = tmp_path / "tree.json"
+    tree = dsl.synthetic(["A"], RISES)
+    file.write_text(json.dumps(tree))
+    hub = Hub(spark, str(tmp_path / "hub"), {"file": str(file), "fixed": dsl.Tree(tree)})
+    hub.on_batch(ticks(spark, ("A", "2021-01-01", 1, 0), ("A", "2021-01-02", 2, 1)), 0)
+    assert {k: r["key"] for k, r in current(hub).items()} == {("file", "A"): "buy", ("fixed", "A"): "buy"}
+    file.write_text(json.dumps(dsl.synthetic(["A"], dsl.rule("fall", dsl.BUY, {"lt": [C, {"lag": [C, 1]}]}))))
+    hub.on_batch(ticks(spark).where("false"), 1)
+    assert {k: (r["key"], r["judged"]) for k, r in current(hub).items()} == {("file", "A"): ("avoid", 1), ("fixed", "A"): ("buy", 0)}
+    assert [r["key"] for r in hub.judge_with("file", {}).collect()] == ["avoid"]
+    file.write_text('{"version": 2}')
+    hub.on_batch(ticks(spark, ("A", "2021-01-03", 3, 2)), 2)
+    found = current(hub)
+    assert found["fixed", "A"]["judged"] == 2 and "version 3" in found["file", None]["error"] and len(found) == 2
+    file.write_text(json.dumps(tree))
+    hub.on_batch(ticks(spark).where("false"), 3)
+    assert {k: r["error"] for k, r in current(hub).items()} == {("file", "A"): None, ("fixed", "A"): None}
+
+
+def test_plans_do_not_grow_with_products(spark):
+    """2,000 products of a few kinds are one plan of few columns; many kinds are judged by several plans."""
+    products = {f"P{k}": {"index": "P0"} for k in range(2000)}
+    own = [dsl.rule(f"over {j}", dsl.BUY, {"gt": [C, j]}, on=[p for k, p in enumerate(products) if k % 3 == j]) for j in range(3)]
+    tree = dsl.Tree(dsl.synthetic(products, *own, dsl.rule("index", dsl.BLOCK, {"gt": [{"px": "close", "sym": "$index"}, 100]}), dsl.rule("w", dsl.BUY, None, ("cash", 5))))
+    frame = spark.range(2000).select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("sym"), F.lit("20210101").alias("date"), *[(F.col("id") % 4).cast("double").alias(f) for f in sources.FIELDS])
+    began = time.time()
+    found = decisions(frame, tree)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    rows_ = found.collect()
+    assert time.time() - began < 20 and len(rows_) == 2000
+    assert all((r["key"] == "buy") == (int(r["product"][1:]) % 4 > int(r["product"][1:]) % 3) and r["weight"] == 5 for r in rows_)
+    many = dsl.Tree(dsl.synthetic({f"P{k}": {} for k in range(60)}, *[dsl.rule(f"r{k}", dsl.BUY, {"gt": [C, k % 4]}, on=[f"P{k}"]) for k in range(60)]))
+    assert len(many.kinds) == 60 and {r["key"] for r in decisions(frame, many).collect()} == {"avoid"}

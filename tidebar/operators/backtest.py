@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions import logic as L
 from tidebar.plans import dsl
-from tidebar.plans.compile import decisions
+from tidebar.plans.compile import decisions, reach
 
 HORIZONS = (5, 10, 20)
 #: Per market commission, tax on sells, slippage and initial cash; US where unknown.
@@ -35,16 +39,16 @@ def forward_stats(graded: DataFrame, horizons=HORIZONS) -> DataFrame:
     return long.groupBy("product", "grade", "horizon").agg(F.count(F.lit(1)).alias("days"), F.sum(F.col("start").cast("long")).alias("signals"), F.count(hit).alias("n"), F.avg(hit).alias("avg"), F.median(hit).alias("median"), (F.avg((hit > 0).cast("double")) * 100).alias("win"))
 
 
-def truth(node: object, value) -> bool | float | None:
-    """A residual expression over known leaves, under three-valued logic."""
-    if dsl.is_number(node):
-        return float(node)
-    if node == dsl.UNKNOWN:
-        return None
-    if "col" in node or "pos" in node or dsl.is_manual(node):
-        return value(node)
-    op = dsl.op_of(node)
-    xs = [truth(x, value) for x in dsl.children(node)]
+class AtLeast(float):
+    """A number of which only this lower bound is known."""
+
+
+def _exact(x):
+    return None if isinstance(x, AtLeast) else x
+
+
+def _combined(op: str, node: dict, xs: list):
+    """An operator of one day's values, under three-valued logic."""
     if op in ("all", "any", "atleast"):
         yes, unknown = sum(x is True for x in xs), sum(x is None for x in xs)
         n = {"all": len(xs), "any": 1, "atleast": node.get("atleast")}[op]
@@ -58,10 +62,105 @@ def truth(node: object, value) -> bool | float | None:
         return xs[-1]
     if any(x is None for x in xs):
         return None
-    if op == "abs":
-        return abs(xs[0])
-    a, b = xs
-    return {"add": lambda: a + b, "sub": lambda: a - b, "mul": lambda: a * b, "div": lambda: a / b if b else None, "max": lambda: max(a, b), "min": lambda: min(a, b), "gt": lambda: a > b, "ge": lambda: a >= b, "lt": lambda: a < b, "le": lambda: a <= b}[op]()
+    a, b = xs if len(xs) == 2 else (xs[0], None)
+    bounds = isinstance(a, AtLeast), isinstance(b, AtLeast)
+    if op in dsl.CMP:
+        hit = {"gt": a > b, "ge": a >= b, "lt": a < b, "le": a <= b}[op]
+        # more on the left makes gt and ge truer, more on the right lt and le
+        return hit if not any(bounds) else None if all(bounds) else True if hit and (op in ("gt", "ge")) == bounds[0] else False if not hit and (op in ("lt", "le")) == bounds[0] else None
+    if op == "add" and bounds != (True, True) or op == "sub" and bounds == (True, False):
+        return (AtLeast if any(bounds) else float)(a + b if op == "add" else a - b)
+    if any(bounds):
+        return None
+    return {"abs": lambda: abs(a), "add": lambda: a + b, "sub": lambda: a - b, "mul": lambda: a * b, "div": lambda: a / b if b else None, "max": lambda: max(a, b), "min": lambda: min(a, b)}[op]()
+
+
+def stepper(node: object, leaf) -> Callable[[int], object]:
+    """A function that gives the expression's value on a day, from leaf(node, day). It is called once for each day, in order.
+
+    A window keeps its last values, the highest and lowest of them a falling or rising queue; a since-operator the day of
+    its last true or unknown condition and what it has gathered since.
+    """
+    if dsl.is_number(node):
+        return lambda d: float(node)
+    if node == dsl.UNKNOWN:
+        return lambda d: None
+    if "col" in node or "pos" in node or dsl.is_manual(node):
+        return lambda d: leaf(node, d)
+    op, below = dsl.op_of(node), [stepper(x, leaf) for x in dsl.children(node)]
+    if op in ("lag", *dsl.WINDOW):
+        if node[op][1] == dsl.UNKNOWN:
+            return lambda d: None
+        return (_lagged if op == "lag" else _summed if op == "sum" else _extreme)(op, node[op][1], below[0])
+    if op in ("barssince", *dsl.SINCE):
+        return _since(op, below)
+    return lambda d: _combined(op, node, [f(d) for f in below])
+
+
+def _lagged(op: str, n: int, value):
+    held: deque = deque(maxlen=n + 1)
+
+    def step(d: int):
+        held.append(value(d))
+        return held[0] if len(held) == n + 1 else None
+
+    return step
+
+
+def _summed(op: str, n: int, value):
+    held: deque = deque(maxlen=n)
+
+    def step(d: int):
+        held.append(_exact(value(d)))
+        return math.fsum(held) if len(held) == n and None not in held else None
+
+    return step
+
+
+def _extreme(op: str, n: int, value):
+    best: deque = deque()  # (day, value), values from the best on
+    beaten = (lambda old, new: old <= new) if op == "highest" else (lambda old, new: old >= new)
+    seen, unknown = 0, None
+
+    def step(d: int):
+        nonlocal seen, unknown
+        x = _exact(value(d))
+        seen += 1
+        if x is None:
+            unknown = d
+        else:
+            while best and beaten(best[-1][1], x):
+                best.pop()
+            best.append((d, x))
+        while best and best[0][0] <= d - n:
+            best.popleft()
+        return best[0][1] if seen >= n and (unknown is None or unknown <= d - n) else None
+
+    return step
+
+
+def _since(op: str, below: list):
+    last, broken, first, held = None, None, None, None  # days of the last true and unknown condition, and of the first step; what is kept
+
+    def step(d: int):
+        nonlocal last, broken, first, held
+        hit, x = below[0](d), _exact(below[1](d)) if len(below) > 1 else None
+        first = d if first is None else first
+        if hit is None:
+            broken = d
+        if hit:
+            last, held = d, x
+        elif op in ("minsince", "maxsince") and held is not None:
+            held = None if x is None or hit is None else (min if op == "minsince" else max)(held, x)
+        known = last is not None and (broken is None or broken < last) and d - last < L.STREAK_CAP
+        if op != "barssince":
+            return held if known else None
+        if known:
+            return float(d - last)
+        least = min(L.STREAK_CAP, d - (first - 1 if broken is None else broken))
+        return AtLeast(least) if least > 0 else None
+
+    return step
 
 
 def split_residual(node: object, more: dict[str, object]) -> object:
@@ -71,57 +170,76 @@ def split_residual(node: object, more: dict[str, object]) -> object:
     if not dsl.uses_pos(node):
         return {"col": next((k for k, e in more.items() if e == node), None) or more.setdefault(f"walk_{len(more)}", node) and f"walk_{len(more) - 1}"}
     op = dsl.op_of(node)
-    if op in (*dsl.WINDOW, "lag", *dsl.SINCE, "barssince"):
-        raise dsl.RuleError(f"{op} over a position value is not supported in a trade walk")
     out = {k: v for k, v in node.items() if k not in dsl.META}
-    if op in ("abs", "not"):
-        return {op: split_residual(out[op], more)}
-    if op == "case":
-        return {"case": [[split_residual(x, more) for x in pair] for pair in out["case"]], "else": split_residual(out["else"], more)}
-    if op == "atleast":
-        return {"atleast": out["atleast"], "of": [split_residual(x, more) for x in out["of"]]}
+    match dsl.FORMS[op].shape:
+        case "node":
+            return {op: split_residual(out[op], more)}
+        case "case":
+            return {"case": [[split_residual(x, more) for x in pair] for pair in out["case"]], "else": split_residual(out["else"], more)}
+        case "count":
+            return {op: out[op], "of": [split_residual(x, more) for x in out["of"]]}
+        case "span":
+            return {op: [split_residual(out[op][0], more), out[op][1]]}
     return {op: [split_residual(x, more) for x in out[op]]}
 
 
-TRADE = "product string, entry string, entry_px double, exit string, closed boolean, days int, ret double, fixed20 double, buys array<struct<date:string,i:int,px:double,qty:double,tranche:string>>, sells array<struct<date:string,i:int,px:double,qty:double,rule:string>>"
+TRADE = "product string, entry string, entry_px double, exit string, closed boolean, days int, ret double, fixed20 double, buys array<struct<date:string,i:int,px:double,qty:double,tranche:string,flags:array<string>>>, sells array<struct<date:string,i:int,px:double,qty:double,rule:string>>"
 
 
-def walk_trades(days: pd.DataFrame, product: str, sells: list[dict], tranches: list[dict]) -> list[dict]:
-    """Trades of one product: entries at the open after a signal's first day, sells and further tranches in written order."""
+def walk_trades(days: pd.DataFrame, product: str, sells: list[dict], tranches: list[dict], weighted: bool) -> list[dict]:
+    """Trades of one product: entries at the open after a signal's first day, sells and further tranches in written order.
+
+    A purchase is its tranche's part of the weight of the day that decides it; an unknown weight counts as all, and is
+    flagged with the purchase. weighted: whether the product has a weight at all.
+    """
     o, c, date, start, weight = (days[k].tolist() for k in ("open", "close", "date", "start", "weight"))
     known = {k: days[k].tolist() for k in days.columns}
-    n, trades, free = len(days), [], 0
+    n, found, free = len(days), [], 0
     first = tranches[0] if tranches and tranches[0]["x"] != dsl.UNKNOWN else None
     real = lambda x: x is not None and x == x
+    before = max([reach(r["when"]) for r in [*sells, *tranches] if r["when"] is not None], default=0)
+
+    def bought_on(d: int, tranche: dict | None) -> dict:
+        flags = [] if real(weight[d]) else ["weight_unknown" if weighted else "weight_unset"]
+        part = 1.0 if tranche is None else tranche["x"] if dsl.is_number(tranche["x"]) else 0.0
+        return {"date": date[d + 1], "i": d + 1, "px": o[d + 1], "qty": (weight[d] / 100 if not flags else 1.0) * part, "tranche": tranche["label"] if tranche else "FULL", "flags": flags}
+
     for s in range(n):
         e = s + 1
         if not start[s] or e >= n or e < free or not real(o[e]) or not o[e]:
             continue
-        size = weight[s] / 100 if real(weight[s]) else 1.0
-        qty = size * (first["x"] if first and dsl.is_number(first["x"]) else 0.0 if first else 1.0)
-        if qty <= TINY:
+        buys, sold = [bought_on(s, first)], []
+        if buys[0]["qty"] <= TINY:
             continue
-        buys, sold = [{"date": date[e], "i": e, "px": o[e], "qty": qty, "tranche": first["label"] if first else "FULL"}], []
-        done, fired, was, best, worst, end = 1, set(), {}, None, None, None
+        done, fired, was, best, worst, ret, end = 1, set(), {}, None, None, None, None
 
         def leaf(node, d):
             if "col" in node:
                 x = known[node["col"]][d]
-                return None if x is None or x != x else bool(x) if isinstance(x, bool) else x
+                x = None if x is None or x != x else bool(x) if isinstance(x, bool) else x
+                return AtLeast(x) if x is not None and known.get(f"{node['col']}_lb", never)[d] is True else x
             if "pos" not in node:
                 return False
+            if d < e:
+                return None
             held = [b for b in buys if b["i"] <= d]
-            return {"ret": ret, "days": float(d - e), "maxret": best, "minret": worst, "filled": float(sum("rule" not in node or b["tranche"] == node["rule"] for b in held)), "sold": sum(x["qty"] for x in sold) / sum(b["qty"] for b in held)}[node["pos"]]
-
-        for d in range(e, n):
-            cost = sum(b["qty"] * b["px"] for b in buys if b["i"] <= d) / sum(b["qty"] for b in buys if b["i"] <= d)
-            ret = (c[d] / cost - 1) * 100 if real(c[d]) else None
-            if ret is not None:
-                best, worst = (ret, ret) if best is None else (max(best, ret), min(worst, ret))
+            return {"ret": ret, "days": float(d - e), "maxret": best, "minret": worst, "filled": float(sum("rule" not in node or b["tranche"] == node["rule"] for b in held)), "sold": sum(x["qty"] for x in sold if x["i"] <= d) / sum(b["qty"] for b in held)}[node["pos"]]
+
+        never = [None] * n
+        rules = [stepper(r["when"], leaf) for r in sells]
+        later = [None if t["when"] is None else stepper(t["when"], leaf) for t in tranches]
+        for d in range(max(0, e - before), n):
+            if d >= e:
+                cost = sum(b["qty"] * b["px"] for b in buys if b["i"] <= d) / sum(b["qty"] for b in buys if b["i"] <= d)
+                ret = (c[d] / cost - 1) * 100 if real(c[d]) else None
+                if ret is not None:
+                    best, worst = (ret, ret) if best is None else (max(best, ret), min(worst, ret))
+            hits, open_ = [f(d) is True for f in rules], [f is not None and f(d) is True for f in later]
+            if d < e:
+                continue
             bought = sum(b["qty"] for b in buys)
             held_day, sold_today = bought - sum(x["qty"] for x in sold), False
-            for k, rule in enumerate(sells):
-                hit = truth(rule["when"], lambda node, d=d: leaf(node, d)) is True
+            for k, (rule, hit) in enumerate(zip(sells, hits, strict=True)):
                 rising, was[k] = hit and not was.get(k, False), hit
                 if not hit or k in fired and not (rule["repeat"] and rising and d > e):
                     continue
@@ -136,20 +254,18 @@ def walk_trades(days: pd.DataFrame, product: str, sells: list[dict], tranches: l
             if sold_today and bought - sum(x["qty"] for x in sold) <= 1e-9:
                 end = d + 1
                 break
-            if not sold_today and held_day > TINY and done < len(tranches) and first:
-                t = tranches[done]
-                if t["when"] is not None and dsl.is_number(t["x"]) and d + 1 < n and real(o[d + 1]) and o[d + 1] and truth(t["when"], lambda node, d=d: leaf(node, d)) is True:
-                    buys.append({"date": date[d + 1], "i": d + 1, "px": o[d + 1], "qty": size * t["x"], "tranche": t["label"]})
-                    done += 1
+            if not sold_today and held_day > TINY and done < len(tranches) and first and open_[done] and dsl.is_number(tranches[done]["x"]) and d + 1 < n and real(o[d + 1]) and o[d + 1]:
+                buys.append(bought_on(d, tranches[done]))
+                done += 1
         spent, left = sum(b["qty"] * b["px"] for b in buys), sum(b["qty"] for b in buys) - sum(x["qty"] for x in sold)
         last = end if end is not None else n - 1
         value = sum(x["qty"] * x["px"] for x in sold) + (left * next((x for x in reversed(c) if real(x)), 0.0) if end is None else 0.0)
         fixed = (c[e + 19] / o[e] - 1) * 100 if e + 19 < n and real(c[e + 19]) else None
-        trades.append({"product": product, "entry": date[e], "entry_px": o[e], "exit": date[end] if end is not None else None, "closed": end is not None, "days": last - e, "ret": (value / spent - 1) * 100, "fixed20": fixed, "buys": buys, "sells": sold})
+        found.append({"product": product, "entry": date[e], "entry_px": o[e], "exit": date[end] if end is not None else None, "closed": end is not None, "days": last - e, "ret": (value / spent - 1) * 100, "fixed20": fixed, "buys": buys, "sells": sold})
         if end is None:
             break
         free = end + 1
-    return trades
+    return found
 
 
 def trades(bars: DataFrame, tree: dsl.Tree) -> DataFrame:
@@ -157,25 +273,41 @@ def trades(bars: DataFrame, tree: dsl.Tree) -> DataFrame:
     product's days at a time. A later tranche without a condition or with an unknown ratio is never bought."""
     more: dict[str, object] = {}
     rules = [([{**r, "when": split_residual(r["when"], more)} for r in tree.sells(ps[0])], [{**t, "when": split_residual(t["when"], more)} for t in tree.tranches(ps[0])]) for ps in tree.kinds]
-    kind_of = tree.kind_of
-    rows = signal_starts(decisions(bars, tree, more=more)).withColumn("start", F.col("start") & (F.col("key") == "buy")).select("product", "i", "date", "open", "close", "weight", "start", *more)
+    kind_of, weighted = tree.kind_of, [tree.weight(ps[0]) is not None for ps in tree.kinds]
+    rows = signal_starts(decisions(bars, tree, more=more)).withColumn("start", F.col("start") & (F.col("key") == "buy"))
+    rows = rows.select("product", "i", "date", "open", "close", "weight", "start", *[c for c in rows.columns if c.removesuffix("_lb") in more])
 
     def run(days: pd.DataFrame) -> pd.DataFrame:
         product = days["product"].iloc[0]
-        found = walk_trades(days.sort_values("i", ignore_index=True), product, *rules[kind_of[product]])
+        found = walk_trades(days.sort_values("i", ignore_index=True), product, *rules[kind_of[product]], weighted[kind_of[product]])
         return pd.DataFrame(found, columns=[x.split(" ")[0] for x in TRADE.split(", ")])
 
     return rows.groupBy("product").applyInPandas(run, TRADE)
 
 
+def size_notes(tree: dsl.Tree) -> list[tuple[str, str, str]]:
+    """(product, kind, label): ratios that the rules leave open. `tranche`: the first is, so all is bought at once; `sell`: that rule sells nothing."""
+    out = []
+    for p in tree.products:
+        out += [(p, "tranche", t["label"]) for t in tree.tranches(p)[:1] if t["x"] == dsl.UNKNOWN]
+        out += [(p, "sell", r["label"]) for r in tree.sells(p) if r["x"] == dsl.UNKNOWN]
+    return out
+
+
+def exit_policy(tree: dsl.Tree, product: str) -> str:
+    """`book` where the product has rules to sell by, else `none`: then no trades are made up, and signals are judged by returns alone."""
+    return "book" if tree.sells(product) else "none"
+
+
 def trade_stats(found: DataFrame) -> DataFrame:
     """Per product: trades, closed and open ones; win, avg, median, days over the closed; the same of holding 20 days; how
-    often each sell rule and each later tranche was filled, sorted by name."""
+    often each sell rule and each later tranche was filled, sorted by name; purchases, and those whose weight was unset or unknown."""
     done = F.when(F.col("closed"), F.col("ret"))
+    flagged = lambda k: F.filter("buys", lambda x: F.array_contains(x["flags"], k))
     out = found.groupBy("product").agg(
         F.count(F.lit(1)).alias("trades"), F.sum(F.col("closed").cast("long")).alias("closed"), F.sum((~F.col("closed")).cast("long")).alias("open"), F.avg(done).alias("avg"), F.median(done).alias("median"),
         (F.avg((done > 0).cast("double")) * 100).alias("win"), F.avg(F.when(F.col("closed"), F.col("days"))).alias("days"), F.avg("fixed20").alias("fixed20"), (F.avg((F.col("fixed20") > 0).cast("double")) * 100).alias("fixed20_win"),
-        F.sum(F.size("buys")).alias("buys"),
+        F.sum(F.size("buys")).alias("buys"), *[F.sum(F.size(flagged(k))).alias(k) for k in ("weight_unset", "weight_unknown")],
     )
     for name, hits in (("rule_hits", F.transform("sells", lambda x: x["rule"])), ("tranche_hits", F.transform(F.slice("buys", 2, 1 << 30), lambda x: x["tranche"]))):
         counts = found.select("product", F.explode(hits).alias("k")).groupBy("product", "k").agg(F.count(F.lit(1)).alias("n"))

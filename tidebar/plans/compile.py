@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -312,22 +313,52 @@ def evaluate(bars: DataFrame, products: dict[str, dict], exprs: dict[str, object
     return out.select("product", "i", "date", *[f"self_{f}" for f in dsl.FIELDS], *[c for _, c in sorted(settled_columns(base).items())], *[value(n).alias(k) for k, n in nodes.items()])
 
 
+class Rung(NamedTuple):
+    """A grade, and the values that columns such as opt_buy or pes_block must have for it: true, false, or None for unknown."""
+
+    key: str
+    when: dict[str, bool | None]
+
+
+class Ladder(NamedTuple):
+    rungs: list[Rung]
+    default: str
+
+
+#: Fixed value: what is bought, if manual leaves are taken as favourable; anything else is avoided.
+LADDER = Ladder([Rung("buy", {"opt_block": False, "opt_buy": True})], "avoid")
+VIEWS = ("opt_block", "opt_buy", "pes_block", "pes_buy")
+
+
+def ladder_of(table: DataFrame) -> Ladder:
+    """table (place, key, opt_block, opt_buy, pes_block, pes_buy), the last four strings `true`, `false`, `unknown` or null for
+    any -> its rungs by place; the last one must want nothing and is the default. A ladder is a few rows."""
+    rows = table.orderBy("place").collect()
+    wants = [{c: {"true": True, "false": False, "unknown": None}[r[c]] for c in VIEWS if r[c] is not None} for r in rows]
+    if not rows or wants[-1]:
+        raise dsl.RuleError("a ladder ends in a rung that wants nothing")
+    return Ladder([Rung(r["key"], w) for r, w in zip(rows, wants, strict=True)][:-1], rows[-1]["key"])
+
+
 #: Kinds of products, each with rules of its own, that one plan judges; more are judged by several plans.
 KINDS = 24
 
 
-def decisions(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None, closes: DataFrame | None = None, asof=None, atoms: DataFrame | None = None, more: dict[str, object] | None = None) -> DataFrame:
-    """A grade per product and day: (product, i, date, open, close, key, opt/pes block and buy, weight and the weights with
+def decisions(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None, closes: DataFrame | None = None, asof=None, atoms: DataFrame | None = None, more: dict[str, object] | None = None, ladder: Ladder = LADDER) -> DataFrame:
+    """A grade per product and day: (product, i, date, open, close, key, rung, opt/pes block and buy, weight and the weights with
     manual leaves true and false, confirmed, warmup), and the columns of `more`, {name: expression}.
 
     Manual leaves are taken as favourable in the opt columns and as unfavourable in the pes columns. confirmed: the last
-    index that all symbols of the product have settled, -1 without one. The plan's size follows the kinds of products (sets
+    index that all symbols of the product have settled, -1 without one. key: that of the ladder's first rung whose wanted
+    values are all met, and rung its number from 0; null, with the ladder's last key, where none is; `unknown` while fewer
+    bars are confirmed than the rules need. more: a column whose value can be a lower bound has another, name_lb, that
+    tells so. The plan's size follows the kinds of products (sets
     of rules that concern them), not their number.
     """
     more = more or {}
     if len(tree.kinds) > KINDS:
         few = [[p for k in tree.kinds[n : n + KINDS] for p in k] for n in range(0, len(tree.kinds), KINDS)]
-        return reduce(DataFrame.unionByName, [decisions(bars, tree.only(ps), answers, closes, asof, atoms, more) for ps in few])
+        return reduce(DataFrame.unionByName, [decisions(bars, tree.only(ps), answers, closes, asof, atoms, more, ladder) for ps in few])
     first = [ps[0] for ps in tree.kinds]
     gates = {(k, do): tree.gate(p, do) for k, p in enumerate(first) for do in (dsl.BLOCK, dsl.BUY)}
     weight = {k: w for k, p in enumerate(first) if (w := tree.weight(p)) is not None}
@@ -352,9 +383,11 @@ def decisions(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None, clos
     warmups = [tree.warmup(p) for p in first]
     warmup = reduce(lambda c, n: c.when(F.col("kind").isin([k for k, w in enumerate(warmups) if w == n]), n), sorted({*warmups}), F.when(F.lit(False), 0))
     frame = frame.select("*", *[by_kind(names, "boolean").alias(k) for k, names in columns.items()], *[by_kind(names, "double").alias(k) for k, names in weights.items()], F.coalesce(confirmed, F.lit(-1)).alias("confirmed"), warmup.alias("warmup"))
-    buy = F.col("opt_block").eqNullSafe(F.lit(False)) & F.col("opt_buy").eqNullSafe(F.lit(True))
-    key = F.when(F.col("confirmed") < F.col("warmup"), "unknown").when(buy, "buy").otherwise("avoid")
-    return frame.select("product", "i", "date", F.col("self_open").alias("open"), F.col("self_close").alias("close"), key.alias("key"), *columns, *weights, "confirmed", "warmup", *[F.col(n.name).alias(k) for k, n in extra.items()])
+    key, rung = F.when(F.col("confirmed") < F.col("warmup"), "unknown"), F.when(F.col("confirmed") < F.col("warmup"), F.lit(None).cast("int"))
+    for k, step in enumerate(ladder.rungs):
+        met = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(want)) for c, want in step.when.items()], F.lit(True))
+        key, rung = key.when(met, step.key), rung.when(met, k)
+    return frame.select("product", "i", "date", F.col("self_open").alias("open"), F.col("self_close").alias("close"), key.otherwise(ladder.default).alias("key"), rung.alias("rung"), *columns, *weights, "confirmed", "warmup", *[c for k, n in extra.items() for c in ([F.col(n.name).alias(k)] + [F.col(n.name + "_lb").alias(k + "_lb")] * (n.kind == BOUND))])
 
 
 def with_kinds(frame: DataFrame, tree: dsl.Tree) -> DataFrame:

@@ -181,10 +181,10 @@ walk(product, i, act, e, size, q1, p1, q2, p2, sold, val, legs, f0, f1, f2, w0,
 SELECT DISTINCT product, -1, false, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0, false, false, false, false, false, false, NULL::DOUBLE, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, false FROM days
 UNION ALL
 SELECT product, i, (act AND NOT ends) OR enters, CASE WHEN enters THEN i + 1 ELSE e END, CASE WHEN enters THEN want ELSE size END,
- CASE WHEN enters THEN want * {first} ELSE q1 END, CASE WHEN enters THEN o1 ELSE p1 END, CASE WHEN enters THEN 0 WHEN adds THEN size * {first} ELSE q2 END, CASE WHEN enters THEN 0 WHEN adds THEN o1 ELSE p2 END,
+ CASE WHEN enters THEN want * {first} ELSE q1 END, CASE WHEN enters THEN o1 ELSE p1 END, CASE WHEN enters THEN 0 WHEN adds THEN want * {first} ELSE q2 END, CASE WHEN enters THEN 0 WHEN adds THEN o1 ELSE p2 END,
  CASE WHEN enters THEN 0 ELSE sold + s0 + s1 + s2 END, CASE WHEN enters THEN 0 WHEN s0 + s1 + s2 > 0 THEN val + (s0 + s1 + s2) * o1 ELSE val END, CASE WHEN enters THEN 0 ELSE legs + (s0 > 0)::INT + (s1 > 0)::INT + (s2 > 0)::INT END,
  NOT enters AND (f0 OR g0), NOT enters AND (f1 OR g1), NOT enters AND (f2 OR g2), NOT enters AND act AND coalesce(h0, false), NOT enters AND act AND coalesce(h1, false), NOT enters AND act AND coalesce(h2, false),
- CASE WHEN enters THEN NULL ELSE best END, CASE WHEN ends THEN i + 1 ELSE fin END, s0, s1, s2, CASE WHEN adds THEN size * {first} ELSE 0 END, CASE WHEN enters THEN want * {first} ELSE 0 END, ends
+ CASE WHEN enters THEN NULL ELSE best END, CASE WHEN ends THEN i + 1 ELSE fin END, s0, s1, s2, CASE WHEN adds THEN want * {first} ELSE 0 END, CASE WHEN enters THEN want * {first} ELSE 0 END, ends
 FROM (SELECT *, act AND NOT ends AND s0 + s1 + s2 = 0 AND bought - sold > 1e-12 AND q2 = 0 AND can AND coalesce({second}, false) AS adds, NOT act AND go AND i >= fin AND can AND want * {first} > 1e-12 AS enters
 FROM (SELECT *, s0 + s1 + s2 > 0 AND bought - sold - s0 - s1 - s2 <= 1e-9 AS ends
 FROM (SELECT *, {part(2, '(bought - sold - s0 - s1)')} AS s2 FROM (SELECT *, {part(1, '(bought - sold - s0)')} AS s1 FROM (SELECT *, {part(0, '(bought - sold)')} AS s0
@@ -240,9 +240,9 @@ _RULE_HITS = _hits("rule_hits", " UNION ALL ".join(f"SELECT product, '{k}' AS k
 _TRANCHE_HITS = _hits("tranche_hits", "SELECT product, 'second' AS k FROM walk WHERE add2 > 0")
 
 
-@query(f"""{_DUCK}{_TRANCHES}, {_RULE_HITS}, {_TRANCHE_HITS} SELECT product, count(*) AS trades, sum(closed::INT)::BIGINT AS closed, sum((NOT closed)::INT)::BIGINT AS open, round(avg(ret) FILTER (closed), 4) AS avg, round(median(ret) FILTER (closed), 4) AS median,
- round(avg((ret > 0)::INT) FILTER (closed) * 100, 4) AS win, round(avg(days) FILTER (closed), 4) AS days, round(avg(fixed20), 4) AS fixed20, round(avg((fixed20 > 0)::INT) * 100, 4) AS fixed20_win, sum(buys)::BIGINT AS buys, coalesce(any_value(rule_hits), '') AS rule_hits, coalesce(any_value(tranche_hits), '') AS tranche_hits
- FROM trades LEFT JOIN rule_hits USING (product) LEFT JOIN tranche_hits USING (product) GROUP BY 1""")
+@query(f"""{_DUCK}{_TRANCHES}, {_RULE_HITS}, {_TRANCHE_HITS}, sizes AS (SELECT w.product, 0 AS unset, sum((d.weight IS NULL)::INT) AS unknown FROM walk w JOIN days d USING (product, i) WHERE add1 + add2 > 0 GROUP BY 1) SELECT product, count(*) AS trades, sum(closed::INT)::BIGINT AS closed, sum((NOT closed)::INT)::BIGINT AS open, round(avg(ret) FILTER (closed), 4) AS avg, round(median(ret) FILTER (closed), 4) AS median,
+ round(avg((ret > 0)::INT) FILTER (closed) * 100, 4) AS win, round(avg(days) FILTER (closed), 4) AS days, round(avg(fixed20), 4) AS fixed20, round(avg((fixed20 > 0)::INT) * 100, 4) AS fixed20_win, sum(buys)::BIGINT AS buys, any_value(unset)::BIGINT AS weight_unset, any_value(unknown)::BIGINT AS weight_unknown, coalesce(any_value(rule_hits), '') AS rule_hits, coalesce(any_value(tranche_hits), '') AS tranche_hits
+ FROM trades LEFT JOIN rule_hits USING (product) LEFT JOIN tranche_hits USING (product) LEFT JOIN sizes USING (product) GROUP BY 1""")
 def trade_stats(spark, sf_dir):
     return _rounded(B.trade_stats(_tree_trades(spark, sf_dir)), "avg", "median", "win", "days", "fixed20", "fixed20_win")
 
