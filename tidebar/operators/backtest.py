@@ -391,3 +391,33 @@ def portfolio_stats(curve: DataFrame) -> DataFrame:
     before = F.coalesce(F.lag("value").over(L.by_day()), F.col("first"))
     rows = curve.select("product", "i", "value", "first", (F.try_divide(F.col("value"), before) - 1).alias("r"), (1 - F.col("value") / F.max("value").over(L.up_to())).alias("down"))
     return rows.groupBy("product").agg(((F.max_by("value", "i") / F.first("first") - 1) * 100).alias("total_return"), (F.max("down") * 100).alias("max_drawdown"), (F.try_divide(F.avg("r"), F.nullif(F.stddev_samp("r"), F.lit(0.0))) * 365**0.5).alias("sharpe"))
+
+
+def period_results(graded: DataFrame, periods: tuple[int, ...] = (365, 1095), today: str | None = None, horizons=HORIZONS) -> DataFrame:
+    """A row per product and period of so many days up to today (by default its last day): (product, period, start, days,
+    grades array<struct<grade, days, signals, returns array<struct<horizon, n, avg, median, win>>>>, baseline, the same array
+    over all days, buy_hold).
+
+    All periods are one pass over the days: a day counts in each period that holds it. A run of a grade that began before
+    the period begins on its first day; returns look beyond it.
+    """
+    last = F.max("date").over(Window.partitionBy("product")) if today is None else F.lit(today)
+    rows = forward_returns(graded, horizons).withColumn("today", F.to_date(last, "yyyyMMdd"))
+    first = lambda p: F.date_format(F.date_sub("today", p), "yyyyMMdd")
+    rows = rows.withColumn("p", F.explode(F.array(*[F.struct(F.lit(p).alias("period"), first(p).alias("start_day")) for p in periods]))).select("*", "p.*").where("date >= start_day and date <= date_format(today, 'yyyyMMdd')")
+    by = Window.partitionBy("product", "period").orderBy("i")
+    rows = rows.withColumn("start", ~F.lag("key").over(by).eqNullSafe(F.col("key")))
+    key = ["product", "period"]
+    long = rows.select(*key, "start_day", "key", "start", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("r")) for h in horizons])).alias("x")).select(*key, "key", "start", "x.*")
+
+    def stats(r: Column) -> list[Column]:
+        return [F.count(r).alias("n"), F.avg(r).alias("avg"), F.median(r).alias("median"), (F.avg((r > 0).cast("double")) * 100).alias("win")]
+
+    returns = F.sort_array(F.collect_list(F.struct("horizon", "n", "avg", "median", "win")))
+    hit = F.when(F.col("start"), F.col("r"))
+    by_grade = long.groupBy(*key, "key", "horizon").agg(*stats(hit)).groupBy(*key, "key").agg(returns.alias("returns"))
+    counts = rows.groupBy(*key, "key").agg(F.count(F.lit(1)).alias("days"), F.sum(F.col("start").cast("long")).alias("signals"))
+    grades = counts.join(by_grade, [*key, "key"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("key").alias("grade"), "days", "signals", "returns"))).alias("grades"))
+    base = long.groupBy(*key, "horizon").agg(*stats(F.col("r"))).groupBy(*key).agg(returns.alias("baseline"))
+    held = rows.groupBy(*key).agg(F.min("start_day").alias("start"), F.count(F.lit(1)).alias("days"), F.when(F.count(F.lit(1)) >= 2, (F.try_divide(F.max_by("close", "i"), F.min_by("close", "i")) - 1) * 100).alias("buy_hold"))
+    return held.join(grades, key).join(base, key).select(*key, "start", "days", "grades", "baseline", "buy_hold")

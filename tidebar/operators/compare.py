@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.plans import dsl
@@ -67,8 +69,9 @@ def implications(values: DataFrame) -> DataFrame:
 
 
 def weight_overflow(weights: DataFrame) -> DataFrame:
-    """(date, total) of days whose weights exceed 100."""
-    return weights.groupBy("date").agg(F.sum("weight").alias("total")).where("total > 100 + 1e-9")
+    """(date, total) of days whose weights exceed 100; one that manual leaves leave open counts as the most they allow."""
+    most = F.coalesce("weight", F.greatest("weight_yes", "weight_no"))  # greatest passes over nulls
+    return weights.groupBy("date").agg(F.sum(most).alias("total")).where("total > 100 + 1e-9")
 
 
 def pair_rules(a: dsl.Tree, b: dsl.Tree, product: str) -> tuple[set, set, set]:
@@ -85,40 +88,55 @@ def duplicates(tree: dsl.Tree, product: str) -> list[list[str]]:
     return [v for v in by.values() if len(v) > 1]
 
 
-def shape(node: object) -> object:
-    """The expression without metadata and symbols."""
-    if isinstance(node, dict):
-        return {k: "*" if k == "sym" else shape(v) for k, v in node.items() if k not in dsl.META}
-    return [shape(x) for x in node] if isinstance(node, list) else node
+def features(node: object) -> Counter:
+    """How often each operator stands in a condition, with the numbers and fields beside it but whatever the symbols."""
+    found: Counter = Counter()
+    for n in dsl.walk(node):
+        op = dsl.op_of(n)
+        found[op, n[op] if isinstance(n[op], str) else tuple(x for x in (n[op] if isinstance(n[op], list) else [n[op]]) if dsl.is_number(x))] += 1
+    return found
 
 
-def likeness(x: object, y: object) -> float:
-    """How well two differing conditions would be compared: 2 for one label, 3 for one shape, and for groups of one kind
-    twice the Jaccard similarity of the shapes below."""
-    if not isinstance(x, dict) or not isinstance(y, dict):
+def unlikeness(x: object, y: object) -> float:
+    """0 for conditions of one meaning, up to 1 for those without a feature in common; a shared label halves it."""
+    if dsl.logic_key(x) == dsl.logic_key(y):
         return 0.0
-    key = lambda n: json.dumps(dsl.canonical(n) if isinstance(n, dict) else n, sort_keys=True, ensure_ascii=False)
-    out = 2.0 * bool(x.get("label") and x.get("label") == y.get("label")) + 3.0 * (key(shape(x)) == key(shape(y)))
-    kind = lambda n: (dsl.op_of(n), n.get("atleast")) if dsl.op_of(n) in ("all", "any", "atleast", "not") else None
-    if kind(x) and kind(x) == kind(y):
-        below = lambda n: {key(shape(c)) for d in dsl.children(n) for c in dsl.walk(d)}
-        both = below(x) | below(y)
-        out += 2.0 * len(below(x) & below(y)) / len(both) if both else 0.0
-    return out
+    a, b = features(x), features(y)
+    apart = 1 - 2 * (a & b).total() / max(1, a.total() + b.total())
+    named = isinstance(x, dict) and isinstance(y, dict) and x.get("label") and x.get("label") == y.get("label")
+    return max(apart, 1e-6) / (2 if named else 1)
 
 
 def align(xs: list, ys: list) -> list[tuple]:
-    """Pairs of two lists of conditions: equal meanings first, then the best likeness above 0; (x, None) and (None, y) for the rest."""
-    mate: dict[int, int] = {}
-    for i, x in enumerate(xs):
-        j = next((j for j, y in enumerate(ys) if j not in mate.values() and dsl.logic_key(x) == dsl.logic_key(y)), None)
-        if j is not None:
-            mate[i] = j
-    ranked = sorted(((likeness(x, y), i, j) for i, x in enumerate(xs) for j, y in enumerate(ys) if i not in mate and j not in mate.values()), reverse=True)
-    for score, i, j in ranked:
-        if score > 0 and i not in mate and j not in mate.values():
-            mate[i] = j
-    return [(x, ys[mate[i]] if i in mate else None) for i, x in enumerate(xs)] + [(None, y) for j, y in enumerate(ys) if j not in mate.values()]
+    """The pairing of two lists of conditions with the least sum of unlikeness: (x, y), (x, None) and (None, y).
+
+    An x or y without a partner counts one half, so what has nothing in common is not paired. Found by shortest augmenting
+    paths: one x after the other gets a place, and others move where that is cheaper for all.
+    """
+    n, m = len(xs), len(ys)
+    # one further place for each x, where it stays alone
+    cost = [[unlikeness(x, y) - 0.5 for y in ys] + [0.5 if k == j else math.inf for j in range(n)] for k, x in enumerate(xs)]
+    row_price, place_price, owner = [0.0] * n, [0.0] * (n + m), [None] * (n + m)
+    for new in range(n):
+        reach, back, done, at, place = [math.inf] * (n + m), [None] * (n + m), set(), new, None
+        while at is not None:
+            base = 0.0 if place is None else reach[place]
+            for j in set(range(n + m)) - done:
+                step = base + cost[at][j] - row_price[at] - place_price[j]
+                if step < reach[j]:
+                    reach[j], back[j] = step, place
+            place = min(set(range(n + m)) - done, key=lambda j: reach[j])
+            done.add(place)
+            at = owner[place]
+        for j in done - {place}:
+            row_price[owner[j]] += reach[place] - reach[j]
+            place_price[j] -= reach[place] - reach[j]
+        row_price[new] += reach[place]
+        while place is not None:
+            owner[place] = new if back[place] is None else owner[back[place]]
+            place = back[place]
+    mate = {k: j for j, k in enumerate(owner[:m]) if k is not None}
+    return [(x, ys[mate[k]] if k in mate else None) for k, x in enumerate(xs)] + [(None, y) for j, y in enumerate(ys) if owner[j] is None]
 
 
 def manual_heads(tree: dsl.Tree, heads: tuple[str, ...]) -> dict[str, int]:
@@ -139,6 +157,50 @@ def unjudged(tree: dsl.Tree, a: dsl.Tree, b: dsl.Tree) -> list[tuple[str, str]]:
     return [(r["label"], side[r["label"]]) for r in tree.rules if side.get(r["label"], "both") != "both" and not r.get("why")]
 
 
+def lint(tree: dsl.Tree, head: str = "", mark: str = "") -> list[tuple[str, str]]:
+    """(what, label) of what an author should look at, each once: a price of an `unknown symbol`; a `nameless` manual leaf; an
+    `unclassified` one, whose sentence begins with `head` while neither it nor its label holds `mark`; an `ambiguous` label
+    of several meanings; `duplicates`, the labels of rules of one kind that mean the same."""
+    found, meanings = [], {}
+    for p in (ps[0] for ps in tree.kinds):
+        for _, rule, e in tree.expressions(p):
+            for n in dsl.walk(e):
+                label = n.get("label")
+                if n.get("sym") == dsl.UNKNOWN:
+                    found.append(("unknown symbol", rule))
+                if dsl.is_manual(n) and not label:
+                    found.append(("nameless", dsl.manual_key(n)))
+                said = n.get("manual")
+                if head and said and said.startswith(head) and mark not in f"{said} {label or ''}":
+                    found.append(("unclassified", label or said))
+                if label:
+                    meanings.setdefault(label, set()).add(dsl.logic_key(n))
+        found += [("duplicates", ", ".join(labels)) for labels in duplicates(tree, p)]
+    found += [("ambiguous", label) for label, keys in meanings.items() if len(keys) > 1]
+    return list(dict.fromkeys(found))
+
+
+def uncovered(spark, tree: dsl.Tree, shown: DataFrame) -> DataFrame:
+    """shown (label, do, n: how many of the rule's branches for that verb a screen has) -> (label, do, nth, kind) of what it
+    lacks: `branch`, counted from 0; `skip` for rules that could not be written; `name` for named conditions that no other
+    rule uses."""
+    used = {n["rule"] for r in tree.rules for n in _mentions([r.get("value"), r.get("then")])}
+    rows = [(r["label"], b["do"], sum(x["do"] == b["do"] for x in r["then"][:k]), "branch") for r in tree.rules for k, b in enumerate(r.get("then") or [])]
+    rows += [(r["label"], None, 0, "skip" if "skip" in r else "name") for r in tree.rules if "skip" in r or "then" not in r and r["label"] not in used]
+    table = spark.createDataFrame(rows, "label string, do string, nth int, kind string")
+    count = shown.groupBy("label", "do").agg(F.sum("n").alias("n"))
+    met = table.join(count, (table["label"] == count["label"]) & table["do"].eqNullSafe(count["do"]), "left").select(table["*"], F.coalesce("n", F.lit(0)).alias("n"))
+    return met.where("nth >= n").drop("n")
+
+
+def _mentions(x: object):
+    """Nodes that stand for a named condition."""
+    if isinstance(x, dict) and set(x) - set(dsl.META) == {"rule"}:
+        yield x
+    for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
+        yield from _mentions(y)
+
+
 def outcome(decided: DataFrame) -> DataFrame:
     """decided with opt and pes: block, buy or wait as each view has it; null where a view leaves it open."""
     of = lambda v: F.when(F.col(f"{v}_block"), "block").when(~F.col(f"{v}_block") & F.col(f"{v}_buy"), "buy").when(~F.col(f"{v}_block") & ~F.col(f"{v}_buy"), "wait")
@@ -150,7 +212,11 @@ def scenario_results(decided: DataFrame, wanted: DataFrame) -> DataFrame:
     not reproducible; a weight asked for must be the known one, or one of those that manual leaves allow."""
     rows = wanted.join(outcome(decided), ["product", "date"], "left")
     seen = F.array_distinct(F.array_compact(F.array("opt", "pes")))
+    return rows.select("product", "date", "expect", "pct", verdict(seen).alias("result"))
+
+
+def verdict(seen: Column) -> Column:
+    """What a scenario's `expect` and `pct` say of the outcomes seen, and of the weight."""
     weight = F.when(F.col("weight").isNotNull(), F.abs(F.col("weight") - F.col("pct")) <= 1e-6).otherwise(F.coalesce(F.array_contains(F.array_compact(F.array("weight_yes", "weight_no")), F.col("pct")), F.lit(False)))
     wrong = F.col("pct").isNotNull() & (F.col("expect") == "buy") & ~F.coalesce(weight, F.lit(False))
-    result = F.when(wrong, "mismatch").when(F.size(seen) == 0, "not reproducible").when(seen == F.array("expect"), "match").when(F.array_contains(seen, F.col("expect")), "match if confirmed").otherwise("mismatch")
-    return rows.select("product", "date", "expect", "pct", result.alias("result"))
+    return F.when(wrong, "mismatch").when(F.size(seen) == 0, "not reproducible").when(seen == F.array("expect"), "match").when(F.array_contains(seen, F.col("expect")), "match if confirmed").otherwise("mismatch")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import logic as L
 from tidebar.plans import dsl
-from tidebar.plans.compile import Compiler, calendar, with_kinds
+from tidebar.plans.compile import Compiler, apart, calendar, with_kinds
 
 
 def entries(frame: DataFrame, holdings: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def status(bars: DataFrame, tree: dsl.Tree, holdings: DataFrame, answers: dict |
     price = F.col("self_close")
     if spot is not None:
         frame, price = frame.join(spot.select(F.col("sym").alias("product"), "date", "spot"), ["product", "date"], "left"), F.coalesce("spot", "self_close")
-    rows = with_kinds(frame, tree).join(held, "product").withColumn("own", F.col("product")).withColumn("product", F.struct("own", "n"))  # windows part holdings
+    rows = apart(with_kinds(frame, tree).join(held, "product"), "n")  # windows part holdings
     rows = rows.withColumn("pos_ret", F.when(F.col("i") >= F.col("entry_i"), (price / F.col("cost") - 1) * 100))
     rows = rows.select(
         "*", F.when(F.col("i") >= F.col("entry_i"), (F.col("i") - F.col("entry_i")).cast("double")).alias("pos_days"), F.max("pos_ret").over(L.up_to()).alias("pos_maxret"), F.min("pos_ret").over(L.up_to()).alias("pos_minret"),

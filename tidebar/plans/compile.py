@@ -186,9 +186,11 @@ class Compiler:
         return self.add(L.extreme_since(F.min if op == "minsince" else F.max, lt.name, F.col(ln.name), c, s), NUM, depth)
 
 
-def calendar(bars: DataFrame, products: dict[str, dict], exprs: list[object], closes: DataFrame | None = None, asof=None) -> tuple[DataFrame, dict]:
+def calendar(bars: DataFrame, products: dict[str, dict], exprs: list[object], closes: DataFrame | None = None, asof=None, by: str | None = None) -> tuple[DataFrame, dict]:
     """(frame, base): a row per product and own bar date, with i and the price columns that the expressions read.
 
+    by: a column of the bars that tells worlds apart which don't see each other's bars.
+
     closes ([sym,] date, close_utc) and asof: adds base[sym, "settled"], whether that symbol's session had closed by asof;
     a symbol without any known session is always settled.
     """
@@ -196,9 +198,9 @@ def calendar(bars: DataFrame, products: dict[str, dict], exprs: list[object], cl
     names = list(products)
     others = {s for s, _ in wanted} - {"$self"}
     read = sorted({*names, *(others - {"$index"}), *((products[p].get("index") for p in names if products[p].get("index")) if "$index" in others else ())})
-    bars = bars.where(F.col("sym").isin(read))
-    frame = bars.where(F.col("sym").isin(names)).select(F.col("sym").alias("product"), "date", *[L.number(F.col(f)).alias(f"self_{f}") for f in dsl.FIELDS])
-    frame = frame.withColumn("i", F.row_number().over(L.Window.partitionBy("product").orderBy("date")) - 1)
+    bars, keys = bars.where(F.col("sym").isin(read)), [by] if by else []
+    frame = bars.where(F.col("sym").isin(names)).select(*keys, F.col("sym").alias("product"), "date", *[L.number(F.col(f)).alias(f"self_{f}") for f in dsl.FIELDS])
+    frame = frame.withColumn("i", F.row_number().over(L.Window.partitionBy(*keys, "product").orderBy("date")) - 1)
     if "$index" in others:
         roles = bars.sparkSession.createDataFrame([(p, products[p].get("index") or "") for p in names], "product string, index_sym string")
         frame = frame.join(F.broadcast(roles), "product")  # a row for each of the tree's products
@@ -207,11 +209,11 @@ def calendar(bars: DataFrame, products: dict[str, dict], exprs: list[object], cl
     for sym in sorted(others):
         fields = sorted({f for s, f in wanted if s == sym})
         tag = tags[sym] = "index" if sym == "$index" else f"t{len(base)}"
-        other = bars.select(F.col("sym").alias(f"{tag}_sym"), "date", *[L.number(F.col(f)).alias(f"{tag}_{f}") for f in fields])
+        other = bars.select(*keys, F.col("sym").alias(f"{tag}_sym"), "date", *[L.number(F.col(f)).alias(f"{tag}_{f}") for f in fields])
         if sym == "$index":
-            frame = frame.join(other, ["index_sym", "date"], "left")
+            frame = frame.join(other, [*keys, "index_sym", "date"], "left")
         else:
-            frame = frame.join(other.where(F.col(f"{tag}_sym") == sym).drop(f"{tag}_sym"), "date", "left")
+            frame = frame.join(other.where(F.col(f"{tag}_sym") == sym).drop(f"{tag}_sym"), [*keys, "date"], "left")
         base |= {(sym, f): f"{tag}_{f}" for f in fields}
     if asof is not None and closes is not None:
         for sym, tag in tags.items():
@@ -344,7 +346,7 @@ def ladder_of(table: DataFrame) -> Ladder:
 KINDS = 24
 
 
-def decisions(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None, closes: DataFrame | None = None, asof=None, atoms: DataFrame | None = None, more: dict[str, object] | None = None, ladder: Ladder = LADDER) -> DataFrame:
+def decisions(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None, closes: DataFrame | None = None, asof=None, atoms: DataFrame | None = None, more: dict[str, object] | None = None, ladder: Ladder = LADDER, by: str | None = None) -> DataFrame:
     """A grade per product and day: (product, i, date, open, close, key, rung, opt/pes block and buy, weight and the weights with
     manual leaves true and false, confirmed, warmup), and the columns of `more`, {name: expression}.
 
@@ -352,28 +354,31 @@ def decisions(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None, clos
     index that all symbols of the product have settled, -1 without one. key: that of the ladder's first rung whose wanted
     values are all met, and rung its number from 0; null, with the ladder's last key, where none is; `unknown` while fewer
     bars are confirmed than the rules need. more: a column whose value can be a lower bound has another, name_lb, that
-    tells so. The plan's size follows the kinds of products (sets
+    tells so. by: a column of the bars that tells worlds apart, and is returned first. The plan's size follows the kinds of products (sets
     of rules that concern them), not their number.
     """
     more = more or {}
     if len(tree.kinds) > KINDS:
         few = [[p for k in tree.kinds[n : n + KINDS] for p in k] for n in range(0, len(tree.kinds), KINDS)]
-        return reduce(DataFrame.unionByName, [decisions(bars, tree.only(ps), answers, closes, asof, atoms, more, ladder) for ps in few])
+        return reduce(DataFrame.unionByName, [decisions(bars, tree.only(ps), answers, closes, asof, atoms, more, ladder, by) for ps in few])
     first = [ps[0] for ps in tree.kinds]
     gates = {(k, do): tree.gate(p, do) for k, p in enumerate(first) for do in (dsl.BLOCK, dsl.BUY)}
     weight = {k: w for k, p in enumerate(first) if (w := tree.weight(p)) is not None}
     daily = {k: {n["sym"] for do in (dsl.BLOCK, dsl.BUY) for n in dsl.walk(gates[k, do]) if "px" in n and n.get("tf", "1d") == "1d"} or {"$self"} for k in range(len(first))}
-    frame, base = calendar(bars, tree.products, [*(e for p in first for _, _, e in tree.expressions(p)), *more.values()], closes, asof)
+    frame, base = calendar(bars, tree.products, [*(e for p in first for _, _, e in tree.expressions(p)), *more.values()], closes, asof, by)
+    if by and any(dsl.atom_symbols(e) for e in [*gates.values(), *weight.values()]):
+        raise dsl.RuleError("intraday leaves don't go with several worlds")
     if any(dsl.atom_symbols(e) for e in [*gates.values(), *weight.values()]):
         names = {**{f"g{n}": k for n, k in enumerate(gates)}, **{f"w{k}": k for k in weight}}
         frame, out = intraday(frame, atoms, tree.products, {n: gates[k] if n[0] == "g" else weight[k] for n, k in names.items()}, None, answers, asof)
         gates, weight = {k: out[n] for n, k in names.items() if n[0] == "g"}, {k: out[n] for n, k in names.items() if n[0] == "w"}
     # one compiler: without manual leaves below, the views of a condition are one node
-    compiler = Compiler(base, list(tree.products), None, answers, settled_columns(base))
+    frame = with_kinds(frame, tree)
+    frame = apart(frame, by) if by else frame
+    compiler = Compiler(base, list(tree.products), None, answers, settled_columns(base), named="own" if by else "product")
     columns = {f"{view}_{name}": [compiler.node(gates[k, do], good if do == dsl.BUY else not good).name for k in range(len(first))] for view, good in (("opt", True), ("pes", False)) for do, name in ((dsl.BLOCK, "block"), (dsl.BUY, "buy"))}
     weights = {name: [compiler.node(weight[k], m).name if k in weight else None for k in range(len(first))] for name, m in (("weight", None), ("weight_yes", True), ("weight_no", False))}
     extra = {k: compiler.node(e, False) for k, e in more.items()}
-    frame = with_kinds(frame, tree)
     frame = compiler.plan.build(frame)
     confirmed, flags = F.col("i"), settled_columns(base)
     if flags:
@@ -387,7 +392,8 @@ def decisions(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None, clos
     for k, step in enumerate(ladder.rungs):
         met = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(want)) for c, want in step.when.items()], F.lit(True))
         key, rung = key.when(met, step.key), rung.when(met, k)
-    return frame.select("product", "i", "date", F.col("self_open").alias("open"), F.col("self_close").alias("close"), key.otherwise(ladder.default).alias("key"), rung.alias("rung"), *columns, *weights, "confirmed", "warmup", *[c for k, n in extra.items() for c in ([F.col(n.name).alias(k)] + [F.col(n.name + "_lb").alias(k + "_lb")] * (n.kind == BOUND))])
+    who = [by, F.col("own").alias("product")] if by else ["product"]
+    return frame.select(*who, "i", "date", F.col("self_open").alias("open"), F.col("self_close").alias("close"), key.otherwise(ladder.default).alias("key"), rung.alias("rung"), *columns, *weights, "confirmed", "warmup", *[c for k, n in extra.items() for c in ([F.col(n.name).alias(k)] + [F.col(n.name + "_lb").alias(k + "_lb")] * (n.kind == BOUND))])
 
 
 def with_kinds(frame: DataFrame, tree: dsl.Tree) -> DataFrame:
@@ -398,6 +404,11 @@ def with_kinds(frame: DataFrame, tree: dsl.Tree) -> DataFrame:
     return frame.join(F.broadcast(table), "product")  # a row for each of the tree's products
 
 
+def apart(frame: DataFrame, *keys: str) -> DataFrame:
+    """frame with `product`, by which windows part, made a struct of the keys and the product's name, which becomes `own`."""
+    return frame.withColumn("own", F.col("product")).withColumn("product", F.struct(*keys, "own"))
+
+
 def by_kind(names: list[str | None], kind: str) -> Column:
     """For each row, the column that is named for its kind of product; null without one."""
     kinds: dict[str, list[int]] = {}
@@ -423,3 +434,33 @@ def cash_remainder(graded: DataFrame, weighted: list[str]) -> DataFrame:
     """(date, cash): what the weights of the weighted products leave of 100, at least 0; null if one is unknown."""
     rows = graded.where(F.col("product").isin(weighted)).groupBy("date").agg(F.bool_and(F.col("weight").isNotNull()).alias("known"), F.sum("weight").alias("total"))
     return rows.select("date", F.when(F.col("known"), F.greatest(F.lit(0.0), 100 - F.col("total"))).alias("cash"))
+
+
+def evidence(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None) -> DataFrame:
+    """What each part of a product's block and buy conditions is on its last bar: (product, date, path, label, truth, number,
+    at_least). path: the gate, then operators and places, such as buy.any[0].gt[1]; truth: of conditions, number: of other
+    parts, null where unknown; at_least: whether only a lower bound is known. Manual leaves are unknown unless answered.
+    """
+    first = [ps[0] for ps in tree.kinds]
+    gates = [{"block": tree.gate(p, dsl.BLOCK), "buy": tree.gate(p, dsl.BUY)} for p in first]
+    frame, base = calendar(bars, tree.products, [e for g in gates for e in g.values()])
+    compiler = Compiler(base, list(tree.products), None, answers)
+
+    def parts(path: str, node: object):
+        yield path, node.get("label") if isinstance(node, dict) else None, compiler.node(node)
+        for k, x in enumerate(dsl.children(node)):
+            yield from parts(f"{path}.{dsl.op_of(node)}[{k}]", x)
+
+    found = [[x for name, e in g.items() for x in parts(name, e)] for g in gates]
+    frame = compiler.plan.build(with_kinds(frame, tree))
+    last = frame.withColumn("last", F.max("i").over(L.Window.partitionBy("product"))).where("i = last")
+
+    def row(path: str, label: str | None, n: Node) -> Column:
+        value, none = F.col(n.name), lambda kind: F.lit(None).cast(kind)
+        number = none("double") if n.kind == BOOL else value.cast("double")
+        return F.struct(F.lit(path).alias("path"), F.lit(label).cast("string").alias("label"), (value if n.kind == BOOL else none("boolean")).alias("truth"), number.alias("number"), F.coalesce(F.col(n.name + "_lb") if n.kind == BOUND else none("boolean"), F.lit(False)).alias("at_least"))
+
+    rows = None
+    for k, own in enumerate(found):
+        rows = (F.when if rows is None else rows.when)(F.col("kind") == k, F.array(*[row(*x) for x in own]))
+    return last.select("product", "date", F.explode(rows).alias("x")).select("product", "date", "x.*")

@@ -232,6 +232,30 @@ def trades_repeat_sell(spark, sf_dir):
     return _flat(_tree_trades(spark, sf_dir, REPEAT))
 
 
+_TRAIL = {"highest": [{"pos": "ret"}, 5]}
+TRAILING = dsl.synthetic(
+    PRODUCTS, *_RULES,
+    dsl.rule("trail", dsl.SELL, {"lt": [{"pos": "ret"}, {"sub": [_TRAIL, 40]}]}, ("bought", 0.5)),
+    dsl.rule("stale", dsl.SELL, {"all": [{"ge": [{"barssince": {"ge": [{"pos": "ret"}, 25]}}, 6]}, {"lt": [{"pos": "ret"}, {"lag": [{"pos": "ret"}, 2]}]}]}, ("held", 0.5), repeat=True),
+    dsl.rule("low", dsl.SELL, {"any": [{"le": [{"minsince": [{"ge": [{"pos": "ret"}, 10]}, {"pos": "ret"}]}, -50]}, {"ge": [{"pos": "days"}, 25]}]}, ("held", 1)),
+)
+_SEEN = "len(best) - coalesce(list_max(list_filter(range(1, len(best) + 1), lambda j: best[j] >= {})), 0)"  # days since the return was so high, or since the entry
+_TRAIL_SQL = _walk_sql(
+    [
+        ("act AND len(best) >= 5 AND ret < list_max(best[-5:]) - 40", "bought", 0.5, False),
+        (f"act AND {_SEEN.format(25)} >= 6 AND len(best) >= 3 AND ret < best[-3]", "held", 0.5, True),
+        (f"act AND (({_SEEN.format(10)} < len(best) AND list_min(best[len(best) - ({_SEEN.format(10)}):]) <= -50) OR i - e >= 25)", "held", 1.0, False),
+    ],
+    "false", 1.0,
+).replace("THEN greatest(best, ret) END", "THEN list_append(coalesce(best, []), ret) END").replace("NULL::DOUBLE, 0, 0.0::DOUBLE", "NULL::DOUBLE[], 0, 0.0::DOUBLE")
+
+
+@query(f"{_DUCK}{_TRAIL_SQL} {_TRADES}")
+def trades_trailing(spark, sf_dir):
+    """Windows and since-operators over the return of the position."""
+    return _flat(_tree_trades(spark, sf_dir, TRAILING))
+
+
 def _hits(name: str, rows: str) -> str:
     return f"{name} AS (SELECT product, string_agg(k || ':' || n, ',' ORDER BY k || ':' || n) AS {name} FROM (SELECT product, k, count(*) AS n FROM ({rows}) GROUP BY 1, 2) GROUP BY 1)"
 
@@ -389,17 +413,23 @@ def years_window(spark, sf_dir):
     return S.years_window(S.order_bars(spark, sf_dir), "19980630", 1.5).select("sym", "date")
 
 
-@query("SELECT * FROM (VALUES ('a', '20200101', false), ('b', '20190101', true), ('c', '20210101', true)) t(sym, start, fetched)")
+_WANTS = "SELECT 'C' || o_custkey AS sym, strftime(min(o_orderdate), '%Y%m%d') AS start FROM orders WHERE o_orderkey % 2 = {} GROUP BY 1"
+
+
+@query(f"""WITH had AS ({_WANTS.format(1)}), wanted AS ({_WANTS.format(0)}), both_ AS (SELECT sym, min(start) AS start FROM (SELECT * FROM had UNION ALL SELECT * FROM wanted) GROUP BY 1)
+SELECT b.sym, b.start, had.start IS NULL OR b.start < had.start AS fetched FROM both_ b LEFT JOIN had ON had.sym = b.sym""")
 def history_needs(spark, sf_dir):
-    schema = "sym string, start string"
-    both, fetch = S.needs(spark.createDataFrame([("a", "20200101"), ("b", "20200101")], schema), spark.createDataFrame([("a", "20210101"), ("b", "20190101"), ("c", "20210101"), ("c", "20220101")], schema))
+    """Histories from customers' first orders: those of even keys are asked for after those of odd keys were loaded."""
+    o = S.table(spark, sf_dir, "orders")
+    wants = lambda odd: o.where(F.col("o_orderkey") % 2 == odd).groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("sym")).agg(F.date_format(F.min("o_orderdate"), "yyyyMMdd").alias("start"))
+    both, fetch = S.needs(wants(1), wants(0))
     return both.join(fetch.withColumn("fetched", F.lit(True)), ["sym", "start"], "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
 
 
-@query("SELECT event_id, (epoch(ts)::BIGINT // 60) * 60 AS minute, (epoch(ts)::BIGINT // 86400) * 86400 AS day FROM events WHERE ts IS NOT NULL AND epoch(ts) = floor(epoch(ts))")
+@query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS second, epoch(date_trunc('minute', ts))::BIGINT AS minute, epoch(date_trunc('day', ts))::BIGINT AS day FROM events WHERE ts IS NOT NULL")
 def epoch_keys(spark, sf_dir):
-    e = S.table(spark, sf_dir, "events").where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).where(F.unix_micros("ts") % 1_000_000 == 0)
-    return e.select("event_id", S.epoch(F.date_format("ts", "yyyyMMddHHmm")).alias("minute"), S.epoch(F.date_format("ts", "yyyyMMdd")).alias("day"))
+    e = S.table(spark, sf_dir, "events").where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.select("event_id", *[S.epoch(F.date_format("ts", form)).alias(k) for k, form in (("second", "yyyyMMddHHmmss"), ("minute", "yyyyMMddHHmm"), ("day", "yyyyMMdd"))])
 
 
 _HELD = [("1-URGENT", "19970102", 150000.0, 1), ("2-HIGH", "19980101", 90000.0, 2), ("3-MEDIUM", "29990101", 1.0, 1)]
@@ -439,11 +469,12 @@ def changed_symbols(spark, sf_dir):
     return S.changed_symbols(old, S.upsert(old, new))
 
 
-@query(f"WITH {_HALVES} SELECT 'book' AS book, p AS product FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) t(p)")
+_SUBSCRIBED = [(x, "indexed", p) for p in PRODUCTS for x in sorted(dsl.Tree(TREE).symbols(p))] + [(p, "alone", p) for p in PRODUCTS]
+
+
+@query(f"WITH {_HALVES}, changed AS (SELECT DISTINCT sym FROM (SELECT * FROM merged EXCEPT SELECT * FROM o)), subs(symbol, book, product) AS (VALUES {', '.join(map(str, _SUBSCRIBED))}) SELECT DISTINCT book, product FROM subs JOIN changed ON symbol = sym")
 def woken_products(spark, sf_dir):
-    tree = dsl.Tree(TREE)
-    subs = spark.createDataFrame([(s, "book", p) for p in PRODUCTS for s in sorted(tree.symbols(p))], "symbol string, book string, product string")
-    return S.woken(changed_symbols(spark, sf_dir), subs)
+    return S.woken(changed_symbols(spark, sf_dir), spark.createDataFrame(_SUBSCRIBED, "symbol string, book string, product string"))
 
 
 @query("SELECT s AS sym FROM (VALUES ('2-HIGH'), ('9-NONE')) t(s) WHERE s NOT IN (SELECT o_orderpriority FROM orders)")
@@ -497,7 +528,11 @@ def compare_sections(spark, sf_dir):
     return _rounded(days.groupBy("product", "section").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("same")).cast("long")).alias("differ"), F.avg(F.col("same").cast("double")).alias("agreement")), "agreement")
 
 
-@query(f"WITH {SQL_BARS} SELECT product, a, b FROM (SELECT DISTINCT product FROM cal), (VALUES ('above', 'over the mean'), ('up', 'rise')) t(a, b)")
+_OTHERS = f"""{_VALUES}, y0 AS (SELECT *, (close + {_lag('close')} + {_lag('close', 2)} + {_lag('close', 3)} + {_lag('close', 4)}) / 5 AS m5, {_lag('close')} AS p FROM cal),
+y AS (SELECT product, i, 'over the mean' AS label, m5 < close AS value FROM y0 UNION ALL SELECT product, i, 'rise', NOT close <= p FROM y0 UNION ALL SELECT product, i, 'fall', close < p FROM y0)"""
+
+
+@query(f"WITH {_OTHERS} SELECT v.product, v.label AS a, y.label AS b FROM v JOIN y USING (product, i) WHERE v.label <> 'never' GROUP BY ALL HAVING bool_and(v.value IS NOT DISTINCT FROM y.value) AND bool_or(v.value IS NOT NULL)")
 def behaviour_pairs(spark, sf_dir):
     other = {"over the mean": {"lt": [{"div": [{"sum": [C, 5]}, 5]}, C]}, "rise": {"not": {"le": [C, {"lag": [C, 1]}]}}, "fall": {"lt": [C, {"lag": [C, 1]}]}}
     return X.behaviour_pairs(X.long(evaluate(S.order_bars(spark, sf_dir), PRODUCTS, {k: _LABELS[k] for k in ("above", "up", "broke")}), ["above", "up", "broke"]), X.long(evaluate(S.order_bars(spark, sf_dir), PRODUCTS, other), list(other)))
@@ -563,9 +598,9 @@ def chapter_sections(spark, sf_dir):
     return T.per_chapter(T.sections(_marked(spark, sf_dir)))
 
 
-@query(f"WITH {_SECTIONS}, src AS (SELECT DISTINCT slug, key FROM s WHERE slug % 10 < 2), bk AS (SELECT DISTINCT slug, CASE WHEN slug % 10 = 0 AND key = '1-1' THEN '9-9' ELSE key END AS key FROM s WHERE slug % 10 < 2) SELECT slug, key, 'missing' AS what FROM src WHERE (slug, key) NOT IN (SELECT (slug, key) FROM bk) UNION ALL SELECT slug, key, 'invented' FROM bk WHERE (slug, key) NOT IN (SELECT (slug, key) FROM src)")
+@query(f"WITH {_SECTIONS}, src AS (SELECT DISTINCT slug, key FROM s), bk AS (SELECT DISTINCT slug, CASE WHEN slug % 10 = 0 AND key = '1-1' THEN '9-9' ELSE key END AS key FROM s) SELECT slug, key, 'missing' AS what FROM src ANTI JOIN bk USING (slug, key) UNION ALL SELECT slug, key, 'invented' FROM bk ANTI JOIN src USING (slug, key)")
 def key_checks(spark, sf_dir):
-    source = T.marks(_marked(spark, sf_dir)).where("slug % 10 < 2")
+    source = T.marks(_marked(spark, sf_dir))
     return T.key_checks(source, source.withColumn("key", F.when((F.col("slug") % 10 == 0) & (F.col("key") == "1-1"), "9-9").otherwise(F.col("key"))))
 
 
@@ -575,6 +610,91 @@ def html_block_extract(spark, sf_dir):
     return S.table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)).alias("title"), F.length(F.regexp_extract(html, r"(?s)<body[^>]*>(.*?)</body>", 1)).cast("long").alias("body_chars"))
 
 
+_STEPS = [(0, "avoid for sure", None, None, "true", None), (1, "buy for sure", None, None, "false", "true"), (2, "buy if asked", "false", "true", None, None), (3, "wait", "unknown", None, None, None), (4, "hold", None, None, None, None)]
+
+
+@query(f"""WITH {_MANUAL_SQL}, v AS (SELECT product, date, i, a AS opt_buy, CASE WHEN product = '2-HIGH' THEN a ELSE false END AS pes_buy, false AS opt_block, product <> '2-HIGH' AND i % 2 >= 0 AS pes_block FROM l0)
+SELECT product, date, CASE WHEN i < 4 THEN 'unknown' WHEN pes_block THEN 'avoid for sure' WHEN NOT pes_block AND pes_buy THEN 'buy for sure' WHEN NOT opt_block AND opt_buy THEN 'buy if asked' ELSE 'hold' END AS key,
+ CASE WHEN i < 4 THEN NULL WHEN pes_block THEN 0 WHEN NOT pes_block AND pes_buy THEN 1 WHEN NOT opt_block AND opt_buy THEN 2 END AS rung FROM v""")
+def grade_ladder(spark, sf_dir):
+    """Grades by a ladder from a table, and which of its rungs decided."""
+    from tidebar.plans.compile import ladder_of
+
+    views = ", ".join(f"{c} string" for c in ("opt_block", "opt_buy", "pes_block", "pes_buy"))
+    table = ladder_of(spark.createDataFrame(_STEPS, f"place int, key string, {views}"))
+    answers = {("2-HIGH", "news is good"): True, ("2-HIGH", "calm"): True}
+    return decisions(S.order_bars(spark, sf_dir), dsl.Tree(MANUAL), answers, ladder=table).select("product", "date", "key", "rung")
+
+
+_BROKEN = "product IN ('2-HIGH', '5-LOW')"
+_PARTS = [
+    ("block", "block", None), ("block.any[0]", "block", None), ("block.any[0].lt[0]", None, "ix"), ("block.any[0].lt[1]", None, "q"), ("block.any[0].lt[1].lag[0]", None, "ix"), ("buy", "buy", None),
+    ("buy.any[0]", "close > m AND close > p", None), ("buy.any[0].all[0]", "close > m", None), ("buy.any[0].all[0].gt[0]", None, "close"), ("buy.any[0].all[0].gt[1]", None, "m"), ("buy.any[0].all[0].gt[1].div[0]", None, "m * 5"),
+    ("buy.any[0].all[0].gt[1].div[0].sum[0]", None, "close"), ("buy.any[0].all[0].gt[1].div[1]", None, "5"), ("buy.any[0].all[1]", "close > p", None), ("buy.any[0].all[1].gt[0]", None, "close"), ("buy.any[0].all[1].gt[1]", None, "p"),
+    ("buy.any[0].all[1].gt[1].lag[0]", None, "close"), ("buy.any[1]", "close > t", None), ("buy.any[1].gt[0]", None, "close"), ("buy.any[1].gt[1]", None, "t"), ("buy.any[1].gt[1].highest[0]", None, "h"), ("buy.any[1].gt[1].highest[0].lag[0]", None, "high"),
+]
+_PARTS_SQL = " UNION ALL ".join(f"SELECT product, date, '{path}' AS path, {truth or 'NULL::BOOLEAN'} AS truth, round({number or 'NULL'}::DOUBLE, 4) AS number FROM tip" + (f" WHERE {_BROKEN}" if path.startswith("buy.any[1]") else "") for path, truth, number in _PARTS)
+
+
+@query(f"WITH {_GRADED}, tip AS (SELECT * FROM graded QUALIFY i = max(i) OVER (PARTITION BY product)) {_PARTS_SQL}")
+def evidence_last_day(spark, sf_dir):
+    from tidebar.plans.compile import evidence
+
+    return _rounded(evidence(S.order_bars(spark, sf_dir), dsl.Tree(TREE)).select("product", "date", "path", "truth", "number"), "number")
+
+
+_PERIODS = (365, 1095)
+_PERIOD_ROWS = f"""{_GRADED}, f AS (SELECT *, {_FWD} FROM graded), d AS (SELECT f.*, length AS period, strftime(strptime(max(date) OVER (PARTITION BY f.product), '%Y%m%d') - length * INTERVAL 1 DAY, '%Y%m%d') AS first_day FROM f, (VALUES {', '.join(f'({p})' for p in _PERIODS)}) t(length)),
+w AS (SELECT *, lag(key) OVER (PARTITION BY product, period ORDER BY i) IS DISTINCT FROM key AS start FROM d WHERE date >= first_day),
+u AS ({' UNION ALL '.join(f'SELECT product, period, key AS grade, start, {h} AS horizon, f{h} AS r FROM w' for h in B.HORIZONS)} UNION ALL {' UNION ALL '.join(f"SELECT product, period, 'all', true, {h}, f{h} FROM w" for h in B.HORIZONS)})"""
+
+
+@query(f"""WITH {_PERIOD_ROWS}, held AS (SELECT product, period, count(*) AS period_days, round((arg_max(close, i) / arg_min(close, i) - 1) * 100, 4) AS buy_hold FROM w GROUP BY 1, 2)
+SELECT product, period, period_days, buy_hold, grade, horizon, CASE WHEN grade <> 'all' THEN count(*) END AS days, CASE WHEN grade <> 'all' THEN sum(start::INT)::BIGINT END AS signals, count(r) FILTER (start) AS n, round(avg(r) FILTER (start), 4) AS avg, round(median(r) FILTER (start), 4) AS median,
+ round(avg((r > 0)::INT) FILTER (start) * 100, 4) AS win FROM u JOIN held USING (product, period) GROUP BY product, period, period_days, buy_hold, grade, horizon""")
+def period_results(spark, sf_dir):
+    """The nested results of two periods, laid flat for comparison."""
+    found = B.period_results(_graded(spark, sf_dir), _PERIODS)
+    base = F.struct(F.lit("all").alias("grade"), F.lit(None).cast("long").alias("days"), F.lit(None).cast("long").alias("signals"), F.col("baseline").alias("returns"))
+    flat = found.select("product", "period", F.col("days").alias("period_days"), F.round("buy_hold", 4).alias("buy_hold"), F.explode(F.concat("grades", F.array(base))).alias("g"))
+    flat = flat.select("product", "period", "period_days", "buy_hold", "g.grade", "g.days", "g.signals", F.explode("g.returns").alias("r"))
+    return _rounded(flat.select("product", "period", "period_days", "buy_hold", "grade", "r.horizon", "days", "signals", "r.n", "r.avg", "r.median", "r.win"), "avg", "median", "win")
+
+
+PLAYED = dsl.synthetic(
+    PRODUCTS, dsl.rule("trend", dsl.BUY, {"all": [ABOVE, {"any": [UP, {"manual": "news is good"}]}]}), dsl.rule("falls", dsl.BLOCK, {"lt": [C, {"lowest": [{"lag": [C, 1]}, 10]}]}), dsl.rule("index", dsl.BLOCK, {"lt": [IX, {"lag": [IX, 5]}]}, on=["2-HIGH"]),
+    dsl.rule("weight", dsl.BUY, None, ("cash", {"case": [[UP, 40]], "else": 25})), dsl.rule("gain", dsl.SELL, {"all": [{"ge": [{"pos": "ret"}, 5]}, {"any": [{"lt": [C, {"lag": [C, 1]}]}, {"manual": "sell on news"}]}]}, ("held", 1)), dsl.rule("drop", dsl.SELL, {"le": [{"pos": "minret"}, -60]}, ("held", 1)),
+)
+_PLAYED_DAYS = 30
+_PLAYED_SQL = f"""{SQL_BARS}, mine AS (SELECT product || ' ' || substr(date, 1, 6) AS scenario, product, list(close ORDER BY date) AS xs, (substr(date, 5, 2)::INT % 4) AS kind FROM cal GROUP BY ALL),
+asked AS (SELECT *, CASE kind WHEN 0 THEN 'buy' WHEN 1 THEN 'wait' WHEN 2 THEN 'block' ELSE 'sell' END AS expect, CASE WHEN kind = 0 AND len(xs) % 2 = 0 THEN 40.0 END AS pct FROM mine),
+w0 AS (SELECT a.*, n AS i, xs[greatest(1, len(xs) - {_PLAYED_DAYS} + n + 1)] AS close, CASE WHEN product = '1-URGENT' THEN xs[greatest(1, len(xs) - {_PLAYED_DAYS} + n + 1)] ELSE 100 * 1.001 ** n END AS ix FROM asked a, range({_PLAYED_DAYS}) t(n)),
+w1 AS (SELECT *, lag(close) OVER v AS p, avg(close) OVER (PARTITION BY scenario ORDER BY i ROWS 4 PRECEDING) AS m, min(close) OVER (PARTITION BY scenario ORDER BY i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS lo, lag(ix, 5) OVER v AS q, first_value(close) OVER v AS cost FROM w0 WINDOW v AS (PARTITION BY scenario ORDER BY i)),
+w2 AS (SELECT *, (close / cost - 1) * 100 AS ret, min((close / cost - 1) * 100) OVER (PARTITION BY scenario) AS worst, close < lo OR (product = '2-HIGH' AND ix < q) AS block, close > m AND close > p AS pes, close > m AS opt, CASE WHEN close > p THEN 40.0 ELSE 25.0 END AS weight FROM w1 QUALIFY i = {_PLAYED_DAYS - 1}),
+w3 AS (SELECT *, CASE WHEN expect = 'sell' THEN list_distinct([CASE WHEN (ret >= 5 AND close < p) OR worst <= -60 THEN 'sell' WHEN ret >= 5 AND true THEN NULL ELSE 'hold' END, CASE WHEN ret >= 5 OR worst <= -60 THEN 'sell' ELSE 'hold' END, CASE WHEN (ret >= 5 AND close < p) OR worst <= -60 THEN 'sell' ELSE 'hold' END])
+ ELSE list_distinct([CASE WHEN block THEN 'block' WHEN opt THEN 'buy' ELSE 'wait' END, CASE WHEN block THEN 'block' WHEN pes THEN 'buy' ELSE 'wait' END]) END AS seen FROM w2)"""
+
+
+@query(f"WITH {_PLAYED_SQL} SELECT scenario, product, expect, pct, CASE WHEN pct IS NOT NULL AND NOT abs(weight - pct) <= 1e-6 THEN 'mismatch' WHEN len(seen) = 0 THEN 'not reproducible' WHEN seen = [expect] THEN 'match' WHEN list_contains(seen, expect) THEN 'match if confirmed' ELSE 'mismatch' END AS result FROM w3")
+def scenarios_synthetic(spark, sf_dir):
+    """A scenario for each product and month: its closes end a series of 30 days, and the other symbols rise slowly."""
+    from tidebar.operators import scenarios as Z
+
+    days = S.order_bars(spark, sf_dir).select("sym", "date", "close", F.concat_ws(" ", "sym", F.substring("date", 1, 6)).alias("scenario"), (F.substring("date", 5, 2).cast("int") % 4).alias("kind"))
+    own = days.groupBy("scenario", "sym", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]).alias("close"))
+    none = F.lit(None).cast("array<double>")
+    series = own.select("scenario", "sym", "close", *[none.alias(f) for f in ("open", "high", "low", "volume")])
+    expect = F.when(F.col("kind") == 0, "buy").when(F.col("kind") == 1, "wait").when(F.col("kind") == 2, "block").otherwise("sell")
+    asked = own.select("scenario", F.col("sym").alias("product"), F.lit(_PLAYED_DAYS).alias("days"), expect.alias("expect"), F.when((F.col("kind") == 0) & (F.size("close") % 2 == 0), 40.0).alias("pct"))
+    return Z.results(asked, series, dsl.Tree(PLAYED)).drop("days")
+
+
+@query(f"WITH {SQL_BARS}, u AS (SELECT *, close > {_lag('close')} AS up FROM cal) SELECT date, sum(CASE WHEN up IS NOT DISTINCT FROM true THEN 40.0 ELSE 25.0 END) AS total FROM u GROUP BY 1 HAVING sum(CASE WHEN up IS NOT DISTINCT FROM true THEN 40.0 ELSE 25.0 END) > 100 + 1e-9")
+def weight_overflow_open(spark, sf_dir):
+    """Days on which the weights can exceed 100, if manual leaves go that way."""
+    return X.weight_overflow(decisions(S.order_bars(spark, sf_dir), dsl.Tree(_SURE)))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
