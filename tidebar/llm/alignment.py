@@ -13,6 +13,7 @@ back in one row, whose size is bounded by the block's text; documents themselves
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from itertools import chain
 
@@ -27,6 +28,7 @@ from .shared import cut, partitions, slices
 from .tokens import PUNCTUATION, WHITE, byte_letters
 
 BLOCK = 1 << 24  # bytes of text
+AT_ONCE = 1 << 14  # chunks that are encoded and aligned together
 
 
 def coalesce(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +57,18 @@ class Pair:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         letter = {c: k for k, c in enumerate(byte_letters())}
-        added = {t for t, x in self.a.get_added_tokens_decoder().items() if x.special}
-        self.bytes_a = {i: t.encode() if i in added else bytes(map(letter.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=True).items() if i in added or all(c in letter for c in t)}
+        special = {x.content for x in self.a.get_added_tokens_decoder().values() if x.special}
+        entries = sorted((i, t) for t, i in self.a.get_vocab(with_added_tokens=True).items())
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        of_a = {i: bytes(map(letter.__getitem__, t)) if t not in special and all(c in letter for c in t) else t.encode() for i, t in entries}
+        self.bytes = ([of_a.get(i, b"") for i in range(max(of_a) + 1)], [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.sizes = tuple(np.array([len(x) for x in table], np.int64) for table in self.bytes)
+        # ids in decimal, within a group and at the end of its side
+        self.marks = tuple(tuple(np.array([f"{i}{mark}" for i in range(len(table))], object) for mark in (",", end)) for table, end in zip(self.bytes, "|;", strict=True))
         # B joins nothing across a blank that follows another character, a line break, or a letter before punctuation,
         # as no piece of its vocabulary holds these; A never does
         plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
@@ -79,7 +86,7 @@ class Pair:
 
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides of chunks of texts that begin with a blank."""
-        a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         # B puts a blank first; behind a line break no piece can take it up, so both are cut off again
         own = [c[:1] == " " for c in chunks]
         b = self.b.encode([c[1:] if blank else f"\n{c}" for c, blank in zip(chunks, own, strict=True)], num_threads=1)
@@ -92,52 +99,65 @@ class Aligned(dict):
     def __init__(self, pair: Pair):
         super().__init__()
         self.pair = pair
+        self.new: list[str] = []  # numbered, but not aligned yet
         self.text: list[str] = []  # groups, as `a1,a2|b1;a3|b2,b3`
-        self.fits: list[bool] = []  # whether both sides' bytes are the chunk's
         self.sizes = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links
         self.links: list[np.ndarray] = []  # id of A << 32 | id of B, chunk by chunk
+        self.wrong: set[int] = set()  # chunks whose bytes one side doesn't give back
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        n = self[chunk] = len(self)
+        return n
+
+    def settle(self) -> None:
+        """Align what is new, some thousands of chunks at once."""
+        for lo in range(0, len(self.new), AT_ONCE):
+            self.add(self.new[lo : lo + AT_ONCE])
+        self.new = []
 
     def add(self, chunks: list[str]) -> None:
-        """Encode and align new chunks, all at once."""
-        ids_a, ids_b = self.pair.encode(chunks)
+        pair, ids = self.pair, self.pair.encode([*chunks])
         data = [c.encode() for c in chunks]
-        own_a, own_b = ([[table[i] if type(table) is list else table.get(i, b"") for i in x] for x in ids] for table, ids in ((self.pair.bytes_a, ids_a), (self.pair.bytes_b, ids_b)))
-        fits = [b"".join(x) == d == b"".join(y) for d, x, y in zip(data, own_a, own_b, strict=True)]
-        ids_a, ids_b, own_a, own_b = ([x if ok else [] for x, ok in zip(xs, fits, strict=True)] for xs in (ids_a, ids_b, own_a, own_b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
+        want = np.fromiter(map(len, data), np.int64, len(data))
+        for _ in range(2):
+            flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in ids]
+            n = [np.fromiter(map(len, x), np.int64, len(x)) for x in ids]
+            owner = [np.repeat(np.arange(len(chunks)), k) for k in n]
+            lengths = [np.bincount(o, weights=size[f], minlength=len(chunks)).astype(np.int64) for o, size, f in zip(owner, pair.sizes, flat, strict=True)]
+            if all((k == want).all() for k in lengths) and all(b"".join(map(table.__getitem__, f.tolist())) == b"".join(data) for table, f in zip(pair.bytes, flat, strict=True)):
+                break
+            for k, (d, *both) in enumerate(zip(data, *ids, strict=True)):
+                if any(b"".join(map(table.__getitem__, x)) != d for table, x in zip(pair.bytes, both, strict=True)):
+                    self.wrong.add(len(self.text) + k)
+                    ids[0][k], ids[1][k], data[k], want[k] = [], [], b"", 0
         # the chunks stand behind each other in one long text
-        end_a, end_b = (np.cumsum(np.fromiter(map(len, chain.from_iterable(x)), np.int64)) for x in (own_a, own_b))
-        start_a, start_b = (np.concatenate(([0], e[:-1])) if len(e) else e for e in (end_a, end_b))
+        end_a, end_b = (np.cumsum(size[f]) for size, f in zip(pair.sizes, flat, strict=True))
+        start_a, start_b = end_a - pair.sizes[0][flat[0]], end_b - pair.sizes[1][flat[1]]
         group_a, group_b = coalesce(start_a, end_a, start_b, end_b)
         first, second = overlaps(start_a, end_a, start_b, end_b)
         together = end_a[first] == end_b[second]
         first, second = first[together], second[together]
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
-        chunk_a = np.repeat(np.arange(len(chunks)), n_a)
-        n_links = np.bincount(chunk_a[first], minlength=len(chunks))
-        edge_a, edge_b = (np.concatenate((np.flatnonzero(np.diff(g, prepend=-1)), [len(g)])) for g in (group_a, group_b))
-        n_groups = np.bincount(chunk_a[edge_a[:-1]], minlength=len(chunks))
-        strings_a, strings_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        whole = [f"{','.join(strings_a[p:q])}|{','.join(strings_b[r:s])}" for p, q, r, s in zip(edge_a[:-1].tolist(), edge_a[1:].tolist(), edge_b[:-1].tolist(), edge_b[1:].tolist(), strict=True)]
-        upto = np.concatenate(([0], np.cumsum(n_groups))).tolist()
-        self.text += [";".join(whole[p:q]) for p, q in zip(upto[:-1], upto[1:], strict=True)]
-        self.fits += fits
-        self.sizes = np.concatenate((self.sizes, np.stack((n_a, n_b, n_groups, n_links), axis=1)))
-        self.links.append(flat_a[first] << 32 | flat_b[second])
-        for c in chunks:
-            self[c] = len(self)
+        n_links = np.bincount(owner[0][first], minlength=len(chunks))
+        last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
+        n_groups = np.bincount(owner[0][last_a], minlength=len(chunks))
+        (inner_a, end_of_a), (inner_b, end_of_b) = pair.marks
+        pieces = np.concatenate((np.where(last_a, end_of_a[flat[0]], inner_a[flat[0]]), np.where(last_b, end_of_b[flat[1]], inner_b[flat[1]])))
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        pieces, upto = pieces[order].tolist(), np.concatenate(([0], np.cumsum(n[0] + n[1]))).tolist()
+        self.text += ["".join(pieces[p:q])[:-1] for p, q in zip(upto[:-1], upto[1:], strict=True)]
+        self.sizes = np.concatenate((self.sizes, np.stack((n[0], n[1], n_groups, n_links), axis=1)))
+        self.links.append(flat[0][first] << 32 | flat[1][second])
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
-        """The chunk numbers of each text; a text of which a chunk doesn't fit is a chunk of its own."""
-        cuts = [self.pair.chunks(t) for t in texts]
-        if new := list(dict.fromkeys(c for cs in cuts for c in cs if c not in self)):
-            self.add(new)
-        out = [np.fromiter(map(self.__getitem__, cs), np.int64, len(cs)) for cs in cuts]
-        wrong = [k for k, x in enumerate(out) if not all(self.fits[i] for i in set(x.tolist()))]
-        if new := list(dict.fromkeys(texts[k] for k in wrong if texts[k] not in self)):
-            self.add(new)
-        for k in wrong:
-            out[k] = np.array([self[texts[k]]])
+        """The chunk numbers of each text; a text of which a chunk is wrong is a chunk of its own."""
+        out = [np.fromiter(map(self.__getitem__, cs), np.int64, len(cs)) for cs in map(self.pair.chunks, texts)]
+        self.settle()
+        if self.wrong:
+            for k, x in enumerate(out):
+                if not self.wrong.isdisjoint(x.tolist()):
+                    out[k] = np.array([self[texts[k]]])
+            self.settle()
         return out
 
 
@@ -172,7 +192,7 @@ def _encoded(path_a: str, path_b: str, with_groups: bool):
             some = [k for k, t in enumerate(texts) if t]
             found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
             for k, x in zip(some, held.numbers([f" {texts[k]}" for k in some]), strict=True):
-                found[k] = x if held.fits[x[0]] else x[:0]
+                found[k] = x[:0] if int(x[0]) in held.wrong else x
                 size += len(texts[k])
             used = np.concatenate((used, np.zeros(len(held) - len(used), np.int64)))
             chunks, times, sums, shas, whole = [], [], np.zeros((len(texts), 4), np.int64), [], []
@@ -182,7 +202,7 @@ def _encoded(path_a: str, path_b: str, with_groups: bool):
                 chunks.append(own.astype(np.int32))
                 times.append(n.astype(np.int32))
                 sums[k] = (held.sizes[own] * n[:, None]).sum(axis=0)
-                line = ";".join([held.text[i] for i in x.tolist()])
+                line = ";".join(map(held.text.__getitem__, x.tolist()))
                 shas.append(hashlib.sha256(line.encode()).hexdigest() if len(x) else "")
                 whole.append(line if with_groups else None)
             yield _batch(len(texts), {"id": batch.column("id"), "groups": pa.array(whole, pa.string()), "block": [partition + number] * len(texts), "kind": [1] * len(texts), **dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums.T, strict=True)), "sha": shas, "chunks": chunks, "times": times})
