@@ -10,16 +10,19 @@ import shutil
 import subprocess
 import sys
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions.text import lines, marks, unwrap_titles
 from tidebar.operators import compare
-from tidebar.operators.backtest import equity, portfolio_stats, position_facts, trade_stats, trades
+from tidebar.operators import scenarios as Z
+from tidebar.operators.backtest import AtLeast, equity, exit_policy, portfolio_stats, position_facts, size_notes, stepper, trade_stats, trades
 from tidebar.plans import dsl
-from tidebar.plans.compile import decisions, evaluate
+from tidebar.plans.compile import decisions, evaluate, ladder_of
 from tidebar.sources import bars as sources
+from tidebar.sources import texts
 from tidebar.streaming.hub import BARS, Hub
 
 C = {"px": "close", "sym": "$self"}
@@ -469,3 +472,154 @@ def test_plans_do_not_grow_with_products(spark):
     assert all((r["key"] == "buy") == (int(r["product"][1:]) % 4 > int(r["product"][1:]) % 3) and r["weight"] == 5 for r in rows_)
     many = dsl.Tree(dsl.synthetic({f"P{k}": {} for k in range(60)}, *[dsl.rule(f"r{k}", dsl.BUY, {"gt": [C, k % 4]}, on=[f"P{k}"]) for k in range(60)]))
     assert len(many.kinds) == 60 and {r["key"] for r in decisions(frame, many).collect()} == {"avoid"}
+
+
+def plain_value(node, days, i):
+    """A node's value on day i by looking back over the days, as the operators are defined; days: {name: list}. Bounds are ('least', n)."""
+    at = lambda x, k: plain_value(x, days, k)
+    exact = lambda x: None if isinstance(x, tuple) else x
+    if isinstance(node, (int, float)):
+        return float(node)
+    if "pos" in node:
+        return days[node["pos"]][i]
+    op = dsl.op_of(node)
+    v = node[op]
+    if op == "lag":
+        return at(v[0], i - v[1]) if i >= v[1] else None
+    if op in dsl.WINDOW:
+        xs = [exact(at(v[0], k)) for k in range(i - v[1] + 1, i + 1)] if i >= v[1] - 1 else [None]
+        return None if None in xs else {"sum": sum, "highest": max, "lowest": min}[op](xs)
+    if op in ("barssince", *dsl.SINCE):
+        c, seen = (v if op == "barssince" else v[0]), []
+        for k in range(i, max(-1, i - 400), -1):
+            hit = at(c, k)
+            if hit is None:
+                return ("least", float(i - k)) if op == "barssince" and i > k else None
+            seen.append(exact(at(v[1], k)) if op != "barssince" else None)
+            if hit:
+                return float(i - k) if op == "barssince" else seen[-1] if op == "valuewhen" else None if None in seen else (min if op == "minsince" else max)(seen)
+        least = min(400, i + 1)
+        return ("least", float(least)) if op == "barssince" else None
+    xs = [at(x, i) for x in dsl.children(node)]
+    if any(isinstance(x, tuple) for x in xs):
+        (a, la), (b, lb) = ((x[1], True) if isinstance(x, tuple) else (x, False) for x in xs)
+        if a is None or b is None or la and lb:
+            return None
+        if op in ("add", "sub"):
+            return ("least", a + b if op == "add" else a - b) if op == "add" or la else None
+        return {("gt", True): True if a > b else None, ("ge", True): True if a >= b else None, ("lt", True): False if a >= b else None, ("le", True): False if a > b else None,
+                ("lt", False): True if b > a else None, ("le", False): True if b >= a else None, ("gt", False): False if b >= a else None, ("ge", False): False if b > a else None}[op, la]
+    if op == "not":
+        return None if xs[0] is None else not xs[0]
+    if op in ("all", "any"):
+        return (False if False in xs else None if None in xs else True) if op == "all" else (True if True in xs else None if None in xs else False)
+    if None in xs:
+        return None
+    a, b = xs
+    return {"add": a + b, "sub": a - b, "mul": a * b, "gt": a > b, "ge": a >= b, "lt": a < b, "le": a <= b}[op]
+
+
+def test_operators_over_position_values():
+    """Every operator that looks back, nested too, step by step against looking back over all days; values are unknown before the entry and now and then after."""
+    rng = random.Random(9)
+    ret, held = {"pos": "ret"}, {"pos": "days"}
+    over = {"ge": [ret, 2]}
+    nodes = [{op: [ret, n]} for op in (*dsl.WINDOW, "lag") for n in (1, 2, 5)] + [{"lag": [ret, 0]}, {"barssince": over}, *({op: [over, ret]} for op in dsl.SINCE), {"ge": [{"barssince": over}, 3]}, {"lt": [{"barssince": over}, 3]}, {"le": [4, {"barssince": over}]}]
+    nodes += [{"gt": [{"add": [{"barssince": over}, held]}, 8]}, {"gt": [{"sub": [{"barssince": over}, 1]}, 2]}, {"gt": [{"sub": [9, {"barssince": over}]}, 2]}, {"lag": [{"barssince": over}, 2]}, {"highest": [{"lag": [ret, 2]}, 3]}, {"barssince": {"gt": [ret, {"lowest": [{"lag": [ret, 1]}, 3]}]}}]
+    nodes += [{"sum": [{"barssince": over}, 2]}, {"maxsince": [{"not": over}, {"mul": [ret, -1]}]}, {"all": [{"any": [over, {"gt": [held, 5]}]}, {"gt": [{"highest": [ret, 3]}, 1]}]}]
+    for _ in range(30):
+        entry = rng.randrange(0, 6)
+        values = [None if k < entry or rng.random() < 0.08 else float(rng.randrange(-4, 5)) for k in range(40)]
+        days = {"ret": values, "days": [None if k < entry else float(k - entry) for k in range(40)]}
+        for node in nodes:
+            step = stepper(node, lambda leaf, d, days=days: days[leaf["pos"]][d])
+            for k in range(40):
+                found, want = step(k), plain_value(node, days, k)
+                assert (("least", float(found)) if isinstance(found, AtLeast) else found) == want, (node, k, values)
+
+
+def test_trailing_stop_and_lower_bounds_in_a_walk(spark):
+    """Sold once the return is 10 below the highest of three days; a bound from the bars beside it decides only what it can."""
+    rows = [(10, 10), (10, 12), (12, 13), (13, 13.5), (13, 12), (12, 12), (12, 12)]
+    found = run_trades(spark, rows, dsl.rule("trail", dsl.SELL, {"lt": [R, {"sub": [{"highest": [R, 3]}, 10]}]}, ("held", 1)))[0]
+    assert [(x["i"], x["px"]) for x in found["sells"]] == [(5, 12.0)]
+    # never over 50: at least so many bars, which is more than a small number of days, and not known to be fewer
+    since = {"barssince": {"gt": [C, 50]}}
+    more = run_trades(spark, rows, dsl.rule("more", dsl.SELL, {"gt": [since, {"pos": "days"}]}, ("held", 1)))[0]
+    less = run_trades(spark, rows, dsl.rule("less", dsl.SELL, {"lt": [since, {"add": [{"pos": "days"}, 99]}]}, ("held", 1)))[0]
+    assert [x["i"] for x in more["sells"]] == [2] and not less["sells"]
+
+
+def test_sizes_with_flags(spark):
+    """A purchase takes the weight of the day that decides it; an unknown weight counts as all and is flagged."""
+    rows = [(10, 10), (10, 12), (13, 13), (13, 13)]
+    up = {"gt": [C, {"lag": [C, 1]}]}
+    tree = lambda *more: dsl.Tree(dsl.synthetic(["X"], dsl.rule("go", dsl.BUY, {"all": []}), dsl.rule("one", dsl.BUY, None, ("budget", 0.5)), dsl.rule("two", dsl.BUY, {"ge": [R, 19]}, ("budget", 0.5)), *more))
+    weighted = trades(bars(spark, X=rows), tree(dsl.rule("w", dsl.BUY, None, ("cash", {"case": [[up, 40]], "else": 20}))))
+    assert [(x["i"], x["qty"], x["flags"]) for x in weighted.first()["buys"]] == [(1, 0.5, ["weight_unknown"]), (2, 0.2, [])]
+    stats = trade_stats(weighted).first()
+    assert (stats["buys"], stats["weight_unset"], stats["weight_unknown"]) == (2, 0, 1)
+    stats = trade_stats(trades(bars(spark, X=rows), tree())).first()
+    assert (stats["buys"], stats["weight_unset"], stats["weight_unknown"]) == (2, 2, 0)
+    open_ = dsl.Tree(dsl.synthetic(["X"], dsl.rule("one", dsl.BUY, None, ("budget", "?")), dsl.rule("s", dsl.SELL, up, ("held", "?")), dsl.rule("t", dsl.SELL, up, ("held", 1))))
+    assert size_notes(open_) == [("X", "tranche", "one"), ("X", "sell", "s")] and exit_policy(open_, "X") == "book" and exit_policy(tree(), "X") == "none"
+
+
+def test_ladders(spark):
+    table = lambda *rows_: spark.createDataFrame(rows_, "place int, key string, opt_block string, opt_buy string, pes_block string, pes_buy string")
+    with pytest.raises(dsl.RuleError):
+        ladder_of(table((0, "a", "true", None, None, None)))
+    tree = dsl.Tree(dsl.synthetic(["X"], dsl.rule("m", dsl.BUY, {"all": [{"gt": [C, 1]}, {"manual": "m"}]}), dsl.rule("b", dsl.BLOCK, {"gt": [{"lag": [C, 1]}, 1]})))
+    steps = ladder_of(table((2, "unclear", "unknown", None, None, None), (1, "ask", "false", "true", None, "false"), (3, "no", None, None, None, None)))
+    found = [(r["key"], r["rung"]) for r in sorted(decisions(bars(spark, X=[2, 0, 2, 2]), tree, ladder=steps).collect(), key=lambda r: r["i"])]
+    assert found == [("unknown", None), ("no", None), ("ask", 0), ("no", None)]
+
+
+def test_scenarios_on_made_up_series(spark):
+    """Short series are filled at the front, long ones cut; other symbols rise slowly; sales are those of a holding since the first day."""
+    series = spark.createDataFrame([("s1", "X", None, None, None, [5.0, 6.0], [7.0]), ("s2", "X", None, [9.0] * 80, None, [float(k) for k in range(80)], None)], "scenario string, sym string, open array<double>, high array<double>, low array<double>, close array<double>, volume array<double>")
+    made = Z.series_bars(spark.createDataFrame([("s1", 4), ("s2", None)], "scenario string, days int"), series, ["Y"])
+    own = {k: [(r["date"], r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in made.where(f"scenario = '{k[0]}' and sym = '{k[1]}'").orderBy("date").collect()] for k in (("s1", "X"), ("s1", "Y"), ("s2", "X"))}
+    assert [x[0] for x in own["s1", "X"]] == ["20000103", "20000104", "20000105", "20000106"] and [x[1:] for x in own["s1", "X"]] == [(5.0, 5.0, 5.0, 5.0, 7.0)] * 3 + [(6.0, 6.0, 6.0, 6.0, 7.0)]
+    assert own["s1", "Y"][2][4] == 100 * 1.001**2 and own["s1", "Y"][2][2] == pytest.approx(100 * 1.001**2 * 1.002) and own["s1", "Y"][0][5] == 1e6
+    assert len(own["s2", "X"]) == 60 and own["s2", "X"][0][4] == 20.0 and own["s2", "X"][-1][:3] == ("20000324", 79.0, 9.0)
+    tree = dsl.Tree(dsl.synthetic({"X": {"index": "Y"}}, dsl.rule("b", dsl.BUY, {"all": [{"gt": [C, {"lag": [C, 1]}]}, {"gt": [{"px": "close", "sym": "$index"}, 50]}, {"manual": "m"}]}), dsl.rule("s", dsl.SELL, {"all": [{"ge": [R, 10]}, {"manual": "n"}]}, ("held", 1)), dsl.rule("t", dsl.SELL, {"ge": [R, 50]}, ("held", 1))))
+    asked = [("s1", "X", 4, "buy", None), ("s1", "X", 4, "wait", None), ("s1", "X", 4, "block", None), ("s1", "X", 4, "sell", None), ("s2", "X", None, "sell", None), ("s2", "X", None, "buy", 40.0), ("s1", "Q", 4, "buy", None), ("s1", "X", 4, "sit", None), ("s3", "X", 4, "sell", None)]
+    found = Z.results(spark.createDataFrame(asked, "scenario string, product string, days int, expect string, pct double"), series, tree).collect()
+    assert Counter((r["scenario"], r["product"], r["expect"], r["result"]) for r in found) == Counter([("s1", "X", "buy", "match if confirmed"), ("s1", "X", "wait", "match if confirmed"), ("s1", "X", "block", "mismatch"), ("s1", "X", "sell", "match if confirmed"), ("s2", "X", "sell", "match"), ("s2", "X", "buy", "mismatch"), ("s1", "Q", "buy", "malformed"), ("s1", "X", "sit", "malformed"), ("s3", "X", "sell", "mismatch")])
+
+
+def test_texts_of_a_manifest(spark, tmp_path):
+    """Absent, empty and present files; live books first."""
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw/a.txt").write_text("Erste Zeile\nzweite é", encoding="utf-8")
+    (tmp_path / "raw/empty book.txt").write_text("")
+    (tmp_path / "raw/unnamed.txt").write_text("x")
+    (tmp_path / "books.json").write_text('{"site": "s", "books": [{"slug": "a", "title": "A"}, {"slug": "e", "file": "empty book.txt", "live": true}, {"slug": "gone"}]}')
+    books = texts.manifest(spark, str(tmp_path / "books.json"))
+    found = {r["slug"]: r for r in texts.texts(books, str(tmp_path / "raw")).collect()}
+    assert {k: (r["text"], r["chars"], r["missing"]) for k, r in found.items()} == {"a": ("Erste Zeile\nzweite é", 20, False), "e": ("", 0, False), "gone": (None, None, True)}
+    assert texts.default_slug(books) == "e" and texts.default_slug(books.where("slug <> 'e'")) == "a" and texts.default_slug(books.where("false")) is None
+
+
+def test_lint_and_uncovered_rules(spark):
+    named, other = {"gt": [C, 1], "label": "n"}, {"gt": [C, 2], "label": "n"}
+    tree = dsl.Tree(dsl.synthetic(["X"], dsl.rule("a", dsl.BUY, {"all": [named, other, {"manual": "unsaid: x"}, {"manual": "unsaid: y (taste)", "label": "t"}]}), dsl.rule("b", dsl.SELL, {"gt": [{"px": "close", "sym": "?"}, 1]}), dsl.rule("c", dsl.SELL, {"lt": [1, {"px": "close", "sym": "?"}]}),
+                                  {"label": "unused", "value": named}, {"label": "used", "value": named}, dsl.rule("d", dsl.BLOCK, {"rule": "used"}), {"label": "left", "skip": "no data"}))
+    assert set(compare.lint(tree, "unsaid", "(taste)")) == {("unknown symbol", "b"), ("unknown symbol", "c"), ("nameless", "unsaid: x"), ("unclassified", "unsaid: x"), ("duplicates", "b, c"), ("ambiguous", "n")}
+    shown = spark.createDataFrame([("a", dsl.BUY, 1), ("c", dsl.BUY, 1)], "label string, do string, n int")
+    found = {(r["label"], r["do"], r["nth"], r["kind"]) for r in compare.uncovered(spark, tree, shown).collect()}
+    assert found == {("b", dsl.SELL, 0, "branch"), ("c", dsl.SELL, 0, "branch"), ("d", dsl.BLOCK, 0, "branch"), ("unused", None, 0, "name"), ("left", None, 0, "skip")}
+
+
+def test_alignment_is_the_best_of_all():
+    """Against every possible pairing, over small lists with equal, like and unlike conditions."""
+    rng = random.Random(2)
+    pool = [{"gt": [C, 1]}, {"lt": [1, C]}, {"gt": [C, 2]}, {"all": [{"gt": [C, 1]}, {"lt": [C, 5]}]}, {"all": [{"gt": [C, 1]}, {"lt": [C, 6]}, UP_ONE]}, {"manual": "m", "label": "z"}, {"barssince": UP_ONE}, {"ge": [{"sum": [C, 3]}, 2], "label": "z"}]
+    for _ in range(60):
+        xs, ys = ([rng.choice(pool) for _ in range(rng.randrange(0, 5))] for _ in range(2))
+        price = lambda pairs: sum(0.5 if x is None or y is None else compare.unlikeness(x, y) for x, y in pairs)
+        options = [[(x, None if j is None else ys[j]) for x, j in zip(xs, js, strict=True)] + [(None, y) for j, y in enumerate(ys) if j not in js] for js in itertools.product([None, *range(len(ys))], repeat=len(xs)) if len({j for j in js if j is not None}) == sum(j is not None for j in js)]
+        found = compare.align(xs, ys)
+        assert [x for x, _ in found if x is not None] == xs and sum(y is not None for _, y in found) == len(ys)
+        assert price(found) == pytest.approx(min(map(price, options)))

@@ -110,12 +110,12 @@ def unlikeness(x: object, y: object) -> float:
 def align(xs: list, ys: list) -> list[tuple]:
     """The pairing of two lists of conditions with the least sum of unlikeness: (x, y), (x, None) and (None, y).
 
-    An x or y without a partner counts one half, so what has nothing in common is not paired. Found by shortest augmenting
+    An x or y without a partner counts hardly less than one half, so what has nothing in common is not paired. Found by shortest augmenting
     paths: one x after the other gets a place, and others move where that is cheaper for all.
     """
     n, m = len(xs), len(ys)
     # one further place for each x, where it stays alone
-    cost = [[unlikeness(x, y) - 0.5 for y in ys] + [0.5 if k == j else math.inf for j in range(n)] for k, x in enumerate(xs)]
+    cost = [[unlikeness(x, y) - 0.5 for y in ys] + [0.5 - 1e-9 if k == j else math.inf for j in range(n)] for k, x in enumerate(xs)]
     row_price, place_price, owner = [0.0] * n, [0.0] * (n + m), [None] * (n + m)
     for new in range(n):
         reach, back, done, at, place = [math.inf] * (n + m), [None] * (n + m), set(), new, None
