@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 import tokenizers
 
-from tidebar.llm import alignment, codes, queries, reputation
+from tidebar.llm import alignment, codes, mixing, queries, reputation
 from tidebar.llm.queries import tokenizer
 from tidebar.llm.tokens import byte_letters
 
@@ -224,3 +224,21 @@ def test_url_query_equals_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert found == Counter(con.execute(reputation.ORACLE).fetchall())
     assert {"allow", "block"} == {r[4] for r in found if r[3] is None}
+
+
+def test_mix_counts_vary_as_multinomial_draws(spark, monkeypatch):
+    """Over 400 shards, counts of each source have the mean and variance of independent draws, and pairs of sources their covariance."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 256)
+    wanted = (10_000, 30_720, 61_680)
+    n, shards = sum(wanted), sum(wanted) // 256
+    sources = spark.createDataFrame([(k, w, 32 * w, 32.0 * w) for k, w in enumerate(wanted, 1)], "s int, blocks long, source_size long, target double")
+    share = np.array(wanted) / n
+    spread = []
+    for seed in (1, 2, 3):
+        counts = np.zeros((shards, 3))
+        for r in mixing._drawn(sources, seed).collect():
+            counts[r["shard"], r["s"] - 1] = r["n"]
+        assert (counts.sum(axis=1) == 256).all() and np.abs(counts.sum(axis=0) - wanted).max() <= 2
+        spread.append(np.cov(counts.T))
+    want = 256 * (np.diag(share) - np.outer(share, share))
+    assert np.abs(np.mean(spread, axis=0) / want - 1).max() < 0.2

@@ -1,11 +1,13 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Each source's words lie on one line, in a pseudorandom order of its documents, cut into blocks of BLOCK words. The mix has
-one slot for each block it takes, in output shards of SHARD_SLOTS slots. A slot draws its source by inverse distribution:
-there are as many equal strata as slots, each stratum draws once, and permutations deal the strata over the shards. So a
-shard's source counts are multinomial draws, and over all shards a source is off by two slots at most. A source's slots
-are numbered through all shards, mapped to block numbers by a keyed permutation per pass over the source, and joined with
-the blocks by number. A block is taken at most CAP times.
+one slot for each block it takes, in output shards of SHARD_SLOTS slots. A shard's source counts are drawn as multinomial
+counts given each source's total. The totals come by inverse distribution: there are as many equal strata as slots, and each
+draws a source once, so over all shards a source is off by two slots at most. One keyed pseudorandom permutation of all
+slots then deals the draws over the shards, which is what independent draws of all slots are once their totals are known:
+counts vary from shard to shard by n p (1 - p), less one part in the number of shards. A source's slots are numbered
+through all shards, mapped to block numbers by a keyed permutation per pass over the source, and joined with the blocks by
+number. A block is taken at most CAP times.
 """
 
 from __future__ import annotations
@@ -112,7 +114,6 @@ def _drawn(sources: DataFrame, seed: int) -> DataFrame:
     ladder = sources.where("source_size > 0").select("s", "blocks", F.sum(weight).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), full.alias("full"))
     ladder = cut(ladder.select("s", "blocks", F.coalesce(F.lag("upto").over(Window.orderBy(F.col("full").desc(), "s")), F.lit(0.0)).alias("from"), "upto"), "mix-ladder")
     slots = -int(-(ladder.agg(F.max("upto")).first()[0] or 0.0) // 1)
-    shards = max(1, -(-slots // SHARD_SLOTS))
     draw = lambda g: uniform(g, F.lit(seed + 2))  # noqa: E731  where in its stratum a slot draws
     first = lambda c: F.floor(c) + F.when(draw(F.floor(c)) < F.col(c) - F.floor(c), 1).otherwise(0)  # noqa: E731  the first stratum that draws beyond c
     runs = ladder.select("s", "blocks", first("from").alias("lo"), first("upto").alias("hi")).where("lo < hi")
@@ -120,8 +121,8 @@ def _drawn(sources: DataFrame, seed: int) -> DataFrame:
         runs = runs.select("s", "blocks", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(step).cast("long"))).alias("lo"), "hi")
         runs = runs.withColumn("hi", F.least("hi", F.col("lo") + step)).repartition(partitions(sources.sparkSession), "s", "lo")
     drawn = runs.select("s", "blocks", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("g"))
-    turn = F.floor(F.col("g") / shards)
-    return drawn.groupBy("s", "blocks", permuted(F.col("g") % shards, F.lit(shards), turn, F.lit(seed + 4)).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    shard = F.floor(permuted(F.col("g"), F.lit(slots), F.lit(seed + 4)) / SHARD_SLOTS)
+    return drawn.groupBy("s", "blocks", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _times(sources: DataFrame, seed: int) -> DataFrame:
