@@ -606,7 +606,7 @@ def test_lint_and_uncovered_rules(spark):
     named, other = {"gt": [C, 1], "label": "n"}, {"gt": [C, 2], "label": "n"}
     tree = dsl.Tree(dsl.synthetic(["X"], dsl.rule("a", dsl.BUY, {"all": [named, other, {"manual": "unsaid: x"}, {"manual": "unsaid: y (taste)", "label": "t"}]}), dsl.rule("b", dsl.SELL, {"gt": [{"px": "close", "sym": "?"}, 1]}), dsl.rule("c", dsl.SELL, {"lt": [1, {"px": "close", "sym": "?"}]}),
                                   {"label": "unused", "value": named}, {"label": "used", "value": named}, dsl.rule("d", dsl.BLOCK, {"rule": "used"}), {"label": "left", "skip": "no data"}))
-    assert set(compare.lint(tree, "unsaid", "(taste)")) == {("unknown symbol", "b"), ("unknown symbol", "c"), ("nameless", "unsaid: x"), ("unclassified", "unsaid: x"), ("duplicates", "b, c"), ("ambiguous", "n")}
+    assert set(compare.lint(tree, "unsaid", "(taste)")) == {("unknown symbol", "b"), ("unknown symbol", "c"), ("nameless", "unsaid: x"), *(("nameless", dsl.manual_key(tree.sells("X")[k]["when"])) for k in (0, 1)), ("unclassified", "unsaid: x"), ("duplicates", "b, c"), ("ambiguous", "n")}
     shown = spark.createDataFrame([("a", dsl.BUY, 1), ("c", dsl.BUY, 1)], "label string, do string, n int")
     found = {(r["label"], r["do"], r["nth"], r["kind"]) for r in compare.uncovered(spark, tree, shown).collect()}
     assert found == {("b", dsl.SELL, 0, "branch"), ("c", dsl.SELL, 0, "branch"), ("d", dsl.BLOCK, 0, "branch"), ("unused", None, 0, "name"), ("left", None, 0, "skip")}

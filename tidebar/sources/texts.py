@@ -26,6 +26,10 @@ def texts(books: DataFrame, folder: str) -> DataFrame:
     are left alone.
     """
     spark = books.sparkSession
-    found = spark.read.format("binaryFile").load(folder).select("path", F.decode("content", "UTF-8").alias("text"), F.element_at(F.split("path", "/"), -1).alias("name"))
-    met = books.join(found, F.url_decode(F.col("name")) == F.col("file"), "left")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    there = spark.createDataFrame([(f.getPath().getName(), f.getPath().toString()) for f in listed if f.isFile()], "file string, path string")
+    # Spark's readers pass over empty files
+    found = spark.read.format("binaryFile").load(folder).select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file"), F.decode("content", "UTF-8").alias("text"))
+    met = books.join(there, "file", "left").join(found, "file", "left").withColumn("text", F.when(F.col("path").isNotNull(), F.coalesce("text", F.lit(""))))
     return met.select("slug", "path", "text", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"), F.col("path").isNull().alias("missing"))
