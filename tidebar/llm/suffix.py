@@ -11,15 +11,18 @@ the suffixes in a second cover (6 residues modulo 31) of the bucket's text, comp
 `width` bytes are repeats. Ranks are made from bytes, so no equality rests on a hash.
 
 Prefix splitters would ship `width` bytes for each suffix, so buckets are dealt by a block's name instead. A bucket of
-more than HEAVY bytes of text is dealt anew by 128-bit names of its windows, and matched by these alone.
+more than HEAVY bytes of text, such as that of a passage in very many documents, is dealt anew by content: its stretches
+are cut where a suffix's distance to its least block passes a multiple of a step, so equal suffixes lie in like pieces, and
+a piece is dealt by a name of the bytes that all suffixes of such a piece have. What is still heavy is dealt again with a
+smaller step, at last suffix by suffix. Pieces are sorted and compared like stretches; names only say where they meet.
 
-A sample, stretch or window that occurs several times in one slice of a task travels once; its owners are told directly.
+A sample, stretch or piece that occurs several times in one slice of a task travels once; its owners are told directly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -41,10 +44,9 @@ INNER_COVER = (1, 5, 11, 24, 25, 27)
 SAMPLES = "bucket int, known boolean, keys binary, counts binary, places binary, names binary, again binary"
 FLAGS = "shard int, keys binary, counts binary, places binary"
 STRETCHES = "bucket int, known boolean, keys binary, starts binary, sizes binary, again binary, data binary, n long"
-WINDOWS = "bucket int, known boolean, keys binary, counts binary, starts binary, again binary, names binary"
-#: A bucket of more bytes of stretches than this is dealt anew by the names of its windows, into parts of about so many.
-HEAVY = 1 << 22
-#: Text that a worker turns into samples, stretches or windows at a time.
+#: A bucket of more bytes of stretches than this is dealt anew, into parts of about a quarter of it; the steps of that.
+HEAVY, STEPS = 1 << 22, (48, 12, 3, 1)
+#: Text that a worker turns into samples, stretches or pieces at a time.
 SLICE = 1 << 24
 
 
@@ -52,14 +54,14 @@ SLICE = 1 << 24
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random number for each byte, and the powers of a random odd base and of its inverse modulo 2**64."""
     rng = np.random.default_rng(77)
-    table = rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
+    table = rng.integers(0, 2**64, 256, dtype=np.uint64)
     base = 0x9E3779B97F4A7C15
     power = lambda x: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(SEGMENT + 4096, x, np.uint64))))
     up, down = power(base), power(pow(base, -1, 2**64))
     return table, up, down
 
 
-def block_names(data: np.ndarray, places: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+def block_names(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit name of data[p:p+length] for each p of the ascending places; equal bytes, equal names."""
     table, up, down = _constants()
     out = np.empty(len(places), np.uint64)
@@ -69,7 +71,7 @@ def block_names(data: np.ndarray, places: np.ndarray, length: int, which: int =
             continue
         part = data[lo : lo + SEGMENT + length]
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(table[which][part] * up[: len(part)], out=sums[1:])
+        np.cumsum(table[part] * up[: len(part)], out=sums[1:])
         p = places[a:b] - lo
         x = (sums[p + length] - sums[p]) * down[p]
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -311,15 +313,48 @@ def deal_stretches(docs: list[tuple[bytes, bytes, np.ndarray]], buckets: int, wi
             owners.setdefault((least, text[first : first + n + width - 1]), []).append((key, first))
     dealt: dict[tuple[int, bool], list] = {}
     for (least, part), own in owners.items():
-        bucket = ((least ^ (least * 0x9E3779B97F4A7C15)) >> 20) % buckets
-        dealt.setdefault((bucket, False), []).append((own[0][0], own[0][1], len(part), len(own) > 1, part))
-        if len(own) > 1:
-            for key, first in own:
-                dealt.setdefault((key[0] % buckets, True), []).append((key, first, len(part), True, b""))
+        _deal(dealt, ((least ^ (least * 0x9E3779B97F4A7C15)) >> 20) % buckets, buckets, part, own, len(own) > 1, own)
+    yield from _packed(dealt)
+
+
+def _deal(dealt: dict, bucket: int, buckets: int, part: bytes, own: list[tuple[bytes, int]], again: bool, tell: list[tuple[bytes, int]]) -> None:
+    """Put one text with its first owner into its bucket; where it occurs again, tell those owners."""
+    dealt.setdefault((bucket, False), []).append((own[0][0], own[0][1], len(part), again, part))
+    for key, first in tell if len(own) > 1 else ():
+        dealt.setdefault((key[0] % buckets, True), []).append((key, first, len(part), True, b""))
+
+
+def _packed(dealt: dict[tuple[int, bool], list]) -> Iterator[tuple]:
     for (bucket, known), items in dealt.items():
         yield bucket, known, b"".join(i[0] for i in items), _planes(np.array([i[1] for i in items])), _planes(np.array([i[2] for i in items])), bytes(i[3] for i in items), b"".join(i[4] for i in items), 0 if known else sum(i[2] for i in items)
 
 
+def deal_pieces(rows: list[tuple], step: int, parts: int, width: int) -> Iterator[tuple]:
+    """Stretches of heavy buckets (keys, starts, sizes, again, data) -> packed rows of their pieces, dealt by content."""
+    keys = [r[0][i : i + KEY] for r in rows for i in range(0, len(r[0]), KEY)]
+    sizes = [_unplanes(r[2]) for r in rows]
+    owner, begin, once, text, at = _starts([_unplanes(r[1]) for r in rows], sizes, [np.frombuffer(r[3], np.uint8) > 0 for r in rows], [r[4] for r in rows], width)
+    size, data = np.concatenate(sizes), text.tobytes()
+    base = np.cumsum(size) - size
+    names = np.append(block_names(text, np.arange(len(text) - BLOCK + 1), BLOCK), np.full(BLOCK, np.iinfo(np.uint64).max))
+    least = np.minimum.reduceat(names, np.stack((base, base + width - BLOCK + 1), axis=1).ravel())[::2]
+    block = np.flatnonzero(names[: len(text)] == np.repeat(least, size))  # those that reach into the next stretch are no window's first
+    ahead = block[np.searchsorted(block, at)] - at
+    cuts = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(ahead, prepend=-9) != -1) | (np.diff(ahead // step, prepend=-1) != 0))
+    place = ahead[cuts] // step
+    name = block_names(text, at[cuts] + ahead[cuts] - place * step, width - step + 1)
+    met: dict[tuple[int, int, bytes], list[int]] = {}
+    ends = np.append(cuts[1:], len(at))
+    for cut_, n, k, x, a in zip(cuts.tolist(), (ends - cuts).tolist(), place.tolist(), name.tolist(), at[cuts].tolist(), strict=True):
+        met.setdefault((x, k, data[a : a + n + width - 1]), []).append(cut_)
+    dealt: dict[tuple[int, bool], list] = {}
+    for (x, k, part), own in met.items():
+        who = [(keys[owner[c]], int(begin[c])) for c in own]
+        tell = [w for w, c in zip(who, own, strict=True) if once[c]]
+        _deal(dealt, ((x ^ (k * 0x9E3779B97F4A7C15)) >> 20) % parts, parts, part, who, len(own) > 1 or not once[own[0]], tell)
+    yield from _packed(dealt)
+
+
 def match_stretches(rows: pd.DataFrame, width: int) -> pd.DataFrame:
     """One bucket: sort its suffixes; (key, runs) with runs of repeated starts, as pairs first, after."""
     keys, starts, sizes, again, data, out = [], [], [], [], [], []
@@ -363,60 +398,6 @@ def _by_key(found: list[tuple[bytes, int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"key": list(by), "runs": [np.array(v, "<u4").tobytes() for v in by.values()]})
 
 
-def deal_windows(rows: list[tuple], parts: int, width: int) -> Iterator[tuple]:
-    """Stretches of heavy buckets (keys, starts, sizes, again, data) -> packed rows per part of the names of their windows.
-
-    Of equal windows one travels, marked when it stands for several; the owners of those are told directly.
-    """
-    keys = [r[0][i : i + KEY] for r in rows for i in range(0, len(r[0]), KEY)]
-    again = [np.frombuffer(r[3], np.uint8) > 0 for r in rows]
-    owner, begin, once, text, at = _starts([_unplanes(r[1]) for r in rows], [_unplanes(r[2]) for r in rows], again, [r[4] for r in rows], width)
-    name = block_names(text, at, width), block_names(text, at, width, 1)
-    order = np.lexsort(name[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = (name[0][order][1:] != name[0][order][:-1]) | (name[1][order][1:] != name[1][order][:-1])
-    group = np.cumsum(new) - 1
-    several = np.bincount(group) > 1
-    told = np.zeros(len(order), bool)
-    told[order] = several[group]
-    dealt: dict[int, list] = {}
-    for k, a, b in _runs(owner, begin, np.flatnonzero(told & once)):
-        dealt.setdefault(keys[k][0] % parts, []).append((keys[k], a, b - a))
-    for part, items in dealt.items():
-        yield part, True, b"".join(i[0] for i in items), _planes(np.array([i[2] for i in items])), _planes(np.array([i[1] for i in items])), b"", b""
-    lead = order[new]
-    marked = several | ~once[lead]
-    part = (name[0][lead] >> np.uint64(20)) % np.uint64(parts)
-    by_part = np.lexsort((lead, part))
-    lead, marked, part = lead[by_part], marked[by_part], part[by_part]
-    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    for a, b in zip(edges, np.append(edges[1:], len(part)), strict=True):
-        own = lead[a:b]
-        first = np.flatnonzero(np.diff(owner[own], prepend=-1))
-        names = np.stack([name[0][own], name[1][own]]).astype("<u8").tobytes()
-        yield int(part[a]), False, b"".join(keys[k] for k in owner[own][first]), _planes(np.diff(first, append=b - a)), _planes(begin[own]), marked[a:b].astype(np.uint8).tobytes(), names
-
-
-def match_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """One part of the windows of heavy buckets: as match_stretches, by names that came along."""
-    keys, owners, starts, marked, names, out = [], [], [], [], [], []
-    for known, k, c, a, g, n in zip(rows["known"], rows["keys"], rows["counts"], rows["starts"], rows["again"], rows["names"], strict=True):
-        ks, c, a = [k[i : i + KEY] for i in range(0, len(k), KEY)], _unplanes(c), _unplanes(a)
-        if known:
-            out += [(x, s, s + z) for x, s, z in zip(ks, a.tolist(), c.tolist(), strict=True)]
-            continue
-        owners.append(np.repeat(np.arange(len(keys), len(keys) + len(ks)), c))
-        keys += ks
-        starts.append(a)
-        marked.append(np.frombuffer(g, np.uint8) > 0)
-        names.append(np.frombuffer(n, "<u8").reshape(2, -1))
-    if keys:
-        owner, begin = np.concatenate(owners), np.concatenate(starts)
-        hit = _repeated(*np.concatenate(names, axis=1)) & ~np.concatenate(marked)
-        out += [(keys[k], a, b) for k, a, b in _runs(owner, begin, np.flatnonzero(hit))]
-    return _by_key(out)
-
-
 def covered(n: int, runs: list[bytes], whole: bool, width: int) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes of a text of n bytes."""
     if whole and n >= width:
@@ -485,27 +466,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flags = cut(flags.groupBy("shard").applyInPandas(gather_places, "key8 binary, places binary"), "cover-repeats")
     wanted = long.join(flags, F.substring("key", 1, 8) == F.col("key8")).select("key", "text", "places")
     dealt = cut(wanted.mapInArrow(stretch, STRETCHES), "stretches")
-    loads = {r["bucket"]: r["n"] for r in dealt.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY).collect()}  # at most a number per bucket
     match = lambda x: match_stretches(x, width)
-    heavy = F.col("bucket").isin(list(loads)) & ~F.col("known")
-    runs = dealt.where(~heavy).groupBy("bucket").applyInPandas(match, "key binary, runs binary")
-    if loads:
-        parts = sum(loads.values()) // HEAVY + 1
+    found = []
+    for step in (*STEPS, 0):
+        heavy = dealt.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)
+        loads = {r["bucket"]: r["n"] for r in heavy.collect()} if step else {}  # at most a number per bucket
+        again = F.col("bucket").isin(list(loads)) & ~F.col("known")
+        found.append(dealt.where(~again).groupBy("bucket").applyInPandas(match, "key binary, runs binary"))
+        if not loads:
+            break
+        parts = sum(loads.values()) // max(1, HEAVY // 4) + 1
 
-        def window(batches):
-            kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+        def piece(batches, step=step, parts=parts):
+            kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5, pa.int64()]
             for batch in batches:
                 held, size = [], 0
                 for row in zip(*[batch.column(c) for c in ("keys", "starts", "sizes", "again", "data")], strict=True):
                     held.append(tuple(x.as_py() for x in row))
                     size += len(held[-1][4])
                     if size >= SLICE:
-                        yield _batch(deal_windows(held, parts, width), kinds, WINDOWS)
+                        yield _batch(deal_pieces(held, step, parts, width), kinds, STRETCHES)
                         held, size = [], 0
                 if held:
-                    yield _batch(deal_windows(held, parts, width), kinds, WINDOWS)
+                    yield _batch(deal_pieces(held, step, parts, width), kinds, STRETCHES)
 
-        runs = runs.unionByName(dealt.where(heavy).mapInArrow(window, WINDOWS).groupBy("bucket").applyInPandas(match_windows, "key binary, runs binary"))
+        dealt = cut(dealt.where(again).mapInArrow(piece, STRETCHES), "pieces")
+    runs = reduce(DataFrame.unionByName, found)
     runs = runs.groupBy("key").agg(F.collect_list("runs").alias("runs"))
     copies = rows.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("whole"))
     state = cut(runs.join(copies, "key", "full_outer"), "repeated-runs")
