@@ -7,7 +7,7 @@ Bands of the signature make candidate buckets; candidates are verified on their
 grouped by union-find.
 
 Buckets are not expanded into pairs. First, all members are compared with one member of the bucket, that which shares
-buckets with most others. Buckets whose members then still lie in several components are compared in full inside tasks,
+buckets with most others; a member that is so for many is sent once to each block of them. Buckets whose members then still lie in several components are compared in full inside tasks,
 block against block, and yield a spanning forest of their links: no link between components is lost. A block is bounded in
 sets and in shingles, so a bucket of long texts is cut into more of them.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, groups, spanning_forest
-from .shared import cut, partitions, slices
+from .shared import cut, joined_by, partitions, slices
 
 BANDS, ROWS = 40, 5  # at similarity 0.8 all bands miss with (1 - 0.8 ** 5) ** 40 = 1e-7
 CHUNK = 1 << 15
@@ -138,6 +138,21 @@ def near_sets(sets: pa.Array, percent: int) -> np.ndarray:
     return near
 
 
+def _near_pivot(batches, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, block, kind, cid, set), the pivot's first in each block -> (a, b) of the partners whose sets are similar to its."""
+    for (a, _), g in groups(batches, ["a", "block"]):
+        sets, cid = g["set"].combine_chunks(), g["cid"].to_numpy()
+        flat, edges = sets.values.to_numpy(), sets.offsets.to_numpy().astype(np.int64)
+        pivot = np.sort(flat[edges[0] : edges[1]])
+        shared = pivot[np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)] == flat
+        upto = np.concatenate(([0], np.cumsum(shared)))
+        common, size = upto[edges[1:]] - upto[edges[:-1]], np.diff(edges)
+        near = 100 * common >= percent * (len(pivot) + size - common)
+        near[0] = False
+        if near.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), a)), pa.array(cid[near])], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """All rows as (id, text_key, n_shingles, component_id, kept); text_key: the first 16 bytes of the text's SHA-256; links: Jaccard similarity of shingle sets of percent / 100 or more.
 
@@ -161,12 +176,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = text.join(wanted.withColumnRenamed("id", "wid"), text["id"].eqNullSafe(F.col("wid")) & (text["sha"] == wanted["sha"])).select("cid", "text")
     sets = cut(whole.mapInArrow(lambda b: _sets(b, size), "cid long, set array<long>").dropDuplicates(["cid"]), "sets")
 
+    parts = partitions(docs.sparkSession)
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, na, nb) -> the links among them."""
-        likely = cut(pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb").distinct(), "pairs")
-        one = likely.join(sets.toDF("a", "set_a"), "a")
-        both = one.join(sets.toDF("b", "set_b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-        return cut(both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "near-links")
+        """pairs (a pivot, b, na, nb) -> the links among them, found block by block of each pivot's partners."""
+        likely = cut(pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "nb").distinct(), "pairs")
+        count, items = F.count(F.lit(1)), F.sum("nb")
+        pivots = cut(likely.groupBy("a").agg(count.alias("c"), F.ceil(F.greatest(count / BLOCK, items / ITEMS)).cast("int").alias("blocks")), "pivots")
+        placed = joined_by(likely.select("a", "b"), pivots, "a", "c", likely.count()).select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.lit(1).alias("kind"), F.col("b").alias("cid"))
+        heads = pivots.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("a").alias("cid"))
+        whole = placed.unionByName(heads).join(sets, "cid").repartition(parts, "a", "block").sortWithinPartitions("a", "block", "kind")
+        return cut(whole.mapInArrow(lambda b: _near_pivot(b, percent), "a long, b long"), "near-links")
 
     star = members.where("cid <> pivot").select("pivot", "cid", "n", "np").distinct()
     links = verified(star.select(F.col("pivot").alias("a"), F.col("cid").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")))
@@ -187,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(cid[pairs[:, 0]]), pa.array(cid[pairs[:, 1]])], names=["a", "b"])
 
-    more = placed.join(sets, "cid").repartition(partitions(docs.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long")
+    more = placed.join(sets, "cid").repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long")
     known = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     labels = cut(components(known.unionByName(cut(more, "more-links"))), "labels")
     state = cut(classes.join(labels, classes["cid"] == labels["node"], "left").select("print", "id", F.coalesce("component", "cid").alias("component")), "set-components")
