@@ -141,7 +141,7 @@ def test_op9_langid(spark, folder):
         assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text[r["doc_id"]] or "")) and 0 <= r["score"] <= 1 and r["lang_pred"] in ("und", "en", "fr")
     path = f"{folder}/other"
     spark.createDataFrame([(*r[:2], "xx" if held(r[0]) else r[2], *r[3:], *["z"] * 9) for r in DATA], SCHEMA).write.parquet(f"{path}/documents.parquet")
-    near = lambda rs: Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in rs)  # noqa: E731  sums in another order
+    near = lambda rs: Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 5)) for r in rs)  # noqa: E731  single precision, in batches of other sizes
     assert near(queries.op9_langid(spark, path).collect()) == near(found)
 
 
