@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.plans import dsl
+from tidebar.plans.compile import evaluate
 
 
 def disagreements(a: DataFrame, b: DataFrame, column: str = "key") -> DataFrame:
@@ -139,6 +140,42 @@ def align(xs: list, ys: list) -> list[tuple]:
     return [(x, ys[mate[k]] if k in mate else None) for k, x in enumerate(xs)] + [(None, y) for j, y in enumerate(ys) if owner[j] is None]
 
 
+def condition_pairs(bars: DataFrame, a: dsl.Tree, b: dsl.Tree) -> DataFrame:
+    """How two trees' conditions differ on the days: (product, gate, a, b, same_meaning, days, differ).
+
+    Of each product that both have, the conditions that block or buy are paired by meaning and likeness. a and b are labels,
+    null for one without a partner; differ: the days on which the two values differ, or on which a lone one isn't false.
+    """
+    names: dict[str, str] = {}
+    exprs: dict[str, object] = {}
+
+    def name(node: object) -> str | None:
+        if node is None:
+            return None
+        key = dsl.logic_key(node)
+        if key not in names:
+            names[key] = f"c{len(names)}"
+            exprs[names[key]] = node
+        return names[key]
+
+    made: dict[tuple, list] = {}
+    rows = []
+    for p in a.products:
+        if p in b.products:
+            kind = a.kind_of[p], b.kind_of[p]
+            if kind not in made:
+                made[kind] = [(word, x, y) for do, word in ((dsl.BLOCK, "block"), (dsl.BUY, "buy")) for x, y in align(a.gate(p, do)["any"], b.gate(p, do)["any"])]
+            label = lambda n: n.get("label") if isinstance(n, dict) else None
+            rows += [(p, gate, label(x), label(y), name(x), name(y), x is not None and y is not None and name(x) == name(y)) for gate, x, y in made[kind]]
+    pairs = bars.sparkSession.createDataFrame(rows, "product string, gate string, a string, b string, of_a string, of_b string, same_meaning boolean")
+    shared = {p: v for p, v in a.products.items() if p in b.products}
+    values = evaluate(bars, shared, exprs)
+    held = values.select("product", "i", F.create_map(*[x for k in exprs for x in (F.lit(k), F.col(k))]).alias("v"))
+    met = held.join(F.broadcast(pairs), "product")  # a few rows for each product of the trees
+    of = lambda c: F.when(F.col(c).isNotNull(), F.col("v")[F.col(c)]).when(F.col(c).isNull(), False)
+    return met.groupBy("product", "gate", "a", "b", "same_meaning").agg(F.count(F.lit(1)).alias("days"), F.sum((~of("of_a").eqNullSafe(of("of_b"))).cast("long")).alias("differ"))
+
+
 def manual_heads(tree: dsl.Tree, heads: tuple[str, ...]) -> dict[str, int]:
     """How many distinct manual reasons begin with each head and a colon; "" counts those of none."""
     found = {dsl.manual_key(n): n for p in tree.products for _, _, e in tree.expressions(p) for n in dsl.walk(e) if dsl.is_manual(n)}

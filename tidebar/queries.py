@@ -610,6 +610,27 @@ def html_block_extract(spark, sf_dir):
     return S.table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)).alias("title"), F.length(F.regexp_extract(html, r"(?s)<body[^>]*>(.*?)</body>", 1)).cast("long").alias("body_chars"))
 
 
+SECOND = dsl.synthetic(PRODUCTS, dsl.rule("trend too", dsl.BUY, {"all": [ABOVE, {"ge": [C, {"lag": [C, 1]}]}]}), dsl.rule("much", dsl.BUY, {"gt": [V, 3]}), dsl.rule("index was higher", dsl.BLOCK, {"gt": [{"lag": [IX, 1]}, IX]}))
+
+
+@query(f"""WITH {_GRADED}, u AS (SELECT product, 'block' AS gate, 'index falls' AS a, 'index was higher' AS b, true AS same_meaning, block AS x, q > ix AS y FROM graded
+ UNION ALL SELECT product, 'buy', 'trend', 'trend too', false, close > m AND close > p, close > m AND close >= p FROM graded UNION ALL SELECT product, 'buy', 'break', NULL, false, close > t, false FROM graded WHERE product IN ('2-HIGH', '5-LOW')
+ UNION ALL SELECT product, 'buy', NULL, 'much', false, false, volume > 3 FROM graded)
+SELECT product, gate, a, b, same_meaning, count(*) AS days, sum((x IS DISTINCT FROM y)::INT)::BIGINT AS differ FROM u GROUP BY ALL""")
+def condition_pairs(spark, sf_dir):
+    return X.condition_pairs(S.order_bars(spark, sf_dir), dsl.Tree(TREE), dsl.Tree(SECOND))
+
+
+@query("SELECT event_id, event_type AS sym, epoch_us(ts) AS us, strftime(ts, '%Y%m%d') AS date FROM events WHERE ts IS NOT NULL")
+def atoms_from_iso(spark, sf_dir):
+    """Times written as text in three zones and ways, read back."""
+    e = S.table(spark, sf_dir, "events").where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = lambda hours: F.date_format(F.col("ts") + F.make_dt_interval(hours=F.lit(hours)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    dt = F.when(F.col("event_id") % 3 == 0, F.concat(at(9), F.lit("+09:00"))).when(F.col("event_id") % 3 == 1, F.concat(at(0), F.lit("Z"))).otherwise(F.replace(at(0), F.lit("T"), F.lit(" ")))
+    found = S.iso_atoms(e.select("event_id", F.col("event_type").alias("sym"), dt.alias("dt")).unionByName(e.select("event_id", F.lit("none").alias("sym"), F.lit("no time").alias("dt"))))
+    return found.select("event_id", "sym", F.unix_micros("ts").alias("us"), "date")
+
+
 _STEPS = [(0, "avoid for sure", None, None, "true", None), (1, "buy for sure", None, None, "false", "true"), (2, "buy if asked", "false", "true", None, None), (3, "wait", "unknown", None, None, None), (4, "hold", None, None, None, None)]
 
 

@@ -32,6 +32,18 @@ def event_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("sym"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), *[v.alias(f) for f in FIELDS[:4]], F.lit(1.0).alias("volume"))
 
 
+def iso_atoms(rows: DataFrame, at: str = "dt") -> DataFrame:
+    """Rows with times as ISO text -> with `ts` in its place, and `date`, its day in UTC. A text without a zone is in UTC; those
+    that are no time are dropped."""
+    ts = F.try_to_timestamp(F.regexp_replace(F.trim(F.col(at)), " ", "T"))
+    return rows.withColumn("ts", ts).where("ts is not null").withColumn("date", F.date_format("ts", "yyyyMMdd")).drop(at)
+
+
+def until(bars: DataFrame, day: str) -> DataFrame:
+    """What was known at the end of a day."""
+    return bars.where(F.col("date") <= day)
+
+
 def bucket(ts: Column, tf: str) -> Column:
     s = tf_seconds(tf)
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / s) * s)
@@ -74,7 +86,7 @@ def missing_symbols(wanted: DataFrame, bars: DataFrame) -> DataFrame:
 def recent(bars: DataFrame, day: str, n: int) -> DataFrame:
     """The last n bars of each symbol up to a day."""
     rank = F.row_number().over(Window.partitionBy("sym").orderBy(F.col("date").desc()))
-    return bars.where(F.col("date") <= day).withColumn("rn", rank).where(F.col("rn") <= n)
+    return until(bars, day).withColumn("rn", rank).where(F.col("rn") <= n)
 
 
 def spot(atoms: DataFrame, asof=None) -> DataFrame:
