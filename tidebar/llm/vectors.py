@@ -143,7 +143,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("dim"), lists, *map(pa.array, sketch.T.copy().view(np.int64))], names=["cid", "dim", "keys", *WORDS])
 
-    met = classes.select("cid", F.size("v").alias("dim"), "v").mapInArrow(hashed, "cid long, dim int, keys array<int>, " + ", ".join(f"{w} long" for w in WORDS)).select("cid", "dim", *WORDS, F.posexplode("keys").alias("t", "bucket"))
+    # the keys are kept, since another product of matrices can round a projection into the next cell
+    keyed = cut(classes.select("cid", F.size("v").alias("dim"), "v").mapInArrow(hashed, "cid long, dim int, keys array<int>, " + ", ".join(f"{w} long" for w in WORDS)), "vector-keys")
+    met = keyed.select("cid", "dim", *WORDS, F.posexplode("keys").alias("t", "bucket"))
     large = cut(met.groupBy("t", "bucket", "dim").count().where(F.col("count") > BLOCK), "large-buckets")
     blocks = F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1))
     placed = met.join(large, ["t", "bucket", "dim"], "left").select("t", "bucket", "dim", "cid", *WORDS, F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -159,7 +161,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     yield from g.select([*group, "cid", "own"]).filter(pa.array(some)).to_batches()
 
     likely = cut(placed.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(sift, "t int, bucket int, dim int, bi int, bj int, cid long, own int"), "likely-vectors")
-    dealt = likely.join(classes.select("cid", "n", "v"), "cid")
+    dealt = likely.join(classes.select("cid", "n", "v"), "cid").join(keyed.select("cid", "keys"), "cid")
 
     def links(batches):
         for (t, _, _, bi, bj), g in groups(batches, group):
@@ -170,7 +172,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             if bi != bj:
                 near &= own[:, None] != own[None, :]
             if near.any():
-                weight, forest = compare(t, near, bucket_keys(v, k, tables, width), g["n"].to_numpy())
+                weight, forest = compare(t, near, g["keys"].combine_chunks().flatten().to_numpy().reshape(-1, tables), g["n"].to_numpy())
                 some = np.flatnonzero(weight)
                 a = np.concatenate((cid[some], cid[[f[0] for f in forest]]))
                 b = np.concatenate((np.full(len(some), -1), cid[[f[1] for f in forest]]))
