@@ -48,6 +48,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A copy that the mix takes whole keeps its text; one that it takes in part has the taken words, joined by blanks.
     Rows equal in id, source and text are numbered by their other columns, and the n-th has what the mix takes of the n-th.
+    Null and empty texts, and those of white space, have no words and no rows. A null source is one of its own, and null ids
+    are equal. An empty table gives none.
     """
     # a struct of nulls equals its like, so one key serves the numbers and the join, and texts are dealt once
     taken = mixing.mix_sources(docs).where("taken > 0").select(F.struct("doc_id", "source", "print").alias("mix_key"), F.col("size").alias("mix_size"), "parts")

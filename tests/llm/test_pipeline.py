@@ -61,6 +61,32 @@ def test_mixed_writes_repeated_rows_as_often_as_the_mix_takes_them(spark):
     assert all(sum(len(f["text"].split()) for f in found if (f["doc_id"], f["source"]) == k) <= n for k, n in most.items())
 
 
+ODD = [(1, None, "en", "a", None), (1, None, "en", "a", None), (None, "", None, None, 0), (3, " \n\t ", "de", "a", 4), (4, "same words here", "en", "a", 15), (4, "same words here", "en", "a", 15), (9, "SAME words here", "en", None, 15), (None, "same words here", "en", "b", 15), (7, "x" * 30000, "en", "b", 30000), (8, " ".join(f"w{k}" for k in range(9000)), "en", "b", 0)]
+MORE = f"{SCHEMA}, kept string, keep_id string, component_id string, size string, mix_key string, nth int, copy int, text_key string"
+
+
+def odd(spark):
+    return spark.createDataFrame([(*r, *["z"] * 5, 1, 2, "q") for r in ODD], MORE).repartition(3)
+
+
+def test_stages_of_odd_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names, in each stage on its own; empty tables give empty ones."""
+    docs = odd(spark)
+    key = lambda rs: Counter((r["doc_id"], r["text"]) for r in rs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), "").count() == 0 and stage(spark, docs, "").columns == docs.columns, name
+    exact = key(corpus_pipeline.without_copies(spark, docs, "").collect())
+    assert exact == Counter({(1, None): 1, (3, " \n\t "): 1, (9, "SAME words here"): 1, (7, "x" * 30000): 1, (8, ODD[9][1]): 1}) or exact == Counter({(1, ""): 1, (3, " \n\t "): 1, (9, "SAME words here"): 1, (7, "x" * 30000): 1, (8, ODD[9][1]): 1})
+    near = key(corpus_pipeline.without_near_copies(spark, docs, "").collect())
+    assert near[1, None] == 2 and near[None, ""] == 1 and near[3, " \n\t "] == 1 and near[7, "x" * 30000] == 1 and near[8, ODD[9][1]] == 1
+    assert sum(n for (_, t), n in near.items() if (t or "").lower() == "same words here") in (1, 2)  # one of the group, and its like rows
+    mixed = corpus_pipeline.mixed(spark, docs, "").collect()
+    assert all(len(r["text"].split()) for r in mixed) and {r["doc_id"] for r in mixed} <= {None, 4, 7, 8, 9}
+    packed = corpus_pipeline.packed(spark, docs, "").collect()
+    assert sum(r["doc_tokens"] for r in packed if r["start"] == 0) == sum(r["length"] for r in packed) and sum(r["start"] == 0 for r in packed) == len(ODD)
+    assert corpus_pipeline.packed(spark, docs.where("false"), "").count() == 0
+
+
 def test_run(spark, tmp_path):
     """Of each group (a text, its copy in capitals, a near copy) one document is left; texts without letters go; sequences are gapless."""
     rng = random.Random(6)
