@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import cut, joined_by
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
-SPLITS, LEAF = 12, 16  # split points of a node; entries that are compared without a further node
+SPLITS, LEAF = 16, 64  # split points of a node; entries that are compared without a further node
 ROUNDING = 1e-9  # relative error granted to distances, whose squares are exact
 MOST, LOW = 1 << 62, 31  # components beyond it count as it; sums are sent in two words, the lower one of so many bits
 
