@@ -411,6 +411,35 @@ def test_changed_positions_wake_their_book(spark, tmp_path):
     assert current(hub)["mine", "A"]["holdings"] is None and current(hub)["mine", "A"]["judged"] == 4
 
 
+def test_ticks_without_data_see_a_changed_file(spark, tmp_path):
+    """A running stream judges a book anew when its positions file appears, though no bar arrives; then atoms come as a file."""
+    tree = dsl.Tree(dsl.synthetic(["A"], RISES, dsl.rule("out", dsl.SELL, {"ge": [R, 50]}, ("held", 1))))
+    folder, file = str(tmp_path / "in"), tmp_path / "positions.json"
+    ticks(spark, ("A", "2021-01-01", 1, 0), ("A", "2021-01-02", 2, 1)).coalesce(1).write.parquet(folder)
+    schema = ticks(spark).schema
+    hub = Hub(spark, str(tmp_path / "hub"), {"mine": tree}, positions={"mine": str(file)})
+    query = hub.start(spark.readStream.schema(schema).parquet(folder), str(tmp_path / "check"), "1 second")
+
+    def wait(test):
+        for _ in range(120):
+            found = current(hub).get(("mine", "A"))
+            if found is not None and test(found):
+                return found
+            assert query.isActive, query.exception()
+            time.sleep(0.5)
+        raise AssertionError(found)
+
+    try:
+        assert wait(lambda r: True)["holdings"] is None
+        file.write_text('{"positions": [{"prod": "A", "entry_date": "20210101", "entry_px": 1}]}')
+        assert wait(lambda r: r["holdings"])["holdings"][0]["ret"] == 100.0
+        ticks(spark, ("A", "2021-01-02 15:00:00", 4, 2)).coalesce(1).write.mode("append").parquet(folder)
+        found = wait(lambda r: r["close"] == 4.0)
+        assert found["holdings"][0]["ret"] == 300.0 and found["key"] == "buy"
+    finally:
+        query.stop()
+
+
 def test_backfill_fetches_once_for_each_start(spark, tmp_path):
     """Symbols are fetched when they are first wanted, and again for an earlier start; those without bars are asked for once."""
     asked = []

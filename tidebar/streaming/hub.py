@@ -291,5 +291,11 @@ class Hub:
         return decided.groupBy("product").agg(F.max_by(F.struct("date", "close", "key", "weight"), "i").alias("v")).select("product", "v.*")
 
     def start(self, source: DataFrame, checkpoint: str, interval: str | None = "15 seconds"):
+        """Run on a stream of batches. With an interval there is a batch at each tick, even without data, since a tree or
+        positions file may have changed; without one, what the source has is taken and the stream ends."""
+        if interval:
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema.fields]
+            ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load().where("value < 0").select(*nothing)
+            source = source.unionByName(ticks)
         writer = source.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
