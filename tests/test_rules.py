@@ -23,7 +23,7 @@ from tidebar.plans import dsl
 from tidebar.plans.compile import decisions, evaluate, ladder_of
 from tidebar.sources import bars as sources
 from tidebar.sources import texts
-from tidebar.streaming.hub import BARS, Hub
+from tidebar.streaming.hub import ATOMS, BARS, Hub
 
 C = {"px": "close", "sym": "$self"}
 UP_ONE = {"gt": [C, 1]}
@@ -652,3 +652,21 @@ def test_alignment_is_the_best_of_all():
         found = compare.align(xs, ys)
         assert [x for x, _ in found if x is not None] == xs and sum(y is not None for _, y in found) == len(ys)
         assert price(found) == pytest.approx(min(map(price, options)))
+
+
+def test_intraday_looks_back_no_further_than_it_must(spark):
+    """The value at the last time over a cut axis is that over all times, for windows, since-operators up to their cap, and symbols that are no product."""
+    rng = random.Random(3)
+    base = dt.datetime(2021, 1, 4, 0, 0)
+    made = [(s, base + dt.timedelta(minutes=k), *[float(rng.randrange(1, 9))] * 4, 1.0) for s in "AX" for k in range(1000) if s == "A" or k % 3]
+    atoms = spark.createDataFrame(made, ATOMS)
+    a, x = {"px": "close", "sym": "$self"}, {"px": "close", "sym": "X"}
+    exprs = {
+        "sum": {"sum": [a, 7]}, "since": {"barssince": {"gt": [a, 7]}}, "never": {"ge": [{"barssince": {"gt": [a, 99]}}, 400]}, "beyond": {"gt": [{"barssince": {"gt": [a, 99]}}, 400]}, "other": {"gt": [{"highest": [{"lag": [a, 3]}, 20]}, {"lag": [x, 1]}]},
+        "nested": {"valuewhen": [{"gt": [a, {"highest": [{"lag": [a, 1]}, 2]}]}, {"sum": [a, 3]}]},
+    }
+    daily = spark.createDataFrame([("A", "20210104", 1.0, 1.0, 1.0, 1.0, 1.0)], BARS)
+    leaves = lambda e: json.loads(json.dumps(e).replace('"px": "close"', '"px": "close", "tf": "1m"'))
+    found = evaluate(daily, {"A": {}}, {k: leaves(e) for k, e in exprs.items()}, atoms=atoms).first()
+    whole = evaluate(atoms.select("sym", F.date_format("ts", "yyyyMMddHHmmss").alias("date"), *sources.FIELDS), {"A": {}}, exprs).orderBy(F.col("i").desc()).first()
+    assert {k: found[k] for k in exprs} == {k: whole[k] for k in exprs} and found["never"] is True and found["beyond"] is None and found["sum"] is not None
