@@ -688,7 +688,7 @@ PLAYED = dsl.synthetic(
 )
 _PLAYED_DAYS = 30
 _PLAYED_SQL = f"""{SQL_BARS}, mine AS (SELECT product || ' ' || substr(date, 1, 6) AS scenario, product, list(close ORDER BY date) AS xs, (substr(date, 5, 2)::INT % 4) AS kind FROM cal GROUP BY ALL),
-asked AS (SELECT *, CASE kind WHEN 0 THEN 'buy' WHEN 1 THEN 'wait' WHEN 2 THEN 'block' ELSE 'sell' END AS expect, CASE WHEN kind = 0 AND len(xs) % 2 = 0 THEN 40.0 END AS pct FROM mine),
+asked AS (SELECT *, CASE kind WHEN 0 THEN 'buy' WHEN 1 THEN 'wait' WHEN 2 THEN 'block' ELSE 'sell' END AS expect, CASE WHEN kind = 0 AND len(xs) % 2 = 0 THEN 40.0::DOUBLE END AS pct FROM mine),
 w0 AS (SELECT a.*, n AS i, xs[greatest(1, len(xs) - {_PLAYED_DAYS} + n + 1)] AS close, CASE WHEN product = '1-URGENT' THEN xs[greatest(1, len(xs) - {_PLAYED_DAYS} + n + 1)] ELSE 100 * 1.001 ** n END AS ix FROM asked a, range({_PLAYED_DAYS}) t(n)),
 w1 AS (SELECT *, lag(close) OVER v AS p, avg(close) OVER (PARTITION BY scenario ORDER BY i ROWS 4 PRECEDING) AS m, min(close) OVER (PARTITION BY scenario ORDER BY i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS lo, lag(ix, 5) OVER v AS q, first_value(close) OVER v AS cost FROM w0 WINDOW v AS (PARTITION BY scenario ORDER BY i)),
 w2 AS (SELECT *, (close / cost - 1) * 100 AS ret, min((close / cost - 1) * 100) OVER (PARTITION BY scenario) AS worst, close < lo OR (product = '2-HIGH' AND ix < q) AS block, close > m AND close > p AS pes, close > m AS opt, CASE WHEN close > p THEN 40.0 ELSE 25.0 END AS weight FROM w1 QUALIFY i = {_PLAYED_DAYS - 1}),
