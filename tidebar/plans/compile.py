@@ -464,3 +464,12 @@ def evidence(bars: DataFrame, tree: dsl.Tree, answers: dict | None = None) -> Da
     for k, own in enumerate(found):
         rows = (F.when if rows is None else rows.when)(F.col("kind") == k, F.array(*[row(*x) for x in own]))
     return last.select("product", "date", F.explode(rows).alias("x")).select("product", "date", "x.*")
+
+
+def reasons(found: DataFrame, most: int = 3) -> DataFrame:
+    """evidence() -> (product, date, gate, met, unknown): of each gate, the labels of its first conditions, in written order,
+    that are true, and of those that are unknown; at most so many each."""
+    own = found.where(F.col("path").rlike(r"^\w+\.any\[[0-9]+\]$") & F.col("label").isNotNull())
+    at = F.struct(F.regexp_extract("path", r"\[([0-9]+)\]$", 1).cast("int").alias("n"), F.col("label"))
+    first = lambda test: F.transform(F.slice(F.array_sort(F.collect_list(F.when(test, at))), 1, most), lambda x: x["label"])
+    return own.groupBy("product", "date", F.split_part("path", F.lit("."), F.lit(1)).alias("gate")).agg(first(F.col("truth")).alias("met"), first(F.col("truth").isNull()).alias("unknown"))

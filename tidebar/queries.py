@@ -664,6 +664,20 @@ def evidence_last_day(spark, sf_dir):
     return _rounded(evidence(S.order_bars(spark, sf_dir), dsl.Tree(TREE)).select("product", "date", "path", "truth", "number"), "number")
 
 
+REASONED = dsl.synthetic(PRODUCTS, *[dsl.rule(f"over {n}", dsl.BUY, {"gt": [C, {"lag": [C, n]}]}) for n in range(1, 7)], dsl.rule("asked", dsl.BUY, {"manual": "news is good"}), dsl.rule("asked too", dsl.BLOCK, {"gt": [V, "?"]}), dsl.rule("index falls", dsl.BLOCK, {"lt": [IX, {"lag": [IX, 1]}]}))
+
+
+@query(f"""WITH {SQL_BARS}, l AS (SELECT *, {', '.join(f"close > {_lag('close', n)} AS o{n}" for n in range(1, 7))}, ix < {_lag('ix')} AS falls FROM cal), tip AS (SELECT * FROM l QUALIFY i = max(i) OVER (PARTITION BY product)),
+parts AS (SELECT product, date, 'buy' AS gate, unnest([{', '.join(f"{{'n': {n}, 'label': 'over {n}', 'truth': o{n}}}" for n in range(1, 7))}, {{'n': 7, 'label': 'asked', 'truth': NULL}}], recursive := true) FROM tip
+ UNION ALL SELECT product, date, 'block', unnest([{{'n': 1, 'label': 'asked too', 'truth': NULL}}, {{'n': 2, 'label': 'index falls', 'truth': falls}}], recursive := true) FROM tip)
+SELECT product, date, gate, coalesce(array_to_string((list(label ORDER BY n) FILTER (truth))[1:3], ', '), '') AS met, coalesce(array_to_string((list(label ORDER BY n) FILTER (truth IS NULL))[1:3], ', '), '') AS unknown FROM parts GROUP BY ALL""")
+def reason_labels(spark, sf_dir):
+    from tidebar.plans.compile import evidence, reasons
+
+    found = reasons(evidence(S.order_bars(spark, sf_dir), dsl.Tree(REASONED)))
+    return found.select("product", "date", "gate", F.array_join("met", ", ").alias("met"), F.array_join("unknown", ", ").alias("unknown"))
+
+
 _PERIODS = (365, 1095)
 _PERIOD_ROWS = f"""{_GRADED}, f AS (SELECT *, {_FWD} FROM graded), d AS (SELECT f.*, length AS period, strftime(strptime(max(date) OVER (PARTITION BY f.product), '%Y%m%d') - length * INTERVAL 1 DAY, '%Y%m%d') AS first_day FROM f, (VALUES {', '.join(f'({p})' for p in _PERIODS)}) t(length)),
 w AS (SELECT *, lag(key) OVER (PARTITION BY product, period ORDER BY i) IS DISTINCT FROM key AS start FROM d WHERE date >= first_day),
