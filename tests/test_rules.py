@@ -411,6 +411,19 @@ def test_changed_positions_wake_their_book(spark, tmp_path):
     assert current(hub)["mine", "A"]["holdings"] is None and current(hub)["mine", "A"]["judged"] == 4
 
 
+def test_hub_settles_by_its_clock(spark, tmp_path):
+    """Until a session has closed by the clock, its bar decides nothing; the next batch after the close does."""
+    at = [dt.datetime(2021, 1, 3, 20, 0)]
+    sessions = spark.createDataFrame([("A", f"2021010{d}", dt.datetime(2021, 1, d, 21, 0)) for d in (1, 2, 3)], "sym string, date string, close_utc timestamp")
+    hub = Hub(spark, str(tmp_path / "hub"), dsl.Tree(dsl.synthetic(["A"], RISES)), now=lambda: at[0], sessions=sessions)
+    hub.on_batch(ticks(spark, *[("A", f"2021-01-0{d}", x, d) for d, x in ((1, 1), (2, 2), (3, 1))]), 0)
+    found = current(hub)["book", "A"]
+    assert (found["key"], found["date"], found["confirmed"], found["close"]) == ("buy", "20210103", 1, 1.0)
+    at[0] = dt.datetime(2021, 1, 3, 21, 0)
+    hub.on_batch(ticks(spark, ("A", "2021-01-03", 1.5, 4)), 1)
+    assert (current(hub)["book", "A"]["key"], current(hub)["book", "A"]["confirmed"]) == ("avoid", 2)
+
+
 def test_ticks_without_data_see_a_changed_file(spark, tmp_path):
     """A running stream judges a book anew when its positions file appears, though no bar arrives; then atoms come as a file."""
     tree = dsl.Tree(dsl.synthetic(["A"], RISES, dsl.rule("out", dsl.SELL, {"ge": [R, 50]}, ("held", 1))))
