@@ -11,6 +11,7 @@ import tokenizers
 
 from tidebar.llm import alignment, codes, mixing, queries, reputation
 from tidebar.llm.queries import tokenizer
+from tidebar.llm.shared import joined_by
 from tidebar.llm.tokens import byte_letters
 
 TEXTS = [
@@ -242,3 +243,13 @@ def test_mix_counts_vary_as_multinomial_draws(spark, monkeypatch):
         spread.append(np.cov(counts.T))
     want = 256 * (np.diag(share) - np.outer(share, share))
     assert np.abs(np.mean(spread, axis=0) / want - 1).max() < 0.2
+
+
+def test_joined_by_equals_a_left_join(spark):
+    """A hot key, rare ones, keys that the table lacks, and struct keys that hold null."""
+    rows_ = spark.range(5000).selectExpr("id", "named_struct('k', case when id % 3 = 0 then null when id % 7 = 0 then 'none' else concat('k', id % 1500) end) as key")
+    table = rows_.groupBy("key").count().where("key.k is null or key.k <> 'none'").withColumn("x", reputation.F.xxhash64("key"))
+    want = Counter(tuple(r) for r in rows_.join(table, rows_["key"].eqNullSafe(table["key"]), "left").select("id", "count", "x").collect())
+    for share in (2, 1000):
+        assert Counter(tuple(r) for r in joined_by(rows_, table, "key", "count", 5000, share).select("id", "count", "x").collect()) == want
+    assert sum(n for (_, c, _), n in want.items() if c is None) > 100
