@@ -22,7 +22,7 @@ from tidebar.operators.backtest import AtLeast, equity, exit_policy, portfolio_s
 from tidebar.plans import dsl
 from tidebar.plans.compile import decisions, evaluate, ladder_of
 from tidebar.sources import bars as sources
-from tidebar.sources import texts
+from tidebar.sources import sessions, texts
 from tidebar.streaming.hub import ATOMS, BARS, Hub
 
 C = {"px": "close", "sym": "$self"}
@@ -683,3 +683,56 @@ def test_intraday_looks_back_no_further_than_it_must(spark):
     found = evaluate(daily, {"A": {}}, {k: leaves(e) for k, e in exprs.items()}, atoms=atoms).first()
     whole = evaluate(atoms.select("sym", F.date_format("ts", "yyyyMMddHHmmss").alias("date"), *sources.FIELDS), {"A": {}}, exprs).orderBy(F.col("i").desc()).first()
     assert {k: found[k] for k in exprs} == {k: whole[k] for k in exprs} and found["never"] is True and found["beyond"] is None and found["sum"] is not None
+
+
+def days_in(spark, *years):
+    return spark.sql(" union all ".join(f"select explode(sequence(date'{y}-01-01', date'{y}-12-31')) as day" for y in years))
+
+
+def test_sessions_of_known_years(spark):
+    """The rests of two years in the US as published, summer time, early closes, and exceptions that replace the rules."""
+    rests = {
+        2021: "0101 0118 0215 0402 0531 0705 0906 1125 1224", 2022: "0117 0221 0415 0530 0620 0704 0905 1124 1226", 2024: "0101 0115 0219 0329 0527 0619 0704 0902 1128 1225",
+        1997: "0101 0217 0328 0526 0704 0901 1127 1225",
+    }
+    found = sessions.sessions(days_in(spark, *rests), ("US",)).collect()
+    for year, closed in rests.items():
+        days = [dt.date(year, 1, 1) + dt.timedelta(n) for n in range(366)]
+        want = {f"{d:%Y%m%d}" for d in days if d.year == year and d.weekday() < 5} - {f"{year}{x}" for x in closed.split()}
+        assert {r["date"] for r in found if r["date"][:4] == str(year)} == want
+    at = {r["date"]: (f"{r['open_utc']:%H:%M}", f"{r['close_utc']:%H:%M}", r["is_half"]) for r in found}
+    assert at["20240308"] == ("14:30", "21:00", False) and at["20240311"] == ("13:30", "20:00", False)
+    assert at["20241129"] == at["20241224"] == ("14:30", "18:00", True) and at["20240703"] == ("13:30", "17:00", True) and not at["20210702"][2]
+    own = spark.createDataFrame([("KR", "20240101", "10:00", "15:30"), ("KR", "20241114", "10:00", "16:30"), ("KR", "20240209", None, None), ("KR", "20240105", "09:00", "12:00"), ("US", "20240102", None, None)], "market string, date string, opens string, closes string")
+    korean = {r["date"]: (f"{r['open_utc']:%H:%M}", f"{r['close_utc']:%H:%M}", r["is_half"]) for r in sessions.sessions(days_in(spark, 2024), ("KR",), own).collect()}
+    assert korean["20240101"] == ("01:00", "06:30", False) and korean["20241114"] == ("01:00", "07:30", False) and korean["20240105"] == ("00:00", "03:00", True) and korean["20240102"] == ("00:00", "06:30", False)
+    assert not {"20240209", "20240301", "20241231", "20240106"} & set(korean)
+    assert sessions.sessions(days_in(spark, 2024).where("false")).count() == 0
+    with pytest.raises(ValueError):
+        sessions.sessions(days_in(spark, 2024), ("XX",))
+
+
+def test_sessions_do_not_depend_on_the_session_time_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    seconds = lambda: sorted((r["date"], r["c"]) for r in sessions.sessions(days_in(spark, 2024), ("US",)).select("date", F.unix_seconds("close_utc").alias("c")).collect())
+    want = seconds()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
+        assert seconds() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_easter(spark):
+    known = {1818: "0322", 1943: "0425", 1954: "0418", 1981: "0419", 2000: "0423", 2024: "0331", 2025: "0420", 2038: "0425", 2049: "0418", 2285: "0322"}
+    rows = spark.createDataFrame([(y,) for y in known], "y int").select("y", F.date_format(sessions.easter(F.col("y")), "MMdd").alias("e")).collect()
+    assert {r["y"]: r["e"] for r in rows} == known
+
+
+def test_markets_of_symbols(spark):
+    symbols = spark.createDataFrame([("005930",), ("0001A0",), ("SPY",), ("BRK.B",), ("spy",), ("2-HIGH",), ("005930",), (None,), ("GOLD",)], "sym string")
+    listed = spark.createDataFrame([("GOLD", "KR"), ("2-HIGH", "US"), ("OTHER", "US")], "sym string, market string")
+    assert {r["sym"]: r["market"] for r in sessions.markets_of(symbols).collect()} == {"005930": "KR", "0001A0": "KR", "SPY": "US", "BRK.B": "US", "spy": None, "2-HIGH": None, None: None, "GOLD": "US"}
+    found = sessions.markets_of(symbols, listed)
+    assert found.count() == 8 and {r["sym"]: r["market"] for r in found.where("sym in ('GOLD', '2-HIGH', 'SPY')").collect()} == {"GOLD": "KR", "2-HIGH": "US", "SPY": "US"}
+    assert {r["market"] for r in sessions.markets_of(symbols, shapes=()).collect()} == {None}

@@ -11,6 +11,7 @@ from tidebar.operators import compare as X
 from tidebar.plans import dsl
 from tidebar.plans.compile import decisions, evaluate
 from tidebar.sources import bars as S
+from tidebar.sources import sessions as M
 
 PRODUCTS = {p: {"index": "1-URGENT"} for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")}
 px = lambda f, sym="$self": {"px": f, "sym": sym}
@@ -366,6 +367,58 @@ def bars_confirmed(spark, sf_dir):
     return S.confirmed(S.order_bars(spark, sf_dir), _closes(spark, sf_dir), "1997-01-01 12:00:00").select("sym", "date", "confirmed")
 
 
+_EASTER = """cal_years AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM range(1900, 2200) t(y)), moons AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM cal_years),
+sundays AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM moons), easter AS (SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM sundays), fridays AS (SELECT make_date(y, n // 31, n % 31 + 1) - 2 AS good FROM easter)"""
+_NTH = "(month(d) = {} AND isodow(d) = {} AND (day(d) - 1) // 7 = {})".format
+_MOVED = "(strftime(d, '%m%d') = '{0}' OR (isodow(d) = 1 AND strftime(d - 1, '%m%d') = '{0}'){1})".format
+_EARLY = " OR (isodow(d) = 5 AND strftime(d + 1, '%m%d') = '{}')".format
+_RESTS_US = " OR ".join([_MOVED("0101", ""), _NTH(1, 1, 2) + " AND year(d) >= 1998", _NTH(2, 1, 2), "d IN (SELECT good FROM fridays)", "(month(d) = 5 AND isodow(d) = 1 AND day(d) > 24)", _MOVED("0704", _EARLY("0704")), _NTH(9, 1, 0), _NTH(11, 4, 3), _MOVED("1225", _EARLY("1225"))])
+_RESTS_KR = "strftime(d, '%m%d') IN ('0101', '0301', '0501', '0505', '0606', '0815', '1003', '1009', '1225', '1231')"
+_SESSIONS = f"""{_EASTER}, counts AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY 1), span AS (SELECT unnest(range(min(d)::TIMESTAMP, max(d) + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS d FROM counts),
+us AS (SELECT d, isodow(d) < 6 AND NOT ({_RESTS_US}) AND coalesce(n % 11 <> 0, true) AS open, {_NTH(11, 4, 3).replace('d)', 'd - 1)')} OR (isodow(d) < 6 AND isodow(d) <> 5 AND strftime(d, '%m%d') IN ('0703', '1224')) AS half FROM span LEFT JOIN counts USING (d)),
+kr AS (SELECT d, isodow(d) < 6 AND NOT ({_RESTS_KR}) AS open, coalesce(n % 11 <> 0 AND n % 7 = 0, false) AS late FROM span LEFT JOIN counts USING (d)),
+sessions AS (SELECT 'US' AS market, d, d + TIME '09:30:00' AS opens, d + CASE WHEN half THEN TIME '13:00:00' ELSE TIME '16:00:00' END AS closes, half, 'America/New_York' AS zone FROM us WHERE open
+ UNION ALL SELECT 'KR', d, d + CASE WHEN late THEN TIME '10:00:00' ELSE TIME '09:00:00' END, d + CASE WHEN late THEN TIME '16:30:00' ELSE TIME '15:30:00' END, false, 'Asia/Seoul' FROM kr WHERE open OR late),
+hours AS (SELECT market, strftime(d, '%Y%m%d') AS date, epoch(opens AT TIME ZONE zone)::BIGINT AS open_utc, epoch(closes AT TIME ZONE zone)::BIGINT AS close_utc, half AS is_half FROM sessions)"""
+
+
+def _sessions(spark, sf_dir):
+    """Sessions of the days of the orders; some days with exceptions: rests in the US, late sessions in Korea."""
+    counts = S.order_bars(spark, sf_dir).groupBy("date").agg(F.sum("volume").cast("long").alias("n"))
+    late = counts.where("n % 7 = 0 and n % 11 <> 0").select(F.lit("KR").alias("market"), "date", F.lit("10:00").alias("opens"), F.lit("16:30").alias("closes"))
+    rests = counts.where("n % 11 = 0").select(F.lit("US").alias("market"), "date", F.lit(None).cast("string").alias("opens"), F.lit(None).cast("string").alias("closes"))
+    return M.sessions(M.days_of(S.order_bars(spark, sf_dir)), exceptions=late.unionByName(rests))
+
+
+@query(f"WITH {_SESSIONS} SELECT * FROM hours")
+def session_calendar(spark, sf_dir):
+    return _sessions(spark, sf_dir).select("market", "date", F.unix_seconds("open_utc").alias("open_utc"), F.unix_seconds("close_utc").alias("close_utc"), "is_half")
+
+
+_SYMBOLS = "SELECT lpad(o_custkey::VARCHAR, 6, '0') AS sym FROM orders UNION SELECT n_name FROM nation UNION SELECT left(o_orderpriority, 5) FROM orders"
+
+
+@query(rf"WITH s AS ({_SYMBOLS}), listed AS (SELECT n_name AS sym, r_name AS listed FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0) SELECT sym, coalesce(listed, CASE WHEN regexp_full_match(sym, '[0-9][0-9A-Z]{{5}}') THEN 'KR' WHEN regexp_full_match(sym, '[A-Z]{{1,5}}([.-][A-Z])?') THEN 'US' END) AS market FROM s LEFT JOIN listed USING (sym)")
+def symbol_markets(spark, sf_dir):
+    """Markets of symbols: some listed (a nation's region), the others by their way of writing, or unknown."""
+    orders, nation, region = (S.table(spark, sf_dir, t) for t in ("orders", "nation", "region"))
+    symbols = orders.select(F.explode(F.array(F.lpad(F.col("o_custkey").cast("string"), 6, "0"), F.left("o_orderpriority", F.lit(5)))).alias("sym")).unionByName(nation.select(F.col("n_name").alias("sym")))
+    listed = nation.where("n_nationkey % 5 = 0").join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_name").alias("sym"), F.col("r_name").alias("market"))
+    return M.markets_of(symbols, listed)
+
+
+_ASOF_SESSIONS = "1997-01-01 12:00:00"
+
+
+@query(f"""WITH {SQL_BARS}, {_SESSIONS}, own AS (SELECT c.*, CASE WHEN m.market IS NULL THEN true ELSE coalesce(h.close_utc <= epoch(TIMESTAMP '{_ASOF_SESSIONS}'), false) END AS settled FROM cal c JOIN {_MARKET_SQL} USING (product) LEFT JOIN hours h ON h.market = m.market AND h.date = c.date),
+s AS (SELECT product, i, close > lag(close) OVER ({SQL_W}) AS up FROM own WHERE settled), g AS (SELECT *, max(CASE WHEN settled THEN i END) OVER ({SQL_W}) AS last FROM own)
+SELECT g.product, g.date, s.up FROM g LEFT JOIN s ON s.product = g.product AND s.i = g.last""")
+def settled_by_sessions(spark, sf_dir):
+    """What was known as of a time, with bars on days without a session: each of their values is that of the last session."""
+    closes = S.session_closes(spark.createDataFrame(list(_MARKET.items()), "sym string, market string"), _sessions(spark, sf_dir))
+    return evaluate(S.order_bars(spark, sf_dir), PRODUCTS, {"up": UP}, closes=closes, asof=_ASOF_SESSIONS).select("product", "date", "up")
+
+
 _H = px("close") | {"tf": "1h"}
 
 
