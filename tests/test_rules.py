@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.text import lines, marks, unwrap_titles
 from tidebar.operators import compare
 from tidebar.operators import scenarios as Z
-from tidebar.operators.backtest import AtLeast, equity, exit_policy, portfolio_stats, position_facts, size_notes, stepper, trade_stats, trades
+from tidebar.operators.backtest import AtLeast, equity, exit_policy, limits_unapplied, portfolio_stats, position_facts, size_notes, stepper, trade_stats, trades
 from tidebar.plans import dsl
 from tidebar.plans.compile import decisions, evaluate, ladder_of
 from tidebar.sources import bars as sources
@@ -736,3 +736,23 @@ def test_markets_of_symbols(spark):
     found = sessions.markets_of(symbols, listed)
     assert found.count() == 8 and {r["sym"]: r["market"] for r in found.where("sym in ('GOLD', '2-HIGH', 'SPY')").collect()} == {"GOLD": "KR", "2-HIGH": "US", "SPY": "US"}
     assert {r["market"] for r in sessions.markets_of(symbols, shapes=()).collect()} == {None}
+
+
+def test_sharpe_of_bars_within_a_day(spark):
+    """Keys with a time: the year has as many bars as their median distance gives; days, or a single bar, are a day apart."""
+    values = [100.0, 110.0, 104.5, 115.0, 113.0]
+    rs = [0.0] + [b / a - 1 for a, b in itertools.pairwise(values)]
+    mean = sum(rs) / 5
+    daily = mean / (sum((r - mean) ** 2 for r in rs) / 4) ** 0.5 * 365**0.5
+    stats = {}
+    for name, keys in {"day": [f"2024010{k}" for k in range(1, 6)], "minute": [f"20240101100{k}" for k in (0, 5, 6, 7, 8)], "gap": ["202401012300", "202401020000", "202401020100", "202401090000", "202401090100"]}.items():
+        rows = spark.createDataFrame([("X", k, d, v, 100.0) for k, (d, v) in enumerate(zip(keys, values, strict=True))], "product string, i int, date string, value double, first double")
+        stats[name] = portfolio_stats(rows).first()["sharpe"]
+    assert abs(stats["day"] - daily) < 1e-9 and abs(stats["minute"] - daily * 1440**0.5) < 1e-6 and abs(stats["gap"] - daily * 24**0.5) < 1e-6
+    one = spark.createDataFrame([("X", 0, "202401010900", 100.0, 100.0)], "product string, i int, date string, value double, first double")
+    assert portfolio_stats(one).first()["sharpe"] is None
+
+
+def test_limits_that_fills_do_not_heed(spark):
+    markets = spark.createDataFrame([("A", "US"), ("B", "KR"), ("C", None), ("D", "XX")], "product string, market string")
+    assert {r["product"]: r["limits"] for r in limits_unapplied(markets).collect()} == {"A": [], "B": ["price_limit"], "C": [], "D": []}

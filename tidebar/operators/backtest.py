@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,10 +14,14 @@ from pyspark.sql import functions as F
 from tidebar.functions import logic as L
 from tidebar.plans import dsl
 from tidebar.plans.compile import decisions, reach
+from tidebar.sources.bars import epoch
 
 HORIZONS = (5, 10, 20)
 #: Per market commission, tax on sells, slippage and initial cash; US where unknown.
 MARKETS = {"US": (0.001, 0.0, 0.0, 100000.0), "KR": (0.00015, 0.0018, 0.0, 100000000.0)}
+#: Per market how far a price can move in a day, and the size of its ticks; None where nothing binds.
+LIMITS = {"US": (None, None), "KR": (0.3, None)}
+DAY, YEAR_DAYS = 86400, 365
 TINY = 1e-12
 
 
@@ -385,12 +390,23 @@ def equity(bars: DataFrame, orders: DataFrame, markets: DataFrame | None = None)
     return rows.select("product", "i", "date", (cash + held * close).alias("value"), "first")
 
 
+def limits_unapplied(markets: DataFrame) -> DataFrame:
+    """markets (product, market) -> (product, limits array<string>): limits of the market that `ledger` doesn't heed, as fills
+    are at the orders' prices whatever they are; those of US where the market is unknown."""
+    names = lambda k: F.array(*map(F.lit, [n for n, v in zip(("price_limit", "tick"), LIMITS[k], strict=True) if v is not None])).cast("array<string>")
+    of = reduce(lambda c, k: F.when(F.col("market") == k, names(k)).otherwise(c), [k for k in LIMITS if k != "US"], names("US"))
+    return markets.select("product", of.alias("limits"))
+
+
 def portfolio_stats(curve: DataFrame) -> DataFrame:
     """(product, total_return, max_drawdown, sharpe): percent of the initial cash; percent of the highest value so far, not
-    negative; daily returns, the first against the initial cash, over a year of 365 days."""
+    negative; returns from bar to bar, the first against the initial cash, over a year of 365 days. Bars are a day apart, or
+    where their keys have a time (more than 8 digits), as far as the median of their distances."""
     before = F.coalesce(F.lag("value").over(L.by_day()), F.col("first"))
-    rows = curve.select("product", "i", "value", "first", (F.try_divide(F.col("value"), before) - 1).alias("r"), (1 - F.col("value") / F.max("value").over(L.up_to())).alias("down"))
-    return rows.groupBy("product").agg(((F.max_by("value", "i") / F.first("first") - 1) * 100).alias("total_return"), (F.max("down") * 100).alias("max_drawdown"), (F.try_divide(F.avg("r"), F.nullif(F.stddev_samp("r"), F.lit(0.0))) * 365**0.5).alias("sharpe"))
+    at = epoch(F.when(F.length("date") > 8, F.col("date")))
+    rows = curve.select("product", "i", "value", "first", (at - F.lag(at).over(L.by_day())).alias("step"), (F.try_divide(F.col("value"), before) - 1).alias("r"), (1 - F.col("value") / F.max("value").over(L.up_to())).alias("down"))
+    bars = YEAR_DAYS * DAY / F.coalesce(F.nullif(F.median("step"), F.lit(0.0)), F.lit(float(DAY)))
+    return rows.groupBy("product").agg(((F.max_by("value", "i") / F.first("first") - 1) * 100).alias("total_return"), (F.max("down") * 100).alias("max_drawdown"), (F.try_divide(F.avg("r"), F.nullif(F.stddev_samp("r"), F.lit(0.0))) * F.sqrt(bars)).alias("sharpe"))
 
 
 def period_results(graded: DataFrame, periods: tuple[int, ...] = (365, 1095), today: str | None = None, horizons=HORIZONS) -> DataFrame:

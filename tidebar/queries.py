@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions import text as T
@@ -311,6 +311,17 @@ def portfolio_stats(spark, sf_dir):
     return _rounded(B.portfolio_stats(_curve(spark, sf_dir)), "total_return", "max_drawdown", "sharpe")
 
 
+@query("""WITH hours AS (SELECT event_type AS product, time_bucket(INTERVAL 1 HOUR, ts) AS h, arg_max(value, (ts, event_id)) AS value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2),
+steps AS (SELECT product, h, value, first_value(value) OVER w AS cost, epoch(h) - epoch(lag(h) OVER w) AS apart, value / nullif(coalesce(lag(value) OVER w, first_value(value) OVER w), 0) - 1 AS r, 1 - value / max(value) OVER w AS down FROM hours WINDOW w AS (PARTITION BY product ORDER BY h))
+SELECT product, round((arg_max(value, h) / any_value(cost) - 1) * 100, 4) AS total_return, round(max(down) * 100, 4) AS max_drawdown, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(365 * 86400 / median(apart)), 4) AS sharpe FROM steps GROUP BY 1""")
+def portfolio_stats_hourly(spark, sf_dir):
+    """Statistics of one share of each kind of event held over its hours; a year has as many bars as the median hour gives."""
+    own = S.resample(S.event_atoms(spark, sf_dir).where("close is not null"), "1h").select(F.col("sym").alias("product"), "ts", F.col("close").alias("value"))
+    w = Window.partitionBy("product").orderBy("ts")
+    curve = own.select("product", (F.row_number().over(w) - 1).alias("i"), F.date_format("ts", "yyyyMMddHHmm").alias("date"), "value", F.first("value").over(w).alias("first"))
+    return _rounded(B.portfolio_stats(curve), "total_return", "max_drawdown", "sharpe")
+
+
 for _tf, _s in (("5m", 300), ("1h", 3600), ("1d", 86400)):
 
     def _resample(spark, sf_dir, tf=_tf):
@@ -657,6 +668,26 @@ def key_checks(spark, sf_dir):
     return T.key_checks(source, source.withColumn("key", F.when((F.col("slug") % 10 == 0) & (F.col("key") == "1-1"), "9-9").otherwise(F.col("key"))))
 
 
+_LETTERS = "regexp_replace({}, '[^0-9A-Za-z가-힣]+', '', 'g')".format
+_AFTER = ", ".join(f"trim(lead(text, {k}) OVER w) AS l{k}" for k in (1, 2, 3))
+_TITLED = rf"""{_LINES}, ahead AS (SELECT slug, line, text, {_AFTER} FROM lines WINDOW w AS (PARTITION BY slug ORDER BY line)),
+heads AS (SELECT slug, line, regexp_extract(text, '^\s*(\d+-\d+)\.', 1) AS key, trim(regexp_replace(text, '^\s*\d+-\d+\.', '')) AS title, l1, l2, l3 FROM ahead WHERE regexp_matches(text, '^\s*\d+-\d+\.')),
+toc AS (SELECT slug, key, arg_min(concat_ws('-', title, l1, CASE WHEN line % 16 = 9 THEN l2 END), line) AS toc FROM heads GROUP BY 1, 2)"""
+_GOES_ON = [f"{_LETTERS('concat_ws(' + repr(' ') + ', ' + ', '.join(['title', *[f'l{j}' for j in range(1, k + 1)]]) + ')')} = {_LETTERS('toc')}" + "".join(f" AND l{j} <> ''" for j in range(1, k + 1)) for k in range(4)]
+
+
+@query(f"WITH {_TITLED}, found AS (SELECT h.*, toc, CASE WHEN {_LETTERS('toc')} = '' THEN NULL {' '.join(f'WHEN {c} THEN {k}' for k, c in enumerate(_GOES_ON))} END AS n FROM heads h JOIN toc USING (slug, key)) SELECT slug, line::INT AS line, key, CASE WHEN n IS NULL THEN title ELSE toc END AS title, (line + 1 + coalesce(n, 0))::INT AS body_line FROM found")
+def wrapped_titles(spark, sf_dir):
+    """Titles that go on over the next lines, by a table of contents with the wording of each key's first section."""
+    rows = _marked(spark, sf_dir)
+    w = Window.partitionBy("slug").orderBy("line")
+    ahead = rows.select("slug", "line", *[F.trim(F.lead("text", k).over(w)).alias(f"l{k}") for k in (1, 2)])
+    said = F.concat_ws("-", "title", "l1", F.when(F.col("line") % 16 == 9, F.col("l2")))
+    found = T.marks(rows)
+    contents = found.join(ahead, ["slug", "line"]).groupBy("slug", "key").agg(F.min_by(said, "line").alias("toc"))
+    return T.unwrap_titles(rows, found, contents).select("slug", "line", "key", "title", "body_line")
+
+
 @query(r"SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, length(regexp_extract(html, '(?s)<body[^>]*>(.*?)</body>', 1)) AS body_chars FROM pages")
 def html_block_extract(spark, sf_dir):
     html = F.col("html")
