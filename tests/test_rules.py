@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions.text import lines, marks, unwrap_titles
-from tidebar.operators import compare
+from tidebar.operators import compare, latest
 from tidebar.operators import scenarios as Z
 from tidebar.operators.backtest import AtLeast, equity, exit_policy, limits_unapplied, portfolio_stats, position_facts, size_notes, stepper, trade_stats, trades
 from tidebar.plans import dsl
@@ -309,7 +309,7 @@ def test_hub_killed_before_the_verdicts(spark, tmp_path, monkeypatch):
     tree = dsl.Tree(dsl.synthetic({"A": {}}, dsl.rule("b", dsl.BUY, {"gt": [C, {"lag": [C, 1]}]})))
     batch = spark.createDataFrame([("A", f"2021010{d}", *[float(d)] * 4, 1.0, d) for d in (1, 2)], f"{BARS}, arrived long")
     hub = Hub(spark, str(tmp_path / "hub"), tree)
-    monkeypatch.setattr("tidebar.streaming.hub.decisions", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+    monkeypatch.setattr("tidebar.streaming.hub.decide", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
     with pytest.raises(RuntimeError):
         hub.on_batch(batch, 0)
     monkeypatch.undo()
@@ -756,3 +756,32 @@ def test_sharpe_of_bars_within_a_day(spark):
 def test_limits_that_fills_do_not_heed(spark):
     markets = spark.createDataFrame([("A", "US"), ("B", "KR"), ("C", None), ("D", "XX")], "product string, market string")
     assert {r["product"]: r["limits"] for r in limits_unapplied(markets).collect()} == {"A": [], "B": ["price_limit"], "C": [], "D": []}
+
+
+def test_decide_for_every_product(spark):
+    """One row per product: without a bar unknown, with spot price and change, open questions once each, holdings by number."""
+    ask = {"any": [{"manual": "calm"}, {"gt": [C, "?"], "label": "big"}]}
+    tree = dsl.Tree(dsl.synthetic(["A", "B", "N"], RISES, dsl.rule("w", dsl.BLOCK, {"not": ask}), dsl.rule("w2", dsl.BLOCK, {"not": ask}, on=["A"]), dsl.rule("s", dsl.SELL, {"all": [{"manual": "sold"}, {"ge": [R, 10]}]}, ("held", 1))))
+    dates = ["20210104", "20210105", "20210106"]
+    rows = spark.createDataFrame([(s, d, x, x, x, x, 1.0) for s, xs in (("A", (10.0, 20.0, 30.0)), ("B", (5.0,))) for d, x in zip(dates, xs)], BARS)
+    held = spark.createDataFrame([("A", 1, dates[1], 25.0, 1), ("A", 0, dates[0], 15.0, 1), ("N", 0, dates[0], 1.0, 1)], "product string, n int, entry_date string, cost double, filled int")
+    found = {r["product"]: r for r in latest.decide(rows, tree, holdings=held).collect()}
+    assert {p: (r["has_data"], r["date"], r["close"], r["key"], r["incomplete"]) for p, r in found.items()} == {"A": (True, dates[2], 30.0, "buy", False), "B": (True, dates[0], 5.0, "unknown", True), "N": (False, None, None, "unknown", None)}
+    assert abs(found["A"]["change"] - 50) < 1e-9 and found["B"]["change"] is None and found["A"]["opt_buy"] and found["A"]["pes_block"] and not found["A"]["opt_block"]
+    assert {p: sorted(x["label"] for x in r["asked"]) for p, r in found.items()} == {p: ["big", "calm"] for p in "ABN"}
+    assert [(h["n"], h["ret"], h["sells"][0]["hit"]) for h in found["A"]["holdings"]] == [(0, 100.0, None), (1, (30 / 25 - 1) * 100, None)] and found["B"]["holdings"] is None and found["N"]["holdings"] is None
+    early = {r["product"]: r for r in latest.decide(rows, tree, dates[1], answers={("A", "calm"): False}).collect()}
+    assert (early["A"]["date"], early["A"]["close"], early["A"]["holdings"]) == (dates[1], 20.0, None)
+    atoms = spark.createDataFrame([("A", "2021-01-06 10:00:00", 40.0)], "sym string, ts string, close double").withColumn("ts", F.to_timestamp("ts"))
+    live = {r["product"]: r for r in latest.decide(rows, tree, atoms=atoms).collect()}
+    assert live["A"]["close"] == 40.0 and abs(live["A"]["change"] - 100) < 1e-9 and live["B"]["close"] == 5.0
+    assert {r["product"]: r["key"] for r in latest.decide(rows.where("false"), tree).collect()} == {p: "unknown" for p in "ABN"}
+
+
+def test_hub_has_a_verdict_for_products_without_bars(spark, tmp_path):
+    tree = dsl.Tree(dsl.synthetic(["A", "N"], RISES))
+    hub = Hub(spark, str(tmp_path / "hub"), tree)
+    hub.on_batch(ticks(spark, ("A", "2021-01-01", 1, 1), ("A", "2021-01-02", 2, 2)), 0)
+    assert {p: (r["key"], r["date"], r["change"]) for (_, p), r in current(hub).items()} == {"A": ("buy", "20210102", 100.0), "N": ("unknown", None, None)}
+    hub.on_batch(ticks(spark, ("N", "2021-01-01", 1, 3), ("N", "2021-01-02", 2, 4)), 1)
+    assert {p: (r["key"], r["judged"]) for (_, p), r in current(hub).items()} == {"A": ("buy", 0), "N": ("buy", 1)}

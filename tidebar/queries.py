@@ -514,6 +514,24 @@ def holding_status(spark, sf_dir):
     return rows.select("product", "entry_i", F.round("ret", 4).alias("ret"), "days", sells.alias("sells"), F.when(F.col("next_tranche").isNotNull(), text(F.col("next_tranche"))).alias("next_tranche"))
 
 
+_DAY = "19980305"
+_NONE = {**TREE, "products": {**TREE["products"], "9-NONE": {"index": "1-URGENT"}}}
+
+
+@query(f"""WITH {_GRADED}, tip AS (SELECT * FROM graded WHERE date <= '{_DAY}' QUALIFY i = max(i) OVER (PARTITION BY product)), held(product, entry_date, cost, filled) AS (VALUES {_HELD_SQL}),
+h AS (SELECT product, count(*)::INT AS held, round(max(CASE WHEN t.date >= entry_date THEN (t.close / cost - 1) * 100 END), 4) AS ret FROM held JOIN tip t USING (product) GROUP BY 1), every AS (SELECT DISTINCT o_orderpriority AS product FROM orders UNION SELECT '9-NONE')
+SELECT e.product, t.product IS NOT NULL AS has_data, t.date, round(t.close, 4) AS close, round((t.close / t.p - 1) * 100, 4) AS change, coalesce(key, 'unknown') AS key, buy AS opt_buy, block AS opt_block, weight, t.i::INT AS confirmed, warmup, t.i < warmup AS incomplete, held, ret
+ FROM every e LEFT JOIN tip t USING (product) LEFT JOIN h USING (product)""")
+def latest_decisions(spark, sf_dir):
+    """Every product at the end of a day, one without any bar too, with its holdings."""
+    from tidebar.operators.latest import decide
+
+    found = decide(S.order_bars(spark, sf_dir), dsl.Tree(_NONE), _DAY, spark.createDataFrame(_HELD, "product string, entry_date string, cost double, filled int"))
+    ret = F.array_max(F.transform("holdings", lambda x: x["ret"]))
+    rows = found.select("product", "has_data", "date", "close", "change", "key", "opt_buy", "opt_block", "weight", "confirmed", "warmup", "incomplete", F.when(F.col("holdings").isNotNull(), F.size("holdings")).alias("held"), ret.alias("ret"))
+    return _rounded(rows, "close", "change", "ret")
+
+
 def _halves(spark, sf_dir):
     bars = S.order_bars(spark, sf_dir)
     return bars.where("date < '19960101'"), bars.where("date >= '19951201' and sym <> '5-LOW'").withColumn("close", F.when(F.col("date") < "19960101", F.col("close") + 1).otherwise(F.col("close")))

@@ -12,16 +12,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.operators.holdings import status
+from tidebar.operators.latest import decide
 from tidebar.plans import dsl
-from tidebar.plans.compile import decisions, weight_alternatives
+from tidebar.plans.compile import decisions
 from tidebar.sources import bars as S
 
 BARS = "sym string, date string, open double, high double, low double, close double, volume double"
 ATOMS = "sym string, ts timestamp, open double, high double, low double, close double, volume double"
 ATOM_DAYS = 7  # atoms older than this before the newest one are forgotten, and refused where they arrive so late
 WARMUP_DAYS = 500  # history that is asked for before the first day of interest
-VERDICT = """book string, product string, date string, close double, key string, weight double, alternatives array<double>, confirmed int, warmup int,
+VERDICT = """book string, product string, date string, close double, change double, key string, weight double, alternatives array<double>, confirmed int, warmup int,
 holdings array<struct<n:int,entry_date:string,ret:double,days:double,sells:array<struct<label:string,hit:boolean>>,next_tranche:struct<label:string,hit:boolean>>>, error string, judged long"""
 EMPTY = {"bars": {}, "atoms": {}, "newest": None, "verdicts": None, "loaded": None, "books": {}, "positions": {}}
 log = logging.getLogger("tidebar")
@@ -175,21 +175,14 @@ class Hub:
         return reduce(DataFrame.unionByName, [f.select(*[c.split(" ")[0] for c in BARS.split(", ")]) for f in found])
 
     def _judged(self, book: str, tree: dsl.Tree, products: list[str], bars: DataFrame, atoms: DataFrame, now: datetime | None, number: int, held_any: bool) -> DataFrame:
-        """The verdicts of some products on their last bar, with the spot price and the holdings."""
+        """The verdicts of some products on their last bar, with the spot price and the holdings; `unknown` without a bar."""
         own = tree.only(products)
         symbols = sorted({x for p in products for x in own.symbols(p) | own.atom_symbols(p)})
         bars, atoms = bars.where(F.col("sym").isin(symbols)), atoms.where(F.col("sym").isin(symbols))
-        decided = weight_alternatives(decisions(bars, own, closes=self.sessions, asof=now, atoms=atoms))
-        last = decided.groupBy("product").agg(F.max_by(F.struct("date", "close", "key", "weight", "alternatives", "confirmed", "warmup"), "i").alias("v")).select("product", "v.*")
-        spot = S.spot(atoms, now)
-        out = last.join(spot.select(F.col("sym").alias("product"), "spot"), "product", "left").withColumn("close", F.coalesce("spot", "close"))
-        held = F.lit(None)
-        if held_any:
-            mine = S.positions(self.spark, self.positions[book]).where(F.col("product").isin(products))
-            found = status(bars, own, mine, spot=spot).groupBy("product").agg(F.sort_array(F.collect_list(F.struct("n", "entry_date", "ret", "days", "sells", "next_tranche"))).alias("holdings"))
-            out, held = out.join(found, "product", "left"), F.col("holdings")
+        mine = S.positions(self.spark, self.positions[book]).where(F.col("product").isin(products)) if held_any else None
+        out = decide(bars, own, holdings=mine, closes=self.sessions, asof=now, atoms=atoms)
         kinds = {c.split(" ")[0]: c.split(" ", 1)[1] for c in VERDICT.replace("\n", " ").split(", ")}
-        made = {**{c: F.col(c) for c in ("product", "date", "close", "key", "weight", "alternatives", "confirmed", "warmup")}, "book": F.lit(book), "holdings": held, "error": F.lit(None), "judged": F.lit(number)}
+        made = {**{c: F.col(c) for c in ("product", "date", "close", "change", "key", "weight", "alternatives", "confirmed", "warmup", "holdings")}, "book": F.lit(book), "error": F.lit(None), "judged": F.lit(number)}
         return out.select(*[made[c].cast(kind).alias(c) for c, kind in kinds.items()])
 
     def on_batch(self, batch: DataFrame, number: int) -> None:
