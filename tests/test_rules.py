@@ -309,7 +309,7 @@ def test_hub_killed_before_the_verdicts(spark, tmp_path, monkeypatch):
     tree = dsl.Tree(dsl.synthetic({"A": {}}, dsl.rule("b", dsl.BUY, {"gt": [C, {"lag": [C, 1]}]})))
     batch = spark.createDataFrame([("A", f"2021010{d}", *[float(d)] * 4, 1.0, d) for d in (1, 2)], f"{BARS}, arrived long")
     hub = Hub(spark, str(tmp_path / "hub"), tree)
-    monkeypatch.setattr("tidebar.streaming.hub.decide", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+    monkeypatch.setattr("tidebar.streaming.hub.decisions", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
     with pytest.raises(RuntimeError):
         hub.on_batch(batch, 0)
     monkeypatch.undo()
@@ -780,8 +780,40 @@ def test_decide_for_every_product(spark):
 
 def test_hub_has_a_verdict_for_products_without_bars(spark, tmp_path):
     tree = dsl.Tree(dsl.synthetic(["A", "N"], RISES))
-    hub = Hub(spark, str(tmp_path / "hub"), tree)
+    hub = Hub(spark, str(tmp_path / "hub"), tree, every=True)
     hub.on_batch(ticks(spark, ("A", "2021-01-01", 1, 1), ("A", "2021-01-02", 2, 2)), 0)
     assert {p: (r["key"], r["date"], r["change"]) for (_, p), r in current(hub).items()} == {"A": ("buy", "20210102", 100.0), "N": ("unknown", None, None)}
     hub.on_batch(ticks(spark, ("N", "2021-01-01", 1, 3), ("N", "2021-01-02", 2, 4)), 1)
     assert {p: (r["key"], r["judged"]) for (_, p), r in current(hub).items()} == {"A": ("buy", 0), "N": ("buy", 1)}
+
+
+def test_hub_fetches_atoms_once(spark, tmp_path):
+    """Atoms of symbols that the rules read are asked for once, a new book's too; what the batch brings counts before them."""
+    leaf = {"px": "close", "sym": "$self", "tf": "15m"}
+    tree = lambda *ps: dsl.Tree(dsl.synthetic(list(ps), dsl.rule("m", dsl.BUY, {"gt": [leaf, {"lag": [leaf, 1]}]})))
+    asked = []
+
+    def fetch(symbols, start):
+        own = sorted(r["sym"] for r in symbols.collect())
+        asked.append((own, start))
+        return spark.createDataFrame([(s, f"2021-01-09 10:{m}:00", *[float(x)] * 4, 1.0) for s in own for m, x in ((10, 5), (20, 7))], "sym string, ts string, open double, high double, low double, close double, volume double").withColumn("ts", F.to_timestamp("ts"))
+
+    make = lambda books: Hub(spark, str(tmp_path / "hub"), books, now=lambda: dt.datetime(2021, 1, 9, 10, 50), fetch_atoms=fetch)
+    make({"one": tree("A")}).on_batch(ticks(spark, ("A", "2021-01-08", 5, 0), ("A", "2021-01-09", 5, 1), ("A", "2021-01-09 10:20:00", 3, 2)), 0)
+    hub = make({"one": tree("A"), "two": tree("A", "Z")})
+    assert asked == [(["A"], "20210102")] and (current(hub)["one", "A"]["key"], current(hub)["one", "A"]["close"]) == ("avoid", 3.0)
+    hub.on_batch(ticks(spark, ("Z", "2021-01-08", 5, 3), ("Z", "2021-01-09", 5, 4)), 1)
+    hub.on_batch(ticks(spark, ("Z", "2021-01-09", 6, 5)), 2)
+    assert asked[1:] == [(["Z"], "20210102")] and (current(hub)["two", "Z"]["key"], current(hub)["two", "Z"]["close"]) == ("buy", 7.0)
+    assert {(r["sym"], r["close"]) for r in hub.atoms().collect()} == {("A", 5.0), ("A", 3.0), ("Z", 5.0), ("Z", 7.0)} and {r["sym"] for r in hub.loaded(kind="loaded_atoms").collect()} == {"A", "Z"}
+
+
+def test_hub_with_a_session_calendar(spark, tmp_path):
+    """Settling by the calendar of each symbol's market: Friday's bar counts once New York has closed."""
+    at = [dt.datetime(2024, 3, 8, 20, 59)]
+    hub = Hub(spark, str(tmp_path / "hub"), dsl.Tree(dsl.synthetic(["SPY"], RISES)), now=lambda: at[0], sessions=sessions.closes)
+    hub.on_batch(ticks(spark, *[("SPY", f"2024-03-0{d}", x, d) for d, x in ((6, 1), (7, 2), (8, 1))]), 0)
+    assert (current(hub)["book", "SPY"]["key"], current(hub)["book", "SPY"]["confirmed"]) == ("buy", 1)
+    at[0] = dt.datetime(2024, 3, 8, 21, 0)
+    hub.on_batch(ticks(spark, ("SPY", "2024-03-08", 1.5, 9)), 1)
+    assert (current(hub)["book", "SPY"]["key"], current(hub)["book", "SPY"]["confirmed"]) == ("avoid", 2)

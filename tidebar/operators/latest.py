@@ -31,7 +31,12 @@ def decide(bars: DataFrame, tree: dsl.Tree, day: str | None = None, holdings: Da
     fewer bars are confirmed than the rules need. holdings: those of `status`, by n; null without one.
     """
     bars = bars if day is None else S.until(bars, day)
-    decided = weight_alternatives(decisions(bars, tree, answers, closes, asof, atoms, ladder=ladder))
+    return summed_up(decisions(bars, tree, answers, closes, asof, atoms, ladder=ladder), bars, tree, day, holdings, answers, asof, atoms)
+
+
+def summed_up(decided: DataFrame, bars: DataFrame, tree: dsl.Tree, day: str | None = None, holdings: DataFrame | None = None, answers: dict | None = None, asof=None, atoms: DataFrame | None = None) -> DataFrame:
+    """The rows of `decide` from the decisions of all days of these bars."""
+    decided = weight_alternatives(decided)
     before = F.lag("close").over(L.by_day())
     of = ("date", "close", "before", "key", "rung", *VIEWS, "weight", "alternatives", "confirmed", "warmup")
     last = decided.withColumn("before", before).groupBy("product").agg(F.max_by(F.struct(*of), "i").alias("v")).select("product", "v.*")

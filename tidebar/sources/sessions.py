@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.sources.bars import session_closes
+
 #: Time zone, opening, closing and early closing of each market's regular session.
 HOURS = {"US": ("America/New_York", "09:30", "16:00", "13:00"), "KR": ("Asia/Seoul", "09:00", "15:30", "15:30")}
 
@@ -101,3 +103,9 @@ def markets_of(symbols: DataFrame, listed: DataFrame | None = None, shapes: tupl
         return rows.select("sym", fits.alias("market"))
     own = listed.groupBy("sym").agg(F.max("market").alias("listed"))
     return rows.join(own, "sym", "left").select("sym", F.coalesce("listed", fits).alias("market"))
+
+
+def closes(bars: DataFrame, listed: DataFrame | None = None, exceptions: DataFrame | None = None) -> DataFrame:
+    """(sym, date, close_utc) of the sessions of the bars' symbols from the first to the last day of bars; symbols of no known
+    market have none."""
+    return session_closes(markets_of(bars.where("sym is not null"), listed), sessions(days_of(bars), exceptions=exceptions))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.operators.latest import decide
+from tidebar.operators.latest import summed_up
 from tidebar.plans import dsl
 from tidebar.plans.compile import decisions
 from tidebar.sources import bars as S
@@ -23,7 +23,7 @@ ATOM_DAYS = 7  # atoms older than this before the newest one are forgotten, and
 WARMUP_DAYS = 500  # history that is asked for before the first day of interest
 VERDICT = """book string, product string, date string, close double, change double, key string, weight double, alternatives array<double>, confirmed int, warmup int,
 holdings array<struct<n:int,entry_date:string,ret:double,days:double,sells:array<struct<label:string,hit:boolean>>,next_tranche:struct<label:string,hit:boolean>>>, error string, judged long"""
-EMPTY = {"bars": {}, "atoms": {}, "newest": None, "verdicts": None, "loaded": None, "books": {}, "positions": {}}
+EMPTY = {"bars": {}, "atoms": {}, "newest": None, "verdicts": None, "loaded": None, "loaded_atoms": None, "books": {}, "positions": {}}
 log = logging.getLogger("tidebar")
 
 
@@ -43,15 +43,21 @@ class Hub:
     books: trees by name, or paths of tree files, which are read again at each batch; a tree that can't be read gives an
     event with `error` and no verdicts. positions: paths of positions files by book. fetch(symbols, start): bars of a
     DataFrame of symbols from a day on; symbols that the books need are fetched once, and again where an earlier start is
-    wanted. now: the clock, read once per batch; sessions: (sym, date, close_utc), from which settling follows.
+    wanted; fetch_atoms(symbols, start): the same for atoms of the last seven days. now: the clock, read once per batch;
+    sessions: (sym, date, close_utc), or a function of bars that gives them, from which settling follows. every: whether
+    products without a bar have a verdict too, `unknown`.
     """
 
     def __init__(self, spark: SparkSession, path: str, books: dsl.Tree | dict[str, dsl.Tree | str], publish: Callable[[DataFrame], None] | None = None, positions: dict[str, str] | None = None,
-                 fetch: Callable[[DataFrame, str], DataFrame] | None = None, now: Callable[[], datetime] | None = None, sessions: DataFrame | None = None, extra_days: int = 0):
+                 fetch: Callable[[DataFrame, str], DataFrame] | None = None, now: Callable[[], datetime] | None = None, sessions: DataFrame | Callable[[DataFrame], DataFrame] | None = None, extra_days: int = 0,
+                 fetch_atoms: Callable[[DataFrame, str], DataFrame] | None = None, every: bool = False):
         self.spark, self.path = spark, path
         self.sources = {"book": books} if isinstance(books, dsl.Tree) else dict(books)
         self.positions, self.fetch, self.now, self.sessions, self.extra_days = positions or {}, fetch, now, sessions, extra_days
-        self.observers = [publish] if publish else []
+        self.fetch_atoms, self.every, self.observers = fetch_atoms, every, [publish] if publish else []
+
+    def _closes(self, bars: DataFrame) -> DataFrame | None:
+        return self.sessions(bars) if callable(self.sessions) else self.sessions
 
     # commits
 
@@ -66,7 +72,8 @@ class Hub:
     def state(self, below: int | None = None) -> dict:
         """What the newest commit, or that below a number, names."""
         some = [n for n in self.commits() if below is None or n < below]
-        return json.loads(self.spark.read.text(f"{self.path}/commits/batch={some[-1]}").first()[0]) if some else json.loads(json.dumps(EMPTY))
+        held = json.loads(self.spark.read.text(f"{self.path}/commits/batch={some[-1]}").first()[0]) if some else {}
+        return json.loads(json.dumps(EMPTY)) | held
 
     def _commit(self, number: int, state: dict) -> None:
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/commits/batch={number}")
@@ -77,8 +84,8 @@ class Hub:
                 for name, at in old[kind].items():
                     if at not in (state[kind].get(name), before[kind].get(name)):
                         self._delete(f"{self.path}/{kind}/batch={at}/{part}={name}")
-            for kind in ("verdicts", "loaded"):
-                if old[kind] not in (None, state[kind], before[kind]):
+            for kind in ("verdicts", "loaded", "loaded_atoms"):
+                if old.get(kind) not in (None, state[kind], before.get(kind)):
                     self._delete(f"{self.path}/{kind}/batch={old[kind]}")
             self._delete(f"{self.path}/commits/batch={n}")
 
@@ -107,14 +114,14 @@ class Hub:
         n = self.state(below)["verdicts"]
         return self.spark.createDataFrame([], VERDICT) if n is None else self.spark.read.schema(VERDICT).parquet(f"{self.path}/verdicts/batch={n}")
 
-    def loaded(self, below: int | None = None) -> DataFrame:
-        """(sym, start): history that was fetched."""
-        n = self.state(below)["loaded"]
+    def loaded(self, below: int | None = None, kind: str = "loaded") -> DataFrame:
+        """(sym, start): history that was fetched; of atoms, where kind is loaded_atoms."""
+        n = self.state(below)[kind]
         schema = "sym string, start string"
-        return self.spark.createDataFrame([], schema) if n is None else self.spark.read.schema(schema).parquet(f"{self.path}/loaded/batch={n}")
+        return self.spark.createDataFrame([], schema) if n is None else self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/batch={n}")
 
     def requests(self) -> DataFrame:
-        """(sym, start, batch): all that was ever asked for."""
+        """(sym, start, batch): all bars that were ever asked for."""
         return self.spark.read.schema("sym string, start string, batch long").parquet(f"{self.path}/requests").select("sym", "start", "batch")
 
     def events(self) -> DataFrame:
@@ -158,29 +165,33 @@ class Hub:
             return None
         return self.spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
 
-    def _backfill(self, trees: dict, state: dict, number: int, now: datetime | None) -> DataFrame | None:
-        """Fetch what is wanted and not loaded, once for each start; the bars."""
-        if self.fetch is None:
+    def _backfill(self, trees: dict, state: dict, number: int, now: datetime | None, kind: str = "loaded") -> DataFrame | None:
+        """Fetch what is wanted and not loaded, once for each start; the bars, or where kind is loaded_atoms the atoms."""
+        fetch, schema, days = (self.fetch, BARS, WARMUP_DAYS + self.extra_days) if kind == "loaded" else (self.fetch_atoms, ATOMS, ATOM_DAYS)
+        if fetch is None:
             return None
-        start = S.since(now, WARMUP_DAYS + self.extra_days)
-        wanted = self.spark.createDataFrame([(x, start) for t in trees.values() if isinstance(t, dsl.Tree) for p in t.products for x in t.symbols(p)], "sym string, start string").distinct()
-        both, todo = S.needs(self.loaded(number), wanted)
+        start, of = S.since(now, days), dsl.Tree.symbols if kind == "loaded" else dsl.Tree.atom_symbols
+        wanted = self.spark.createDataFrame([(x, start) for t in trees.values() if isinstance(t, dsl.Tree) for p in t.products for x in of(t, p)], "sym string, start string").distinct()
+        both, todo = S.needs(self.loaded(number, kind), wanted)
         starts = [r[0] for r in todo.select("start").distinct().collect()]  # the start of this batch, or a few
         if not starts:
             return None
-        todo.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.path}/requests/part={number}")
-        both.write.mode("overwrite").parquet(f"{self.path}/loaded/batch={number}")
-        state["loaded"] = number
-        found = [self.fetch(todo.where(F.col("start") == x).select("sym"), x) for x in starts]
-        return reduce(DataFrame.unionByName, [f.select(*[c.split(" ")[0] for c in BARS.split(", ")]) for f in found])
+        if kind == "loaded":
+            todo.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.path}/requests/part={number}")
+        both.write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={number}")
+        state[kind] = number
+        found = [fetch(todo.where(F.col("start") == x).select("sym"), x) for x in starts]
+        return reduce(DataFrame.unionByName, [f.select(*[c.split(" ")[0] for c in schema.split(", ")]) for f in found])
 
     def _judged(self, book: str, tree: dsl.Tree, products: list[str], bars: DataFrame, atoms: DataFrame, now: datetime | None, number: int, held_any: bool) -> DataFrame:
-        """The verdicts of some products on their last bar, with the spot price and the holdings; `unknown` without a bar."""
+        """The verdicts of some products on their last bar, with the spot price and the holdings."""
         own = tree.only(products)
         symbols = sorted({x for p in products for x in own.symbols(p) | own.atom_symbols(p)})
         bars, atoms = bars.where(F.col("sym").isin(symbols)), atoms.where(F.col("sym").isin(symbols))
         mine = S.positions(self.spark, self.positions[book]).where(F.col("product").isin(products)) if held_any else None
-        out = decide(bars, own, holdings=mine, closes=self.sessions, asof=now, atoms=atoms)
+        decided = decisions(bars, own, closes=self._closes(bars), asof=now, atoms=atoms)
+        out = summed_up(decided, bars, own, holdings=mine, asof=now, atoms=atoms)
+        out = out if self.every else out.where("has_data")
         kinds = {c.split(" ")[0]: c.split(" ", 1)[1] for c in VERDICT.replace("\n", " ").split(", ")}
         made = {**{c: F.col(c) for c in ("product", "date", "close", "change", "key", "weight", "alternatives", "confirmed", "warmup", "holdings")}, "book": F.lit(book), "error": F.lit(None), "judged": F.lit(number)}
         return out.select(*[made[c].cast(kind).alias(c) for c, kind in kinds.items()])
@@ -198,8 +209,13 @@ class Hub:
         touched = self._merged("bars", BARS, "month", month, rows, before["bars"], number)
         state["bars"] |= dict.fromkeys(touched, number)
         changed = self._changed("bars", BARS, "month", touched, before["bars"], state["bars"]) if touched else None
-        if "ts" in batch.columns:
-            changed = self._atoms(batch.where("ts is not null"), before, state, number, changed)
+        names = [c.split(" ")[0] for c in ATOMS.split(", ")]
+        atoms = batch.where("ts is not null").select(*names, "arrived") if "ts" in batch.columns else None
+        if (more := self._backfill(trees, state, number, now, "loaded_atoms")) is not None:
+            more = more.where("ts is not null").withColumn("arrived", F.lit(-(2**63)))  # what the batch brings counts before it
+            atoms = more if atoms is None else more.unionByName(atoms)
+        if atoms is not None:
+            changed = self._atoms(atoms, before, state, number, changed)
         woken = self._woken(trees, prints, before, state, changed)
         if woken:
             self._publish(trees, woken, before, state, number, now)
@@ -280,7 +296,8 @@ class Hub:
         tree = self._open()[0][book]
         if isinstance(tree, str):
             raise dsl.RuleError(tree)
-        decided = decisions(self.bars(), tree, answers, closes=self.sessions, asof=self.now() if self.now else None, atoms=self.atoms())
+        bars = self.bars()
+        decided = decisions(bars, tree, answers, closes=self._closes(bars), asof=self.now() if self.now else None, atoms=self.atoms())
         return decided.groupBy("product").agg(F.max_by(F.struct("date", "close", "key", "weight"), "i").alias("v")).select("product", "v.*")
 
     def start(self, source: DataFrame, checkpoint: str, interval: str | None = "15 seconds"):
