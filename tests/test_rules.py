@@ -21,6 +21,7 @@ from tidebar.operators import scenarios as Z
 from tidebar.operators.backtest import AtLeast, equity, exit_policy, limits_unapplied, portfolio_stats, position_facts, size_notes, stepper, trade_stats, trades
 from tidebar.plans import dsl
 from tidebar.plans.compile import decisions, evaluate, ladder_of
+from tidebar.queries import wrapped_titles
 from tidebar.sources import bars as sources
 from tidebar.sources import sessions, texts
 from tidebar.streaming.hub import ATOMS, BARS, Hub
@@ -245,6 +246,19 @@ def test_unjudged_rules_and_alignment():
     assert compare.manual_heads(tree(dsl.rule("m", dsl.BUY, {"all": [{"manual": "news: good"}, {"manual": "news: good"}, {"manual": "else"}, {"gt": [C, "?"]}]})), ("news",)) == {"news": 1, "": 2}
 
 
+def test_wrapped_titles_reads_texts_once(spark, tmp_path):
+    texts = [(1, "a\nb\n\nd\na\nb\nc"), (2, "one"), (3, ""), (4, None), (5, "x\n\ny\nz\nx y\nChapter 3. Deep\n가\n7-1. q\n, 가 2\n나\n다 \n라\n가-2!\n나다\nw")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = wrapped_titles(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    found = {(r["slug"], r["line"]): (r["key"], r["title"], r["body_line"]) for r in out.collect()}
+    assert found == {
+        (1, 1): ("1-1", "a-b", 3), (1, 5): ("1-1", "a-b", 7), (2, 1): ("1-1", "one", 2), (3, 1): ("1-1", "", 2),
+        (5, 1): ("1-1", "x-", 2), (5, 5): ("1-1", "x y", 6), (5, 8): ("7-1", "q-2-1. , 가 2", 10), (5, 9): ("2-1", ", 가 2-나-다", 12), (5, 13): ("2-1", ", 가 2-나-다", 15),
+    }
+
+
 def test_titles_positions_and_spot(spark, tmp_path):
     text = "1-1. A long title that\ngoes on here\nBody.\n1-2. Short\nBody."
     rows = lines(spark.createDataFrame([("b", text)], "slug string, text string"), "slug", "text")

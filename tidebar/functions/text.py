@@ -20,9 +20,13 @@ def letters(t: Column) -> Column:
     return F.regexp_replace(t, "[^0-9A-Za-z가-힣]+", "")
 
 
-def lines(texts: DataFrame, slug: str, text: str) -> DataFrame:
-    """(slug, line, text), lines from 1."""
-    return texts.select(F.col(slug).alias("slug"), F.posexplode(F.split(text, "\n")).alias("n", "text")).select("slug", (F.col("n") + 1).alias("line"), "text")
+def lines(texts: DataFrame, slug: str, text: str, ahead: int = 0) -> DataFrame:
+    """(slug, line, text), lines from 1; with so many of the lines after it as l1, l2, ..., null behind the end."""
+    every = texts.select(F.col(slug).alias("slug"), F.split(text, "\n").alias("own"))
+    after = [F.slice("own", k + 1, F.size("own")) for k in range(1, ahead + 1)]
+    each = every.select("slug", F.posexplode(F.arrays_zip("own", *after) if ahead else "own").alias("n", "text"))
+    names = {"text": "own", **{f"l{k}": str(k) for k in range(1, ahead + 1)}}
+    return each.select("slug", (F.col("n") + 1).alias("line"), *([F.col("text")[v].alias(c) for c, v in names.items()] if ahead else ["text"]))
 
 
 def _mark(t: Column) -> list[Column]:
@@ -35,8 +39,8 @@ def _mark(t: Column) -> list[Column]:
 
 
 def marks(rows: DataFrame) -> DataFrame:
-    """The marked lines: (slug, line, kind, key, title)."""
-    return rows.select("slug", "line", *_mark(F.col("text"))).where("kind is not null")
+    """The marked lines: (slug, line, kind, key, title), and what else the rows have."""
+    return rows.select("slug", "line", *_mark(F.col("text")), *[c for c in rows.columns if c not in ("slug", "line", "text")]).where("kind is not null")
 
 
 def sections(rows: DataFrame) -> DataFrame:
@@ -80,14 +84,17 @@ def unwrap_titles(rows: DataFrame, found: DataFrame, contents: DataFrame) -> Dat
     """marks and a table of contents (slug, key, toc) -> marks with title and body_line: a title that goes on over the next
     lines takes the contents' wording, as soon as its letters are the same; others stay."""
     w = Window.partitionBy("slug").orderBy("line")
-    ahead = rows.select("slug", "line", *[F.trim(F.lead("text", k).over(w)).alias(f"l{k}") for k in range(1, TITLE_LINES + 1)])
-    own = found.join(contents, ["slug", "key"], "left").join(ahead, ["slug", "line"], "left")
-    target, text = letters(F.coalesce("toc", F.lit(""))), F.col("title")
-    title, body = F.when((target != "") & (letters(text) == target), F.col("toc")), F.when((target != "") & (letters(text) == target), F.col("line") + 1)
-    open_ = (target != "") & target.startswith(letters(text))
-    for k in range(1, TITLE_LINES + 1):
-        text = F.concat_ws(" ", text, F.col(f"l{k}"))
-        open_ = open_ & (F.coalesce(F.col(f"l{k}"), F.lit("")) != "") & target.startswith(letters(text))
-        hit = open_ & (letters(text) == target)
-        title, body = F.coalesce(title, F.when(hit, F.col("toc"))), F.coalesce(body, F.when(hit, F.col("line") + 1 + k))
-    return own.select("slug", "line", "kind", "key", F.coalesce(title, F.col("title")).alias("title"), F.coalesce(body, F.col("line") + 1).alias("body_line"))
+    own = found.select("slug", "line", "kind", "key", "title").join(contents, ["slug", "key"], "left").withColumn("mark", F.lit(True))
+    both = own.unionByName(rows.select("slug", "line", "text"), allowMissingColumns=True)
+    after = [F.max("text").over(w.rangeBetween(k, k)).alias(f"l{k}") for k in range(1, TITLE_LINES + 1)]
+    return unwrap_marks(both.select("slug", "line", "kind", "key", "title", "toc", "mark", *after).where("mark"))
+
+
+def unwrap_marks(own: DataFrame) -> DataFrame:
+    """unwrap_titles for marks that have their contents' wording (toc) and the lines after them (l1, l2, l3)."""
+    after = [f"l{k}" for k in range(1, TITLE_LINES + 1)]
+    # letters of joined lines are the joined letters of each, so each line is read once
+    read = own.select("slug", "line", "kind", "key", "title", "toc", letters(F.coalesce("toc", F.lit(""))).alias("target"), letters(F.col("title")).alias("a0"), *[F.when(F.trim(c) != "", letters(F.col(c))).alias(f"a{k}") for k, c in enumerate(after, 1)])
+    n = F.coalesce(*[F.when((F.col("target") != "") & (F.concat(*[f"a{j}" for j in range(k + 1)]) == F.col("target")), k) for k in range(TITLE_LINES + 1)])
+    read = read.withColumn("n", n)
+    return read.select("slug", "line", "kind", "key", F.when(F.col("n").isNull(), F.col("title")).otherwise(F.col("toc")).alias("title"), (F.col("line") + 1 + F.coalesce("n", F.lit(0))).alias("body_line"))
