@@ -93,8 +93,14 @@ def unwrap_titles(rows: DataFrame, found: DataFrame, contents: DataFrame) -> Dat
 def unwrap_marks(own: DataFrame) -> DataFrame:
     """unwrap_titles for marks that have their contents' wording (toc) and the lines after them (l1, l2, l3)."""
     after = [f"l{k}" for k in range(1, TITLE_LINES + 1)]
-    # letters of joined lines are the joined letters of each, so each line is read once
-    read = own.select("slug", "line", "kind", "key", "title", "toc", letters(F.coalesce("toc", F.lit(""))).alias("target"), letters(F.col("title")).alias("a0"), *[F.when(F.trim(c) != "", letters(F.col(c))).alias(f"a{k}") for k, c in enumerate(after, 1)])
-    n = F.coalesce(*[F.when((F.col("target") != "") & (F.concat(*[f"a{j}" for j in range(k + 1)]) == F.col("target")), k) for k in range(TITLE_LINES + 1)])
-    read = read.withColumn("n", n)
+    # Letters of joined lines are the joined letters of each. As they are slow to take, whole texts are read only where the
+    # letters of the texts' beginnings agree, and lines only while what stands before begins the contents' wording.
+    toc, some = F.coalesce("toc", F.lit("")), lambda c: letters(F.substring(c, 1, 64))
+    read = own.select("slug", "line", "kind", "key", "title", "toc", *after, some(toc).alias("begins"), some(F.col("title")).alias("begins0"))
+    read = read.withColumn("target", F.when(F.col("begins").startswith(F.col("begins0")) | F.col("begins0").startswith(F.col("begins")), letters(toc)))
+    read, target = read.withColumn("said0", F.when(F.col("target") != "", letters(F.col("title")))), F.col("target")
+    for k, c in enumerate(after, 1):
+        said = F.col(f"said{k - 1}")
+        read = read.withColumn(f"said{k}", F.when(target.startswith(said) & (said != target) & (F.trim(c) != ""), F.concat(said, letters(F.col(c)))))
+    read = read.withColumn("n", F.coalesce(*[F.when(F.col(f"said{k}") == target, k) for k in range(TITLE_LINES + 1)]))
     return read.select("slug", "line", "kind", "key", F.when(F.col("n").isNull(), F.col("title")).otherwise(F.col("toc")).alias("title"), (F.col("line") + 1 + F.coalesce("n", F.lit(0))).alias("body_line"))
