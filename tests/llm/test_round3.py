@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -253,3 +254,24 @@ def test_joined_by_equals_a_left_join(spark):
     for share in (2, 1000):
         assert Counter(tuple(r) for r in joined_by(rows_, table, "key", "count", 5000, share).select("id", "count", "x").collect()) == want
     assert sum(n for (_, c, _), n in want.items() if c is None) > 100
+
+
+def test_alignment_sums_documents_as_they_pass():
+    """No documents of a block are held: each batch is answered before the next one is read."""
+    read = []
+
+    def batches():
+        kinds = {"block": pa.int64(), "kind": pa.int32(), "row": pa.int64(), "chunks": pa.list_(pa.int32()), "times": pa.list_(pa.int32()), "links": pa.list_(pa.int32()), "link_sizes": pa.list_(pa.int32()), "counts": pa.list_(pa.int64()), "best": pa.list_(pa.int64())}
+        head = [{"block": 1, "kind": -1, "counts": [5, 7], "best": [0, 1]}, {"block": 1, "kind": 0, "links": [0, 1, 1], "link_sizes": [1, 0, 2]}, {"block": 1, "kind": 1, "row": 0, "chunks": [0, 2], "times": [3, 1]}]
+        more = [[{"block": 1, "kind": 1, "row": r, "chunks": [1, 2], "times": [9, r]}] for r in (1, 2)]
+        bare = [{"block": 2, "kind": 0, "links": [], "link_sizes": []}, {"block": 2, "kind": 1, "row": 3, "chunks": [], "times": []}]
+        for rows in (head, *more, bare):
+            read.append(len(rows))
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(kinds.items())))
+
+    out, seen = [], []
+    for batch in alignment._summed(batches()):
+        out += batch.to_pylist()
+        seen.append(len(read))
+    assert [tuple(r.values()) for r in out] == [(0, 2, 29), (1, 2, 14), (2, 4, 28), (3, 0, 0)]
+    assert seen == [1, 2, 3, 4]

@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import groups
 from .shared import cut, partitions, slices
 from .tokens import PUNCTUATION, WHITE, byte_letters
 
-BLOCK = 1 << 24  # bytes of text
-AT_ONCE = 1 << 14  # chunks that are encoded and aligned together
+BLOCK = 1 << 23  # bytes of text
+AT_ONCE = 1 << 13  # chunks that are encoded and aligned together
+ROWS = 1 << 10  # documents that are summed together
 
 
 def coalesce(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,26 +215,40 @@ def _encoded(path_a: str, path_b: str, with_groups: bool):
     return run
 
 
+def _of_chunks(answer: pa.RecordBatch | None, own: pa.RecordBatch) -> list[np.ndarray]:
+    """For each chunk of a block: how many of its links are the most frequent of their B id, and the sum of its links' counts."""
+    edges = np.concatenate(([0], np.cumsum(own["link_sizes"][0].values.to_numpy(), dtype=np.int64)))
+    link, out = own["links"][0].values.to_numpy(), []
+    for name in ("best", "counts"):
+        value = answer[name][0].values.to_numpy() if answer is not None else np.zeros(0, np.int64)
+        upto = np.concatenate(([0], np.cumsum(value[link], dtype=np.int64)))
+        out.append(upto[edges[1:]] - upto[edges[:-1]])
+    return out
+
+
 def _summed(batches):
-    """Rows sorted by block and kind (-1: the pairs' counts in the corpus) -> (row, n_best, count_sum) of each document."""
-    for (_,), g in groups(batches, ["block"]):
-        kind = g["kind"].to_numpy()
-        answer, own = g.filter(pa.array(kind == -1)), g.filter(pa.array(kind == 0))
-        rows = g.filter(pa.array(kind == 1))
-        sizes = own["link_sizes"][0].values.to_numpy().astype(np.int64)
-        edges = np.concatenate(([0], np.cumsum(sizes)))
-        link = own["links"][0].values.to_numpy().astype(np.int64)
-        out = []
-        for name in ("best", "counts"):
-            value = answer[name][0].values.to_numpy(zero_copy_only=False).astype(np.int64) if len(answer) else np.zeros(0, np.int64)
-            upto = np.concatenate(([0], np.cumsum(value[link])))
-            of_chunk = upto[edges[1:]] - upto[edges[:-1]]
-            chunks, times = rows["chunks"].combine_chunks(), rows["times"].combine_chunks()
-            of_row = np.concatenate(([0], np.cumsum(of_chunk[chunks.flatten().to_numpy()] * times.flatten().to_numpy())))
-            at = chunks.offsets.to_numpy().astype(np.int64)
-            at = at - at[0]
-            out.append(of_row[at[1:]] - of_row[at[:-1]])
-        yield pa.RecordBatch.from_arrays([rows["row"].combine_chunks(), *map(pa.array, out)], names=["row", "n_best", "count_sum"])
+    """Rows sorted by block and kind (-1: the pairs' counts in the corpus) -> (row, n_best, count_sum) of each document.
+
+    A block's first two rows give what each of its chunks adds; its documents then pass by, some at a time.
+    """
+    answer, of_chunk = None, []
+    for batch in batches:
+        kind = batch["kind"].to_numpy()
+        first = np.flatnonzero((kind < 1) | (np.diff(kind, prepend=-9) != 0)).tolist()
+        for lo, hi in zip(first, [*first[1:], len(kind)], strict=True):
+            if kind[lo] == -1:
+                answer = batch.slice(lo, 1)
+            elif kind[lo] == 0:
+                answer, of_chunk = None, _of_chunks(answer, batch.slice(lo, 1))
+            else:
+                for k in range(lo, hi, ROWS):
+                    rows = batch.slice(k, min(ROWS, hi - k))
+                    own, times, out = rows["chunks"].flatten().to_numpy(), rows["times"].flatten().to_numpy(), []
+                    at = rows["chunks"].offsets.to_numpy().astype(np.int64)
+                    for x in of_chunk:
+                        of_row = np.concatenate(([0], np.cumsum(x[own] * times)))
+                        out.append(np.diff(of_row[at - at[0]]))
+                    yield pa.RecordBatch.from_arrays([rows["row"], *map(pa.array, out)], names=["row", "n_best", "count_sum"])
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = True) -> DataFrame:
