@@ -604,3 +604,22 @@ def test_repeats_in_bucket():
 def test_cover():
     for modulus, cover in ((suffix.MODULUS, suffix.COVER), (suffix.INNER_MODULUS, suffix.INNER_COVER)):
         assert {(a - b) % modulus for a in cover for b in cover} == set(range(modulus))
+
+
+def test_suffix_memory_of_heavy_buckets():
+    """Numbers that are held for a bucket's text; heavy stretches are cut into pieces a bounded part at a time, and no start is lost."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 280, np.uint8).tobytes() for _ in range(2000)]
+    dealt = suffix.deal_stretches([(k.to_bytes(16, "little"), t, np.arange(81)) for k, t in enumerate(texts)], 1, 200)
+    row = next((keys, starts, sizes, again, data) for _, known, keys, starts, sizes, again, data, _ in dealt if not known)
+    taken = list(suffix.pieces_at_a_time(iter([row]), 1 << 17))
+    assert max(sum(len(r[4]) for r in held) for held in taken) <= (1 << 17) + 280
+    assert [b"".join(r[k] for held in taken for r in held) for k in (0, 3, 4)] == [row[0], row[3], row[4]]
+    assert sum(int((suffix._unplanes(r[4]) - 199).sum()) for held in taken for r in suffix.deal_pieces(held, 48, 7, 200) if not r[1]) == 81 * len(texts)
+    text = np.frombuffer(b"".join(texts), np.uint8)
+    tracemalloc.start()
+    try:
+        suffix.repeats_in_bucket(text, np.arange(len(text) - 199, dtype=np.int32), 200)
+        assert tracemalloc.get_traced_memory()[1] < 50 * len(text)
+    finally:
+        tracemalloc.stop()

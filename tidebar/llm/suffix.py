@@ -48,6 +48,8 @@ STRETCHES = "bucket int, known boolean, keys binary, starts binary, sizes binary
 HEAVY, STEPS = 1 << 22, (48, 12, 3, 1)
 #: Text that a worker turns into samples, stretches or pieces at a time.
 SLICE = 1 << 24
+#: Bytes of heavy stretches that are cut into pieces at a time; numbers of about 30 bytes for each are held meanwhile.
+PIECE = 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -197,8 +199,12 @@ def _repeated(*names: np.ndarray) -> np.ndarray:
 def _ranks(x: np.ndarray) -> np.ndarray:
     """Dense ranks of numbers from 0, equal ones alike."""
     order = np.argsort(x)
+    new = np.zeros(len(x), bool)
+    sorted_ = x[order]
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    del sorted_
     out = np.empty(len(x), np.int32)
-    out[order] = np.cumsum(np.diff(x[order], prepend=x[order[:1]]) != 0)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
@@ -216,15 +222,17 @@ def _common_offsets() -> np.ndarray:
     inside = np.isin(np.arange(INNER_MODULUS), INNER_COVER)
     d = np.arange(INNER_MODULUS)
     both = inside[(d[:, None, None] + d[None, :, None]) % INNER_MODULUS] & inside[(d[:, None, None] + d[None, None, :]) % INNER_MODULUS]
-    return both.argmax(axis=0)
+    return both.argmax(axis=0).astype(np.int32)
 
 
 def repeats_in_bucket(text: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """Which suffixes at the starts share their first `width` bytes with another of them, by sorting the suffixes.
 
     `width` bytes lie behind every start. Suffixes are ordered by ranks of their first 32 bytes; ties are split, all
-    groups at a time, by comparing each member with one of its group at their common offset into the inner cover.
+    groups at a time, by comparing each member with one of its group at their common offset into the inner cover. Places
+    and groups are 32-bit numbers, since a bucket's memory is mostly theirs.
     """
+    starts = starts.astype(np.int32, copy=False)
     n = -(-len(text) // INNER_MODULUS) * INNER_MODULUS
     data = np.zeros(n + 40, np.uint8)
     data[: len(text)] = text
@@ -240,7 +248,7 @@ def repeats_in_bucket(text: np.ndarray, starts: np.ndarray, width: int) -> np.nd
     while reach < width + INNER_MODULUS:
         rank = _joined_ranks(rank, step * len(INNER_COVER))
         reach, step = reach + step * INNER_MODULUS, 2 * step
-    place = np.zeros(INNER_MODULUS, np.int64)
+    place = np.zeros(INNER_MODULUS, np.int32)
     place[list(INNER_COVER)] = np.arange(len(INNER_COVER))
     offset = _common_offsets()
 
@@ -251,24 +259,25 @@ def repeats_in_bucket(text: np.ndarray, starts: np.ndarray, width: int) -> np.nd
     order = starts[np.argsort(by32[starts])]
     head = by32[order]
     same = np.zeros(len(order), bool)  # whether a suffix agrees with the one before it
-    slots = np.arange(len(order))
-    group = np.cumsum(np.diff(head, prepend=head[:1]) != 0)
+    slots = np.arange(len(order), dtype=np.int32)
+    group = np.cumsum(np.diff(head, prepend=head[:1]) != 0, dtype=np.int32)
     while True:
-        size = np.bincount(group)
-        slots, group = slots[size[group] > 1], group[size[group] > 1]
+        tied = (np.bincount(group) > 1)[group]
+        slots, group = slots[tied], group[tied]
         if not len(slots):
             break
-        group = np.cumsum(np.diff(group, prepend=group[:1]) != 0)
-        first = np.flatnonzero(np.diff(group, prepend=-1))
+        group = np.cumsum(np.diff(group, prepend=group[:1]) != 0, dtype=np.int32)
+        first = np.flatnonzero(np.diff(group, prepend=np.int32(-1)))
         size = np.bincount(group)
         p, q = order[slots], order[slots[first + size // 2]][group]
         d = offset[p % INNER_MODULUS, q % INNER_MODULUS]
-        side = np.sign(rank_at(p + d) - rank_at(q + d))
-        by = np.argsort(group * 3 + side + 1, kind="stable")
+        side = np.sign(rank_at(p + d) - rank_at(q + d)).astype(np.int8)
+        del q, d
+        by = np.argsort(group.astype(np.int64) * 3 + side + 1, kind="stable")
         order[slots] = p[by]
         group, side = group[by], side[by]
         same[slots[1:]] |= (side[1:] == 0) & (side[:-1] == 0) & (group[1:] == group[:-1])
-        group = np.cumsum((np.diff(group, prepend=-1) != 0) | (np.diff(side, prepend=-9) != 0))
+        group = np.cumsum((np.diff(group, prepend=np.int32(-1)) != 0) | (np.diff(side, prepend=np.int8(-9)) != 0), dtype=np.int32)
         slots, group = slots[side != 0], group[side != 0]
     # neighbours of different ranks can still agree in `width` bytes: 8 at a time, the last ones overlapping
     left = np.flatnonzero(~same[1:] & (head[1:] == head[:-1])) + 1
@@ -378,9 +387,26 @@ def _starts(starts: list, sizes: list, again: list, data: list[bytes], width: in
     """Of all starts in stretches: the stretch, the start in its text, and whether its owners are not told yet; the stretches' joined text, and each start in it."""
     start, size, text = np.concatenate(starts), np.concatenate(sizes), np.frombuffer(b"".join(data), np.uint8)
     base, count = np.concatenate(([0], np.cumsum(size)[:-1])), size - width + 1
-    owner = np.repeat(np.arange(len(size)), count)
-    shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    return owner, start[owner] + shift, ~np.concatenate(again)[owner], text, base[owner] + shift
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), count)
+    at = np.arange(len(owner), dtype=np.int32) + np.repeat((base - np.cumsum(count) + count).astype(np.int32), count)
+    return owner, at + np.repeat((start - base).astype(np.int32), count), ~np.repeat(np.concatenate(again), count), text, at
+
+
+def pieces_at_a_time(rows: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
+    """Rows of stretches (keys, starts, sizes, again, data) in lists of about `most` bytes of text; larger rows are taken apart."""
+    held, n = [], 0
+    for keys, starts, sizes, again, data in rows:
+        start, size = _unplanes(starts), _unplanes(sizes)
+        upto = np.concatenate(([0], np.cumsum(size)))
+        edges = [0, *(np.flatnonzero(np.diff((n + upto[:-1]) // most)) + 1).tolist(), len(size)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            held.append((keys[a * KEY : b * KEY], _planes(start[a:b]), _planes(size[a:b]), again[a:b], data[upto[a] : upto[b]]))
+            n += int(upto[b] - upto[a])
+            if b < len(size) or n >= most:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
 
 
 def _runs(owner: np.ndarray, begin: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -480,14 +506,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def piece(batches, step=step, parts=parts):
             kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5, pa.int64()]
             for batch in batches:
-                held, size = [], 0
-                for row in zip(*[batch.column(c) for c in ("keys", "starts", "sizes", "again", "data")], strict=True):
-                    held.append(tuple(x.as_py() for x in row))
-                    size += len(held[-1][4])
-                    if size >= SLICE:
-                        yield _batch(deal_pieces(held, step, parts, width), kinds, STRETCHES)
-                        held, size = [], 0
-                if held:
+                packed = (tuple(x.as_py() for x in row) for row in zip(*[batch.column(c) for c in ("keys", "starts", "sizes", "again", "data")], strict=True))
+                for held in pieces_at_a_time(packed, PIECE):
                     yield _batch(deal_pieces(held, step, parts, width), kinds, STRETCHES)
 
         dealt = cut(dealt.where(again).mapInArrow(piece, STRETCHES), "pieces")
