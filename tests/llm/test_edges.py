@@ -7,13 +7,14 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.llm import exact, langid, minhash, mixing, packing, pii, secrets, suffix, token_io, vectors
+from tidebar.llm import exact, langid, minhash, mixing, packing, pii, secrets, suffix, token_io, tokens, vectors
 from tidebar.llm.components import _local_stars, components
 from tidebar.llm.queries import tokenizer
 from tidebar.llm.shared import fresh_path
@@ -623,3 +624,21 @@ def test_suffix_memory_of_heavy_buckets():
         assert tracemalloc.get_traced_memory()[1] < 50 * len(text)
     finally:
         tracemalloc.stop()
+
+
+def test_byte_level_ids():
+    """Many texts at once against the tokenizer itself, with a table that grows and is emptied, odd blanks, marks and zero bytes."""
+    rng = random.Random(5)
+    signs = ["a", "b", "Z", "é", "×", "÷", "ß", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'", "'s", "'re", ".", ",", "!!", "1", "23", "٣", "中", " ", "\u0085", "　", " ", "́", "—", "²", "\x00", "\x1c", "\x7f", "😀", "<|endoftext|>", "_", "​", "word ", "hello,", "Rañ.", "un" * 15]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(3000)] + ["", None, "x" * 100, " " * 50, "a\0", "a", "a\0\0"]
+    single = tokens.ChunkIds(tokenizer("byte_bpe_50k.json"))
+    assert single.byte_level and not tokens.ChunkIds(tokenizer("word_bpe_49k.json")).byte_level
+    many = tokens.ByteLevelIds(single, limit=2000)
+    for lo in range(0, len(texts), 500):
+        part = pa.array(["before", *texts[lo : lo + 500]])[1:]
+        ids, n = many.encode(part)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [single.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[lo : lo + 500]]
+    # words that were met are not taken apart again
+    many.encode(pa.array(["some words, and then some more. " * 2]))
+    many.single = SimpleNamespace(special=[])
+    assert len(many.encode(pa.array(["some more words, and then some. "] * 3))[1]) == 3

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import partitions, slices
-from .tokens import chunk_ids
+from .tokens import byte_level_ids, chunk_ids
 
 #: Fixed values, by selector: ids per word, bits per id.
 COUNTS = np.array([1, 240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -31,11 +31,17 @@ def encode(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, "<u8")
     choice = np.zeros(n, np.int8)
-    here = np.arange(n)
+    # the first selector with room for an id, less one, and its maximum over the next `reach` ids; none are left after the last
+    level = np.zeros(n + 240, np.uint8)
+    for bits in BITS[1:].tolist():
+        level[:n] += ids >> np.uint64(bits) > 0
+    reach, widest = 1, {}
+    for count in (*range(1, 9), 10, 12, 15, 20, 30, 60, 120, 240):
+        level = np.maximum(level[: len(level) - (count - reach)], level[count - reach :])
+        reach = count
+        widest[count] = level[:n]
     for sel in range(15, 0, -1):  # from the fewest ids a word to the most: the last that fits stays
-        bad = np.where(ids >> np.uint64(BITS[sel]) > 0, here, n + 240)
-        reach = np.minimum.accumulate(bad[::-1])[::-1] - here
-        choice[reach >= COUNTS[sel]] = sel
+        choice[widest[COUNTS[sel]] < sel] = sel
     step = COUNTS[choice].tolist()
     starts, i = [], 0
     while i < n:
@@ -95,26 +101,34 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     Null text counts as empty; repeated rows are written each; further columns are ignored.
     """
 
+    def encoded(texts):
+        table = chunk_ids(tokenizer)
+        if table.byte_level:
+            return byte_level_ids(tokenizer).encode(texts)
+        found = [np.frombuffer(table.encode(t), "<u4") for t in texts.to_pylist()]
+        return np.concatenate(found), np.array([len(x) for x in found])
+
     def blocks(batches):
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
         ids, counts, parts, held = [], [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def row():
-            data = np.frombuffer(b"".join(parts), "<u4")
+            data = np.concatenate(parts)
             arrays = [[part], [number], [ids], [len(data)], [to_payload(counts, data)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, [pa.int32(), pa.int32(), pa.list_(id_kind), pa.int64(), pa.binary()], strict=True)], names=["part", "block", "ids", "n_ids", "payload"])
 
         for batch in slices(batches):
-            id_kind, table = batch.schema.field("id").type, chunk_ids(tokenizer)
-            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = table.encode(text) + end
+            id_kind = batch.schema.field("id").type
+            found, n = encoded(batch.column("text"))
+            upto = np.cumsum(n)
+            found, upto = np.insert(found, upto, end_id), upto + np.arange(1, len(n) + 1)
+            for id_, a, b in zip(batch.column("id").to_pylist(), [0, *upto[:-1].tolist()], upto.tolist(), strict=True):
                 ids.append(id_)
-                counts.append(len(data) // 4)
-                parts.append(data)
-                held += counts[-1]
+                counts.append(b - a)
+                parts.append(found[a:b])
+                held += b - a
                 if held >= BLOCK_IDS:
                     yield row()
                     ids, counts, parts, held, number = [], [], [], 0, number + 1
